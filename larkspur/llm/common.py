@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 CHUNK_BYTES = 2 << 20
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -236,3 +237,8 @@ def free_name(columns: list[str], wanted: str) -> str:
     while wanted.lower() in low:
         wanted += "_"
     return wanted
+
+
+def widened(df: DataFrame, **more: str) -> StructType:
+    """df's schema and more columns; a copy, as StructType.add changes the schema that df holds."""
+    return StructType([*df.schema.fields, *(StructField(n, {"string": StringType(), "double": DoubleType(), "boolean": BooleanType()}[t]) for n, t in more.items())])

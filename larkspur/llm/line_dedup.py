@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, SpanHasher, chunks, free_name, line_spans, written
+from .common import IS_SPACE, LOWER, SpanHasher, chunks, free_name, line_spans, widened, written
 
 NO_ID = -(1 << 63)
 BROADCAST_BYTES = 32 << 20
@@ -227,5 +227,4 @@ def without_repeated_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool
             cols = [pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in fields]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lost, pa.bool_())], names=[*fields, gone])
 
-    schema = docs.schema.add(gone, "boolean")
-    return joined.select(*fields, keep).mapInArrow(run, schema).where(~F.col(gone)).drop(gone)
+    return joined.select(*fields, keep).mapInArrow(run, widened(docs, **{gone: "boolean"})).where(~F.col(gone)).drop(gone)
