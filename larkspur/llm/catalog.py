@@ -19,6 +19,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(documents(spark, sf_dir), width=3, similarity=(90, 100))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import lm_scores
+
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_report
 
@@ -31,6 +37,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), default_tokenizer(), length=1024, end_id=2)
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mixing import mixing_report
+
+    return mixing_report(documents(spark, sf_dir), entropy_share=0.98, most_repetition=2.0)
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_columns
 
@@ -50,7 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op4_line_dedup, op5_best_fit_packing, op8_media_columns, op9_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_score, op4_line_dedup, op5_best_fit_packing, op7_source_mixing, op8_media_columns, op9_quality_rules, op10_language_id)}
 
 
 ASCII_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -59,7 +71,20 @@ LOWER_AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 
 def oracle_sql() -> dict[str, str]:
     key = LOWER_AZ.format(f"trim(line, {ASCII_SPACE})")
+    word = f"unnest(list_filter(regexp_split_to_array({LOWER_AZ.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))"
     return {
+        "op2_lm_score": f"""
+            WITH tok AS (SELECT doc_id, {word} AS w, generate_subscripts(list_filter(regexp_split_to_array({LOWER_AZ.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), 1) AS pos FROM documents),
+            total AS (SELECT count(*) AS n FROM tok),
+            vocab AS (SELECT w FROM tok GROUP BY w HAVING count(*) >= greatest(2, ceil((SELECT n FROM total) * 1e-6))),
+            ids AS (SELECT doc_id, pos, coalesce('w' || v.w, 'unknown') AS w FROM tok LEFT JOIN vocab v ON tok.w = v.w),
+            bi AS (SELECT doc_id, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), 'start') AS u FROM ids),
+            c1 AS (SELECT w, count(*) AS c FROM ids GROUP BY w UNION ALL SELECT 'start', count(DISTINCT doc_id) FROM ids),
+            c2 AS (SELECT u, w, count(*) AS c FROM bi GROUP BY u, w),
+            p AS (SELECT bi.doc_id, CASE WHEN c2.c >= 2 THEN ln(c2.c) - ln(cu.c) ELSE ln(0.4::DOUBLE) + ln(cw.c) - ln((SELECT n FROM total)) END AS lp
+                  FROM bi JOIN c2 USING (u, w) JOIN c1 cu ON cu.w = bi.u JOIN c1 cw ON cw.w = bi.w)
+            SELECT d.doc_id, count(lp) AS n_tokens, round(coalesce(sum(lp), 0), 4) AS logprob, round(sum(lp) / nullif(count(lp), 0), 6) AS score
+            FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY d.doc_id""",
         "op4_line_dedup": f"""
             WITH lines AS (
                 SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -106,7 +106,7 @@ def _not_first(h: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def rule_votes() -> dict[str, F.Column]:
-    """Each rule's vote: 1 good, -1 bad, 0 abstains."""
+    """Each rule's vote: 1 good, -1 bad, 0 abstains.  A rule that nearly every text meets only votes against."""
 
     def vote(good, bad):
         return F.when(bad, -1).when(good, 1).otherwise(0)
@@ -120,28 +120,29 @@ def rule_votes() -> dict[str, F.Column]:
     dups = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     short = F.col("n_words") < 30
     return {
-        "length": vote((F.col("n_words") >= 50), F.col("n_words") < 10),
-        "mean_word": vote(mean.between(3, 9), (mean < 2) | (mean > 15)),
+        "length": F.when(F.col("n_words") < 10, -1).otherwise(0),
+        "mean_word": F.when((mean < 2) | (mean > 15), -1).otherwise(0),
         "symbols": vote(symbols <= 0.02, symbols > 0.2),
-        "letters": vote(letters >= 0.85, letters < 0.6),
+        "letters": F.when(short, 0).otherwise(vote(letters >= 0.85, letters < 0.6)),
         "stop_words": F.when(short, 0).otherwise(vote(stops >= 0.1, stops < 0.01)),
         "repeats": F.when(short, 0).otherwise(vote(repeats <= 0.05, repeats > 0.2)),
-        "dup_lines": F.when(F.col("n_lines") < 3, 0).otherwise(vote(dups <= 0.1, dups > 0.3)),
+        "dup_lines": F.when(short | (F.col("n_lines") < 3), 0).otherwise(vote(dups <= 0.1, dups > 0.3)),
     }
 
 
-def fit_votes(votes: np.ndarray, counts: np.ndarray, steps: int = 200, prior: float = 0.8, strength: float = 0.02) -> tuple[np.ndarray, float]:
+def fit_votes(votes: np.ndarray, counts: np.ndarray, steps: int = 200, prior: tuple[float, float] = (0.6, 0.98), strength: float = 0.02) -> tuple[np.ndarray, float]:
     """Rules' log-odds weights [rule, vote + 1] and the log-odds of a good document, by EM.
 
     For either class a rule has a probability of voting good, given that it
     votes; that it abstains says nothing (its weight is 0).  The probabilities
-    start at `prior` for the fitting vote and stay near it by a Beta prior
-    whose weight is `strength` of the votes; this also keeps the classes from
-    changing places.
+    start at `prior` (in bad documents, in good ones: a vote against is rare on
+    good text, while most rules miss most kinds of bad text) and stay near it by
+    a Beta prior whose weight is `strength` of the votes; this also keeps the
+    classes from changing places.
     """
     total = counts.sum()
     up, down = (votes > 0).astype(float), (votes < 0).astype(float)
-    base = np.stack([np.full(votes.shape[1], 1 - prior), np.full(votes.shape[1], prior)])  # class, rule: of a good vote
+    base = np.stack([np.full(votes.shape[1], x) for x in prior])  # class, rule: of a good vote
     cast = counts @ (up + down) * strength + 1
     theta, share = base.copy(), 0.9
     for _ in range(steps):
