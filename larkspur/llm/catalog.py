@@ -25,6 +25,12 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_report
 
@@ -37,6 +43,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), default_tokenizer(), length=1024, end_id=2)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_report
+
+    return pii_report(documents(spark, sf_dir))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_mixing import mixing_report
 
@@ -62,7 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_score, op4_line_dedup, op5_best_fit_packing, op7_source_mixing, op8_media_columns, op9_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_score, op3_html_text, op4_line_dedup, op5_best_fit_packing, op6_pii, op7_source_mixing, op8_media_columns, op9_quality_rules, op10_language_id)}
 
 
 ASCII_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
