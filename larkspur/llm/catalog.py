@@ -73,8 +73,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_score, op3_html_text, op4_line_dedup, op5_best_fit_packing, op6_pii, op7_source_mixing, op8_media_columns, op9_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_score, op3_html_text, op4_line_dedup, op5_best_fit_packing, op6_pii, op7_source_mixing, op8_media_columns, op9_quality_rules, op10_language_id, pipeline)}
 
 
 ASCII_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
