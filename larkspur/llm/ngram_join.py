@@ -19,7 +19,9 @@
    with itself) are walked together, and a pair of nodes is left as soon as the
    largest overlap that its bitmaps and sizes allow is too small, or when all
    sets below both are linked already.  Leaves are compared exactly.
-   A group of more than `BLOCK` sets is dealt into blocks that also hold the
+   Sets that groups connect are a cluster.  A cluster of up to `CLUSTER_BYTES`
+   goes to a task whole, so each set travels once.  In larger clusters every
+   group travels by itself; one of more than `BLOCK` sets is dealt into blocks that also hold the
    same few pivots; in a second round the sets that are still apart from their
    group's largest component are walked against all of the group.
 4. Components.  Links between classes make components; documents get the
@@ -51,6 +53,7 @@ PID_BYTES = 32 << 20
 BLOCK = 256
 PIVOTS = 32
 FLUSH_ENTRIES = 2_000_000
+CLUSTER_BYTES = 32 << 20
 BROADCAST_ROWS = 1_000_000
 STEP = 1.5
 LOW48 = np.uint64((1 << 48) - 1)
@@ -252,24 +255,6 @@ def blocks_of(keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 # ------------------------------------------------------------------ the trees
-class Union:
-    def __init__(self, label: np.ndarray) -> None:
-        self.up = np.arange(len(label))
-        first: dict[int, int] = {}
-        for i, x in enumerate(label.tolist()):
-            self.up[i] = first.setdefault(x, i)
-
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return int(i)
-
-    def join(self, i: int, j: int) -> None:
-        self.up[max(self.find(i), self.find(j))] = min(self.find(i), self.find(j))
-
-
 class SignatureTree:
     """Nodes by level, leaves first; node i of a level is over nodes [i * fan, (i + 1) * fan) of the level below."""
 
@@ -313,15 +298,30 @@ def tree_links(sim: Similarity, sets: list[np.ndarray], label: np.ndarray, split
     trees = [SignatureTree(size[o], bits[o]) for o in sides if len(o)]
     if len(trees) < len(sides):
         return []
-    union, links = Union(label), []
+    lab, links = label.copy(), []
     left, right = trees[0], trees[-1]
     lo, ro = sides[0], sides[-1]
     same = split is None
 
-    def one_component(level_l: int, l: int, level_r: int, r: int) -> bool:
-        span_l, span_r = SignatureTree.FAN**level_l, SignatureTree.FAN**level_r
-        first = union.find(int(lo[l * span_l]))
-        return all(union.find(int(i)) == first for i in lo[l * span_l : (l + 1) * span_l]) and all(union.find(int(i)) == first for i in ro[r * span_r : (r + 1) * span_r])
+    def one_component(ll: int, l: int, lr: int, r: int) -> bool:
+        a, b = SignatureTree.FAN**ll, SignatureTree.FAN**lr
+        first = lab[lo[l * a]]
+        return bool((lab[lo[l * a : (l + 1) * a]] == first).all() and (lab[ro[r * b : (r + 1) * b]] == first).all())
+
+    def leaves(ls: np.ndarray, rs: np.ndarray) -> None:
+        """All pairs below two nodes: bounds at once, then exact comparison of what they allow."""
+        bl, size_l, _, more_l = (x[ls] for x in left.levels[0])
+        br, size_r, _, more_r = (x[rs] for x in right.levels[0])
+        most = np.bitwise_count(bl[:, None] & br[None]).sum(axis=2, dtype=np.int64) + np.minimum(more_l[:, None], more_r[None])
+        most = np.minimum(most, np.minimum(size_l[:, None], size_r[None]))
+        for x, y in zip(*np.nonzero(most >= sim.least_overlap(size_l[:, None], size_r[None])), strict=True):
+            i, j = int(lo[ls[x]]), int(ro[rs[y]])
+            if same and ls[x] >= rs[y] or label[i] == label[j] or spanning and lab[i] == lab[j]:
+                continue
+            if sim.reached(overlap(sets[i], sets[j]), len(sets[i]), len(sets[j])):
+                links.append((i, j))
+                if spanning:
+                    lab[lab == lab[j]] = lab[i]
 
     stack = [(len(left.levels) - 1, 0, len(right.levels) - 1, 0)]
     while stack:
@@ -335,11 +335,8 @@ def tree_links(sim: Similarity, sets: list[np.ndarray], label: np.ndarray, split
             continue
         if spanning and one_component(ll, l, lr, r):
             continue
-        if ll == 0 and lr == 0:
-            i, j = int(lo[l]), int(ro[r])
-            if i != j and label[i] != label[j] and (not spanning or union.find(i) != union.find(j)) and sim.reached(overlap(sets[i], sets[j]), len(sets[i]), len(sets[j])):
-                links.append((i, j))
-                union.join(i, j)
+        if ll <= 1 and lr <= 1:
+            leaves(np.array(left.below(1, l) if ll else [l]), np.array(right.below(1, r) if lr else [r]))
         elif same and ll == lr and l == r:
             kids = left.below(ll, l)
             stack += [(ll - 1, a, lr - 1, b) for a in kids for b in kids if a <= b]
@@ -370,17 +367,28 @@ class NgramJoin:
         both = written(blobs.groupBy("pid").applyInArrow(reduce_groups, from_arrow_schema(REDUCED)), "join")
         self.documents = both.where("kind = 0").select("doc_id", "n", "key", "rk")
         groups = both.where("kind = 1").select("bucket", "part", "large", "members").dropDuplicates(["bucket", "part"])
-        self.members = written(groups.select("bucket", "part", "large", F.explode("members").alias("key")), "members")
+        groups = written(groups.withColumn("lead", F.element_at("members", 1)), "groups")
+        spread = groups.select("bucket", "part", "large", "lead", F.explode("members").alias("key"))
+        self.wanted = spread.select("key").distinct()
         self.sets = written(self._sets(), "sets")
-        first = written(self._links(self.members.withColumn("label", F.col("key")).withColumn("side", F.lit(0)), ["bucket", "part"]), "links")
-        self.links = self._second_round(first)
+        # Sets that groups connect, in clusters; a cluster that fits a task goes there whole, each set once.
+        cluster = components(spread.select(F.col("lead").alias("a"), F.col("key").alias("b")))
+        sizes = cluster.join(self.sets.select(F.col("key").alias("node"), F.length("shingles").alias("bytes")), "node").groupBy("component").agg(F.sum("bytes").alias("bytes"))
+        total = int(sizes.agg(F.sum("bytes")).first()[0] or 0)
+        bins = max(1, -(-total // CLUSTER_BYTES))
+        binned = sizes.select("component", F.when(F.col("bytes") <= CLUSTER_BYTES, F.pmod(F.xxhash64("component"), F.lit(bins))).alias("bin"))
+        bin_of = written(cluster.join(binned, "component").select(F.col("node").alias("key"), "bin"), "bins")
+        placed = groups.join(bin_of.select(F.col("key").alias("lead"), F.col("bin").alias("gbin")), "lead")
+        whole = self._cluster_links(self.sets.join(bin_of.where("bin is not null"), "key"), placed.where("gbin is not null").select("gbin", "bucket", "members"))
+        self.members = written(placed.where("gbin is null").select("bucket", "part", "large", F.explode("members").alias("key")), "members")
+        rest = self._links(self.members.withColumn("label", F.col("key")).withColumn("side", F.lit(0)), ["bucket", "part"])
+        self.links = self._second_round(written(whole.unionByName(rest).distinct(), "links"))
         self.components = components(self.links)
 
     def _sets(self) -> DataFrame:
         """(key, set) of the classes in groups, from the text of one document of each."""
-        wanted = self.members.select("key").distinct()
         rep = self.documents.where("n > 0").groupBy("key").agg(F.min("rk").alias("rk"))
-        rep = written(rep.join(wanted, "key"), "wanted")
+        rep = written(rep.join(self.wanted, "key"), "wanted")
         if rep.count() <= BROADCAST_ROWS:
             rep = F.broadcast(rep)
         hit = self.slim.join(rep, "rk").select("key", "text")
@@ -403,6 +411,31 @@ class NgramJoin:
 
         return hit.mapInArrow(run, "key long, shingles binary").dropDuplicates(["key"])
 
+    def _cluster_links(self, sets: DataFrame, groups: DataFrame) -> DataFrame:
+        """Links in whole clusters: their sets and all their groups meet in one task."""
+        sim, spanning = self.sim, self.spanning
+
+        def walk(sets: pa.Table, groups: pa.Table) -> pa.Table:
+            key = sets.column("key").to_numpy()
+            shingle = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in sets.column("shingles")]
+            order = np.argsort(key)
+            label, links = key.copy(), set()
+            merged: dict[int, list] = {}
+            for b, m in zip(groups.column("bucket").to_pylist(), groups.column("members"), strict=True):
+                merged.setdefault(b, []).append(m.values.to_numpy(zero_copy_only=False))
+            for parts in sorted(merged.values(), key=lambda p: -sum(map(len, p))):
+                at = order[np.searchsorted(key[order], np.unique(np.concatenate(parts)))]
+                if (label[at] == label[at[0]]).all():
+                    continue
+                for i, j in tree_links(sim, [shingle[x] for x in at], label[at], None, spanning):
+                    a, b = at[i], at[j]
+                    links.add((max(key[a], key[b]), min(key[a], key[b])))
+                    if spanning:
+                        label[label == label[b]] = label[a]
+            return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+        return sets.groupBy("bin").cogroup(groups.groupBy("gbin")).applyInArrow(walk, "a long, b long")
+
     def _links(self, members: DataFrame, group: list[str]) -> DataFrame:
         """Links found by walking each group's tree (or, with sides, its two trees)."""
         sim, spanning = self.sim, self.spanning
@@ -418,7 +451,7 @@ class NgramJoin:
             a, b = (key[[x[i] for x in found]] if found else np.zeros(0, np.int64) for i in (0, 1))
             return pa.table({"a": pa.array(np.maximum(a, b)), "b": pa.array(np.minimum(a, b))})
 
-        return members.join(self.sets, "key").groupBy(*group).applyInArrow(walk, "a long, b long").distinct()
+        return members.join(self.sets, "key").groupBy(*group).applyInArrow(walk, "a long, b long")
 
     def _second_round(self, first: DataFrame) -> DataFrame:
         """Sets of large groups that the first round left apart from their group's largest component, against all of the group."""

@@ -66,7 +66,7 @@ def test_equals_brute_force(spark, width, similarity):
 
 
 def test_large_groups_take_blocks_pivots_and_a_second_round(spark, monkeypatch):
-    for name, v in (("BLOCK", 8), ("PIVOTS", 2), ("FLUSH_ENTRIES", 300)):
+    for name, v in (("BLOCK", 8), ("PIVOTS", 2), ("FLUSH_ENTRIES", 300), ("CLUSTER_BYTES", 2000)):
         monkeypatch.setattr(nj, name, v)
     rows = near_copies(5, groups=3, copies=60, words=40)
     assert found(spark, rows, 3, (80, 100)) == brute(rows, 3, 80, 100)
