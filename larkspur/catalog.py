@@ -489,7 +489,7 @@ def gt_match_three_tier(spark, d):
     """Passages' first words as questions, in changed case and with signs, matched back to their documents' ids."""
     b = table(spark, d, "benchmark")
     answers = b.select(F.concat(F.lit("q"), "item_id").alias("question_id"), F.substring("text", 1, 40).alias("question"), F.col("item_id").cast("string").alias("answer"))
-    asked = b.select(F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("q"), "item_id")).otherwise(F.concat(F.lit("x"), "item_id")).alias("query_id"), F.when(F.col("item_id") % 3 == 1, F.upper(F.substring("text", 1, 40))).otherwise(F.concat(F.lit("- "), F.substring("text", 1, 40), F.lit("?!"))).alias("query"))
+    asked = b.select(F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("q"), "item_id")).otherwise(F.concat(F.lit("x"), "item_id")).alias("query_id"), F.when(F.col("item_id") % 3 == 1, F.translate(F.substring("text", 1, 40), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.concat(F.lit("- "), F.substring("text", 1, 40), F.lit("?!"))).alias("query"))
     return qa.with_answers(asked, answers)
 
 

@@ -240,18 +240,18 @@ def oracle_sql() -> dict[str, str]:
         "web_merge": f"""WITH {PASSAGES},{bm25('passages', 4)}, every AS (SELECT query_id, rank AS ord, doc_id::VARCHAR AS document FROM bm25 UNION ALL SELECT page_id, 100, url FROM pages WHERE page_id IN (SELECT query_id FROM passages))
             SELECT * EXCLUDE (ord) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ord, document)::INT AS rank FROM every) WHERE rank <= 5""",
         "gt_match_three_tier": """WITH a AS (SELECT 'q' || item_id AS id, substr(text, 1, 40) AS question, item_id::VARCHAR AS answer FROM benchmark),
-            q AS (SELECT CASE WHEN item_id % 3 = 0 THEN 'q' ELSE 'x' END || item_id AS query_id, CASE WHEN item_id % 3 = 1 THEN upper(substr(text, 1, 40)) ELSE '- ' || substr(text, 1, 40) || '?!' END AS query FROM benchmark),
+            q AS (SELECT CASE WHEN item_id % 3 = 0 THEN 'q' ELSE 'x' END || item_id AS query_id, CASE WHEN item_id % 3 = 1 THEN translate(substr(text, 1, 40), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE '- ' || substr(text, 1, 40) || '?!' END AS query FROM benchmark),
             t1 AS (SELECT id, min(answer) AS a1 FROM a GROUP BY 1), t2 AS (SELECT trim(lower(question)) AS k, arg_min(answer, id) AS a2 FROM a GROUP BY 1), t3 AS (SELECT regexp_replace(lower(question), '[^a-z0-9]+', '', 'g') AS k, arg_min(answer, id) AS a3 FROM a GROUP BY 1)
             SELECT query_id, query, coalesce(a1, a2, a3, '') AS answer FROM q LEFT JOIN t1 ON t1.id = query_id LEFT JOIN t2 ON t2.k = trim(lower(query)) LEFT JOIN t3 ON t3.k = regexp_replace(lower(query), '[^a-z0-9]+', '', 'g')""",
         "resume_antijoin": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "supporting_facts_recall": f"""WITH {PASSAGES},{GOLD},{bm25('passages', 10)}, g AS (SELECT query_id, list(DISTINCT doc_id) AS gold FROM containing GROUP BY 1), h AS (SELECT query_id, list(doc_id) AS found FROM bm25 GROUP BY 1)
             SELECT query_id, CASE WHEN gold IS NULL THEN 1.0 ELSE round(len(list_intersect(gold, coalesce(found, [])))::DOUBLE / len(gold), 6) END AS recall, CASE WHEN gold IS NULL THEN true ELSE len(list_intersect(gold, coalesce(found, []))) >= least(2, len(gold)) END AS accurate
             FROM passages LEFT JOIN g USING (query_id) LEFT JOIN h USING (query_id)""",
-        "breaker_anchored": """WITH RECURSIVE s AS (SELECT user_id, event_id AS ord, epoch_us(ts) / 1e6 AS at, value * 100 / 1000 * 0.004::DOUBLE + value * 100 / 10 / 1000 * 0.012::DOUBLE AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-            f AS (SELECT user_id, n, ord, at AS start, cost AS cumulative FROM s WHERE n = 1
-                  UNION ALL SELECT s.user_id, s.n, s.ord, CASE WHEN s.at - f.start >= 86400 THEN s.at ELSE f.start END, CASE WHEN s.at - f.start >= 86400 THEN s.cost ELSE f.cumulative + s.cost END FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1)
+        "breaker_anchored": """WITH RECURSIVE s AS (SELECT user_id, event_id AS ord, epoch_us(ts) / 1e6 AS sec, value * 100 / 1000 * 0.004::DOUBLE + value * 100 / 10 / 1000 * 0.012::DOUBLE AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+            f AS (SELECT user_id, n, ord, sec AS start, cost AS cumulative FROM s WHERE n = 1
+                  UNION ALL SELECT s.user_id, s.n, s.ord, CASE WHEN s.sec - f.start >= 86400 THEN s.sec ELSE f.start END, CASE WHEN s.sec - f.start >= 86400 THEN s.cost ELSE f.cumulative + s.cost END FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1)
             SELECT user_id, ord, round(cumulative, 6) AS cumulative, cumulative >= 50 AS open FROM f""",
-        "rate_1m": "SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY date_trunc('minute', ts)), 6) AS share FROM events GROUP BY ALL",
+        "rate_1m": "WITH c AS (SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY minute), 6) AS share FROM c",
         "hist_quantile": f"WITH c AS (SELECT event_type, count(*) AS n, {_cum} FROM events GROUP BY 1) SELECT event_type, n, round({_quantile()}, 6) AS quantile FROM c",
         "hist_buckets": f"WITH c AS (SELECT event_type, count(*) AS total, {_cum} FROM events GROUP BY 1) SELECT event_type, unnest([{', '.join(f'{b}::DOUBLE' for b in BUCKETS)}, NULL]) AS le, unnest([{', '.join(f'b{i}' for i in range(len(BUCKETS)))}, total]) AS n FROM c",
         "gauge_latest": "SELECT event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1",

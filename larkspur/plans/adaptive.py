@@ -2,9 +2,9 @@
 
 Every conditional edge is a predicate on the state's columns: the rows that
 take a branch go through it, the others pass by, and both come together again.
-The retry loop is bounded, so it is unrolled.  The state is a table in the
-checkpoint folder (or persisted, where there is none) before each split, so
-retrieval isn't computed once a branch.
+The retry loop is bounded, so it is unrolled.  The state is checkpointed
+before each split, so retrieval isn't computed once a branch and plans stay
+small.
 
 Model calls are providers: functions of Columns.  The defaults are
 deterministic stand-ins for models, not equals of them.
@@ -118,9 +118,11 @@ def hybrid(corpus: DataFrame, vectors: DataFrame | None = None, query_vectors: D
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df held once for all branches that read it: a reliable checkpoint where the session has a folder for it."""
-    held = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if held else df.persist()
+    """df worked out once, as a reliable checkpoint in the folder all executors share; the plan of what follows starts here."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/larkspur")
+    return df.checkpoint()
 
 
 class Pipeline:
@@ -151,7 +153,7 @@ class Pipeline:
     def linear(self, queries: DataFrame) -> DataFrame:
         """query_id, query, documents, prompt and answer."""
         s = self.settings
-        state = queries.select("query_id", "query").join(self.documents(queries, s.k_retrieve, s.k_retriever), "query_id").withColumn("prompt", self.prompt())
+        state = cut(queries.select("query_id", "query").join(self.documents(queries, s.k_retrieve, s.k_retriever), "query_id").withColumn("prompt", self.prompt()))
         return state.withColumn("answer", T.clean_answer(self.providers.generate(F.col("query"), F.col("prompt"), contents(), 0)))
 
     # ------------------------------------------------------- adaptive nodes
@@ -168,6 +170,8 @@ class Pipeline:
         state = cut(state)
         good = F.col("min_rerank_score") >= s.retrieval_threshold
         poor = state.where(~good)
+        if poor.isEmpty():
+            return state
         again = poor.drop("documents", "min_rerank_score").join(self.documents(poor.select("query_id", "query"), k, s.fallback_k_retriever), "query_id")
         step = F.format_string(f"Fallback retrieved %d docs (k={k}, min_rerank=%.2f)", F.size("documents"), F.col("min_rerank_score"))
         again = again.withColumns({"used_fallback_retrieval": F.lit(True), "intermediate_steps": F.concat("intermediate_steps", F.array(step))})
@@ -215,22 +219,21 @@ class Pipeline:
     def adaptive(self, queries: DataFrame) -> DataFrame:
         """The final state of each query; at most max_retries + 1 generations."""
         s = self.settings
-        state = self.fallback(self.start(queries))
+        state = cut(self.fallback(self.start(queries)))
         if s.grade_documents:
-            state = self.grade(state)
+            state = cut(self.grade(state))
         if s.web_threshold is not None and self.providers.web is not None:
             state = self.web(state)
         if not s.grade_answers:
             return self.generate(state, 0)
         done: DataFrame | None = None
         for attempt in range(s.max_retries + 1):
-            state = self.judge(self.generate(state, attempt))
+            state = cut(self.judge(cut(self.generate(state, attempt))))
             accepted = F.col("answer_is_acceptable") | (F.col("retry_count") > s.max_retries)
             if s.rerank_threshold is not None:
                 accepted = accepted | (F.col("min_rerank_score") < s.rerank_threshold)
             if attempt == s.max_retries:
                 return state if done is None else done.unionByName(state)
-            state = cut(state)
             done = state.where(accepted) if done is None else done.unionByName(state.where(accepted))
             state = state.where(~accepted)
         return done

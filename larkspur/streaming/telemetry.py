@@ -34,11 +34,11 @@ def once(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def breaker(spends: DataFrame, limit: float, window_seconds: float) -> DataFrame:
+def breaker(spends: DataFrame, limit: float, window_seconds: float, late: str = "1 hour") -> DataFrame:
     """(user_id, ord, cumulative, open) of a stream of spends (user_id, ord, ts, cost).
 
-    State a key: the window's start and sum.  A key that spends nothing for a
-    whole window is forgotten: its next spend opens a new window anyway.
+    State a key: the window's start and sum.  A key that spends nothing until
+    its window has run out is forgotten: its next spend opens a new one anyway.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -48,16 +48,17 @@ def breaker(spends: DataFrame, limit: float, window_seconds: float) -> DataFrame
         start, total = state.get if state.exists else (None, 0.0)
         rows = pd.concat(list(parts)).sort_values("ord")
         sums = []
-        for at, cost in zip(rows["ts"].astype("int64") / 1e9 if rows["ts"].dtype.kind == "M" and "ns" in str(rows["ts"].dtype) else rows["ts"].map(pd.Timestamp.timestamp), rows["cost"], strict=True):
+        for at, cost in zip(rows["at"], rows["cost"], strict=True):
             if start is None or at - start >= window_seconds:
                 start, total = at, 0.0
             total += cost
-            sums.append(round(total, 6))
+            sums.append(total)
         state.update((start, total))
-        state.setTimeoutDuration(int(max(window_seconds, 1) * 1000))
-        yield pd.DataFrame({"user_id": key[0], "ord": rows["ord"].to_numpy(), "cumulative": sums, "open": [s >= limit for s in sums]})
+        state.setTimeoutTimestamp(max(int((start + window_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": key[0], "ord": rows["ord"].to_numpy(), "cumulative": [round(s, 6) for s in sums], "open": [s >= limit for s in sums]})
 
-    return spends.groupBy("user_id").applyInPandasWithState(run, "user_id long, ord long, cumulative double, open boolean", "start double, total double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = spends.withWatermark("ts", late).withColumn("at", F.unix_micros("ts") / 1e6)
+    return timed.groupBy("user_id").applyInPandasWithState(run, "user_id long, ord long, cumulative double, open boolean", "start double, total double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
