@@ -24,10 +24,10 @@ def _document(df: DataFrame, content: Column, **metadata: Column) -> DataFrame:
 
 def text(spark: SparkSession, path: str, extension: str = "txt", file_type: str = "text") -> DataFrame:
     """A document a file; of a folder the files with the extension, at any depth."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if not PurePosixPath(path).suffix:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}")
-    df = reader.text(path)
+    df = reader.text(path, wholetext=True)
     return _document(df, F.col("value"), source=F.col("_metadata.file_path"), filename=F.col("_metadata.file_name"), file_type=F.lit(file_type), loaded_at=F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
 
 
@@ -37,11 +37,11 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
 
 def json(spark: SparkSession, path: str, content: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
     """An object or an array of objects a file; index counts from 0 in each file."""
-    raw = spark.read.option("wholetext", True)
+    raw = spark.read
     if not PurePosixPath(path).suffix:
         raw = raw.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
     item = StructType([StructField(n, StringType()) for n in dict.fromkeys((content, *metadata))])
-    df = raw.text(path).select("value", F.col("_metadata.file_path").alias("source"))
+    df = raw.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source"))
     many = F.from_json("value", ArrayType(item))
     rows = df.select("source", F.posexplode(F.when(F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("["), many).otherwise(F.array(F.from_json("value", item)))).alias("index", "o"))
     return _document(rows, F.col(f"o.{content}"), source=F.col("source"), index=F.col("index"), **{m: F.col(f"o.{m}") for m in metadata})
@@ -50,7 +50,7 @@ def json(spark: SparkSession, path: str, content: str = "text", metadata: tuple[
 def jsonl(spark: SparkSession, path: str, content: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
     """A document a line; index is the line's number in its file, from 1, blank and broken lines counted."""
     item = StructType([StructField(n, StringType()) for n in dict.fromkeys((content, *metadata))])
-    whole = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("source"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source"))
     rows = whole.select("source", F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).where(F.trim("value") != "").select("source", (F.col("line") + 1).alias("index"), F.from_json("value", item).alias("o"))
     return _document(rows, F.col(f"o.{content}"), source=F.col("source"), index=F.col("index"), **{m: F.col(f"o.{m}") for m in metadata})
 
