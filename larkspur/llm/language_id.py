@@ -35,7 +35,7 @@ BUCKET_BITS = 14
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
 MOST_LANGUAGES = 200
-MOST_ROWS = 8000
+MOST_ROWS = 2000
 
 
 def fold_bytes() -> np.ndarray:
@@ -112,17 +112,18 @@ def sample_counts(labelled: DataFrame, label: str, sample: int) -> tuple[list[st
                 for i in range(c.n):
                     d = np.concatenate([[32], fold[c.data[c.offsets[i] : c.offsets[i + 1]]], [32]]).astype(np.uint8)
                     u, k = np.unique(np.concatenate([gram_buckets(d, o) for o in ORDERS]), return_counts=True)
-                    idx.append(u.astype(np.int32))
+                    idx.append(u.astype(np.int16))
                     num.append((k / k.sum()).astype(np.float32))
             if idx:
-                yield pa.RecordBatch.from_arrays([b.column(label), b.column("h"), pa.array(idx, pa.list_(pa.int32())), pa.array(num, pa.list_(pa.float32()))], names=["y", "h", "idx", "num"])
+                yield pa.RecordBatch.from_arrays([b.column(label), b.column("h"), pa.array(idx, pa.list_(pa.int16())), pa.array(num, pa.list_(pa.float32()))], names=["y", "h", "idx", "num"])
 
-    rows = picked.select(label, "h", "text").mapInArrow(count, "y string, h long, idx array<int>, num array<float>").toPandas().sort_values(["h", "y"])
-    langs = sorted(set(rows.y))
-    x = np.zeros((len(rows), 1 << BUCKET_BITS), dtype=np.float32)
-    for i, (a, k) in enumerate(zip(rows.idx, rows.num, strict=True)):
-        x[i, a] = k
-    return langs, np.searchsorted(langs, rows.y.to_numpy(dtype=str)) if len(rows) else np.zeros(0, int), x, np.arange(len(rows)) % 5 == 0
+    rows = picked.select(label, "h", "text").mapInArrow(count, "y string, h long, idx array<smallint>, num array<float>").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
+    y = rows.column("y").to_pylist()
+    langs = sorted(set(y))
+    x = np.zeros((len(y), 1 << BUCKET_BITS), dtype=np.float32)
+    for i, (a, k) in enumerate(zip(rows.column("idx"), rows.column("num"), strict=True)):
+        x[i, a.values.to_numpy()] = k.values.to_numpy()
+    return langs, np.array([langs.index(v) for v in y], dtype=np.int64), x, np.arange(len(y)) % 5 == 0
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -175,7 +176,7 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, sample: int = 500) -> Model | None:
+def fit(docs: DataFrame, sample: int = 300) -> Model | None:
     labelled = docs.where(training_rows(docs)).select("lang", "text")
     kinds = min(MOST_LANGUAGES, labelled.select("lang").distinct().count())
     langs, y, x, held = sample_counts(labelled, "lang", max(20, min(sample, MOST_ROWS // max(1, kinds))))
@@ -217,7 +218,7 @@ def language_report(docs: DataFrame) -> DataFrame:
     return predict(slim, model, "lang_pred", "score").select("doc_id", "held_out", "lang_pred", "score")
 
 
-def known_languages(docs: DataFrame, sample: int = 500) -> DataFrame:
+def known_languages(docs: DataFrame, sample: int = 300) -> DataFrame:
     """docs without the rows whose language is rejected; the columns of docs."""
     model = fit(docs, sample)
     lang, score = free_name(docs.columns, "li_lang"), free_name(docs.columns, "li_score")
