@@ -19,7 +19,10 @@
    with itself) are walked together, and a pair of nodes is left as soon as the
    largest overlap that its bitmaps and sizes allow is too small, or when all
    sets below both are linked already.  Leaves are compared exactly.
-   Sets that groups connect are a cluster.  A cluster of up to `CLUSTER_BYTES`
+   Groups are walked twice: first on bitmaps alone, which travel with the
+   classes and are a thirtieth of the sets' size, so that sets which only share
+   a common passage part again; then with the sets of what is left.
+   Sets that groups still connect are a cluster.  A cluster of up to `CLUSTER_BYTES`
    goes to a task whole, so each set travels once.  In larger clusters every
    group travels by itself; one of more than `BLOCK` sets is dealt into blocks that also hold the
    same few pivots; in a second round the sets that are still apart from their
@@ -54,12 +57,13 @@ BLOCK = 256
 PIVOTS = 32
 FLUSH_ENTRIES = 2_000_000
 CLUSTER_BYTES = 32 << 20
+NARROW_GROUPS = 4000
 BROADCAST_ROWS = 1_000_000
 STEP = 1.5
 LOW48 = np.uint64((1 << 48) - 1)
 LONGS = pa.list_(pa.int64())
-MAPPED = pa.schema([("pid", pa.int32()), ("sigs", pa.binary()), ("keys", pa.binary()), ("hot", pa.binary()), ("docs", LONGS), ("sizes", LONGS), ("rks", LONGS), ("bucket", pa.int64()), ("part", pa.int64()), ("members", LONGS)])
-REDUCED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("rk", pa.int64()), ("bucket", pa.int64()), ("part", pa.int64()), ("large", pa.bool_()), ("members", LONGS)])
+MAPPED = pa.schema([("pid", pa.int32()), ("sigs", pa.binary()), ("keys", pa.binary()), ("hot", pa.binary()), ("docs", LONGS), ("sizes", LONGS), ("rks", LONGS), ("bits", pa.list_(pa.binary())), ("bucket", pa.int64()), ("part", pa.int64()), ("members", LONGS)])
+REDUCED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("rk", pa.int64()), ("bits", pa.binary()), ("bucket", pa.int64()), ("part", pa.int64()), ("large", pa.bool_()), ("members", LONGS)])
 
 
 @dataclass(frozen=True)
@@ -175,7 +179,7 @@ def map_sets(width: int, sim: Similarity, pids: int):
             doc, rk = batch.column("doc_id"), batch.column("rk").to_numpy()
             for c in chunks(batch.column("text")):
                 h, first = shingles(c, hasher, width)
-                size, named = np.zeros(c.n, dtype=np.int64), np.zeros(c.n, dtype=np.uint64)
+                size, named, bits = np.zeros(c.n, dtype=np.int64), np.zeros(c.n, dtype=np.uint64), [b""] * c.n
                 for r in np.flatnonzero(np.diff(first)).tolist():
                     u = np.unique(h[first[r] : first[r + 1]])
                     key = class_key(u)
@@ -183,11 +187,12 @@ def map_sets(width: int, sim: Similarity, pids: int):
                     if int(key) in met:
                         continue
                     met.add(int(key))
+                    bits[r] = signature(u)
                     for x in segment_hashes(u, levels, sim):
                         sigs.append(x)
                         keys.append(key)
                         count += len(x)
-                yield rows(pid=[-1 - shift % pids], keys=[named.tobytes()], docs=[doc.slice(c.first, c.n).to_pylist()], sizes=[size], rks=[rk[c.first : c.first + c.n]])
+                yield rows(pid=[-1 - shift % pids], keys=[named.tobytes()], docs=[doc.slice(c.first, c.n).to_pylist()], sizes=[size], rks=[rk[c.first : c.first + c.n]], bits=[bits])
                 if count >= FLUSH_ENTRIES:
                     yield from flush()
         if count:
@@ -211,7 +216,7 @@ def reduce_groups(table: pa.Table) -> pa.Table:
         doc = [d for x in table.column("docs").to_pylist() for d in x]
         n, rk = (table.column(x).combine_chunks().flatten() for x in ("sizes", "rks"))
         key = np.frombuffer(b"".join(x.as_py() for x in table.column("keys")), dtype=np.int64)
-        first = pa.table({"kind": np.zeros(len(doc), np.int32), "doc_id": pa.array(doc, pa.int64()), "n": n, "key": key, "rk": rk})
+        first = pa.table({"kind": np.zeros(len(doc), np.int32), "doc_id": pa.array(doc, pa.int64()), "n": n, "key": key, "rk": rk, "bits": table.column("bits").combine_chunks().flatten()})
         more = pa.table({"kind": np.ones(len(ready), np.int32), "bucket": ready.column("bucket"), "part": ready.column("part"), "large": pa.array([True] * len(ready), pa.bool_()), "members": ready.column("members")})
         return pa.concat_tables([first, more], promote_options="default").select(REDUCED.names).cast(REDUCED)
     s = unpack48(b"".join(x.as_py() for x in table.column("sigs")))
@@ -235,7 +240,53 @@ def reduce_groups(table: pa.Table) -> pa.Table:
             out += [(bucket, -1 - part, large, members) for part, _, members in blocks_of(k[a:b])]
     cols = list(zip(*out, strict=True)) or [[]] * 4
     size = len(out)
-    return pa.table([pa.array(np.ones(size, np.int32)), *(pa.nulls(size, pa.int64()) for _ in range(4)), *(pa.array(list(x), REDUCED.field(n).type) for x, n in zip(cols, ("bucket", "part", "large", "members"), strict=True))], schema=REDUCED)
+    return pa.table([pa.array(np.ones(size, np.int32)), *(pa.nulls(size, pa.int64()) for _ in range(4)), pa.nulls(size, pa.binary()), *(pa.array(list(x), REDUCED.field(n).type) for x, n in zip(cols, ("bucket", "part", "large", "members"), strict=True))], schema=REDUCED)
+
+
+def signature(u: np.ndarray) -> bytes:
+    """A bitmap of a set's shingles: the power of two at or above twice its size in bits, 64 at least."""
+    width = max(64, 1 << int(2 * len(u) - 1).bit_length())
+    flags = np.zeros(width, dtype=np.uint8)
+    flags[(u & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(flags).tobytes()
+
+
+def folded(bits: list[bytes]) -> np.ndarray:
+    """Bitmaps at the width of the narrowest."""
+    w = min(map(len, bits))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(b, dtype=np.uint8).reshape(-1, w), axis=0) for b in bits]).view(np.uint64)
+
+
+def narrow(sim: Similarity):
+    """Rows (bucket, key, n, bits) of groups to the smaller groups whose bitmaps allow links."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, key, n = (table.column(c).to_numpy() for c in ("bucket", "key", "n"))
+        bits = [x.as_py() for x in table.column("bits")]
+        order = np.lexsort((key, bucket))
+        cut = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1], [True]]))
+        out: list[np.ndarray] = []
+        seen = set()
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            rows = order[a:b]
+            maps, size = folded([bits[i] for i in rows]), n[rows]
+            label = np.arange(len(rows))
+            if len(rows) == 2:
+                most = np.bitwise_count(maps[0] & maps[1]).sum() + (size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)).min()
+                pairs = [(0, 1)] if min(int(most), int(size.min())) >= sim.least_overlap(int(size[0]), int(size[1])) else []
+            else:
+                pairs = tree_links(sim, None, label, None, True, maps, size)
+            for i, j in pairs:
+                label[label == label[j]] = label[i]
+            for x in {int(label[i]) for i, _ in pairs}:
+                members = np.sort(key[rows[label == x]])
+                if members.tobytes() not in seen:
+                    seen.add(members.tobytes())
+                    out.append(members)
+        named = [int(mix(np.array([mix(m.view(np.uint64), 31).sum(dtype=np.uint64) + np.uint64(len(m))], dtype=np.uint64), 35).view(np.int64)[0]) for m in out]
+        return pa.table({"bucket": pa.array(named, pa.int64()), "part": pa.array([0] * len(out), pa.int64()), "large": pa.array([False] * len(out), pa.bool_()), "members": pa.array(out, LONGS)})
+
+    return run
 
 
 def pivots_of(keys: np.ndarray) -> np.ndarray:
@@ -285,16 +336,17 @@ def bitmaps_of(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def tree_links(sim: Similarity, sets: list[np.ndarray], label: np.ndarray, split: int | None = None, spanning: bool = True) -> list[tuple[int, int]]:
+def tree_links(sim: Similarity, sets: list[np.ndarray] | None, label: np.ndarray, split: int | None = None, spanning: bool = True, bits: np.ndarray | None = None, size: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between sets, by a walk of one tree with itself or, given split, of the trees of [0, split) and [split, end).
 
     Sets of equal label are linked already.  spanning: enough links to connect
-    whatever is linked; otherwise every link.
+    whatever is linked; otherwise every link.  Without sets, from bitmaps and
+    sizes: pairs that may be linked.
     """
-    size = np.array([len(u) for u in sets])
-    order = np.lexsort(([int(u[0]) for u in sets], size))
+    if sets is not None:
+        size, bits = np.array([len(u) for u in sets]), bitmaps_of(sets)
+    order = np.lexsort(([int(u[0]) for u in sets], size)) if sets is not None else np.argsort(size, kind="stable")
     sides = [order] if split is None else [order[order < split], order[order >= split]]
-    bits = bitmaps_of(sets)
     trees = [SignatureTree(size[o], bits[o]) for o in sides if len(o)]
     if len(trees) < len(sides):
         return []
@@ -318,7 +370,7 @@ def tree_links(sim: Similarity, sets: list[np.ndarray], label: np.ndarray, split
             i, j = int(lo[ls[x]]), int(ro[rs[y]])
             if same and ls[x] >= rs[y] or label[i] == label[j] or spanning and lab[i] == lab[j]:
                 continue
-            if sim.reached(overlap(sets[i], sets[j]), len(sets[i]), len(sets[j])):
+            if sets is None or sim.reached(overlap(sets[i], sets[j]), len(sets[i]), len(sets[j])):
                 links.append((i, j))
                 if spanning:
                     lab[lab == lab[j]] = lab[i]
@@ -367,10 +419,14 @@ class NgramJoin:
         both = written(blobs.groupBy("pid").applyInArrow(reduce_groups, from_arrow_schema(REDUCED)), "join")
         self.documents = both.where("kind = 0").select("doc_id", "n", "key", "rk")
         groups = both.where("kind = 1").select("bucket", "part", "large", "members").dropDuplicates(["bucket", "part"])
-        groups = written(groups.withColumn("lead", F.element_at("members", 1)), "groups")
+        maps = both.where("kind = 0 and length(bits) > 0").select("key", "n", "bits").dropDuplicates(["key"])
+        loose = groups.where("not large").select("bucket", F.explode("members").alias("key")).join(maps, "key")
+        bins = max(1, both.where("kind = 1").count() // NARROW_GROUPS)
+        tight = loose.groupBy(F.pmod("bucket", F.lit(bins)).alias("bin")).applyInArrow(narrow(self.sim), "bucket long, part long, large boolean, members array<long>").dropDuplicates(["bucket"])
+        groups = written(groups.where("large").unionByName(tight).withColumn("lead", F.element_at("members", 1)), "groups")
         spread = groups.select("bucket", "part", "large", "lead", F.explode("members").alias("key"))
         self.wanted = spread.select("key").distinct()
-        self.sets = written(self._sets(), "sets")
+        self.sets = self._sets()
         # Sets that groups connect, in clusters; a cluster that fits a task goes there whole, each set once.
         cluster = components(spread.select(F.col("lead").alias("a"), F.col("key").alias("b")))
         sizes = cluster.join(self.sets.select(F.col("key").alias("node"), F.length("shingles").alias("bytes")), "node").groupBy("component").agg(F.sum("bytes").alias("bytes"))
@@ -409,7 +465,9 @@ class NgramJoin:
                             us.append(u.tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(us, pa.binary())], names=["key", "shingles"])
 
-        return hit.mapInArrow(run, "key long, shingles binary").dropDuplicates(["key"])
+        sets = written(hit.mapInArrow(run, "key long, shingles binary"), "sets")
+        keys = sets.agg(F.count("*"), F.count_distinct("key")).first()
+        return sets if keys[0] == keys[1] else written(sets.dropDuplicates(["key"]), "sets")  # repeated rows give a set twice
 
     def _cluster_links(self, sets: DataFrame, groups: DataFrame) -> DataFrame:
         """Links in whole clusters: their sets and all their groups meet in one task."""
