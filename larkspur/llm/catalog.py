@@ -91,6 +91,15 @@ def oracle_sql() -> dict[str, str]:
     key = LOWER_AZ.format(f"trim(line, {ASCII_SPACE})")
     word = f"unnest(list_filter(regexp_split_to_array({LOWER_AZ.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))"
     return {
+        "op1_ngram_jaccard_join": f"""
+            WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER_AZ.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+            shingle AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words),
+            size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+            common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+            link AS (SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+            edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+            reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, edge.y FROM reach JOIN edge ON edge.x = reach.r)
+            SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) LEFT JOIN size USING (doc_id)""",
         "op2_lm_score": f"""
             WITH tok AS (SELECT doc_id, {word} AS w, generate_subscripts(list_filter(regexp_split_to_array({LOWER_AZ.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), 1) AS pos FROM documents),
             total AS (SELECT count(*) AS n FROM tok),
