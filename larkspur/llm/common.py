@@ -72,6 +72,17 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0)
 
 
+def trim() -> None:
+    """Gives back what a reused Python worker has freed but still holds."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 # ------------------------------------------------------------------- hashing
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """splitmix64 finaliser on uint64 arrays."""

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import SpanHasher, chunks, mix, pack48, shingles, text_bytes, unpack48, written
+from .common import SpanHasher, chunks, mix, pack48, shingles, text_bytes, trim, unpack48, written
 from .components import components
 
 PID_BYTES = 32 << 20
@@ -197,6 +197,7 @@ def map_sets(width: int, sim: Similarity, pids: int):
                     yield from flush()
         if count:
             yield from flush()
+        trim()
 
     return run
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, chunks, mix, written
+from .common import SpanHasher, chunks, mix, trim, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -93,7 +93,7 @@ def byte_level_encoding(tokenizer_path: str):
 class Encoder:
     """Token ids of texts, in batches; made once a task."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, tokenizer_path: str) -> None:
         self.encoding = byte_level_encoding(tokenizer_path)
@@ -186,11 +186,12 @@ def piece_rows(docs: DataFrame, tokenizer_path: str, length: int, end_id: int, w
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        trim()
         encoder, seen = Encoder(tokenizer_path), 0
         task = TaskContext.get().partitionId() << 40
         for b in batches:
             doc = b.column("doc_id")
-            for c in chunks(b.column("text")):
+            for c in chunks(b.column("text"), 1 << 20):
                 ids, begin = encoder.encode(c.data, c.offsets)
                 n = np.diff(begin) + 1
                 pieces = -(-n // length)
