@@ -1,20 +1,22 @@
 """Stupid-backoff scores from hash-partitioned n-gram counts.
 
-1. Words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) are counted over all texts.  The
-   vocabulary is every word with at least two occurrences and a share of at
-   least `least_share` of all tokens, so it can't have more than
-   1 / least_share words whatever the corpus, and is broadcast; all other words
-   are one unknown word.  A document's first word follows a start mark.
+1. Words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) that occur at least twice in all
+   texts are the vocabulary, whatever its size; all other words are one unknown
+   word.  (`least_share` can ask for a share of all tokens besides; by default
+   it asks for none.)  A document's first word follows a start mark.
 2. score(w | u) = count(u w) / count(u) if count(u w) >= least_count, else
-   backoff * count(w) / N.  Every document first gets its backoff sum, from the
-   vocabulary alone.
-3. Its bigrams, one entry a document with their multiplicity, go to the
-   partition of their hash in blobs.  There the count table of that partition
-   is summed, joined to the entries, and what a counted bigram gains over its
-   backoff is added up for each document.  Partial sums go back by chunk.
-4. Bigrams that a bounded sample shows to be frequent (at most `most_hot`) are
-   counted exactly in a pass of their own and scored where the text is read,
-   so no partition gathers a hot bigram.  The sample decides routes only.
+   backoff * count(w) / N.
+3. Texts are read once, into chunks of about FLUSH words.  No table of words or
+   bigrams is ever collected or broadcast: a chunk sends each distinct key with
+   its multiplicity to the partition of the key's hash, once; there the keys of
+   all chunks are summed, and each chunk gets the sums of its own keys back.  A
+   frequent key so brings a partition no more than one entry a chunk.
+4. Words and the bigrams as written go first.  Of two known words that count is
+   the bigram's; bigrams with an unknown word go a second time, with the unknown
+   word in its place.  What needs the counts of the unknown word, of the start
+   mark or of all tokens is kept as multiples of their logarithms to the end.
+
+Words and bigrams are told apart by 64-bit hashes.
 
 Defined results: a null text, or one without words, has n_tokens 0, logprob 0
 and a null score; repeated rows count as often as they are there; other columns
@@ -25,7 +27,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,231 +34,202 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import LOWER, Chunk, SpanHasher, chunks, mix, pack48, text_bytes, unpack48, word_spans, written
+from .common import LOWER, SpanHasher, chunks, mix, text_bytes, trim, word_spans, written
 
 PID_BYTES = 8 << 20
-FLUSH = 600_000
-SAMPLE_ROWS = 4000
-BLOB = pa.schema([("pid", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("rows", pa.binary()), ("times", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("base", pa.binary())])
-PART = pa.schema([("chunk", pa.int64()), ("rows", pa.binary()), ("gain", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("base", pa.binary())])
+FLUSH = 2_000_000
+UNKNOWN, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: pid is the partition of the keys, or -1 - chunk in the one row with what the chunk keeps for itself: documents, and packed arrays.
+BLOB = pa.schema([("pid", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("times", pa.binary()), ("docs", pa.list_(pa.int64())), ("kept", pa.list_(pa.binary()))])
+PART = pa.schema([("chunk", pa.int64()), ("pid", pa.int64()), ("sums", pa.binary()), ("docs", pa.list_(pa.int64())), ("kept", pa.list_(pa.binary()))])
+#: `known` is the part of logprob that needs no more counts; the others are what multiplies the logarithms.
+SUMS = "doc_id long, n_tokens long, n_rare long, known double, of_rare long, of_start long, of_total long"
 
 
-@dataclass
-class Vocabulary:
-    """Sorted word hashes and counts; id len(hashes) is the unknown word, one more the start mark."""
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of their bytes, after their number and width."""
+    width = 1 if not len(x) or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4 if x.max() < 1 << 32 else 8
+    planes = np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+    return np.array([len(x), width], "<i8").tobytes() + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
 
-    hashes: np.ndarray
-    counts: np.ndarray  # with those of the unknown word and the start mark
-    total: int
 
-    @property
-    def unknown(self) -> int:
-        return len(self.hashes)
+def unpacked(b: bytes, kind: type = np.int64) -> np.ndarray:
+    n, width = np.frombuffer(b[:16], "<i8").tolist()
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(b[16:], n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(f"<u{width}").ravel().astype(kind)
 
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(h), dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, self.unknown)
 
-    def log_counts(self) -> np.ndarray:
-        return np.log(np.maximum(self.counts, 1).astype(float))
+def packed_keys(ascending: np.ndarray) -> bytes:
+    return packed(np.diff(ascending, prepend=np.uint64(0)))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(h, c): word hashes with counts a task has added up; h 0 counts the rows with a word."""
+def unpacked_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b, np.uint64), dtype=np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size, filled = SpanHasher(), [], 0, 0
 
-        def flush() -> pa.RecordBatch:
-            h = np.concatenate([x for x, _ in held])
-            u, inverse = np.unique(h, return_inverse=True)
-            c = np.bincount(inverse, weights=np.concatenate([x for _, x in held])).astype(np.int64)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["h", "c"])
+def batch(schema: pa.Schema, **cols: list) -> pa.RecordBatch:
+    size = len(next(iter(cols.values())))
+    return pa.RecordBatch.from_arrays([pa.array(cols.get(f.name, [None] * size), f.type) for f in schema], schema=schema)
 
-        for b in batches:
-            for c in chunks(b.column("text")):
-                starts, ends, first = word_spans(c)
-                filled += int((np.diff(first) > 0).sum())
-                u, k = np.unique(hasher.spans(LOWER[c.data], starts, ends), return_counts=True)
-                held.append((u, k))
-                size += len(u)
-                if size > FLUSH:
-                    yield flush()
-                    size = 0
-        if held:
-            yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([filled], pa.int64())], names=["h", "c"])
-
-    return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def vocabulary(texts: DataFrame, least_share: float) -> Vocabulary:
-    counts = written(word_counts(texts), "words")
-    rows = counts.where("h = 0").agg(F.sum("c")).first()[0] or 0
-    total = int(counts.where("h <> 0").agg(F.sum("c")).first()[0] or 0)
-    least = max(2, math.ceil(total * least_share))
-    kept = counts.where((F.col("h") != 0) & (F.col("c") >= least)).toPandas()  # at most 1 / least_share rows
-    h = kept["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    c = kept["c"].to_numpy(np.int64)[order]
-    return Vocabulary(h[order], np.concatenate([c, [max(total - int(c.sum()), 0), rows]]).astype(np.int64), total)
-
-
-def bigrams(c: Chunk, hasher: SpanHasher, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys u * (V + 2) + w of all positions, their row, and the ids w."""
-    starts, ends, first = word_spans(c)
-    w = words.ids(hasher.spans(LOWER[c.data], starts, ends))
+
+def asked(chunk: int, key: np.ndarray, times: np.ndarray, pids: int, docs: list, kept: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """The rows by which a chunk sends its distinct keys to their partitions (ranges of the hash), and the row it keeps."""
+    order = np.argsort(key)
+    key, times = key[order], times[order]
+    pid = (((key >> np.uint64(32)) * np.uint64(pids)) >> np.uint64(32)).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1], [True]])) if len(pid) else np.zeros(1, np.int64)
+    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    if spans:
+        yield batch(BLOB, pid=pid[cut[:-1]], chunk=[chunk] * len(spans), keys=[packed_keys(key[a:b]) for a, b in spans], times=[packed(times[a:b]) for a, b in spans])
+    yield batch(BLOB, pid=[-1 - chunk], chunk=[chunk], docs=[docs], kept=[kept])
+
+
+def summed(table: pa.Table) -> pa.Table:
+    """A partition's sums over all chunks, for each chunk's keys; a row that a chunk keeps goes through."""
+    if table.column("pid")[0].as_py() < 0:
+        return table.append_column("sums", pa.nulls(len(table), pa.binary())).select(PART.names).cast(PART)
+    keys = [unpacked_keys(x.as_py()) for x in table.column("keys")]
+    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    places = np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
+    sums = np.zeros(len(u), dtype=np.int64)
+    for at, x in zip(places, table.column("times"), strict=True):
+        sums[at] += unpacked(x.as_py())  # distinct within a chunk
+    out = batch(PART, chunk=table.column("chunk").to_pylist(), pid=table.column("pid").to_pylist(), sums=[packed(sums[at]) for at in places])
+    del keys, u, inverse, places, sums
+    trim()
+    return pa.Table.from_batches([out])
+
+
+def answered(table: pa.Table) -> tuple[int, list, list[bytes], np.ndarray]:
+    """A chunk's number, documents and what it kept, and the sums of its keys in ascending order of the keys."""
+    own = table.filter(table.column("docs").is_valid()).to_pylist()[0]
+    rest = table.filter(table.column("sums").is_valid())
+    back = sorted(zip(rest.column("pid").to_pylist(), rest.column("sums").to_pylist(), strict=True))
+    return own["chunk"], own["docs"], own["kept"], np.concatenate([np.zeros(0, np.int64), *(unpacked(b) for _, b in back)])
+
+
+def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(mix(u, 17) + w, 19)
+
+
+def bigrams(w: np.ndarray, n: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each position's word before it (place len(hashes) is the start mark) and bigram; the bigrams' hashes and times."""
     u = np.empty_like(w)
     u[1:] = w[:-1]
-    n = np.diff(first)
-    u[first[:-1][n > 0]] = words.unknown + 1
-    return u * (len(words.hashes) + 2) + w, np.repeat(np.arange(c.n), n), w
-
-
-def hot_bigrams(texts: DataFrame, words: Vocabulary, most_hot: int, hot_share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the frequent bigrams of a bounded sample, and their exact counts over all texts."""
-    n = texts.count()
-    picked = texts.where((F.xxhash64("text").cast("double") + 2.0**63) / 2.0**64 <= min(1.0, SAMPLE_ROWS / max(n, 1)))
-
-    def count(wanted: np.ndarray | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher = SpanHasher()
-            sums = np.zeros(len(wanted), dtype=np.int64) if wanted is not None else None
-            for b in batches:
-                for c in chunks(b.column("text")):
-                    key, _, _ = bigrams(c, hasher, words)
-                    if wanted is None:
-                        u, k = np.unique(key, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(k.astype(np.int64))], names=["key", "c"])
-                    elif len(key):
-                        at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-                        sums += np.bincount(at[wanted[at] == key], minlength=len(wanted))
-            if wanted is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(wanted), pa.array(sums)], names=["key", "c"])
-
-        return run
-
-    schema = "key long, c long"
-    seen = picked.mapInArrow(count(None), schema).groupBy("key").agg(F.sum("c").alias("c"))
-    seen = written(seen, "sample")
-    of = seen.agg(F.sum("c")).first()[0] or 0
-    keys = np.sort(seen.where(F.col("c") >= max(2, of * hot_share)).orderBy(F.desc("c"), "key").limit(most_hot).toPandas()["key"].to_numpy(np.int64))
-    if not len(keys):
-        return keys, keys
-    exact = texts.mapInArrow(count(keys), schema).groupBy("key").agg(F.sum("c").alias("c")).toPandas().sort_values("key")
-    return exact["key"].to_numpy(np.int64), exact["c"].to_numpy(np.int64)
-
-
-def gains(key: np.ndarray, count: np.ndarray, words: Vocabulary, log_count: np.ndarray, backoff: float, least_count: int) -> np.ndarray:
-    """What each bigram of these counts adds to its backoff's logarithm."""
-    u, w = np.divmod(key, len(words.hashes) + 2)
-    own = np.log(np.maximum(count, 1)) - log_count[u]
-    back = math.log(backoff) + log_count[w] - math.log(max(words.total, 1))
-    return np.where(count >= least_count, own - back, 0.0)
-
-
-def lm_scores(docs: DataFrame, least_share: float = 1e-6, least_count: int = 2, backoff: float = 0.4, most_hot: int = 20_000, hot_share: float = 5e-5) -> DataFrame:
-    """doc_id, n_tokens, logprob and score (logprob a token) of every row."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = slim.select("text")
-    spark = docs.sparkSession
-    words = vocabulary(texts, least_share)
-    hot, hot_count = hot_bigrams(texts, words, most_hot, hot_share)
-    log_count = words.log_counts()
-    hot_gain = gains(hot, hot_count, words, log_count, backoff, least_count)
-    shared = spark.sparkContext.broadcast((words, hot, hot_gain, log_count))
-    pids = max(8, -(-text_bytes(slim) // PID_BYTES))
+    u[(np.cumsum(n) - n)[n > 0]] = len(hashes)
+    pair, at, times = np.unique(u * (len(hashes) + 1) + w, return_inverse=True, return_counts=True)
+    a, b = np.divmod(pair, len(hashes) + 1)
+    return u, at, pair_keys(np.append(hashes, START)[a], hashes[b]), times
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        words, hot, hot_gain, log_count = shared.value
-        hasher, task, made = SpanHasher(), TaskContext.get().partitionId(), 0
-        held: list[tuple] = []
-        rows_held = entries = 0
-        ids: list = []
-        sizes, base = [], []
-
-        def rows(**cols) -> pa.RecordBatch:
-            size = len(cols["pid"])
-            return pa.RecordBatch.from_arrays([pa.array(cols.get(f.name, [None] * size), f.type) for f in BLOB], schema=BLOB)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal made, rows_held, entries
-            chunk = (task << 24) + made
-            made += 1
-            key, row, times = (np.concatenate([h[i] for h in held]) for i in range(3))
-            pid = ((mix(key.view(np.uint64), 41) >> np.uint64(32)) * np.uint64(pids)) >> np.uint64(32)
-            order = np.argsort(pid, kind="stable")
-            key, row, times, pid = key[order], row[order], times[order], pid[order]
-            cut = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1], [True]])) if len(pid) else np.zeros(1, np.int64)
-            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-            if spans:
-                yield rows(pid=pid[cut[:-1]].astype(np.int32), chunk=[chunk] * len(spans), keys=[pack48(key[a:b].view(np.uint64)) for a, b in spans], rows=[row[a:b].astype(np.uint32).tobytes() for a, b in spans], times=[np.minimum(times[a:b], 2**32 - 1).astype(np.uint32).tobytes() for a, b in spans])
-            yield rows(pid=[-1 - task % pids], chunk=[chunk], docs=[list(ids)], sizes=[np.concatenate(sizes).astype(np.int64).tobytes()], base=[np.concatenate(base).tobytes()])
-            held.clear(), ids.clear(), sizes.clear(), base.clear()
-            rows_held = entries = 0
 
-        for b in batches:
-            doc = b.column("doc_id")
-            for c in chunks(b.column("text")):
-                key, row, w = bigrams(c, hasher, words)
-                start = math.log(backoff) - math.log(max(words.total, 1))
-                n = np.bincount(row, minlength=c.n)
-                low = np.bincount(row, weights=log_count[w] + start, minlength=c.n)
-                if len(hot) and len(key):
-                    at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-                    is_hot = hot[at] == key
-                    low += np.bincount(row[is_hot], weights=hot_gain[at[is_hot]], minlength=c.n)
-                    key, row = key[~is_hot], row[~is_hot]
-                order = np.lexsort((key, row))
-                key, row = key[order], row[order]
-                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
-                held.append((key[new], row[new] + rows_held, np.diff(np.append(new, len(key)))))
-                ids.extend(doc.slice(c.first, c.n).to_pylist())
-                sizes.append(n)
-                base.append(low)
-                rows_held += c.n
-                entries += len(new)
-                if entries > FLUSH:
-                    yield from flush()
-        if ids:
-            yield from flush()
-
-    def score(table: pa.Table) -> pa.Table:
-        if table.column("pid")[0].as_py() < 0:
-            return table.append_column("gain", pa.nulls(len(table), pa.binary())).select(PART.names).cast(PART)
-        words, _, _, log_count = shared.value
-        sizes = [len(x.as_py()) // 6 for x in table.column("keys")]
-        key = unpack48(b"".join(x.as_py() for x in table.column("keys"))).view(np.int64)
-        row, times = (np.frombuffer(b"".join(x.as_py() for x in table.column(n)), dtype=np.uint32) for n in ("rows", "times"))
-        u, inverse = np.unique(key, return_inverse=True)
-        gain = gains(u, np.bincount(inverse, weights=times).astype(np.int64), words, log_count, backoff, least_count)[inverse] * times
-        out_rows, out_gain, at = [], [], 0
-        for n in sizes:
-            r, inv = np.unique(row[at : at + n], return_inverse=True)
-            g = np.bincount(inv, weights=gain[at : at + n])
-            out_rows.append(r[g != 0].tobytes())
-            out_gain.append(g[g != 0].tobytes())
-            at += n
-        none = pa.nulls(len(table), pa.list_(pa.int64()))
-        return pa.table([table.column("chunk"), pa.array(out_rows, pa.binary()), pa.array(out_gain, pa.binary()), none, pa.nulls(len(table), pa.binary()), pa.nulls(len(table), pa.binary())], schema=PART)
+def word_total(texts: DataFrame) -> int:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(len(word_spans(c)[0]) for b in batches for c in chunks(b.column("text")))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return int(texts.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
+
+
+def written_counts(batches: Iterator[pa.RecordBatch], pids: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of texts, asking for the counts of their words and bigrams."""
+    from pyspark import TaskContext
+
+    hasher, task, made, size = SpanHasher(), TaskContext.get().partitionId(), 0, 0
+    words: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    ids: list = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal made, size
+        hashes, w, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+        n = np.concatenate(sizes)
+        words.clear(), sizes.clear()
+        _, _, key, pair_times = bigrams(w, n, hashes)
+        yield from asked((task << 24) + made, np.concatenate([hashes, key]), np.concatenate([times, pair_times]), pids, list(ids), [packed(n), packed(w), packed_keys(hashes)])
+        ids.clear()
+        made, size = made + 1, 0
+        trim()
+
+    for b in batches:
+        doc = b.column("doc_id")
+        for c in chunks(b.column("text")):
+            starts, ends, first = word_spans(c)
+            words.append(hasher.spans(LOWER[c.data], starts, ends))
+            sizes.append(np.diff(first))
+            ids.extend(doc.slice(c.first, c.n).to_pylist())
+            size += len(starts)
+            if size > FLUSH:
+                yield from flush()
+    if ids:
+        yield from flush()
+
+
+def lm_scores(docs: DataFrame, least_share: float = 0.0, least_count: int = 2, backoff: float = 0.4, most_hot: int = 20_000, hot_share: float = 5e-5) -> DataFrame:
+    """doc_id, n_tokens, logprob and score (logprob a token) of every row.
+
+    most_hot and hot_share are taken for callers that pass them; frequent
+    bigrams need no way of their own.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pids = max(8, -(-text_bytes(slim) // PID_BYTES))
+    least = max(2, math.ceil(word_total(slim.select("text")) * least_share)) if least_share else 2
+
+    def resolve(table: pa.Table) -> pa.Table:
+        chunk, ids, kept, sums = answered(table)
+        n, w, hashes = unpacked(kept[0]), unpacked(kept[1]), unpacked_keys(kept[2])
+        u, at, key, _ = bigrams(w, n, hashes)
+        count = np.empty(len(sums), dtype=np.int64)
+        count[np.argsort(np.concatenate([hashes, key]))] = sums
+        count, both = count[: len(hashes)], count[len(hashes) :][at]
+        count = np.append(np.where(count >= least, count, 0), 1)  # 0 is the unknown word, 1 the start mark
+        cu, cw, row = count[u], count[w], np.repeat(np.arange(len(n)), n)
+        sure = (cu > 0) & (cw > 0)
+        own = sure & (both >= least_count)
+        back = sure & ~own
+        known = np.where(own, np.log(np.maximum(both, 1)) - np.log(np.maximum(cu, 1)), np.where(back, math.log(backoff) + np.log(np.maximum(cw, 1)), 0.0))
+        per_row = [np.bincount(row[x], minlength=len(n)) for x in (cw == 0, own & (cu == 1), back)]
+        # the rest, by document and bigram with the unknown word in place
+        rest = np.flatnonzero(~sure)
+        hashes = np.where(count > 0, np.append(hashes, START), UNKNOWN)
+        key, first, at, times = np.unique(pair_keys(hashes[u[rest]], hashes[w[rest]]), return_index=True, return_inverse=True, return_counts=True)
+        entry, entry_times = np.unique(row[rest] * max(len(key), 1) + at, return_counts=True)
+        entry_row, at = np.divmod(entry, max(len(key), 1))
+        kept = [packed(x) for x in (n, *per_row, cu[rest][first], cw[rest][first], entry_row, at, entry_times)]
+        out = list(asked(chunk, key, times, pids, ids, [*kept, np.bincount(row, weights=known, minlength=len(n)).astype("<f8").tobytes()]))
+        trim()
+        return pa.Table.from_batches(out)
 
     def gather(table: pa.Table) -> pa.Table:
-        head = table.filter(table.column("docs").is_valid())
-        ids = head.column("docs")[0].as_py()
-        n = np.frombuffer(head.column("sizes")[0].as_py(), dtype=np.int64)
-        total = np.frombuffer(head.column("base")[0].as_py(), dtype=np.float64).copy()
-        rest = table.filter(table.column("rows").is_valid())
-        parts = sorted(zip((x.as_py() for x in rest.column("rows")), (x.as_py() for x in rest.column("gain")), strict=True))
-        for r, g in parts:
-            np.add.at(total, np.frombuffer(r, dtype=np.uint32), np.frombuffer(g, dtype=np.float64))
-        mean = [round(t / k, 6) if k else None for t, k in zip(total.tolist(), n.tolist(), strict=True)]
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n), "logprob": pa.array(np.round(total, 4) + 0.0), "score": pa.array(mean, pa.float64())})
-
-    parts = slim.mapInArrow(spread, from_arrow_schema(BLOB)).groupBy("pid").applyInArrow(score, from_arrow_schema(PART))
-    return parts.groupBy("chunk").applyInArrow(gather, "doc_id long, n_tokens long, logprob double, score double")
+        _, ids, kept, both = answered(table)
+        n, n_rare, start_own, total_back, cu, cw, row, at, times = (unpacked(x) for x in kept[:-1])
+        cu, cw, both = cu[at], cw[at], both[at]
+        own = both >= least_count
+        known = np.where(own, np.log(np.maximum(both, 1)) - np.log(np.maximum(cu, 1)), math.log(backoff) + np.log(np.maximum(cw, 1)))
+
+        def per_row(x: np.ndarray) -> np.ndarray:
+            return np.bincount(row, weights=x * times, minlength=len(n))
+
+        of_rare = per_row(~own & (cw == 0)) - per_row(own & (cu == 0))
+        of_start = -start_own - per_row(own & (cu == 1))
+        of_total = -total_back - per_row(~own)
+        cols = [n, n_rare, np.frombuffer(kept[-1], "<f8") + per_row(known), of_rare.astype(np.int64), of_start.astype(np.int64), of_total.astype(np.int64)]
+        trim()
+        return pa.table([pa.array(ids, pa.int64()), *map(pa.array, cols)], names=[x.split()[0] for x in SUMS.split(", ")])
+
+    parts = slim.mapInArrow(lambda batches: written_counts(batches, pids), from_arrow_schema(BLOB))
+    for step, schema in ((resolve, from_arrow_schema(BLOB)), (gather, SUMS)):
+        parts = parts.groupBy("pid").applyInArrow(summed, from_arrow_schema(PART)).groupBy("chunk").applyInArrow(step, schema)
+    sums = written(parts, "lm")
+    rare, start, total = (math.log(max(x or 0, 1)) for x in sums.agg(F.sum("n_rare"), F.sum((F.col("n_tokens") > 0).cast("long")), F.sum("n_tokens")).first())
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, _, known, of_rare, of_start, of_total = (x.to_numpy() for x in b.columns[1:])
+            logprob = known + of_rare * rare + of_start * start + of_total * total
+            mean = [round(t / k, 6) if k else None for t, k in zip(logprob.tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(logprob, 4) + 0.0), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "logprob", "score"])
 
+    return sums.mapInArrow(finish, "doc_id long, n_tokens long, logprob double, score double")

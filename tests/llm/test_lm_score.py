@@ -42,3 +42,11 @@ def test_equals_brute_force(spark, monkeypatch, least_share, odd_docs):
 
 def test_no_documents(spark, no_docs):
     assert lm.lm_scores(no_docs).count() == 0
+
+
+def test_words_seen_twice_are_known_however_many_tokens_there_are(spark):
+    rows = [(i, "x " * 20_000) for i in range(110)] + [(200, "rare pair of words"), (201, "a rare pair"), (202, "once alone")]
+    got = {r.doc_id: (r.n_tokens, r.logprob) for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = brute(rows, 0.0)
+    assert len(got) == len(want)
+    assert all(got[i][0] == n and abs(got[i][1] - s) < 0.01 for i, n, s, _ in want)
