@@ -6,7 +6,8 @@ the average of the buckets' embeddings and a softmax layer scores languages.
 Embeddings and layer are trained together by stochastic gradient descent in
 numpy on at most `sample` labelled rows a language, MOST_ROWS in all, of the
 MOST_LANGUAGES most frequent languages (documented bounds; the rows are those with
-the least hash of their text, so the choice is random and repeatable).
+the least hash of their text, each text once a language, so the choice is random
+and repeatable).  Rows are sparse; only a batch is dense.
 As the layer is linear, prediction averages one small row a bucket, embedding
 times layer, over the whole text; every document is read whole.
 
@@ -35,7 +36,7 @@ BUCKET_BITS = 14
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
 MOST_LANGUAGES = 200
-MOST_ROWS = 2000
+MOST_ROWS = 8000
 
 
 def fold_bytes() -> np.ndarray:
@@ -93,16 +94,34 @@ def row_scores(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.nd
     return total / np.maximum(count, 1)[:, None]
 
 
-def sample_counts(labelled: DataFrame, label: str, sample: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """(languages, label of each row, dense share of each bucket in it, hold-out flag): n-grams are counted on executors."""
+@dataclass
+class Rows:
+    """Sparse rows: row i has buckets idx[begin[i] : begin[i + 1]] with shares num there."""
+
+    idx: np.ndarray
+    num: np.ndarray
+    begin: np.ndarray
+
+    def block(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that some rows have, and those rows over them, dense."""
+        size = self.begin[rows + 1] - self.begin[rows]
+        at = np.repeat(self.begin[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        used, column = np.unique(self.idx[at], return_inverse=True)
+        out = np.zeros((len(rows), len(used)), dtype=np.float32)
+        out[np.repeat(np.arange(len(rows)), size), column] = self.num[at]
+        return used, out
+
+
+def sample_counts(labelled: DataFrame, label: str, sample: int) -> tuple[list[str], np.ndarray, Rows, np.ndarray]:
+    """(languages, label of each row, share of each bucket in it, hold-out flag): n-grams are counted on executors; a text counts once a label."""
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy(label).orderBy("h"))
     keyed = labelled.select(label, "text", F.xxhash64("text").alias("h"))
-    rough = keyed.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LANGUAGES).select(label, F.col("count").alias("n"))
+    rough = keyed.groupBy(label).agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("n")).orderBy(F.desc("rows"), label).limit(MOST_LANGUAGES).select(label, "n")
     # hash below a bound that keeps about twice the sample, before the exact rank: the rank's groups stay small
     near = keyed.join(F.broadcast(rough), label).where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= 2.0 * sample / F.col("n") + 1e-4)
-    picked = near.withColumn("r", rank).where(F.col("r") <= sample)
+    picked = near.groupBy(label, "h").agg(F.first("text").alias("text")).withColumn("r", rank).where(F.col("r") <= sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = fold_bytes()
@@ -120,9 +139,9 @@ def sample_counts(labelled: DataFrame, label: str, sample: int) -> tuple[list[st
     rows = picked.select(label, "h", "text").mapInArrow(count, "y string, h long, idx array<smallint>, num array<float>").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
     y = rows.column("y").to_pylist()
     langs = sorted(set(y))
-    x = np.zeros((len(y), 1 << BUCKET_BITS), dtype=np.float32)
-    for i, (a, k) in enumerate(zip(rows.column("idx"), rows.column("num"), strict=True)):
-        x[i, a.values.to_numpy()] = k.values.to_numpy()
+    idx, num = (rows.column(n).combine_chunks() for n in ("idx", "num"))
+    begin = np.concatenate([[0], np.cumsum([len(a) for a in idx])]).astype(np.int64)
+    x = Rows(idx.flatten().to_numpy(zero_copy_only=False), num.flatten().to_numpy(zero_copy_only=False), begin)
     return langs, np.array([langs.index(v) for v in y], dtype=np.int64), x, np.arange(len(y)) % 5 == 0
 
 
@@ -131,11 +150,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(langs: list[str], y: np.ndarray, x: np.ndarray, held: np.ndarray, dim: int = 16, epochs: int = 30, rate: float = 2.0, batch: int = 64, reject_share: float = 0.002, most_threshold: float = 0.5, seed: int = 42) -> Model:
+def train(langs: list[str], y: np.ndarray, x: Rows, held: np.ndarray, dim: int = 16, epochs: int = 30, rate: float = 2.0, batch: int = 64, reject_share: float = 0.002, most_threshold: float = 0.5, seed: int = 42) -> Model:
     """Embeddings and layer by SGD, then temperature and threshold on the rows held back."""
     rng = np.random.default_rng(seed)
     k = len(langs)
-    emb = rng.normal(0, 0.1, (x.shape[1], dim)).astype(np.float32)
+    emb = rng.normal(0, 0.1, (1 << BUCKET_BITS, dim)).astype(np.float32)
     layer, bias = rng.normal(0, 0.3, (dim, k)).astype(np.float32), np.zeros(k, dtype=np.float32)
     fit = np.flatnonzero(~held)
     weight = np.bincount(y[fit], minlength=k).astype(float)
@@ -145,8 +164,7 @@ def train(langs: list[str], y: np.ndarray, x: np.ndarray, held: np.ndarray, dim:
         step = rate * (1 - e / epochs)
         for a in range(0, len(fit), batch):
             rows = fit[a : a + batch]
-            used = np.flatnonzero(x[rows].any(axis=0))
-            xb = x[rows][:, used]
+            used, xb = x.block(rows)
             h = xb @ emb[used]
             g = softmax(h @ layer + bias)
             g[np.arange(len(rows)), y[rows]] -= 1
@@ -157,7 +175,10 @@ def train(langs: list[str], y: np.ndarray, x: np.ndarray, held: np.ndarray, dim:
             emb[used] -= (step * 20 * (xb.T @ back)).astype(np.float32)
     table = (emb @ layer).astype(np.float32)
     val = np.flatnonzero(held) if held.any() else fit
-    z = (x[val] @ table + bias).astype(float)
+    z = np.zeros((len(val), k))
+    for a in range(0, len(val), batch):
+        used, xb = x.block(val[a : a + batch])
+        z[a : a + batch] = xb @ table[used] + bias
     scales = np.geomspace(0.1, 20, 60)
     loss = [-np.log(softmax(z * s)[np.arange(len(val)), y[val]] + 1e-12).mean() for s in scales] if len(val) else [0.0]
     scale = float(scales[int(np.argmin(loss))])
@@ -176,7 +197,7 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, sample: int = 300) -> Model | None:
+def fit(docs: DataFrame, sample: int = 500) -> Model | None:
     labelled = docs.where(training_rows(docs)).select("lang", "text")
     kinds = min(MOST_LANGUAGES, labelled.select("lang").distinct().count())
     langs, y, x, held = sample_counts(labelled, "lang", max(20, min(sample, MOST_ROWS // max(1, kinds))))
@@ -218,7 +239,7 @@ def language_report(docs: DataFrame) -> DataFrame:
     return predict(slim, model, "lang_pred", "score").select("doc_id", "held_out", "lang_pred", "score")
 
 
-def known_languages(docs: DataFrame, sample: int = 300) -> DataFrame:
+def known_languages(docs: DataFrame, sample: int = 500) -> DataFrame:
     """docs without the rows whose language is rejected; the columns of docs."""
     model = fit(docs, sample)
     lang, score = free_name(docs.columns, "li_lang"), free_name(docs.columns, "li_score")

@@ -46,3 +46,14 @@ def test_scores_do_not_depend_on_neighbours():
     every = li.row_scores(joined, np.cumsum([0, *map(len, texts)]), rows)
     for t, want in zip(texts, every, strict=True):
         assert np.allclose(li.row_scores(np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]), rows)[0], want)
+
+
+def test_copies_of_one_text_fill_no_sample(spark):
+    docs = labelled(spark).drop("doc_id").distinct()
+    copy = docs.where("lang = 'en'").orderBy(F.xxhash64("text")).limit(1)
+    more = docs.unionByName(copy.crossJoin(spark.range(3000)).drop("id"))
+    want = [(r.lang, r.n) for r in docs.groupBy("lang").agg(F.least(F.count("*"), F.lit(50)).alias("n")).orderBy("lang").collect()]
+    langs, y, x, _ = li.sample_counts(more, "lang", 50)
+    assert [(n, int((y == i).sum())) for i, n in enumerate(langs)] == want
+    rows = {x.idx[a:b].tobytes() + x.num[a:b].tobytes() for a, b in zip(x.begin[:-1], x.begin[1:], strict=True)}
+    assert len(rows) > 0.9 * len(y)
