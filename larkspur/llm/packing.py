@@ -3,7 +3,9 @@
 Documents become token ids by one vectorised pass: texts are cut into
 pre-tokens with array operations over code points, each distinct pre-token is
 encoded once a task, and ids are gathered back.  Texts with
-an apostrophe (contractions) go to the tokenizer whole.  A document's ids end
+an apostrophe (contractions) go to the tokenizer whole.  The merge loop is
+tiktoken's in place of the tokenizers library's, for the same ids; texts that
+hold the string of an added token go to the tokenizers library whole.  A document's ids end
 with `end_id`; longer ones are cut from their end into full pieces, so only the
 first piece can be shorter.
 
@@ -20,6 +22,7 @@ null ids are documents of their own; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -90,12 +93,22 @@ def byte_level_encoding(tokenizer_path: str):
     return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_strings(tokenizer_path: str) -> list[bytes]:
+    import json
+
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return [t["content"].encode() for t in json.load(f).get("added_tokens") or []]
+
+
 class Encoder:
     """Token ids of texts, in batches; made once a task."""
 
     LIMIT = 150_000
 
-    def __init__(self, tokenizer_path: str) -> None:
+    def __init__(self, tokenizer_path: str, added_tokens: bool = False) -> None:
+        """added_tokens: their strings in a text become their ids, as with the tokenizers library's default setting."""
+        self.path, self.library = tokenizer_path, None
+        self.added = added_strings(tokenizer_path) if added_tokens else []
         self.encoding = byte_level_encoding(tokenizer_path)
         self.token_bytes = np.asarray([len(self.encoding.decode_single_token_bytes(i)) for i in range(self.encoding.n_vocab)])
         self.classes = char_classes()
@@ -105,6 +118,13 @@ class Encoder:
         self.made = self.used = 0
         self.hasher = SpanHasher()
 
+    def _by_library(self, text: str) -> list[int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def _learn(self, pieces: list[bytes]) -> None:
         """Pieces that begin with a space meet no other piece's merges, so they go through the encoding as one text."""
         apart = lambda p: p[0] == 32 and len(p) > 1 and p[1] > 32 and p[1] not in (0xC2, 0xE1, 0xE2, 0xE3)  # noqa: E731  the latter may begin other white space
@@ -142,6 +162,8 @@ class Encoder:
         bounds = np.searchsorted(pos, offsets)
         odd = np.zeros(text_n, dtype=bool)
         odd[np.searchsorted(offsets, np.flatnonzero(data == 39), side="right") - 1] = True
+        found = {int(np.searchsorted(offsets, m.start(), side="right")) - 1 for s in self.added for m in re.finditer(re.escape(s), raw)}
+        odd[list(found)] = True
         full = np.flatnonzero(np.diff(bounds) > 0)
         begins = pretoken_starts(cp, bounds[:-1][full], self.classes)
         byte_at = np.concatenate([pos, [len(data)]])
@@ -162,7 +184,8 @@ class Encoder:
         per_text = np.bincount(text_of, weights=size, minlength=text_n).astype(np.int64) if len(which) else np.zeros(text_n, np.int64)
         whole = {}
         for t in np.flatnonzero(odd):
-            ids = self.encoding.encode_ordinary(raw[offsets[t] : offsets[t + 1]].decode())
+            text = raw[offsets[t] : offsets[t + 1]].decode()
+            ids = self._by_library(text) if int(t) in found else self.encoding.encode_ordinary(text)
             whole[int(t)] = np.asarray(ids, dtype=np.int32)
             per_text[t] = len(ids)
         begin = np.concatenate([[0], np.cumsum(per_text)])
@@ -187,7 +210,7 @@ def piece_rows(docs: DataFrame, tokenizer_path: str, length: int, end_id: int, w
         from pyspark import TaskContext
 
         trim()
-        encoder, seen = Encoder(tokenizer_path), 0
+        encoder, seen = Encoder(tokenizer_path, added_tokens=True), 0
         task = TaskContext.get().partitionId() << 40
         for b in batches:
             doc = b.column("doc_id")

@@ -91,3 +91,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = pk.pack(odd_docs, TOKENIZER, 1024, 2).collect()
     assert sum(r.piece == 0 for r in rows) == odd_docs.count()
     assert pk.pack(no_docs, TOKENIZER).count() == 0
+
+
+def test_added_tokens_have_the_ids_of_the_library_default(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(TOKENIZER)
+    assert pk.added_strings(TOKENIZER)
+    texts = [(i, t) for i, t in enumerate(["a <|endoftext|> b", "it's<|endoftext|>", "plain <|endof", "text|> plain", "<|endoftext|>", ""])]
+    rows = pk.pack(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), TOKENIZER, 128, 2).collect()
+    rebuilt(rows, texts, lambda s: library.encode(s, add_special_tokens=False).ids, 128)
