@@ -347,7 +347,7 @@ def ab_winner(spark, d):
 
 @query
 def ab_bootstrap_ci(spark, d):
-    return statistics.bootstrap(ab_pairs(spark, d), draws=200)
+    return statistics.bootstrap(ab_pairs(spark, d))
 
 
 @query

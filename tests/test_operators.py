@@ -243,3 +243,11 @@ def test_adaptive_takes_every_branch(spark, corpus):
     assert got[1].retry_count <= 2 and got[1].num_docs_graded > 0 and got[2].query == "zzz"
     linear = adaptive.Pipeline(corpus).linear(q).where("query_id = 1").first()
     assert "Question: python language" in linear.prompt and "[1] " in linear.prompt
+
+
+def test_registered_bootstrap_draws_a_thousand(spark):
+    from larkspur import catalog
+
+    d = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, catalog.queries()["ab_bootstrap_ci"](spark, d).collect()))
+    assert got == sorted(map(tuple, statistics.bootstrap(catalog.ab_pairs(spark, d), draws=1000).collect()))
