@@ -251,3 +251,25 @@ def test_registered_bootstrap_draws_a_thousand(spark):
     d = "/root/testdata/sf0.001"
     got = sorted(map(tuple, catalog.queries()["ab_bootstrap_ci"](spark, d).collect()))
     assert got == sorted(map(tuple, statistics.bootstrap(catalog.ab_pairs(spark, d), draws=1000).collect()))
+
+
+def test_registered_breaker_loses_no_file_out_of_order(spark, tmp_path):
+    import os
+
+    from larkspur import catalog
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    half = events.approxQuantile("event_id", [0.5], 0.0)[0]
+    for name, part, at in (("late", events.where(F.col("event_id") > half), 1_000_000), ("early", events.where(F.col("event_id") <= half), 2_000_000)):
+        part.coalesce(1).write.parquet(str(tmp_path / name))
+        file = next((tmp_path / name).glob("*.parquet"))
+        file.rename(tmp_path / f"events.parquet{name}.parquet")
+        os.utime(tmp_path / f"events.parquet{name}.parquet", (at, at))
+    s = events.select("user_id", "ts", F.col("event_id").alias("ord"), telemetry.spend(F.col("value") * 100, F.col("value") * 10).alias("cost"))
+    want = {r.ord: r.cumulative for r in telemetry.breaker_streamed(s, 50.0, 86_400.0).collect()}
+    read, catalog.table = catalog.table, lambda spark, d, name: events
+    try:
+        got = {r.ord: r.cumulative for r in catalog.queries()["stream_breaker"](spark, str(tmp_path)).collect()}
+    finally:
+        catalog.table = read
+    assert got == pytest.approx(want)
