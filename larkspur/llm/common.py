@@ -12,6 +12,7 @@ import atexit
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -93,36 +94,35 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def byte_table(seed: int = 7) -> np.ndarray:
-    return mix(np.arange(256, dtype=np.uint64), seed) | np.uint64(1)
-
-
-BASE = 0x9E3779B97F4A7C55
-BASE_INV = pow(BASE, -1, 1 << 64)
-
-
-def powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    if n:
-        out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
+#: Spans of more bytes than this go through BLAKE2b, one by one.
+LONG_SPAN = 256
+HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 class SpanHasher:
-    """64-bit hashes of any spans of a byte buffer, by prefix sums of a polynomial."""
+    """64-bit hashes of any spans of a byte buffer.
 
-    def __init__(self) -> None:
-        self.table, self.pow, self.inv = byte_table(), powers(0, BASE), powers(0, BASE_INV)
+    Eight bytes at a time go through splitmix64 with the state so far; the
+    length is the first state.  Spans of up to eight bytes and one length never
+    meet, and no pattern in the bytes makes longer ones meet more often than
+    chance does.  Longer spans than LONG_SPAN go through BLAKE2b.
+    """
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(data)
-        if len(self.pow) < n + 1:
-            self.pow, self.inv = powers(n + 1 + n // 4, BASE), powers(n + 1 + n // 4, BASE_INV)
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(self.table[data] * self.pow[:n], out=total[1:])
-            return mix((total[ends] - total[starts]) * self.inv[starts], 3)
+        size = ends - starts
+        out = mix(size.astype(np.uint64), 3)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes at every place
+        live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+        at, left, state = starts[live], size[live], out[live]
+        while len(live):
+            state = mix(state ^ (eight[at] & HEADS[np.minimum(left, 8)]), 3)
+            more = left > 8
+            out[live[~more]] = state[~more]
+            live, at, left, state = live[more], at[more] + 8, left[more] - 8, state[more]
+        for i in np.flatnonzero(size > LONG_SPAN).tolist():
+            out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 LOWER = np.arange(256, dtype=np.uint8)
