@@ -1,9 +1,11 @@
 """Connected components of a graph of long ids, by alternating large and small stars.
 
-Each round is two aggregates and two joins on the node; a node with very many
-neighbours only ever meets a minimum and a join whose skew the engine splits.
-Rounds end when the edges stay the same; their number grows with the logarithm
-of the longest chain.  Every round is a table in the shared folder.
+Each round is two aggregates and two joins on the node.  Nodes with very many
+neighbours, at most `HUBS` of them, are joined by broadcast, so that no task
+gets all edges of one.  Rounds end when the edges stay the same; their number
+grows with the logarithm of the longest chain, and beyond `most_rounds`, which no
+chain of fewer than 2^50 nodes needs, an error is raised.  Every round is a
+table in the shared folder.
 """
 
 from __future__ import annotations
@@ -14,15 +16,28 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+HUBS = 100_000
+HUB_EDGES = 1000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
+    """edges with the m of their a; least is (a, m, c), c the edges of a."""
+    most = max(HUB_EDGES, 2 * n_edges // HUBS)
+    hubs = F.broadcast(least.where(F.col("c") > most).select("a", F.col("m").alias("hub_m")))  # at most HUBS rows
+    marked = edges.join(hubs, "a", "left")
+    near = marked.where("hub_m is null").select("a", "b").join(least.select("a", "m"), "a")
+    return marked.where("hub_m is not null").select("a", "b", F.col("hub_m").alias("m")).unionByName(near)
+
+
+def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:
     """One star step over edges (a, b) with a > b: links towards the least neighbour."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        out = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("c"))
+        out = _with_least(both, least, 2 * n_edges).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        joined = edges.join(least, "a")
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        joined = _with_least(edges, least, n_edges)
         out = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
     return out.where(F.col("a") != F.col("b")).distinct()
 
@@ -36,7 +51,7 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct(), "edges")
     before = _state(edges)
     for _ in range(most_rounds if before[0] else 0):
-        edges = written(_star(_star(edges, True), False), "stars")
+        edges = written(_star(_star(edges, True, before[0]), False, before[0]), "stars")
         now = _state(edges)
         if now == before:
             break

@@ -12,8 +12,14 @@
    filled equal one also deals every shingle on its own, and two such sets then
    meet by a shingle.  No pair is lost.
    Segment hashes travel in blobs by hash range.  A segment that more than
-   `BLOCK` sets of one task share is grouped there at once, and only a few of
-   the sets, its pivots, travel on, so no task gathers a hot segment.
+   `BLOCK` sets share says little: texts with one passage in common have it, and
+   no task may compare all of them.  Its sets are hot.  Two hot sets meet anew
+   by rarity: shingles are ordered by an estimate of the number of hot sets that
+   have them (a sketch of `SLOTS` counters; any order is right, a good one is
+   fast), and linked sets share one of their few first, rarest shingles (prefix
+   filter).  Groups of a rare shingle that are still larger than `BLOCK` are near
+   copies nearly always; they are dealt into blocks that hold the same few sets,
+   the pivots, and no task gathers such a group.
 3. Trees.  The sets of a group get bitmaps of their shingles; a tree's nodes
    hold the OR of the bitmaps below and the range of sizes.  Two trees (or one
    with itself) are walked together, and a pair of nodes is left as soon as the
@@ -23,10 +29,11 @@
    classes and are a thirtieth of the sets' size, so that sets which only share
    a common passage part again; then with the sets of what is left.
    Sets that groups still connect are a cluster.  A cluster of up to `CLUSTER_BYTES`
-   goes to a task whole, so each set travels once.  In larger clusters every
-   group travels by itself; one of more than `BLOCK` sets is dealt into blocks that also hold the
-   same few pivots; in a second round the sets that are still apart from their
-   group's largest component are walked against all of the group.
+   goes to a task whole, so each set travels once, unless one of its groups has
+   more than `MERGED` sets.  In other clusters every group travels by itself, a
+   large one in its blocks; in a second round the sets that are still apart from
+   their group's largest component are walked against all of the group, a pair
+   of blocks a task.
 4. Components.  Links between classes make components; documents get the
    smallest doc_id of theirs.
 
@@ -57,6 +64,10 @@ BLOCK = 256
 PIVOTS = 32
 FLUSH_ENTRIES = 2_000_000
 CLUSTER_BYTES = 32 << 20
+BIN_BYTES = 8 << 20
+MERGED = 4096
+SLOTS = 1 << 20
+SLOT_RANGES = 64
 NARROW_GROUPS = 4000
 BROADCAST_ROWS = 1_000_000
 STEP = 1.5
@@ -134,47 +145,65 @@ def segment_hashes(u: np.ndarray, levels: Levels, sim: Similarity) -> list[np.nd
     return out
 
 
-def map_sets(width: int, sim: Similarity, pids: int):
-    """Batches of (doc_id, text) to rows: pid >= 0 blobs of segment hashes, pid < 0 the documents' sizes and classes."""
+def mapped(**cols) -> pa.RecordBatch:
+    size = len(cols["pid"])
+    return pa.RecordBatch.from_arrays([pa.array(cols.get(f.name, [None] * size), f.type) for f in MAPPED], schema=MAPPED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class Postings:
+    """The (hash, class) entries of a task, sent on by hash range in blobs; of hashes that too many classes share, blocks."""
+
+    def __init__(self, pids: int) -> None:
         from pyspark import TaskContext
 
-        hasher, levels = SpanHasher(), Levels.of(sim, 1 << 34)
-        sigs, keys, count, met, flushes = [], [], 0, set(), 0
-        shift = TaskContext.get().partitionId()
-
-        def rows(**cols) -> pa.RecordBatch:
-            size = len(cols["pid"])
-            return pa.RecordBatch.from_arrays([pa.array(cols.get(f.name, [None] * size), f.type) for f in MAPPED], schema=MAPPED)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal count, flushes
-            s = np.concatenate(sigs)
-            k = np.concatenate([np.full(len(a), b, dtype=np.uint64) for a, b in zip(sigs, keys, strict=True)])
-            sigs.clear(), keys.clear(), met.clear()
-            count, flushes = 0, flushes + 1
-            order = np.argsort(s, kind="stable")
-            s, k = s[order], k[order]
-            pid = ((s >> np.uint64(32)) * np.uint64(pids)) >> np.uint64(32)
-            run = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
-            go, hot = np.ones(len(s), dtype=bool), []
-            for g in np.flatnonzero(np.diff(run) > BLOCK).tolist():
-                i, j = run[g], run[g + 1]
-                bucket = large_bucket(s[i] & LOW48, int(pid[i]))
-                for part, _, members in blocks_of(k[i:j].view(np.int64)):
-                    yield rows(pid=[-1 - shift % pids], bucket=[bucket], part=[(shift << 40) + (flushes << 20) + part], members=[members])
-                pivots = pivots_of(k[i:j].view(np.int64)).view(np.uint64)
-                k[i : i + len(pivots)] = pivots
-                go[i + len(pivots) : j] = False
-                hot.append(i)
-            hot_at = np.zeros(len(s), dtype=bool)
-            hot_at[hot] = True
-            s, k, pid, hot_at = s[go], k[go], pid[go], hot_at[go]
-            cut = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1], [True]]))
-            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-            yield rows(pid=pid[cut[:-1]].astype(np.int32), sigs=[pack48(s[i:j]) for i, j in spans], keys=[k[i:j].tobytes() for i, j in spans], hot=[pack48(s[i:j][hot_at[i:j]]) for i, j in spans])
+        self.pids, self.task = pids, TaskContext.get().partitionId()
+        self.sigs: list[np.ndarray] = []
+        self.keys: list[np.uint64] = []
+        self.count = self.flushes = 0
+
+    def add(self, sigs: np.ndarray, key: np.uint64) -> None:
+        self.sigs.append(sigs)
+        self.keys.append(key)
+        self.count += len(sigs)
+
+    @property
+    def full(self) -> bool:
+        return self.count >= FLUSH_ENTRIES
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.count:
+            return
+        s = np.concatenate(self.sigs)
+        k = np.concatenate([np.full(len(a), b, dtype=np.uint64) for a, b in zip(self.sigs, self.keys, strict=True)])
+        self.sigs.clear(), self.keys.clear()
+        self.count, self.flushes = 0, self.flushes + 1
+        order = np.argsort(s, kind="stable")
+        s, k = s[order], k[order]
+        pid = ((s >> np.uint64(32)) * np.uint64(self.pids)) >> np.uint64(32)
+        run = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
+        go, hot = np.ones(len(s), dtype=bool), []
+        for g in np.flatnonzero(np.diff(run) > BLOCK).tolist():
+            i, j = run[g], run[g + 1]
+            bucket = large_bucket(s[i] & LOW48, int(pid[i]))
+            for part, _, members in blocks_of(k[i:j].view(np.int64)):
+                yield mapped(pid=[-1 - self.task % self.pids], bucket=[bucket], part=[(self.task << 40) + (self.flushes << 20) + part], members=[members])
+            pivots = pivots_of(k[i:j].view(np.int64)).view(np.uint64)
+            k[i : i + len(pivots)] = pivots
+            go[i + len(pivots) : j] = False
+            hot.append(i)
+        hot_at = np.zeros(len(s), dtype=bool)
+        hot_at[hot] = True
+        s, k, pid, hot_at = s[go], k[go], pid[go], hot_at[go]
+        cut = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1], [True]]))
+        spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+        yield mapped(pid=pid[cut[:-1]].astype(np.int32), sigs=[pack48(s[i:j]) for i, j in spans], keys=[k[i:j].tobytes() for i, j in spans], hot=[pack48(s[i:j][hot_at[i:j]]) for i, j in spans])
+
 
+def map_sets(width: int, sim: Similarity, pids: int):
+    """Batches of (doc_id, text) to rows: pid >= 0 blobs of segment hashes, pid < 0 the documents' sizes and classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, levels, out, met = SpanHasher(), Levels.of(sim, 1 << 34), Postings(pids), set()
         for batch in batches:
             doc, rk = batch.column("doc_id"), batch.column("rk").to_numpy()
             for c in chunks(batch.column("text")):
@@ -189,14 +218,64 @@ def map_sets(width: int, sim: Similarity, pids: int):
                     met.add(int(key))
                     bits[r] = signature(u)
                     for x in segment_hashes(u, levels, sim):
-                        sigs.append(x)
-                        keys.append(key)
-                        count += len(x)
-                yield rows(pid=[-1 - shift % pids], keys=[named.tobytes()], docs=[doc.slice(c.first, c.n).to_pylist()], sizes=[size], rks=[rk[c.first : c.first + c.n]], bits=[bits])
-                if count >= FLUSH_ENTRIES:
-                    yield from flush()
-        if count:
-            yield from flush()
+                        out.add(x, key)
+                yield mapped(pid=[-1 - out.task % pids], keys=[named.tobytes()], docs=[doc.slice(c.first, c.n).to_pylist()], sizes=[size], rks=[rk[c.first : c.first + c.n]], bits=[bits])
+                if out.full:
+                    yield from out.flush()
+                    met.clear()
+        yield from out.flush()
+        trim()
+
+    return run
+
+
+# ------------------------------------------------------------ the rarest shingles
+def slots(u: np.ndarray) -> np.ndarray:
+    return (mix(u, 42) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How many shingles of sets (key, shingles) each of SLOTS counters got; a fixed size, whatever the sets'."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, dtype=np.uint64)
+        for b in batches:
+            for x in b.column("shingles"):
+                np.add.at(total, slots(np.frombuffer(x.as_buffer(), dtype=np.uint64)), 1)
+        parts = [(r, pa.compress(x.tobytes(), codec="zstd", asbytes=True)) for r, x in enumerate(np.split(total, SLOT_RANGES)) if x.any()]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["r", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        size = SLOTS // SLOT_RANGES
+        total = np.zeros(size, dtype=np.uint64)
+        for x in table.column("counts"):
+            total += np.frombuffer(pa.decompress(x.as_buffer(), 8 * size, codec="zstd", asbytes=True), dtype=np.uint64)
+        return pa.table({"r": table.column("r")[:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
+
+    out = np.zeros((SLOT_RANGES, SLOTS // SLOT_RANGES), dtype=np.uint32)
+    for r, counts in sets.select("shingles").mapInArrow(count, "r int, counts binary").groupBy("r").applyInArrow(add, "r int, counts binary").collect():
+        out[r] = np.frombuffer(counts, dtype="<u4")
+    return out.ravel()
+
+
+def rarest(u: np.ndarray, counts: np.ndarray, sim: Similarity) -> np.ndarray:
+    """The first shingles of a set by rarity, as many as make sure that linked sets share one."""
+    first = len(u) - -(-sim.num * len(u) // sim.den) + 1
+    return u[np.lexsort((u, counts[slots(u)]))[:first]]
+
+
+def map_rarest(counts: np.ndarray, sim: Similarity, pids: int):
+    """Batches of (key, shingles) to blobs of the rarest shingles, as map_sets sends those of segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Postings(pids)
+        for b in batches:
+            for key, x in zip(b.column("key").to_numpy().view(np.uint64), b.column("shingles"), strict=True):
+                out.add(mix(rarest(np.frombuffer(x.as_buffer(), dtype=np.uint64), counts, sim), 41), key)
+                if out.full:
+                    yield from out.flush()
+        yield from out.flush()
         trim()
 
     return run
@@ -419,21 +498,22 @@ class NgramJoin:
         blobs = self.slim.mapInArrow(map_sets(width, self.sim, pids), from_arrow_schema(MAPPED))
         both = written(blobs.groupBy("pid").applyInArrow(reduce_groups, from_arrow_schema(REDUCED)), "join")
         self.documents = both.where("kind = 0").select("doc_id", "n", "key", "rk")
-        groups = both.where("kind = 1").select("bucket", "part", "large", "members").dropDuplicates(["bucket", "part"])
-        maps = both.where("kind = 0 and length(bits) > 0").select("key", "n", "bits").dropDuplicates(["key"])
-        loose = groups.where("not large").select("bucket", F.explode("members").alias("key")).join(maps, "key")
-        bins = max(1, both.where("kind = 1").count() // NARROW_GROUPS)
-        tight = loose.groupBy(F.pmod("bucket", F.lit(bins)).alias("bin")).applyInArrow(narrow(self.sim), "bucket long, part long, large boolean, members array<long>").dropDuplicates(["bucket"])
-        groups = written(groups.where("large").unionByName(tight).withColumn("lead", F.element_at("members", 1)), "groups")
-        spread = groups.select("bucket", "part", "large", "lead", F.explode("members").alias("key"))
-        self.wanted = spread.select("key").distinct()
+        self.maps = both.where("kind = 0 and length(bits) > 0").select("key", "n", "bits").dropDuplicates(["key"])
+        groups = written(self._narrowed(both), "groups")
+        hot = written(both.where("kind = 1 and large").select(F.explode("members").alias("key")).distinct(), "hot")
+        self.wanted = groups.select(F.explode("members").alias("key")).unionByName(hot).distinct()
         self.sets = self._sets()
+        groups = written(groups.unionByName(self._rare_groups(hot)).dropDuplicates(["bucket", "part"]).withColumn("lead", F.element_at("members", 1)), "groups")
+        spread = groups.select("bucket", "part", "large", "lead", F.explode("members").alias("key"))
         # Sets that groups connect, in clusters; a cluster that fits a task goes there whole, each set once.
         cluster = components(spread.select(F.col("lead").alias("a"), F.col("key").alias("b")))
         sizes = cluster.join(self.sets.select(F.col("key").alias("node"), F.length("shingles").alias("bytes")), "node").groupBy("component").agg(F.sum("bytes").alias("bytes"))
         total = int(sizes.agg(F.sum("bytes")).first()[0] or 0)
-        bins = max(1, -(-total // CLUSTER_BYTES))
-        binned = sizes.select("component", F.when(F.col("bytes") <= CLUSTER_BYTES, F.pmod(F.xxhash64("component"), F.lit(bins))).alias("bin"))
+        bins = max(1, -(-total // BIN_BYTES))
+        big = groups.where("large").groupBy("bucket").agg(F.sum(F.size("members")).alias("c"), F.min("lead").alias("node")).where(F.col("c") > MERGED)
+        big = cluster.join(big, "node").select("component", F.lit(True).alias("big")).distinct()
+        fits = (F.col("bytes") <= CLUSTER_BYTES) & F.col("big").isNull()
+        binned = sizes.join(big, "component", "left").select("component", F.when(fits, F.pmod(F.xxhash64("component"), F.lit(bins))).alias("bin"))
         bin_of = written(cluster.join(binned, "component").select(F.col("node").alias("key"), "bin"), "bins")
         placed = groups.join(bin_of.select(F.col("key").alias("lead"), F.col("bin").alias("gbin")), "lead")
         whole = self._cluster_links(self.sets.join(bin_of.where("bin is not null"), "key"), placed.where("gbin is not null").select("gbin", "bucket", "members"))
@@ -442,8 +522,26 @@ class NgramJoin:
         self.links = self._second_round(written(whole.unionByName(rest).distinct(), "links"))
         self.components = components(self.links)
 
+    def _narrowed(self, reduced: DataFrame) -> DataFrame:
+        """The small groups of a reduced table, narrowed to the sets whose bitmaps allow links."""
+        groups = reduced.where("kind = 1 and not large").select("bucket", "members").dropDuplicates(["bucket"])
+        loose = groups.select("bucket", F.explode("members").alias("key")).join(self.maps, "key")
+        bins = max(1, reduced.where("kind = 1").count() // NARROW_GROUPS)
+        return loose.groupBy(F.pmod("bucket", F.lit(bins)).alias("bin")).applyInArrow(narrow(self.sim), "bucket long, part long, large boolean, members array<long>").dropDuplicates(["bucket"])
+
+    def _rare_groups(self, hot: DataFrame) -> DataFrame:
+        """Groups of the hot sets by their rarest shingles: narrowed small ones, and blocks of large ones."""
+        if hot.count() <= BROADCAST_ROWS:
+            hot = F.broadcast(hot)
+        sets = self.sets.join(hot, "key", "left_semi")
+        pids = max(8, -(-int(sets.agg(F.sum(F.length("shingles"))).first()[0] or 0) // PID_BYTES))
+        blobs = sets.select("key", "shingles").mapInArrow(map_rarest(rarity(sets), self.sim, pids), from_arrow_schema(MAPPED))
+        both = written(blobs.groupBy("pid").applyInArrow(reduce_groups, from_arrow_schema(REDUCED)), "rare")
+        large = both.where("kind = 1 and large").select("bucket", "part", "large", "members").dropDuplicates(["bucket", "part"])
+        return self._narrowed(both).unionByName(large)
+
     def _sets(self) -> DataFrame:
-        """(key, set) of the classes in groups, from the text of one document of each."""
+        """(key, shingles) of the wanted classes, from the text of one document of each."""
         rep = self.documents.where("n > 0").groupBy("key").agg(F.min("rk").alias("rk"))
         rep = written(rep.join(self.wanted, "key"), "wanted")
         if rep.count() <= BROADCAST_ROWS:

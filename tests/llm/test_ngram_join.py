@@ -104,3 +104,39 @@ def test_every_link_without_spanning():
     every = {(min(p), max(p)) for p in nj.tree_links(sim, sets, np.arange(30), None, False)}
     assert every == {(i, j) for i in range(30) for j in range(i + 1, 30) if sim.reached(nj.overlap(sets[i], sets[j]), len(sets[i]), len(sets[j]))}
     assert len(nj.tree_links(sim, sets, np.arange(30), 15, False)) == len([1 for i, j in every if i < 15 <= j])
+
+
+def test_a_common_passage_makes_no_group(spark, monkeypatch):
+    """Texts that share a passage meet by their rare shingles only; the near copies among them are still found."""
+    for name, v in (("BLOCK", 16), ("PIVOTS", 4)):
+        monkeypatch.setattr(nj, name, v)
+    rng = random.Random(8)
+    head = " ".join(f"head{i}" for i in range(40))
+    rows = [(i, f"{head} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([4, 20])))) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 600, 20)]
+    assert found(spark, rows, 3, (90, 100)) == brute(rows, 3, 90, 100)
+    join = nj.NgramJoin(spark.createDataFrame(rows, "doc_id long, text string"), 3, (90, 100))
+    assert join.sets.count() > 300  # of hot segments
+    assert join.wanted.count() > 300 and join.members.where("large").select("bucket").distinct().count() <= 2
+
+
+def test_any_order_of_rarity_is_exact():
+    rng = np.random.default_rng(3)
+    sim = nj.Similarity(80, 100)
+    counts = rng.integers(0, 3, nj.SLOTS).astype(np.uint32)
+    base = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[i % 13 :], rng.integers(0, 2**63, i % 11).astype(np.uint64)])) for i in range(80)]
+    for i, a in enumerate(sets):
+        for b in sets[i + 1 :]:
+            if sim.reached(nj.overlap(a, b), len(a), len(b)):
+                assert len(np.intersect1d(nj.rarest(a, counts, sim), nj.rarest(b, counts, sim)))
+
+
+def test_hub_nodes_are_joined_apart(spark, monkeypatch):
+    from larkspur.llm import components as cp
+
+    monkeypatch.setattr(cp, "HUB_EDGES", 5)
+    monkeypatch.setattr(cp, "HUBS", 1000)
+    links = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 160)] + [(159, 30)]
+    got = {r.node: r.component for r in cp.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert set(got) == {x for p in links for x in p} and set(got.values()) == {0}
