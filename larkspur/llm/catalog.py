@@ -101,15 +101,17 @@ def oracle_sql() -> dict[str, str]:
             reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, edge.y FROM reach JOIN edge ON edge.x = reach.r)
             SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) LEFT JOIN size USING (doc_id)""",
         "op2_lm_score": f"""
-            WITH tok AS (SELECT doc_id, {word} AS w, generate_subscripts(list_filter(regexp_split_to_array({LOWER_AZ.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), 1) AS pos FROM documents),
-            total AS (SELECT count(*) AS n FROM tok),
-            vocab AS (SELECT w FROM tok GROUP BY w HAVING count(*) >= greatest(2, ceil((SELECT n FROM total) * 1e-6))),
-            ids AS (SELECT doc_id, pos, coalesce('w' || v.w, 'unknown') AS w FROM tok LEFT JOIN vocab v ON tok.w = v.w),
-            bi AS (SELECT doc_id, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY pos), 'start') AS u FROM ids),
-            c1 AS (SELECT w, count(*) AS c FROM ids GROUP BY w UNION ALL SELECT 'start', count(DISTINCT doc_id) FROM ids),
-            c2 AS (SELECT u, w, count(*) AS c FROM bi GROUP BY u, w),
-            p AS (SELECT bi.doc_id, CASE WHEN c2.c >= 2 THEN ln(c2.c) - ln(cu.c) ELSE ln(0.4::DOUBLE) + ln(cw.c) - ln((SELECT n FROM total)) END AS lp
-                  FROM bi JOIN c2 USING (u, w) JOIN c1 cu ON cu.w = bi.u JOIN c1 cw ON cw.w = bi.w)
+            WITH word AS (SELECT doc_id, {word} AS w, generate_subscripts(list_filter(regexp_split_to_array({LOWER_AZ.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''), 1) AS pos FROM documents),
+            mark AS (SELECT doc_id, '' AS w, 0 AS pos FROM word WHERE pos = 1),
+            gram AS (SELECT doc_id, pos, w, lag(w) OVER d AS u, lag(w, 2) OVER d AS t FROM (FROM word UNION ALL FROM mark) WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+            c1 AS (SELECT w, count(*) AS c FROM gram GROUP BY w),
+            c2 AS (SELECT u, w, count(*) AS c FROM gram WHERE pos >= 1 GROUP BY u, w),
+            c3 AS (SELECT t, u, w, count(*) AS c FROM gram WHERE pos >= 2 GROUP BY t, u, w),
+            total AS (SELECT count(*) AS n FROM word),
+            s AS (SELECT g.doc_id, g.pos, c3.c AS three, ctx.c AS context, CASE WHEN c2.c >= 2 THEN c2.c / cu.c ELSE 0.4 * cw.c / (SELECT n FROM total) END AS two
+                  FROM gram g JOIN c2 ON c2.u = g.u AND c2.w = g.w JOIN c1 cu ON cu.w = g.u JOIN c1 cw ON cw.w = g.w
+                  LEFT JOIN c3 ON c3.t = g.t AND c3.u = g.u AND c3.w = g.w LEFT JOIN c2 ctx ON ctx.u = g.t AND ctx.w = g.u),
+            p AS (SELECT doc_id, ln(CASE WHEN pos = 1 THEN two WHEN three >= 2 THEN three / context ELSE 0.4::DOUBLE * two END) AS lp FROM s)
             SELECT d.doc_id, count(lp) AS n_tokens, round(coalesce(sum(lp), 0), 4) AS logprob, round(sum(lp) / nullif(count(lp), 0), 6) AS score
             FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id GROUP BY d.doc_id""",
         "op4_line_dedup": f"""

@@ -1,22 +1,24 @@
-"""Stupid-backoff scores from hash-partitioned n-gram counts.
-
-1. Words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased) that occur at least twice in all
-   texts are the vocabulary, whatever its size; all other words are one unknown
-   word.  (`least_share` can ask for a share of all tokens besides; by default
-   it asks for none.)  A document's first word follows a start mark.
-2. score(w | u) = count(u w) / count(u) if count(u w) >= least_count, else
-   backoff * count(w) / N.
-3. Texts are read once, into chunks of about FLUSH words.  No table of words or
-   bigrams is ever collected or broadcast: a chunk sends each distinct key with
-   its multiplicity to the partition of the key's hash, once; there the keys of
-   all chunks are summed, and each chunk gets the sums of its own keys back.  A
+"""Stupid-backoff trigram scores from hash-partitioned n-gram counts.
+
+1. Words are [^\\x20\\x09-\\x0D]+, A-Z lower-cased.  Every word of the corpus is
+   in the model with its own count; there is no closed vocabulary and no common
+   entry for rare words, so texts of words seen nowhere else score lowest.  A
+   document's first word follows one start mark.
+2. An n-gram of two or three words counts as seen from `least_count` times on:
+   score(w | t u) = count(t u w) / count(t u) if t u w is seen, else
+   backoff * score(w | u); score(w | u) = count(u w) / count(u) if u w is seen,
+   else backoff * count(w) / N.  The first word has no t: score(w | start).
+3. Texts are read once, into chunks of about FLUSH words.  No table of n-grams
+   is ever collected or broadcast: a chunk sends each distinct key with its
+   multiplicity to the partition of the key's hash, once; there the keys of all
+   chunks are summed, and each chunk gets the sums of its own keys back.  A
    frequent key so brings a partition no more than one entry a chunk.
-4. Words and the bigrams as written go first.  Of two known words that count is
-   the bigram's; bigrams with an unknown word go a second time, with the unknown
-   word in its place.  What needs the counts of the unknown word, of the start
-   mark or of all tokens is kept as multiples of their logarithms to the end.
+4. Words and bigrams go first.  A trigram can only be seen as often as both of
+   its bigrams, so trigrams go a second time where both are seen; no other can
+   count.  What needs the number of documents or of all tokens is kept as
+   multiples of their logarithms to the end.
 
-Words and bigrams are told apart by 64-bit hashes.
+N-grams are told apart by 64-bit hashes.
 
 Defined results: a null text, or one without words, has n_tokens 0, logprob 0
 and a null score; repeated rows count as often as they are there; other columns
@@ -38,12 +40,12 @@ from .common import LOWER, SpanHasher, chunks, mix, text_bytes, trim, word_spans
 
 PID_BYTES = 8 << 20
 FLUSH = 2_000_000
-UNKNOWN, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+START = np.uint64(0x14057B7EF767814F)
 #: pid is the partition of the keys, or -1 - chunk in the one row with what the chunk keeps for itself: documents, and packed arrays.
 BLOB = pa.schema([("pid", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("times", pa.binary()), ("docs", pa.list_(pa.int64())), ("kept", pa.list_(pa.binary()))])
 PART = pa.schema([("chunk", pa.int64()), ("pid", pa.int64()), ("sums", pa.binary()), ("docs", pa.list_(pa.int64())), ("kept", pa.list_(pa.binary()))])
 #: `known` is the part of logprob that needs no more counts; the others are what multiplies the logarithms.
-SUMS = "doc_id long, n_tokens long, n_rare long, known double, of_rare long, of_start long, of_total long"
+SUMS = "doc_id long, n_tokens long, known double, of_start long, of_total long"
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -125,14 +127,6 @@ def bigrams(w: np.ndarray, n: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarra
     return u, at, pair_keys(np.append(hashes, START)[a], hashes[b]), times
 
 
-def word_total(texts: DataFrame) -> int:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(word_spans(c)[0]) for b in batches for c in chunks(b.column("text")))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    return int(texts.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
-
-
 def written_counts(batches: Iterator[pa.RecordBatch], pids: int) -> Iterator[pa.RecordBatch]:
     """Chunks of texts, asking for the counts of their words and bigrams."""
     from pyspark import TaskContext
@@ -167,68 +161,64 @@ def written_counts(batches: Iterator[pa.RecordBatch], pids: int) -> Iterator[pa.
         yield from flush()
 
 
-def lm_scores(docs: DataFrame, least_share: float = 0.0, least_count: int = 2, backoff: float = 0.4, most_hot: int = 20_000, hot_share: float = 5e-5) -> DataFrame:
-    """doc_id, n_tokens, logprob and score (logprob a token) of every row.
-
-    most_hot and hot_share are taken for callers that pass them; frequent
-    bigrams need no way of their own.
-    """
+def lm_scores(docs: DataFrame, least_count: int = 2, backoff: float = 0.4) -> DataFrame:
+    """doc_id, n_tokens, logprob and score (logprob a token) of every row."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pids = max(8, -(-text_bytes(slim) // PID_BYTES))
-    least = max(2, math.ceil(word_total(slim.select("text")) * least_share)) if least_share else 2
+    less = math.log(backoff)
 
     def resolve(table: pa.Table) -> pa.Table:
+        """From the counts of words and bigrams: what is certain of each document, and the trigrams that may be seen."""
         chunk, ids, kept, sums = answered(table)
         n, w, hashes = unpacked(kept[0]), unpacked(kept[1]), unpacked_keys(kept[2])
         u, at, key, _ = bigrams(w, n, hashes)
         count = np.empty(len(sums), dtype=np.int64)
         count[np.argsort(np.concatenate([hashes, key]))] = sums
-        count, both = count[: len(hashes)], count[len(hashes) :][at]
-        count = np.append(np.where(count >= least, count, 0), 1)  # 0 is the unknown word, 1 the start mark
-        cu, cw, row = count[u], count[w], np.repeat(np.arange(len(n)), n)
-        sure = (cu > 0) & (cw > 0)
-        own = sure & (both >= least_count)
-        back = sure & ~own
-        known = np.where(own, np.log(np.maximum(both, 1)) - np.log(np.maximum(cu, 1)), np.where(back, math.log(backoff) + np.log(np.maximum(cw, 1)), 0.0))
-        per_row = [np.bincount(row[x], minlength=len(n)) for x in (cw == 0, own & (cu == 1), back)]
-        # the rest, by document and bigram with the unknown word in place
-        rest = np.flatnonzero(~sure)
-        hashes = np.where(count > 0, np.append(hashes, START), UNKNOWN)
-        key, first, at, times = np.unique(pair_keys(hashes[u[rest]], hashes[w[rest]]), return_index=True, return_inverse=True, return_counts=True)
-        entry, entry_times = np.unique(row[rest] * max(len(key), 1) + at, return_counts=True)
-        entry_row, at = np.divmod(entry, max(len(key), 1))
-        kept = [packed(x) for x in (n, *per_row, cu[rest][first], cw[rest][first], entry_row, at, entry_times)]
-        out = list(asked(chunk, key, times, pids, ids, [*kept, np.bincount(row, weights=known, minlength=len(n)).astype("<f8").tobytes()]))
+        both = count[len(hashes) :][at]
+        cu, cw, row = np.append(count[: len(hashes)], 1)[u], count[w], np.repeat(np.arange(len(n)), n)  # the start mark's count comes last
+        first = u == len(hashes)
+        seen = both >= least_count
+        two = np.where(seen, np.log(both) - np.log(cu), less + np.log(cw))  # score(w | u), with log N and the start mark's left out
+        before = np.concatenate([[False], seen[:-1]]) & ~first if len(w) else seen
+        ask = np.flatnonzero(seen & before)
+        known = two + np.where(first, 0.0, less)
+        known[ask] = 0.0
+        per_row = [np.bincount(row[x], minlength=len(n)) for x in (seen & first, ~seen)]
+        pair = at[ask - 1] * max(len(key), 1) + at[ask]  # bigrams t u and u w
+        pair, place, times = np.unique(pair, return_inverse=True, return_counts=True)
+        left, right = np.divmod(pair, max(len(key), 1))
+        three = pair_keys(key[left], mix(key[right], 23))
+        order = np.argsort(three)  # as their sums come back
+        left, right, three, times = left[order], right[order], three[order], times[order]
+        place = np.argsort(order)[place]
+        entry, entry_times = np.unique(row[ask] * max(len(pair), 1) + place, return_counts=True)
+        entry_row, entry_at = np.divmod(entry, max(len(pair), 1))
+        one = np.zeros(len(key), dtype=np.int64)
+        one[at] = cu  # of each bigram, its first word's count
+        counts = count[len(hashes) :]
+        kept = [packed(x) for x in (n, *per_row, counts[left], counts[right], one[right], entry_row, entry_at, entry_times)]
+        out = list(asked(chunk, three, times, pids, ids, [*kept, np.bincount(row, weights=known, minlength=len(n)).astype("<f8").tobytes()]))
         trim()
         return pa.Table.from_batches(out)
 
     def gather(table: pa.Table) -> pa.Table:
-        _, ids, kept, both = answered(table)
-        n, n_rare, start_own, total_back, cu, cw, row, at, times = (unpacked(x) for x in kept[:-1])
-        cu, cw, both = cu[at], cw[at], both[at]
-        own = both >= least_count
-        known = np.where(own, np.log(np.maximum(both, 1)) - np.log(np.maximum(cu, 1)), math.log(backoff) + np.log(np.maximum(cw, 1)))
-
-        def per_row(x: np.ndarray) -> np.ndarray:
-            return np.bincount(row, weights=x * times, minlength=len(n))
-
-        of_rare = per_row(~own & (cw == 0)) - per_row(own & (cu == 0))
-        of_start = -start_own - per_row(own & (cu == 1))
-        of_total = -total_back - per_row(~own)
-        cols = [n, n_rare, np.frombuffer(kept[-1], "<f8") + per_row(known), of_rare.astype(np.int64), of_start.astype(np.int64), of_total.astype(np.int64)]
+        _, ids, kept, sums = answered(table)
+        n, of_start, of_total, left, right, one, row, at, times = (unpacked(x) for x in kept[:-1])
+        three = np.where(sums >= least_count, np.log(np.maximum(sums, 1)) - np.log(left), less + np.log(right) - np.log(one))
+        known = np.frombuffer(kept[-1], "<f8") + np.bincount(row, weights=three[at] * times, minlength=len(n))
         trim()
-        return pa.table([pa.array(ids, pa.int64()), *map(pa.array, cols)], names=[x.split()[0] for x in SUMS.split(", ")])
+        return pa.table([pa.array(ids, pa.int64()), *map(pa.array, (n, known, -of_start, -of_total))], names=[x.split()[0] for x in SUMS.split(", ")])
 
     parts = slim.mapInArrow(lambda batches: written_counts(batches, pids), from_arrow_schema(BLOB))
     for step, schema in ((resolve, from_arrow_schema(BLOB)), (gather, SUMS)):
         parts = parts.groupBy("pid").applyInArrow(summed, from_arrow_schema(PART)).groupBy("chunk").applyInArrow(step, schema)
     sums = written(parts, "lm")
-    rare, start, total = (math.log(max(x or 0, 1)) for x in sums.agg(F.sum("n_rare"), F.sum((F.col("n_tokens") > 0).cast("long")), F.sum("n_tokens")).first())
+    start, total = (math.log(max(x or 0, 1)) for x in sums.agg(F.sum((F.col("n_tokens") > 0).cast("long")), F.sum("n_tokens")).first())
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, _, known, of_rare, of_start, of_total = (x.to_numpy() for x in b.columns[1:])
-            logprob = known + of_rare * rare + of_start * start + of_total * total
+            n, known, of_start, of_total = (x.to_numpy() for x in b.columns[1:])
+            logprob = known + of_start * start + of_total * total
             mean = [round(t / k, 6) if k else None for t, k in zip(logprob.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(logprob, 4) + 0.0), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "logprob", "score"])
 
