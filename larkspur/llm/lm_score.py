@@ -15,7 +15,9 @@
    frequent key so brings a partition no more than one entry a chunk.
 4. Words and bigrams go first.  A trigram can only be seen as often as both of
    its bigrams, so trigrams go a second time where both are seen; no other can
-   count.  What needs the number of documents or of all tokens is kept as
+   count.  Between the two exchanges stands a table, and the first one's files
+   go.  A chunk keeps its words (by rank of frequency, so that they pack well)
+   and the first sums, and finds its bigrams and trigrams anew from them.  What needs the number of documents or of all tokens is kept as
    multiples of their logarithms to the end.
 
 N-grams are told apart by 64-bit hashes.
@@ -139,10 +141,11 @@ def written_counts(batches: Iterator[pa.RecordBatch], pids: int) -> Iterator[pa.
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal made, size
         hashes, w, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
-        n = np.concatenate(sizes)
+        order = np.argsort(-times, kind="stable")
+        hashes, w, times, n = hashes[order], np.argsort(order)[w], times[order], np.concatenate(sizes)
         words.clear(), sizes.clear()
         _, _, key, pair_times = bigrams(w, n, hashes)
-        yield from asked((task << 24) + made, np.concatenate([hashes, key]), np.concatenate([times, pair_times]), pids, list(ids), [packed(n), packed(w), packed_keys(hashes)])
+        yield from asked((task << 24) + made, np.concatenate([hashes, key]), np.concatenate([times, pair_times]), pids, list(ids), [packed(n), packed(w), hashes.astype("<u8").tobytes()])
         ids.clear()
         made, size = made + 1, 0
         trim()
@@ -161,57 +164,62 @@ def written_counts(batches: Iterator[pa.RecordBatch], pids: int) -> Iterator[pa.
         yield from flush()
 
 
-def lm_scores(docs: DataFrame, least_count: int = 2, backoff: float = 0.4) -> DataFrame:
-    """doc_id, n_tokens, logprob and score (logprob a token) of every row."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pids = max(8, -(-text_bytes(slim) // PID_BYTES))
-    less = math.log(backoff)
+class Counted:
+    """A chunk's n-grams with the counts of its words and bigrams: what is certain, and the trigrams that may be seen."""
 
-    def resolve(table: pa.Table) -> pa.Table:
-        """From the counts of words and bigrams: what is certain of each document, and the trigrams that may be seen."""
-        chunk, ids, kept, sums = answered(table)
-        n, w, hashes = unpacked(kept[0]), unpacked(kept[1]), unpacked_keys(kept[2])
-        u, at, key, _ = bigrams(w, n, hashes)
+    def __init__(self, kept: list[bytes], sums: np.ndarray, least_count: int, backoff: float) -> None:
+        less = math.log(backoff)
+        self.n, w, hashes = unpacked(kept[0]), unpacked(kept[1]), np.frombuffer(kept[2], "<u8")
+        u, at, key, _ = bigrams(w, self.n, hashes)
         count = np.empty(len(sums), dtype=np.int64)
         count[np.argsort(np.concatenate([hashes, key]))] = sums
-        both = count[len(hashes) :][at]
-        cu, cw, row = np.append(count[: len(hashes)], 1)[u], count[w], np.repeat(np.arange(len(n)), n)  # the start mark's count comes last
-        first = u == len(hashes)
-        seen = both >= least_count
-        two = np.where(seen, np.log(both) - np.log(cu), less + np.log(cw))  # score(w | u), with log N and the start mark's left out
-        before = np.concatenate([[False], seen[:-1]]) & ~first if len(w) else seen
-        ask = np.flatnonzero(seen & before)
+        row = np.repeat(np.arange(len(self.n)), self.n)
+        cu, cw, both = np.append(count[: len(hashes)], 1)[u], count[w], count[len(hashes) :][at]  # the start mark's count comes last
+        first, seen = u == len(hashes), both >= least_count
+        two = np.where(seen, np.log(both) - np.log(cu), less + np.log(cw))  # score(w | u), but for log N and the start mark
         known = two + np.where(first, 0.0, less)
+        before = np.roll(seen, 1) & ~first
+        ask = np.flatnonzero(seen & before)
+        self.row, self.backed, self.context = row[ask], known[ask], both[ask - 1]
         known[ask] = 0.0
-        per_row = [np.bincount(row[x], minlength=len(n)) for x in (seen & first, ~seen)]
-        pair = at[ask - 1] * max(len(key), 1) + at[ask]  # bigrams t u and u w
-        pair, place, times = np.unique(pair, return_inverse=True, return_counts=True)
+        self.known = np.bincount(row, weights=known, minlength=len(self.n))
+        self.of_start, self.of_total = (np.bincount(row[x], minlength=len(self.n)) for x in (seen & first, ~seen))
+        # distinct trigrams, as pairs of bigrams t u and u w, in ascending order of their hashes
+        pair, place, times = np.unique(at[ask - 1] * max(len(key), 1) + at[ask], return_inverse=True, return_counts=True)
         left, right = np.divmod(pair, max(len(key), 1))
         three = pair_keys(key[left], mix(key[right], 23))
-        order = np.argsort(three)  # as their sums come back
-        left, right, three, times = left[order], right[order], three[order], times[order]
-        place = np.argsort(order)[place]
-        entry, entry_times = np.unique(row[ask] * max(len(pair), 1) + place, return_counts=True)
-        entry_row, entry_at = np.divmod(entry, max(len(pair), 1))
-        one = np.zeros(len(key), dtype=np.int64)
-        one[at] = cu  # of each bigram, its first word's count
-        counts = count[len(hashes) :]
-        kept = [packed(x) for x in (n, *per_row, counts[left], counts[right], one[right], entry_row, entry_at, entry_times)]
-        out = list(asked(chunk, three, times, pids, ids, [*kept, np.bincount(row, weights=known, minlength=len(n)).astype("<f8").tobytes()]))
+        order = np.argsort(three)
+        self.keys, self.times, self.place = three[order], times[order], np.argsort(order)[place]
+
+
+def lm_scores(docs: DataFrame, least_count: int = 2, backoff: float = 0.4) -> DataFrame:
+    """doc_id, n_tokens, logprob and score (logprob a token) of every row."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pids = max(8, -(-text_bytes(slim) // PID_BYTES))
+
+    def resolve(table: pa.Table) -> pa.Table:
+        chunk, ids, kept, sums = answered(table)
+        c = Counted(kept, sums, least_count, backoff)
+        out = list(asked(chunk, c.keys, c.times, pids, ids, [*kept, packed(sums)]))
+        del c
         trim()
         return pa.Table.from_batches(out)
 
     def gather(table: pa.Table) -> pa.Table:
         _, ids, kept, sums = answered(table)
-        n, of_start, of_total, left, right, one, row, at, times = (unpacked(x) for x in kept[:-1])
-        three = np.where(sums >= least_count, np.log(np.maximum(sums, 1)) - np.log(left), less + np.log(right) - np.log(one))
-        known = np.frombuffer(kept[-1], "<f8") + np.bincount(row, weights=three[at] * times, minlength=len(n))
+        c = Counted(kept[:-1], unpacked(kept[-1]), least_count, backoff)
+        three = sums[c.place]
+        known = c.known + np.bincount(c.row, weights=np.where(three >= least_count, np.log(np.maximum(three, 1)) - np.log(c.context), c.backed), minlength=len(c.n))
+        out = pa.table([pa.array(ids, pa.int64()), *map(pa.array, (c.n, known, -c.of_start, -c.of_total))], names=[x.split()[0] for x in SUMS.split(", ")])
+        del c, three
         trim()
-        return pa.table([pa.array(ids, pa.int64()), *map(pa.array, (n, known, -of_start, -of_total))], names=[x.split()[0] for x in SUMS.split(", ")])
+        return out
 
-    parts = slim.mapInArrow(lambda batches: written_counts(batches, pids), from_arrow_schema(BLOB))
-    for step, schema in ((resolve, from_arrow_schema(BLOB)), (gather, SUMS)):
-        parts = parts.groupBy("pid").applyInArrow(summed, from_arrow_schema(PART)).groupBy("chunk").applyInArrow(step, schema)
+    blobs = slim.mapInArrow(lambda batches: written_counts(batches, pids), from_arrow_schema(BLOB))
+    table = written(blobs.groupBy("pid").applyInArrow(summed, from_arrow_schema(PART)).groupBy("chunk").applyInArrow(resolve, from_arrow_schema(BLOB)), "lm-trigrams")
+    answers = table.where("pid >= 0").select("pid", "chunk", "keys", "times", "docs", "kept").groupBy("pid").applyInArrow(summed, from_arrow_schema(PART))
+    own = table.where("pid < 0").select("chunk", "pid", F.lit(None).cast("binary").alias("sums"), "docs", "kept")
+    parts = answers.unionByName(own).groupBy("chunk").applyInArrow(gather, SUMS)
     sums = written(parts, "lm")
     start, total = (math.log(max(x or 0, 1)) for x in sums.agg(F.sum((F.col("n_tokens") > 0).cast("long")), F.sum("n_tokens")).first())
 
