@@ -8,17 +8,17 @@
    score(w | t u) = count(t u w) / count(t u) if t u w is seen, else
    backoff * score(w | u); score(w | u) = count(u w) / count(u) if u w is seen,
    else backoff * count(w) / N.  The first word has no t: score(w | start).
-3. Texts are read once, into chunks of about FLUSH words.  No table of n-grams
-   is ever collected or broadcast: a chunk sends each distinct key with its
-   multiplicity to the partition of the key's hash, once; there the keys of all
-   chunks are summed, and each chunk gets the sums of its own keys back.  A
+3. Texts are read once, into a table of chunks of about FLUSH words: the words'
+   hashes, most frequent first, and the texts as ranks in them.  No table of
+   n-grams is ever collected or broadcast: a chunk sends each distinct key with
+   its multiplicity to the partition of the key's hash, once; there the keys of
+   all chunks are summed, and each chunk gets the sums of its own keys back.  A
    frequent key so brings a partition no more than one entry a chunk.
 4. Words and bigrams go first.  A trigram can only be seen as often as both of
    its bigrams, so trigrams go a second time where both are seen; no other can
-   count.  Between the two exchanges stands a table, and the first one's files
-   go.  A chunk keeps its words (by rank of frequency, so that they pack well)
-   and the first sums, and finds its bigrams and trigrams anew from them.  What needs the number of documents or of all tokens is kept as
-   multiples of their logarithms to the end.
+   count.  What needs the number of documents or of all tokens is kept as
+   multiples of their logarithms to the end.  Every exchange ends in a table, and
+   its files go then.
 
 N-grams are told apart by 64-bit hashes.
 
@@ -43,9 +43,10 @@ from .common import LOWER, SpanHasher, chunks, mix, text_bytes, trim, word_spans
 PID_BYTES = 8 << 20
 FLUSH = 2_000_000
 START = np.uint64(0x14057B7EF767814F)
-#: pid is the partition of the keys, or -1 - chunk in the one row with what the chunk keeps for itself: documents, and packed arrays.
-BLOB = pa.schema([("pid", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("times", pa.binary()), ("docs", pa.list_(pa.int64())), ("kept", pa.list_(pa.binary()))])
-PART = pa.schema([("chunk", pa.int64()), ("pid", pa.int64()), ("sums", pa.binary()), ("docs", pa.list_(pa.int64())), ("kept", pa.list_(pa.binary()))])
+#: A chunk: its documents, their numbers of words, their words as places in `words`, and those words' hashes.
+CHUNK = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("n", pa.binary()), ("w", pa.binary()), ("words", pa.binary())])
+ASKED = pa.schema([("pid", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("times", pa.binary())])
+SUMMED = pa.schema([("chunk", pa.int64()), ("step", pa.int64()), ("pid", pa.int64()), ("sums", pa.binary())])
 #: `known` is the part of logprob that needs no more counts; the others are what multiplies the logarithms.
 SUMS = "doc_id long, n_tokens long, known double, of_start long, of_total long"
 
@@ -66,6 +67,7 @@ def unpacked(b: bytes, kind: type = np.int64) -> np.ndarray:
 
 
 def packed_keys(ascending: np.ndarray) -> bytes:
+    """Keys as differences; they pack best in ascending order."""
     return packed(np.diff(ascending, prepend=np.uint64(0)))
 
 
@@ -74,44 +76,41 @@ def unpacked_keys(b: bytes) -> np.ndarray:
 
 
 def batch(schema: pa.Schema, **cols: list) -> pa.RecordBatch:
-    size = len(next(iter(cols.values())))
-    return pa.RecordBatch.from_arrays([pa.array(cols.get(f.name, [None] * size), f.type) for f in schema], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in schema], schema=schema)
 
 
-def asked(chunk: int, key: np.ndarray, times: np.ndarray, pids: int, docs: list, kept: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """The rows by which a chunk sends its distinct keys to their partitions (ranges of the hash), and the row it keeps."""
-    order = np.argsort(key)
-    key, times = key[order], times[order]
+def asked(chunk: int, key: np.ndarray, times: np.ndarray, pids: int) -> Iterator[pa.RecordBatch]:
+    """The rows by which a chunk sends its distinct keys, in ascending order, to their partitions (ranges of the hash)."""
+    if not len(key):
+        return
     pid = (((key >> np.uint64(32)) * np.uint64(pids)) >> np.uint64(32)).astype(np.int64)
-    cut = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1], [True]])) if len(pid) else np.zeros(1, np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1], [True]]))
     spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-    if spans:
-        yield batch(BLOB, pid=pid[cut[:-1]], chunk=[chunk] * len(spans), keys=[packed_keys(key[a:b]) for a, b in spans], times=[packed(times[a:b]) for a, b in spans])
-    yield batch(BLOB, pid=[-1 - chunk], chunk=[chunk], docs=[docs], kept=[kept])
-
-
-def summed(table: pa.Table) -> pa.Table:
-    """A partition's sums over all chunks, for each chunk's keys; a row that a chunk keeps goes through."""
-    if table.column("pid")[0].as_py() < 0:
-        return table.append_column("sums", pa.nulls(len(table), pa.binary())).select(PART.names).cast(PART)
-    keys = [unpacked_keys(x.as_py()) for x in table.column("keys")]
-    u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    places = np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
-    sums = np.zeros(len(u), dtype=np.int64)
-    for at, x in zip(places, table.column("times"), strict=True):
-        sums[at] += unpacked(x.as_py())  # distinct within a chunk
-    out = batch(PART, chunk=table.column("chunk").to_pylist(), pid=table.column("pid").to_pylist(), sums=[packed(sums[at]) for at in places])
-    del keys, u, inverse, places, sums
-    trim()
-    return pa.Table.from_batches([out])
-
-
-def answered(table: pa.Table) -> tuple[int, list, list[bytes], np.ndarray]:
-    """A chunk's number, documents and what it kept, and the sums of its keys in ascending order of the keys."""
-    own = table.filter(table.column("docs").is_valid()).to_pylist()[0]
-    rest = table.filter(table.column("sums").is_valid())
-    back = sorted(zip(rest.column("pid").to_pylist(), rest.column("sums").to_pylist(), strict=True))
-    return own["chunk"], own["docs"], own["kept"], np.concatenate([np.zeros(0, np.int64), *(unpacked(b) for _, b in back)])
+    yield batch(ASKED, pid=pid[cut[:-1]], chunk=[chunk] * len(spans), keys=[packed_keys(key[a:b]) for a, b in spans], times=[packed(times[a:b]) for a, b in spans])
+
+
+def summed(step: int):
+    """A partition's sums over all chunks, for each chunk's keys."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [unpacked_keys(x.as_py()) for x in table.column("keys")]
+        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        places = np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
+        sums = np.zeros(len(u), dtype=np.int64)
+        for at, x in zip(places, table.column("times"), strict=True):
+            sums[at] += unpacked(x.as_py())  # distinct within a chunk
+        out = batch(SUMMED, chunk=table.column("chunk").to_pylist(), step=[step] * len(table), pid=table.column("pid").to_pylist(), sums=[packed(sums[at]) for at in places])
+        del keys, u, inverse, places, sums
+        trim()
+        return pa.Table.from_batches([out])
+
+    return run
+
+
+def answered(table: pa.Table, step: int) -> np.ndarray:
+    """The sums of a chunk's keys in ascending order of the keys."""
+    back = sorted((p, b) for s, p, b in zip(*(table.column(c).to_pylist() for c in ("step", "pid", "sums")), strict=True) if s == step)
+    return np.concatenate([np.zeros(0, np.int64), *(unpacked(b) for _, b in back)])
 
 
 def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -129,8 +128,8 @@ def bigrams(w: np.ndarray, n: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarra
     return u, at, pair_keys(np.append(hashes, START)[a], hashes[b]), times
 
 
-def written_counts(batches: Iterator[pa.RecordBatch], pids: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of texts, asking for the counts of their words and bigrams."""
+def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as CHUNK rows."""
     from pyspark import TaskContext
 
     hasher, task, made, size = SpanHasher(), TaskContext.get().partitionId(), 0, 0
@@ -142,11 +141,8 @@ def written_counts(batches: Iterator[pa.RecordBatch], pids: int) -> Iterator[pa.
         nonlocal made, size
         hashes, w, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
         order = np.argsort(-times, kind="stable")
-        hashes, w, times, n = hashes[order], np.argsort(order)[w], times[order], np.concatenate(sizes)
-        words.clear(), sizes.clear()
-        _, _, key, pair_times = bigrams(w, n, hashes)
-        yield from asked((task << 24) + made, np.concatenate([hashes, key]), np.concatenate([times, pair_times]), pids, list(ids), [packed(n), packed(w), hashes.astype("<u8").tobytes()])
-        ids.clear()
+        yield batch(CHUNK, chunk=[(task << 24) + made], docs=[list(ids)], n=[packed(np.concatenate(sizes))], w=[packed(np.argsort(order)[w])], words=[packed_keys(hashes[order])])
+        words.clear(), sizes.clear(), ids.clear()
         made, size = made + 1, 0
         trim()
 
@@ -164,32 +160,43 @@ def written_counts(batches: Iterator[pa.RecordBatch], pids: int) -> Iterator[pa.
         yield from flush()
 
 
+class Grams:
+    """A chunk's words and bigrams."""
+
+    def __init__(self, chunk: dict) -> None:
+        self.n, self.w, self.words = unpacked(chunk["n"]), unpacked(chunk["w"]), unpacked_keys(chunk["words"])
+        self.u, self.at, self.pairs, self.pair_times = bigrams(self.w, self.n, self.words)
+        self.order = np.argsort(np.concatenate([self.words, self.pairs]))
+
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        times = np.concatenate([np.bincount(self.w, minlength=len(self.words)), self.pair_times])
+        return np.concatenate([self.words, self.pairs])[self.order], times[self.order]
+
+
 class Counted:
-    """A chunk's n-grams with the counts of its words and bigrams: what is certain, and the trigrams that may be seen."""
+    """What the counts of a chunk's words and bigrams make certain, and the trigrams that may be seen."""
 
-    def __init__(self, kept: list[bytes], sums: np.ndarray, least_count: int, backoff: float) -> None:
-        less = math.log(backoff)
-        self.n, w, hashes = unpacked(kept[0]), unpacked(kept[1]), np.frombuffer(kept[2], "<u8")
-        u, at, key, _ = bigrams(w, self.n, hashes)
+    def __init__(self, g: Grams, sums: np.ndarray, least_count: int, backoff: float) -> None:
+        less, words = math.log(backoff), len(g.words)
+        self.n = g.n
         count = np.empty(len(sums), dtype=np.int64)
-        count[np.argsort(np.concatenate([hashes, key]))] = sums
-        row = np.repeat(np.arange(len(self.n)), self.n)
-        cu, cw, both = np.append(count[: len(hashes)], 1)[u], count[w], count[len(hashes) :][at]  # the start mark's count comes last
-        first, seen = u == len(hashes), both >= least_count
+        count[g.order] = sums
+        row = np.repeat(np.arange(len(g.n)), g.n)
+        cu, cw, both = np.append(count[:words], 1)[g.u], count[g.w], count[words:][g.at]  # the start mark's count comes last
+        first, seen = g.u == words, both >= least_count
         two = np.where(seen, np.log(both) - np.log(cu), less + np.log(cw))  # score(w | u), but for log N and the start mark
         known = two + np.where(first, 0.0, less)
-        before = np.roll(seen, 1) & ~first
-        ask = np.flatnonzero(seen & before)
+        ask = np.flatnonzero(seen & np.roll(seen, 1) & ~first)
         self.row, self.backed, self.context = row[ask], known[ask], both[ask - 1]
         known[ask] = 0.0
-        self.known = np.bincount(row, weights=known, minlength=len(self.n))
-        self.of_start, self.of_total = (np.bincount(row[x], minlength=len(self.n)) for x in (seen & first, ~seen))
+        self.known = np.bincount(row, weights=known, minlength=len(g.n))
+        self.of_start, self.of_total = (np.bincount(row[x], minlength=len(g.n)) for x in (seen & first, ~seen))
         # distinct trigrams, as pairs of bigrams t u and u w, in ascending order of their hashes
-        pair, place, times = np.unique(at[ask - 1] * max(len(key), 1) + at[ask], return_inverse=True, return_counts=True)
-        left, right = np.divmod(pair, max(len(key), 1))
-        three = pair_keys(key[left], mix(key[right], 23))
+        pair, place, self.times = np.unique(g.at[ask - 1] * max(len(g.pairs), 1) + g.at[ask], return_inverse=True, return_counts=True)
+        left, right = np.divmod(pair, max(len(g.pairs), 1))
+        three = pair_keys(g.pairs[left], mix(g.pairs[right], 23))
         order = np.argsort(three)
-        self.keys, self.times, self.place = three[order], times[order], np.argsort(order)[place]
+        self.keys, self.times, self.place = three[order], self.times[order], np.argsort(order)[place]
 
 
 def lm_scores(docs: DataFrame, least_count: int = 2, backoff: float = 0.4) -> DataFrame:
@@ -197,29 +204,36 @@ def lm_scores(docs: DataFrame, least_count: int = 2, backoff: float = 0.4) -> Da
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pids = max(8, -(-text_bytes(slim) // PID_BYTES))
 
-    def resolve(table: pa.Table) -> pa.Table:
-        chunk, ids, kept, sums = answered(table)
-        c = Counted(kept, sums, least_count, backoff)
-        out = list(asked(chunk, c.keys, c.times, pids, ids, [*kept, packed(sums)]))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                chunk = b.slice(i, 1).to_pylist()[0]
+                yield from asked(chunk["chunk"], *Grams(chunk).asked(), pids)
+                trim()
+
+    def ask_more(chunk: pa.Table, sums: pa.Table) -> pa.Table:
+        chunk = chunk.to_pylist()[0]
+        c = Counted(Grams(chunk), answered(sums, 1), least_count, backoff)
+        out = pa.Table.from_batches(list(asked(chunk["chunk"], c.keys, c.times, pids)), ASKED)
         del c
         trim()
-        return pa.Table.from_batches(out)
+        return out
 
-    def gather(table: pa.Table) -> pa.Table:
-        _, ids, kept, sums = answered(table)
-        c = Counted(kept[:-1], unpacked(kept[-1]), least_count, backoff)
-        three = sums[c.place]
+    def gather(chunk: pa.Table, sums: pa.Table) -> pa.Table:
+        chunk = chunk.to_pylist()[0]
+        c, three = Counted(Grams(chunk), answered(sums, 1), least_count, backoff), answered(sums, 2)
+        three = three[c.place]
         known = c.known + np.bincount(c.row, weights=np.where(three >= least_count, np.log(np.maximum(three, 1)) - np.log(c.context), c.backed), minlength=len(c.n))
-        out = pa.table([pa.array(ids, pa.int64()), *map(pa.array, (c.n, known, -c.of_start, -c.of_total))], names=[x.split()[0] for x in SUMS.split(", ")])
+        out = pa.table([pa.array(chunk["docs"], pa.int64()), *map(pa.array, (c.n, known, -c.of_start, -c.of_total))], names=[x.split()[0] for x in SUMS.split(", ")])
         del c, three
         trim()
         return out
 
-    blobs = slim.mapInArrow(lambda batches: written_counts(batches, pids), from_arrow_schema(BLOB))
-    table = written(blobs.groupBy("pid").applyInArrow(summed, from_arrow_schema(PART)).groupBy("chunk").applyInArrow(resolve, from_arrow_schema(BLOB)), "lm-trigrams")
-    answers = table.where("pid >= 0").select("pid", "chunk", "keys", "times", "docs", "kept").groupBy("pid").applyInArrow(summed, from_arrow_schema(PART))
-    own = table.where("pid < 0").select("chunk", "pid", F.lit(None).cast("binary").alias("sums"), "docs", "kept")
-    parts = answers.unionByName(own).groupBy("chunk").applyInArrow(gather, SUMS)
+    corpus = written(slim.mapInArrow(chunk_rows, from_arrow_schema(CHUNK)), "lm-chunks")
+    first = written(corpus.mapInArrow(ask, from_arrow_schema(ASKED)).groupBy("pid").applyInArrow(summed(1), from_arrow_schema(SUMMED)), "lm-bigrams")
+    more = corpus.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(ask_more, from_arrow_schema(ASKED))
+    second = written(more.groupBy("pid").applyInArrow(summed(2), from_arrow_schema(SUMMED)), "lm-trigrams")
+    parts = corpus.groupBy("chunk").cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(gather, SUMS)
     sums = written(parts, "lm")
     start, total = (math.log(max(x or 0, 1)) for x in sums.agg(F.sum((F.col("n_tokens") > 0).cast("long")), F.sum("n_tokens")).first())
 
