@@ -92,6 +92,34 @@ def trim() -> None:
         return
 
 
+def counters(df: DataFrame, slots_of, size: int, ranges: int = 64) -> np.ndarray:
+    """How often slots_of(batch), arrays of places below size, names each place over all of df.
+
+    A sketch of a fixed size: a task keeps one array, sends it in `ranges`
+    compressed parts, and the driver gets `size` sums of 32 bits (at most 2^32 - 1).
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.uint64)
+        for b in batches:
+            for x in slots_of(b):
+                np.add.at(total, x, np.uint64(1))
+        parts = [(r, pa.compress(x.tobytes(), codec="zstd", asbytes=True)) for r, x in enumerate(np.split(total, ranges)) if x.any()]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["r", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(size // ranges, dtype=np.uint64)
+        for x in table.column("counts"):
+            total += np.frombuffer(pa.decompress(x.as_buffer(), 8 * len(total), codec="zstd", asbytes=True), dtype=np.uint64)
+        return pa.table({"r": table.column("r")[:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
+
+    out = np.zeros((ranges, size // ranges), dtype=np.uint32)
+    for r, counts in df.mapInArrow(count, "r int, counts binary").groupBy("r").applyInArrow(add, "r int, counts binary").collect():
+        out[r] = np.frombuffer(counts, dtype="<u4")
+    return out.ravel()
+
+
 # ------------------------------------------------------------------- hashing
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """splitmix64 finaliser on uint64 arrays."""

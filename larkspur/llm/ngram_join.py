@@ -56,7 +56,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import SpanHasher, chunks, mix, pack48, shingles, text_bytes, trim, unpack48, written
+from .common import SpanHasher, chunks, counters, mix, pack48, shingles, text_bytes, trim, unpack48, written
 from .components import components
 
 PID_BYTES = 32 << 20
@@ -67,7 +67,6 @@ CLUSTER_BYTES = 32 << 20
 BIN_BYTES = 8 << 20
 MERGED = 4096
 SLOTS = 1 << 20
-SLOT_RANGES = 64
 NARROW_GROUPS = 4000
 BROADCAST_ROWS = 1_000_000
 STEP = 1.5
@@ -235,28 +234,8 @@ def slots(u: np.ndarray) -> np.ndarray:
 
 
 def rarity(sets: DataFrame) -> np.ndarray:
-    """How many shingles of sets (key, shingles) each of SLOTS counters got; a fixed size, whatever the sets'."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.uint64)
-        for b in batches:
-            for x in b.column("shingles"):
-                np.add.at(total, slots(np.frombuffer(x.as_buffer(), dtype=np.uint64)), 1)
-        parts = [(r, pa.compress(x.tobytes(), codec="zstd", asbytes=True)) for r, x in enumerate(np.split(total, SLOT_RANGES)) if x.any()]
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["r", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        size = SLOTS // SLOT_RANGES
-        total = np.zeros(size, dtype=np.uint64)
-        for x in table.column("counts"):
-            total += np.frombuffer(pa.decompress(x.as_buffer(), 8 * size, codec="zstd", asbytes=True), dtype=np.uint64)
-        return pa.table({"r": table.column("r")[:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
-
-    out = np.zeros((SLOT_RANGES, SLOTS // SLOT_RANGES), dtype=np.uint32)
-    for r, counts in sets.select("shingles").mapInArrow(count, "r int, counts binary").groupBy("r").applyInArrow(add, "r int, counts binary").collect():
-        out[r] = np.frombuffer(counts, dtype="<u4")
-    return out.ravel()
+    """How many shingles of sets (key, shingles) each of SLOTS counters got."""
+    return counters(sets.select("shingles"), lambda b: (slots(np.frombuffer(x.as_buffer(), dtype=np.uint64)) for x in b.column("shingles")), SLOTS)
 
 
 def rarest(u: np.ndarray, counts: np.ndarray, sim: Similarity) -> np.ndarray:

@@ -7,6 +7,14 @@ those counts estimates each rule's accuracy and the share of good documents.
 The posterior probability that a document is good replaces all-must-pass
 filtering.
 
+The rules hold for any script and language.  None has a word list: what words
+are common is counted in the corpus itself (documents by hashed word, in a sketch
+of `SLOTS` counters; a word of `COMMON_SHARE` of the documents, and of two, is
+common).  Measures that rise and fall together (symbols and letters; repeated
+windows and lines) are one rule, as the model takes rules to be independent.
+Letters are Unicode's letters and marks.  Where a third of a text or more is of a script without spaces between words,
+the rules on words abstain.
+
 Defined results: a null text has no words; every row gets its own verdict;
 repeated rows get equal ones; other columns are not read.
 """
@@ -14,18 +22,51 @@ repeated rows get equal ones; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHasher, chunks, line_spans, mix, word_spans, written
+from .common import LOWER, SpanHasher, chunks, counters, line_spans, mix, word_spans, written
 
-COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_letters long, n_stop long, n_lines long, n_distinct long"
-#: The symbols counted, and frequent short words of four languages.
+COUNTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_letters long, n_unspaced long, n_common long, n_lines long, n_distinct long"
+#: The symbols counted, and the blocks of scripts written without spaces between words (Thai to Burmese, Khmer, kana, Han).
 SYMBOLS = b"#*$%&|<>"
-STOP_WORDS = "the of and to in a is that for on with le la les de des et un une du est que der die das und ein eine zu den von mit el los las y en del por con se".split()
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
+
+
+SLOTS = 1 << 20
+COMMON_SHARE = 0.02
+
+
+def slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(44)).astype(np.int64)
+
+
+def common_words(docs: DataFrame) -> np.ndarray:
+    """Which slots of hashed words (A-Z lower-cased) are common."""
+
+    def of(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        hasher = SpanHasher()
+        for c in chunks(b.column("text")):
+            starts, ends, first = word_spans(c)
+            low = hasher.spans(LOWER[c.data], starts, ends)
+            yield slots(low[~_not_first(low, np.repeat(np.arange(c.n), np.diff(first)))])
+
+    least = max(2, -(-docs.count() * COMMON_SHARE // 1))
+    return np.packbits(counters(docs.select("text"), of, SLOTS) >= least)
+
+
+@cache
+def code_point_kinds() -> np.ndarray:
+    """By code point: 1 a letter or mark, 3 one of a script without spaces, 0 other."""
+    out = np.fromiter((category(chr(i))[0] in "LM" for i in range(0x110000)), dtype=np.uint8, count=0x110000)
+    for a, b in UNSPACED:
+        out[a : b + 1] *= 3
+    return out
 
 
 def repeated_in_row(h: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -41,6 +82,7 @@ def repeated_in_row(h: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 def text_counts(docs: DataFrame, window: int = 5) -> DataFrame:
     """COUNTS of every row: the base counts and what the rules vote on."""
+    bits = common_words(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
@@ -48,13 +90,7 @@ def text_counts(docs: DataFrame, window: int = 5) -> DataFrame:
         symbol[list(SYMBOLS)] = 1
         lead = np.ones(256, dtype=np.int64)
         lead[0x80:0xC0] = 0
-        letter = np.zeros(256, dtype=np.int64)
-        letter[65:91] = letter[97:123] = 1
-        letter[0xC3:0xE0] = 1  # two-byte characters beyond Latin-1 signs are letters nearly always
-        stop = [w.encode() for w in STOP_WORDS]
-        joined = np.frombuffer(b"".join(stop), dtype=np.uint8)
-        cut = np.cumsum([0, *map(len, stop)])
-        stop_h = np.sort(hasher.spans(joined, cut[:-1], cut[1:]))
+        kinds, common = code_point_kinds(), np.unpackbits(bits)
 
         def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             total = np.concatenate([[0], np.cumsum(values)])
@@ -70,7 +106,8 @@ def text_counts(docs: DataFrame, window: int = 5) -> DataFrame:
                 word_chars = per_row(chars[ends] - chars[starts], first)
                 exact = hasher.spans(c.data, starts, ends)
                 low = hasher.spans(LOWER[c.data], starts, ends)
-                is_stop = stop_h[np.minimum(np.searchsorted(stop_h, low), len(stop_h) - 1)] == low
+                kind = kinds[np.frombuffer(c.data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+                places = chars[c.offsets]
                 # words in windows found twice or more
                 cover = np.zeros(len(exact) + 1, dtype=np.int64)
                 whole = np.flatnonzero(np.arange(len(exact)) + window <= first[1:][row]) if len(row) else row
@@ -91,7 +128,7 @@ def text_counts(docs: DataFrame, window: int = 5) -> DataFrame:
                 lrow = np.repeat(np.arange(c.n), np.diff(lf))
                 lh = hasher.spans(c.data, ls[solid], le[solid])
                 dup = np.bincount(lrow[solid][_not_first(lh, lrow[solid])], minlength=c.n)
-                cols = [n, word_chars, per_row(symbol[c.data], c.offsets), dup, repeat, per_row(letter[c.data], c.offsets), per_row(is_stop.astype(np.int64), first), np.bincount(lrow[solid], minlength=c.n), distinct]
+                cols = [n, word_chars, per_row(symbol[c.data], c.offsets), dup, repeat, per_row((kind > 0).astype(np.int64), places), per_row((kind == 3).astype(np.int64), places), per_row(common[slots(low)].astype(np.int64), first), np.bincount(lrow[solid], minlength=c.n), distinct]
                 yield pa.RecordBatch.from_arrays([doc.slice(c.first, c.n), *(pa.array(x.astype(np.int64)) for x in cols)], names=[x.split()[0] for x in COUNTS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, COUNTS)
@@ -111,26 +148,29 @@ def rule_votes() -> dict[str, F.Column]:
     def vote(good, bad):
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    mean = F.col("word_chars") / n
-    symbols = F.col("n_symbols") / n
-    letters = F.col("n_letters") / F.greatest(F.col("word_chars"), F.lit(1))
-    stops = F.col("n_stop") / n
-    repeats = F.col("n_repeat_words") / n
-    dups = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
-    short = F.col("n_words") < 30
+    n, chars = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars"))
+    mean, symbols, letters = F.col("word_chars") / n, F.col("n_symbols") / n, F.col("n_letters") / chars
+    repeats, dups = F.col("n_repeat_words") / n, F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
+    short, lines = F.col("n_words") < 30, F.col("n_lines") >= 3
+    spaced = F.col("n_unspaced") * 3 < F.col("word_chars")
+    distinct, commons = F.col("n_distinct") / n, F.col("n_common") / n
     return {
-        "length": F.when(F.col("n_words") < 10, -1).otherwise(0),
-        "mean_word": F.when((mean < 2) | (mean > 15), -1).otherwise(0),
-        "symbols": vote(symbols <= 0.02, symbols > 0.2),
-        "letters": F.when(short, 0).otherwise(vote(letters >= 0.85, letters < 0.6)),
-        "stop_words": F.when(short, 0).otherwise(vote(stops >= 0.1, stops < 0.01)),
-        "repeats": F.when(short, 0).otherwise(vote(repeats <= 0.05, repeats > 0.2)),
-        "dup_lines": F.when(short | (F.col("n_lines") < 3), 0).otherwise(vote(dups <= 0.1, dups > 0.3)),
+        "length": F.when(spaced & (F.col("n_words") < 10), -1).otherwise(0),
+        "mean_word": F.when(spaced & ((mean < 2) | (mean > 15)), -1).otherwise(0),
+        "characters": vote((symbols <= 0.02) & (letters >= 0.8), (symbols > 0.2) & spaced | ~short & (letters < 0.6)),
+        "repetition": F.when(short, 0).otherwise(vote((repeats <= 0.05) & (~lines | (dups <= 0.1)), (repeats > 0.2) | lines & (dups > 0.3))),
+        "vocabulary": F.when(~spaced | short, 0).otherwise(vote(commons >= 0.35, (commons < 0.2) & (commons > 0.02))),
+        "recurrence": F.when(~spaced | (F.col("n_words") < 200), 0).otherwise(vote(distinct <= 0.85, distinct > 0.95)),
     }
 
 
-def fit_votes(votes: np.ndarray, counts: np.ndarray, steps: int = 200, prior: tuple[float, float] = (0.6, 0.98), strength: float = 0.02) -> tuple[np.ndarray, float]:
+#: Bounds for the share of good documents that a rule may vote for, of those it votes on: a vote against on the measures of form
+#: is hardly ever wrong, while common words may be lacking because the corpus has little of a language.
+TRUST = {"vocabulary": (0.9, 0.97), "recurrence": (0.95, 0.99)}
+FORM = (0.995, 0.9999)
+
+
+def fit_votes(votes: np.ndarray, counts: np.ndarray, steps: int = 200, prior: tuple[float, float] = (0.6, 0.98), strength: float = 0.02, bounds: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Rules' log-odds weights [rule, vote + 1] and the log-odds of a good document, by EM.
 
     For either class a rule has a probability of voting good, given that it
@@ -138,23 +178,29 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, steps: int = 200, prior: tu
     start at `prior` (in bad documents, in good ones: a vote against is rare on
     good text, while most rules miss most kinds of bad text) and stay near it by
     a Beta prior whose weight is `strength` of the votes; this also keeps the
-    classes from changing places.
+    classes from changing places.  bounds [rule, 2] are for the good class; in
+    bad documents a rule then votes good at least half the time.
     """
     total = counts.sum()
     up, down = (votes > 0).astype(float), (votes < 0).astype(float)
     base = np.stack([np.full(votes.shape[1], x) for x in prior])  # class, rule: of a good vote
+    low, high = (np.full_like(base, 1e-9), np.full_like(base, 1 - 1e-9)) if bounds is None else (np.stack([np.full(len(bounds), 0.5), bounds[:, 0]]), np.stack([np.full(len(bounds), 0.9), bounds[:, 1]]))
     cast = counts @ (up + down) * strength + 1
-    theta, share = base.copy(), 0.9
+    theta, share = np.clip(base, low, high), 0.9
+
+    def odds() -> tuple[np.ndarray, np.ndarray]:
+        return np.log(theta[1] / theta[0]), np.log((1 - theta[1]) / (1 - theta[0]))
+
     for _ in range(steps):
-        odds = np.log(theta[1] / theta[0]), np.log((1 - theta[1]) / (1 - theta[0]))
-        p = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + up @ odds[0] + down @ odds[1])))
-        new = np.stack([((counts * w) @ up + base[c] * cast) / ((counts * w) @ (up + down) + cast) for c, w in ((0, 1 - p), (1, p))])
+        good, bad = odds()
+        p = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + up @ good + down @ bad)))
+        new = np.clip(np.stack([((counts * w) @ up + base[c] * cast) / ((counts * w) @ (up + down) + cast) for c, w in ((0, 1 - p), (1, p))]), low, high)
         moved = np.abs(new - theta).max()
         theta, share = new, float(np.clip((counts * p).sum() / max(total, 1), 0.02, 0.98))
         if moved < 1e-9:
             break
-    odds = np.log(theta[1] / theta[0]), np.log((1 - theta[1]) / (1 - theta[0]))
-    return np.stack([odds[1], np.zeros_like(odds[0]), odds[0]], axis=1), float(np.log(share / (1 - share)))
+    good, bad = odds()
+    return np.stack([bad, np.zeros_like(good), good], axis=1), float(np.log(share / (1 - share)))
 
 
 def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -165,7 +211,7 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     names = [f"vote_{k}" for k in rules]
     patterns = voted.groupBy(*names).count().collect()  # at most 3^rules rows
     table = np.array([[r[x] for x in names] for r in patterns], dtype=int).reshape(-1, len(names))
-    weights, bias = fit_votes(table, np.array([r["count"] for r in patterns], dtype=float))
+    weights, bias = fit_votes(table, np.array([r["count"] for r in patterns], dtype=float), bounds=np.array([TRUST.get(k, FORM) for k in rules]))
     logit = F.lit(bias)
     for k, w in zip(names, weights, strict=True):
         logit = logit + F.when(F.col(k) < 0, float(w[0])).when(F.col(k) == 0, float(w[1])).otherwise(float(w[2]))

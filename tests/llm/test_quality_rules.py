@@ -48,3 +48,23 @@ def test_em_recovers_accuracies():
     weights, bias = qr.fit_votes(table, counts.astype(float), prior=(0.3, 0.7), strength=0.001)
     score = bias + sum(weights[i, votes[:, i] + 1] for i in range(4))
     assert ((score > 0) == good).mean() > 0.95
+
+
+SCRIPTS = {"english": "abcdefghilmnoprstu", "russian": "абвгдежзиклмнопрсту", "hindi": "कखगचजटतदनपबमयरलवशसहािीेो", "korean": "가나다라마바사아자차카타파하고노도로", "thai": "กขคงจชดตนบปมยรลวสอาิีุเแ", "chinese": "的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年"}
+
+
+def test_clean_texts_of_every_script_are_kept_alike(spark):
+    import random
+
+    rng, rows, junk = random.Random(6), [], []
+    for k, (name, letters) in enumerate(SCRIPTS.items()):
+        unspaced = name in ("thai", "chinese")
+        lexicon = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(400)]
+        for i in range(600 if name == "english" else 100):
+            words = [lexicon[int(400 * rng.random() ** 3)] for _ in range(240)]
+            rows.append((1000 * k + i, " ".join("".join(words[j : j + 8]) for j in range(0, 240, 8)) if unspaced else " ".join(words)))
+    for i in range(80):
+        junk.append((9000 + i, " ".join(rng.choice("abcdefgh") * 3 + rng.choice(["###", "$$$"]) for _ in range(100)) if i % 2 else " ".join(f"{rng.randrange(10**9)}" for _ in range(60))))
+    kept = {r.doc_id: r.kept for r in qr.quality_report(spark.createDataFrame(rows + junk, "doc_id long, text string")).collect()}
+    assert all(kept[i] for i, _ in rows)
+    assert not any(kept[i] for i, _ in junk)
