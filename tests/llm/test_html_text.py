@@ -1,3 +1,10 @@
+import math
+import random
+import time
+from html.parser import HTMLParser
+
+import pytest
+
 from larkspur.llm import html_text as h
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head>
@@ -28,11 +35,107 @@ def page(i, host):
 
 
 def test_style_tree_takes_out_what_a_site_repeats(spark):
-    rows = [page(i, "a.example") for i in range(30)] + [page(100 + i, "b.example") for i in range(5)] + [page(0, "a.example"), (None, None, None), (7, "nohost", "<p>x</p>"), (8, None, "")]
+    rows = [page(i, "a.example") for i in range(30)] + [page(100 + i, "b.example") for i in range(5)] + [page(200 + i, "c.example") for i in range(2)]
+    rows += [page(0, "a.example"), (None, None, None), (7, "nohost", "<p>x</p>"), (8, None, "")]
     pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
     got = sorted((str(r.page_id), r.text, r.n_chars) for r in h.extract(pages).collect())
-    want = [(str(i), f"text number {i} of a.example", 0) for i in [*range(30), 0]] + [(str(100 + i), f"text number {100 + i} of b.example\n\nAll about b.example", 0) for i in range(5)] + [("None", "", 0), ("7", "x", 0), ("8", "", 0)]
-    assert got == sorted((a, t, len(t)) for a, t, _ in want)
+    want = [(str(i), f"text number {i} of a.example") for i in [*range(30), 0]] + [(str(100 + i), f"text number {100 + i} of b.example") for i in range(5)]
+    want += [(str(200 + i), f"text number {200 + i} of c.example\n\nAll about c.example") for i in range(2)] + [("None", ""), ("7", "x"), ("8", "")]
+    assert got == sorted((a, t, len(t)) for a, t in want)
+
+
+def test_a_plain_paragraph_of_the_whole_site_goes_and_articles_stay(spark):
+    """The paragraph has the path of the article's own, so only its content gives it away."""
+    rows = [(i, f"https://s.example/{i}", f"<body><article><p>story {i} begins here</p><p>Read our terms of use.</p><p>and story {i} ends</p></article></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"story {i} begins here\n\nand story {i} ends" for i in range(12)}
+
+
+@pytest.mark.parametrize("name", ["post with-sidebar", "ad-hoc-query", "related-work", "comment-on-law", "alert-box", "login-tutorial", "social-share-price"])
+def test_names_alone_take_out_no_article(name):
+    for tag in ("div", "article", "section"):
+        assert h.main_text(f"<body><{tag} class='{name}'><p>Whole article</p></{tag}></body>") == "Whole article"
+    assert h.main_text(f"<body><article><h1>T</h1><div class='{name}'><p>{'Whole article. ' * 30}</p></div></article></body>").startswith("T\n\nWhole article.")
+
+
+def test_large_comments_go():
+    story, talk = "A story of some length, told with care. " * 6, "<p>I like it a lot!</p>" * 200
+    assert h.main_text(f"<article><p>{story}</p><div id=comments>{talk}</div></article>") == story.strip()
+
+
+def test_order_and_main():
+    assert h.main_text("<div><div><article>FIRST</article></div></div><article>SECOND</article>") == "FIRST\n\nSECOND"
+    assert h.main_text("<main><h1>Title</h1><p>Main story text</p><article>related card</article></main>") == "Title\n\nMain story text\n\nrelated card"
+    assert h.main_text("<article><p>x</p><section id='related'>Related work</section></article>") == "x\n\nRelated work"
+
+
+@pytest.mark.parametrize("source", ["<div>" * 60_000 + "</b>" * 60_000, "<b><article>" + "<i>" * 60_000 + "</b>" * 60_000, "<span>" * 50_000 + "<div></div>" * 50_000, "<div>" * 60_000 + "</body>" * 60_000, "<article>" * 50_000 + "</body>" * 50_000, "<p>a<b>" * 80_000, "<a b='" * 100_000, "<div class=ad>x" * 40_000, "<li><span>" * 60_000])
+def test_pages_of_stray_tags_are_linear(source):
+    def took(s: str) -> float:
+        began = time.process_time()
+        h.main_text(s)
+        h.tree_rows(s)
+        return time.process_time() - began
+
+    assert took(source) < 6
+
+
+class Plain(HTMLParser):
+    """A second extractor, for well-formed pages: the text of blocks outside what tags or names give away."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.out, self.line, self.skip, self.main = [], "", [], 0
+
+    def end(self) -> None:
+        if self.line.split():
+            self.out.append(" ".join(self.line.split()))
+        self.line = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "div", "article", "h1", "ul", "li", "section", "nav", "footer", "form", "blockquote"):
+            self.end()
+        if tag == "br":
+            self.line += " "
+            return
+        if self.skip or tag in ("nav", "footer", "form", "script", "style", "aside") or dict(attrs).get("class") in ("ad", "cookie-notice", "comments"):
+            self.skip.append(tag)
+        self.main += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "div", "article", "h1", "ul", "li", "section", "nav", "footer", "form", "blockquote"):
+            self.end()
+        if self.skip:
+            self.skip.pop()
+        self.main -= tag == "article"
+
+    def handle_data(self, data):
+        if self.main and not self.skip:
+            self.line += data
+
+
+def random_page(rng: random.Random, repeated: str) -> str:
+    words = lambda k: " ".join("".join(rng.choice("abcdeé&<") for _ in range(rng.randrange(1, 7))) for _ in range(k)).replace("&", "&amp;").replace("<", "&lt;")
+    noise = lambda: rng.choice([f"<nav><ul><li>{words(3)}</li></ul></nav>", f'<div class="ad">{words(5)}</div>', f"<form>{words(2)}</form>", f"<script>var x = '{words(2)}';</script>", f'<div class="comments"><p>{words(9)}</p></div>', f"<aside><p>{words(4)}</p></aside>"])
+    part = lambda: rng.choice([f"<p>{words(12)} <b>{words(3)}</b>{words(2)}<br>{words(4)}</p>", f"<ul><li>{words(4)}</li><li>{words(3)}\n {words(2)}</li></ul>", f"<blockquote><p>{words(8)}</p></blockquote>", f"<div><p>{words(9)}</p></div>"])
+    inner = "".join(x for _ in range(rng.randrange(3, 9)) for x in (part(), noise() if rng.random() < 0.4 else ""))
+    return f"<html><head><title>{words(3)}</title></head><body>{noise()}<article><h1>{words(6)}</h1>{inner}<p>{words(40)}</p>{repeated}</article>{noise()}<footer>{words(4)}</footer></body></html>"
+
+
+def test_agrees_with_a_plain_extractor_and_a_plain_tree(spark):
+    rng, rows, want = random.Random(5), [], {}
+    for host, n in (("one.example", 40), ("two.example", 9), ("three.example", 3), ("four.example", 1)):
+        for _ in range(n):
+            source, i = random_page(rng, f"<p>Copyright of {host} since 1999</p>"), len(rows)
+            rows.append((i, f"https://{host}/{i}", source))
+            plain = Plain()
+            plain.feed(source)
+            plain.end()
+            if n + 2 > 1 and 1 - math.log(n) / math.log(n + 2) < 0.2:  # the repeated paragraph is on all n pages
+                plain.out.remove(f"Copyright of {host} since 1999")
+            want[i] = "\n\n".join(plain.out)
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
 
 
 def test_copies_of_one_page_stay_whole(spark):
