@@ -105,10 +105,9 @@ class Encoder:
 
     LIMIT = 150_000
 
-    def __init__(self, tokenizer_path: str, added_tokens: bool = False) -> None:
-        """added_tokens: their strings in a text become their ids, as with the tokenizers library's default setting."""
+    def __init__(self, tokenizer_path: str) -> None:
         self.path, self.library = tokenizer_path, None
-        self.added = added_strings(tokenizer_path) if added_tokens else []
+        self.added = added_strings(tokenizer_path)  # their strings in a text become their ids, as with the library's default setting
         self.encoding = byte_level_encoding(tokenizer_path)
         self.token_bytes = np.asarray([len(self.encoding.decode_single_token_bytes(i)) for i in range(self.encoding.n_vocab)])
         self.classes = char_classes()
@@ -210,7 +209,7 @@ def piece_rows(docs: DataFrame, tokenizer_path: str, length: int, end_id: int, w
         from pyspark import TaskContext
 
         trim()
-        encoder, seen = Encoder(tokenizer_path, added_tokens=True), 0
+        encoder, seen = Encoder(tokenizer_path), 0
         task = TaskContext.get().partitionId() << 40
         for b in batches:
             doc = b.column("doc_id")
