@@ -4,8 +4,10 @@ Each text becomes an 8-bit greyscale PNG, 64 samples a line, whose samples are
 the text's bytes and then the bytes 0 up to the next multiple of 64.  A task
 appends its images to tar shards in the shared folder; a member's name is the
 SHA-256 of the image, and equal images are stored once a shard.  Rows carry
-digest, shard, offset and length.  A second pass reads only each image's first
-33 bytes to fill the metadata columns, and whole ranges to decode payloads.
+digest, shard, offset and length.  `headers` reads only each image's first 33
+bytes to fill metadata columns; `read_back` reads whole ranges and decodes them.
+Either deals its rows by shard and offset, as many as READ_BYTES of media a task.
+Give `folder` to keep the shards; without it they go with the session.
 
 Shards appear under their name only when complete, with a random part for the
 attempt, so a task that runs again never meets half a shard.
@@ -32,8 +34,9 @@ from .common import fresh_path, written
 
 WIDTH = 64
 SHARD_BYTES = 128 << 20
+READ_BYTES = 32 << 20
 PLACED = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
-FEATURES = "doc_id long, n_bytes long, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "doc_id long, n_bytes long, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, length long"
 PNG_MARK = b"\x89PNG\r\n\x1a\n"
 
 
@@ -145,8 +148,35 @@ def feature_of(samples: bytes) -> str:
     return f"{x.mean():.4f};{x.std():.4f};" + ",".join(map(str, bins.tolist()))
 
 
+def by_place(placed: DataFrame) -> DataFrame:
+    """placed, dealt by the media's bytes (the index's own are few) and in the shards' order."""
+    n = max(placed.sparkSession.sparkContext.defaultParallelism, -(-int(placed.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    return placed.repartitionByRange(n, "shard", "offset", F.xxhash64("doc_id")).sortWithinPartitions("shard", "offset")
+
+
+def headers(placed: DataFrame) -> DataFrame:
+    """digest, width and height of every placed row, from 33 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, f = None, None
+        for b in batches:
+            sizes = []
+            for shard, offset in zip(b.column("shard").to_pylist(), b.column("offset").to_pylist(), strict=True):
+                if shard != at:
+                    if f is not None:
+                        f.close()
+                    store_fs, path = filesystem(shard)
+                    at, f = shard, store_fs.open_input_file(path)
+                sizes.append(png_header(f.read_at(33, offset)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), *(pa.array([x[i] for x in sizes], pa.int32()) for i in (0, 1))], names=["doc_id", "digest", "width", "height"])
+        if f is not None:
+            f.close()
+
+    return by_place(placed).mapInArrow(run, "doc_id long, digest string, width int, height int")
+
+
 def read_back(placed: DataFrame) -> DataFrame:
-    """FEATURES of every placed row: metadata from header ranges, the rest from the stored bytes."""
+    """FEATURES of every placed row, from the stored bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in FEATURES.split(", ")]
@@ -162,21 +192,21 @@ def read_back(placed: DataFrame) -> DataFrame:
                     at, f, last = r["shard"], store_fs.open_input_file(path), {}
                 key = r["offset"]
                 if key not in last:
-                    width, height = png_header(f.read_at(33, r["offset"]))
                     image = f.read_at(r["length"], r["offset"])
+                    width, height = png_header(image)
                     if hashlib.sha256(image).hexdigest() != r["digest"]:
                         raise OSError(f"{r['shard']} at {r['offset']}: stored bytes differ from their digest")
                     s = png_samples(image)
                     if len(last) > 256:
                         last.clear()
                     last[key] = (width, height, len(s), hashlib.sha256(s).hexdigest(), zlib.crc32(s[-64:]), len(image), r["digest"], feature_of(s))
-                out.append((r["doc_id"], r["n_bytes"], *last[key]))
+                out.append((r["doc_id"], r["n_bytes"], *last[key], r["shard"], r["offset"], r["length"]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
         if f is not None:
             f.close()
 
-    return placed.mapInArrow(run, FEATURES)
+    return by_place(placed).mapInArrow(run, FEATURES)
 
 
 def members(shard: str) -> list[str]:

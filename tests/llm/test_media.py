@@ -32,4 +32,12 @@ def test_payloads_come_back(spark, odd_docs, no_docs, tmp_path):
     with fs.open_input_file(path) as f:
         image = f.read_at(places[0].length, places[0].offset)
     assert hashlib.sha256(image).hexdigest() == places[0].digest
+    assert {(r.digest, r.width, r.height) for r in media.headers(placed).collect()} == {(r.media_sha256, r.width, r.height) for r in rows}
+    assert {(r.media_sha256, r.shard, r.offset, r.length) for r in rows} == {(r.digest, r.shard, r.offset, r.length) for r in places}
     assert media.media_columns(no_docs).count() == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", "d", "s", 5, 6)], "doc_id long, text string, digest string, shard string, offset long, length long")
+    (r,) = media.media_columns(docs).collect()
+    assert r.payload_bytes == 64 and r.shard.endswith(".tar")
