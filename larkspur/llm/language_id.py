@@ -35,7 +35,6 @@ from .common import chunks, free_name, widened
 BUCKET_BITS = 14
 ORDERS = (2, 3, 4)
 UNKNOWN = "und"
-MOST_LANGUAGES = 200
 MOST_ROWS = 8000
 
 
@@ -118,7 +117,7 @@ def sample_counts(labelled: DataFrame, label: str, sample: int) -> tuple[list[st
 
     rank = F.row_number().over(Window.partitionBy(label).orderBy("h"))
     keyed = labelled.select(label, "text", F.xxhash64("text").alias("h"))
-    rough = keyed.groupBy(label).agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("n")).orderBy(F.desc("rows"), label).limit(MOST_LANGUAGES).select(label, "n")
+    rough = keyed.groupBy(label).agg(F.approx_count_distinct("h").alias("n")).select(label, "n")
     # hash below a bound that keeps about twice the sample, before the exact rank: the rank's groups stay small
     near = keyed.join(F.broadcast(rough), label).where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= 2.0 * sample / F.col("n") + 1e-4)
     picked = near.groupBy(label, "h").agg(F.first("text").alias("text")).withColumn("r", rank).where(F.col("r") <= sample)
@@ -199,7 +198,7 @@ def held_out() -> Column:
 
 def fit(docs: DataFrame, sample: int = 500) -> Model | None:
     labelled = docs.where(training_rows(docs)).select("lang", "text")
-    kinds = min(MOST_LANGUAGES, labelled.select("lang").distinct().count())
+    kinds = labelled.select("lang").distinct().count()
     langs, y, x, held = sample_counts(labelled, "lang", max(20, min(sample, MOST_ROWS // max(1, kinds))))
     return train(langs, y, x, held) if langs else None
 
