@@ -13,9 +13,11 @@ limit, which comes first.
 The budget is the least that leaves every source one whole epoch, so nothing
 is dropped: the source with the lowest rate is read once and others more.
 Epochs are realised as block permutations: a source's rows are dealt by hash
-into blocks of about `block_tokens`; whole epochs take all blocks, and the
-partial last epoch takes blocks in the order of a hash of (source, epoch,
-block) until its budget is met.  A block at the border is taken if at least
+into blocks of about `block_tokens`, or larger ones where that would be more than
+CELLS blocks; every epoch has its own order of them, by a hash of (source,
+epoch, block), and a row carries its epoch, its block and the block's place in
+the epoch.  Whole epochs take all blocks, the partial last one takes them in
+its order until its budget is met; a block at the border is taken if at least
 half of it fits.
 
 Tokens are words [^\\x20\\x09-\\x0D]+.  All steps are DataFrame operations.
@@ -97,9 +99,9 @@ def choose_exponent(totals: DataFrame, entropy_share: float | None, most_repetit
     return Mix(x, int(head["all"]), log_norm, log_scale)
 
 
-def mixed(docs: DataFrame, entropy_share: float | None = None, most_repetition: float | None = 1.25, block_tokens: int = 20_000, least_blocks: int = 64, seed: int = 17) -> tuple[DataFrame, str]:
-    """docs with each row as often as its source's epochs take it, and the name of the column with the epoch (from 0)."""
-    src, n, tot, ep, blocks, block, epochs, chosen = (free_name(docs.columns, x) for x in ("mx_src", "mx_tokens", "mx_total", "mx_epoch", "mx_blocks", "mx_block", "mx_epochs", "mx_chosen"))
+def mixed(docs: DataFrame, entropy_share: float | None = None, most_repetition: float | None = 1.25, block_tokens: int = 20_000, least_blocks: int = 64, seed: int = 17) -> tuple[DataFrame, tuple[str, str, str, str]]:
+    """docs with each row as often as its source's epochs take it, and the names of the columns with its tokens, epoch (from 0), block and the block's place in the epoch (from 0)."""
+    src, n, tot, ep, blocks, block, epochs, place = (free_name(docs.columns, x) for x in ("mx_src", "mx_tokens", "mx_total", "mx_epoch", "mx_blocks", "mx_block", "mx_epochs", "mx_place"))
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     keyed = docs.withColumns({src: source, n: tokens(F.col("text"))})
     row_hash = F.xxhash64(*[F.col(c) for c in ("doc_id", "text")], F.lit(seed))
@@ -113,18 +115,17 @@ def mixed(docs: DataFrame, entropy_share: float | None = None, most_repetition:
     cells = per_cell.join(plan, src).withColumn(block, F.pmod("cell", F.col(blocks)))
     per_block = cells.groupBy(src, block, tot, epochs, blocks).agg(F.sum("t").alias("t"))
     last = F.floor(epochs).cast("int")
-    order = Window.partitionBy(src).orderBy(F.xxhash64(src, last, block, F.lit(seed)), block)
+    each = per_block.withColumn(ep, F.explode(F.sequence(F.lit(0), last)))
+    order = Window.partitionBy(src, ep).orderBy(F.xxhash64(src, ep, block, F.lit(seed)), block)  # at most CELLS rows a group
     before = F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    extra = (before + F.col("t") / 2 <= (F.col(epochs) - last) * F.col(tot)) & (F.col(epochs) > last)
-    taken = written(per_block.select(src, F.col(block).cast("int").alias(block), blocks, (last + extra.cast("int")).alias(chosen)), "mix-blocks")
-    size = taken.count()
-    side = taken.select(src, block, chosen)
+    taken = (F.col(ep) < last) | (before + F.col("t") / 2 <= (F.col(epochs) - last) * F.col(tot)) & (F.col(epochs) > last)
+    chosen = free_name(docs.columns, "mx_chosen")
+    side = written(each.withColumns({place: F.row_number().over(order) - 1, chosen: taken}).where(chosen).select(src, F.col(block).cast("int").alias(block), ep, place), "mix-blocks")
     known = plan.select(src, blocks)
-    if size <= 500_000:
+    if side.count() <= 500_000:
         side, known = F.broadcast(side), F.broadcast(known)
-    joined = keyed.join(known, src).withColumn(block, F.pmod(F.pmod(row_hash, F.lit(CELLS)), F.col(blocks)).cast("int")).join(side, [src, block])
-    out = joined.where(F.col(chosen) > 0).withColumn(ep, F.explode(F.sequence(F.lit(0), F.col(chosen) - 1)))
-    return out.select(*docs.columns, F.col(n), F.col(ep)), ep
+    out = keyed.join(known, src).withColumn(block, F.pmod(F.pmod(row_hash, F.lit(CELLS)), F.col(blocks)).cast("int")).join(side, [src, block])
+    return out.select(*docs.columns, F.col(n), F.col(ep), F.col(block), F.col(place)), (n, ep, block, place)
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
@@ -133,7 +134,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
 
 def mixing_report(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, source, n_tokens, epoch of every row of the mixture."""
+    """doc_id, source, n_tokens, epoch, block and place of every row of the mixture."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    out, ep = mixed(slim, **how)
-    return out.select("doc_id", "source", F.col("mx_tokens").alias("n_tokens"), F.col(ep).alias("epoch"))
+    out, (n, ep, block, place) = mixed(slim, **how)
+    return out.select("doc_id", "source", F.col(n).alias("n_tokens"), F.col(ep).alias("epoch"), F.col(block).alias("block"), F.col(place).cast("int").alias("place"))

@@ -31,6 +31,29 @@ def test_repetition_limit(spark):
         assert mixed[s] / total[s] == pytest.approx(want, abs=0.12)
 
 
+def test_epochs_are_block_permutations(spark):
+    docs = corpus(spark)
+    rows = sm.mixing_report(docs, most_repetition=3.0, least_blocks=8).collect()
+    size, by, orders = {}, {}, {}
+    for r in rows:
+        if r.epoch == 0:
+            size[r.source, r.block] = size.get((r.source, r.block), 0) + r.n_tokens
+        by.setdefault((r.source, r.epoch), {}).setdefault(r.block, set()).add(r.place)
+    for (source, epoch), places in by.items():
+        assert all(len(p) == 1 for p in places.values())
+        order = [b for _, b in sorted((p.pop(), b) for b, p in places.items())]
+        orders.setdefault(source, {})[epoch] = order
+    for source, each in orders.items():
+        blocks = [b for s, b in size if s == source]
+        assert sorted(each) == list(range(len(each)))
+        for epoch, order in each.items():
+            if epoch < max(each):
+                assert sorted(order) == sorted(blocks)  # whole epochs take every block
+            else:
+                assert set(order) <= set(blocks) and len(set(order)) == len(order)
+    assert any(len({tuple(o) for o in each.values()}) > 1 for each in orders.values() if len(each) > 1)
+
+
 def test_entropy_target(spark):
     t = spark.createDataFrame([(1000,), (100,), (10,)], "src_tokens long")
     m = sm.choose_exponent(t, 0.9, None)
