@@ -25,12 +25,14 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 # --------------------------------------------------------------- shared folder
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where unset."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset a local master gets one here; a cluster gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file:///tmp/checkpoints/larkspur"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
