@@ -44,7 +44,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("ngram_join", ngram_join), ("source_mixing", source_mixing), ("packing", packing)]
 
-#: Training a classifier and tokenising are beyond SQL; tests/llm/test_pipeline.py has the brute-force versions.
+#: Training a classifier and tokenising are beyond SQL; tests/llm/test_pipeline.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
