@@ -167,14 +167,14 @@ def gold_documents(spark, d):
 
 @query
 def rerank_lexical(spark, d):
-    out = ranking.rerank(bm25_hits(spark, d), passages(spark, d), corpus(spark, d), 5)
+    out = ranking.rerank(bm25_hits(spark, d), passages(spark, d), corpus(spark, d), 5, most_hits=20)
     return out.select("query_id", "rank", "doc_id", "prior_rank", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query
 def rank_migration(spark, d):
     hits = bm25_hits(spark, d)
-    return ranking.rank_migration(hits, ranking.rerank(hits, passages(spark, d), corpus(spark, d), 5))
+    return ranking.rank_migration(hits, ranking.rerank(hits, passages(spark, d), corpus(spark, d), 5, most_hits=20))
 
 
 # ------------------------------------------------------------------- chunking
@@ -448,7 +448,7 @@ def route_threshold():
 @query
 def adaptive_route(spark, d):
     """The least rerank score among the five best of each passage, and where it sends the query."""
-    low = ranking.rerank(bm25_hits(spark, d), passages(spark, d), corpus(spark, d), 5).groupBy("query_id").agg(F.round(F.min("rerank_score"), 6).alias("min_rerank_score"))
+    low = ranking.rerank(bm25_hits(spark, d), passages(spark, d), corpus(spark, d), 5, most_hits=20).groupBy("query_id").agg(F.round(F.min("rerank_score"), 6).alias("min_rerank_score"))
     out = passages(spark, d).select("query_id").join(low, "query_id", "left").withColumn("min_rerank_score", F.coalesce("min_rerank_score", F.lit(0.0)))
     return out.withColumn("route", F.when(F.col("min_rerank_score") >= route_threshold(), "acceptable").otherwise("fallback"))
 

@@ -130,6 +130,21 @@ def windows(size: int, stride: int, to_the_end: bool) -> str:
     FROM (SELECT doc_id, toks, len(toks) AS n, length(text) AS chars, unnest(range(0, len(toks), {stride})) AS pos FROM (SELECT doc_id, text, {WORDS.format("text")} AS toks FROM documents)) WHERE n > 0 {stop}"""
 
 
+STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+#: Sentences of up to 60 tokens together; one of over 100 is cut.
+SEMANTIC = f"""
+paragraph AS (SELECT doc_id, {STRIPPED.format("unnest(ps)")} AS p, generate_subscripts(ps, 1) AS pi FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents)),
+split AS (SELECT doc_id, pi, string_split(regexp_replace(p, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ss FROM paragraph WHERE p <> ''),
+sentence AS (SELECT doc_id, s, len({WORDS.format("s")}) AS n, length(s) AS chars, row_number() OVER (PARTITION BY doc_id ORDER BY pi, si) AS i
+             FROM (SELECT doc_id, pi, {STRIPPED.format("unnest(ss)")} AS s, generate_subscripts(ss, 1) AS si FROM split) WHERE s <> ''),
+fold AS (SELECT doc_id, i, 1 AS gid, CASE WHEN n > 100 THEN 0 ELSE n END AS total, n > 100 AS forced FROM sentence WHERE i = 1
+         UNION ALL SELECT s.doc_id, s.i, f.gid + (s.n > 100 OR f.forced OR f.total + s.n > 60)::INT, CASE WHEN s.n > 100 THEN 0 WHEN f.forced OR f.total + s.n > 60 THEN s.n ELSE f.total + s.n END, s.n > 100
+         FROM fold f JOIN sentence s ON s.doc_id = f.doc_id AND s.i = f.i + 1),
+grouped AS (SELECT doc_id, gid, bool_or(forced) AS forced, string_agg(s, ' ' ORDER BY i) AS content, sum(chars) AS chars FROM fold JOIN sentence USING (doc_id, i) GROUP BY doc_id, gid),
+placed AS (SELECT *, coalesce(sum(chars) OVER (PARTITION BY doc_id ORDER BY gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS begun, {WORDS.format("content")} AS toks FROM grouped),
+piece AS (SELECT doc_id, gid, 0 AS p, begun AS start_char, begun + length(content) AS end_char, content FROM placed WHERE NOT forced
+          UNION ALL SELECT doc_id, gid, p, begun + trunc(p / n * chars)::INT, begun + trunc(least(p + 100, n) / n * chars)::INT, array_to_string(toks[p + 1:p + 100], ' ') FROM (SELECT *, len(toks) AS n, unnest(range(0, len(toks), 100)) AS p FROM placed WHERE forced)),
+semantic AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY gid, p) - 1)::INT AS chunk_index, start_char::INT AS start_char, end_char::INT AS end_char, len({WORDS.format("content")}) AS n_tokens, content FROM piece)"""
 CHUNK_ID = "substr(md5(doc_id || '_' || chunk_index || '_' || start_char), 1, 16) AS chunk_id"
 SUMMARY = "count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99"
 AB = """
@@ -173,7 +188,9 @@ def oracle_sql() -> dict[str, str]:
             filled AS (SELECT query_id, doc_id, score FROM scored UNION ALL SELECT query_id, doc_id, 0.0 FROM few CROSS JOIN spare WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM scored))
             SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM filled) WHERE rank <= 5""",
         "bm25_index_stats": f"WITH t AS (SELECT {TOKENS.format('text')} AS toks FROM documents) SELECT count(*) AS n_docs, round(avg(len(toks)), 6) AS avg_length, (SELECT count(DISTINCT x) FROM (SELECT unnest(toks) AS x FROM t)) AS vocabulary FROM t",
-        "bm25_idf": f"WITH {PASSAGES},{bm25('passages', 5)} SELECT term, df, round(idf, 6) AS idf FROM idf",
+        "bm25_idf": f"""WITH df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS.format("text")})) AS term FROM documents) GROUP BY term),
+            raw AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS raw FROM df), mean AS (SELECT 0.25 * avg(raw) AS low FROM raw)
+            SELECT term, df, round(CASE WHEN raw < 0 THEN low ELSE raw END, 6) AS idf FROM raw CROSS JOIN mean""",
         "dense_topk_cosine": f"WITH {VECTOR_QUERIES},{dense('vq', 10)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM dense",
         "dense_topk_l2": f"WITH {VECTOR_QUERIES},{dense('vq', 10, score=L2, order='ASC')} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM dense",
         "dense_label_precision": f"""WITH {VECTOR_QUERIES},{dense('vq', 11)}, near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM dense WHERE query_id <> doc_id)
@@ -195,6 +212,7 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN rank < prior_rank THEN 'up' WHEN rank > prior_rank THEN 'down' ELSE 'same' END AS movement FROM reranked""",
         "chunk_fixed": f"SELECT {CHUNK_ID}, * FROM ({windows(128, 112, False)})",
         "chunk_sliding": f"SELECT {CHUNK_ID}, * FROM ({windows(128, 96, True)})",
+        "chunk_semantic": f"WITH RECURSIVE {SEMANTIC} SELECT {CHUNK_ID}, * FROM semantic",
         "chunk_stats": f"""SELECT strategy, count(*) AS n_chunks, round(avg(length(content)), 6) AS avg_chars, min(length(content)) AS min_chars, max(length(content)) AS max_chars, round(stddev_pop(length(content)), 6) AS std_chars
             FROM (SELECT 'fixed' AS strategy, content FROM ({windows(128, 112, False)}) UNION ALL SELECT 'sliding', content FROM ({windows(128, 112, True)})) GROUP BY 1""",
         "doc_eda": f"""SELECT count(*) AS n_docs, sum(length(text))::BIGINT AS chars, round(avg(length(text)), 6) AS avg_chars, min(length(text)) AS min_chars, max(length(text)) AS max_chars, sum(len({WORDS.format("text")}))::BIGINT AS words,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,48 +54,68 @@ def sliding(docs: DataFrame, window: int = 512, stride: int = 384, tokenizer: To
     return _windows(docs, window, stride, True, tokenizer)
 
 
+GROUP = "array<struct<first:int,size:int,at:int,forced:boolean>>"
+
+
+def _packer(target: int, most: int):
+    """An Arrow function of sentences' token counts and lengths: which sentences make a chunk, and where it starts."""
+
+    def pack(counts: pd.Series, lengths: pd.Series) -> pd.Series:
+        out = []
+        for ns, chars in zip(counts, lengths, strict=True):
+            groups, first, n, at, here = [], 0, 0, 0, 0
+            for i, (k, c) in enumerate(zip(ns, chars, strict=True)):
+                if i > first and (k > most or n + k > target):
+                    groups.append((first, i - first, at, False))
+                    first, n, at = i, 0, here
+                here += c
+                n += k
+                if k > most:
+                    groups.append((i, 1, at, True))
+                    first, n, at = i + 1, 0, here
+            if first < len(ns):
+                groups.append((first, len(ns) - first, at, False))
+            out.append([{"first": f, "size": s, "at": a, "forced": x} for f, s, a, x in groups])
+        return pd.Series(out, dtype=object)
+
+    pack.__annotations__ = {"counts": pd.Series, "lengths": pd.Series, "return": pd.Series}
+    return F.pandas_udf(pack, GROUP)
+
+
 def semantic(docs: DataFrame, target: int = 512, least: int = 100, most: int = 1000, tokenizer: Tokenizer = T.words) -> DataFrame:
     """Sentences packed up to `target` tokens; one over `most` is cut into pieces of `most`.
 
     Paragraphs end at blank lines, and the packing goes on across them.  The
     start of a chunk is the summed length of the sentences before it, without
     the blanks between them, so starts drift left of the text; `least` is
-    checked but has no part in the packing.
+    checked but has no part in the packing.  Tokens are counted once a sentence;
+    only the counts, whole numbers, leave the JVM.
     """
     if not 0 < least < target < most:
         raise ValueError("0 < least < target < most is needed")
-    paragraphs = F.transform(F.split("content", "\n\n"), T.strip)
-    parts = F.filter(F.flatten(F.transform(F.filter(paragraphs, lambda p: p != ""), lambda p: F.transform(T.sentences(p), T.strip))), lambda s: s != "")
-    piece = "struct<start_char:int,end_char:int,content:string>"
-    state = F.struct(F.array().cast(f"array<{piece}>").alias("out"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"), F.lit(0).alias("at"))
-
-    def chunk(start: Column, text: Column) -> Column:
-        return F.struct(start.alias("start_char"), (start + F.length(text)).alias("end_char"), text.alias("content"))
-
-    def flush(s: Column) -> Column:
-        full = F.size(s["cur"]) > 0
-        out = F.when(full, F.concat(s["out"], F.array(chunk(s["at"], F.array_join(s["cur"], " "))))).otherwise(s["out"])
-        return F.struct(out.alias("out"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"), (s["at"] + F.length(F.array_join(s["cur"], ""))).alias("at"))
-
-    def forced(s: Column, sentence: Column) -> Column:
-        toks = tokenizer(sentence)
-        n, chars, f = F.size(toks), F.length(sentence), flush(s)
-
-        def cut(p: Column) -> Column:
-            return F.struct((f["at"] + (p / n * chars).cast("int")).alias("start_char"), (f["at"] + (F.least(p + most, n) / n * chars).cast("int")).alias("end_char"), F.array_join(F.slice(toks, p + 1, F.lit(most)), " ").alias("content"))
-
-        cuts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(most)), cut)
-        return F.struct(F.concat(f["out"], cuts).alias("out"), f["cur"].alias("cur"), F.lit(0).alias("n"), (f["at"] + chars).alias("at"))
-
-    def step(s: Column, sentence: Column) -> Column:
-        n = F.size(tokenizer(sentence))
-        f = flush(s)
-        one = F.struct(f["out"].alias("out"), F.array(sentence).alias("cur"), n.alias("n"), f["at"].alias("at"))
-        more = F.struct(s["out"].alias("out"), F.concat(s["cur"], F.array(sentence)).alias("cur"), (s["n"] + n).alias("n"), s["at"].alias("at"))
-        return F.when(n > most, forced(s, sentence)).when((s["n"] + n > target) & (F.size(s["cur"]) > 0), one).otherwise(more)
-
-    packed = docs.where(F.col("content").isNotNull()).select("doc_id", F.aggregate(parts, state, step, lambda s: flush(s)["out"]).alias("chunks"))
-    out = packed.select("doc_id", F.posexplode("chunks").alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.*")
+    paragraphs = F.filter(F.transform(F.split("content", "\n\n"), T.strip), lambda p: p != "")
+    parts = F.filter(F.flatten(F.transform(paragraphs, lambda p: F.transform(T.sentences(p), T.strip))), lambda s: s != "")
+    d = docs.where(F.col("content").isNotNull()).select("doc_id", parts.alias("parts"))
+    counts = F.transform("parts", lambda s: F.size(tokenizer(s)))
+    d = d.select("doc_id", "parts", _packer(target, most)(counts, F.transform("parts", lambda s: F.length(s))).alias("groups"))
+
+    def cuts(g: Column) -> Column:
+        sentence = F.get(F.col("parts"), g["first"])
+
+        def pieces(toks: Column) -> Column:
+            n, chars = F.size(toks), F.length(sentence)
+            return F.transform(
+                F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(most)),
+                lambda p: F.struct((g["at"] + (p / n * chars).cast("int")).alias("start_char"), (g["at"] + (F.least(p + most, n) / n * chars).cast("int")).alias("end_char"), F.array_join(F.slice(toks, p + 1, F.lit(most)), " ").alias("content")),
+            )
+
+        return T.let(tokenizer(sentence), pieces)
+
+    def one(g: Column) -> Column:
+        return T.let(F.array_join(F.slice(F.col("parts"), g["first"] + 1, g["size"]), " "), lambda t: F.array(F.struct(g["at"].alias("start_char"), (g["at"] + F.length(t)).alias("end_char"), t.alias("content"))))
+
+    chunks = F.flatten(F.transform("groups", lambda g: F.when(g["forced"], cuts(g)).otherwise(one(g))))
+    out = d.select("doc_id", F.posexplode(chunks).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.*")
     return out.withColumns({"n_tokens": F.size(tokenizer(F.col("content"))), "chunk_id": chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("start_char"))}).select(*CHUNK)
 
 

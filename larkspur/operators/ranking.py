@@ -82,13 +82,21 @@ def lexical_scorer(query: Column, content: Column) -> Column:
     return F.round(12.0 * share - 6.0, 9)
 
 
-def rerank(hits: DataFrame, queries: DataFrame, corpus: DataFrame, top: int | None = None, scorer: Scorer = lexical_scorer) -> DataFrame:
+BROADCAST_HITS = 200_000
+
+
+def rerank(hits: DataFrame, queries: DataFrame, corpus: DataFrame, top: int | None = None, scorer: Scorer = lexical_scorer, most_hits: int | None = None) -> DataFrame:
     """hits with rerank_score and a new rank (prior one as prior_rank), best first, ties by prior rank.
 
-    Texts join late: hits are few rows a query, and only their documents' text is read in.
+    most_hits is how many hits a query has at most, if that is known: where all
+    hits together are few, they go to the corpus, so that of it only the hits'
+    texts are kept and nothing of it is shuffled.  Otherwise both sides are.
     """
-    scored = hits.withColumnRenamed("rank", "prior_rank").join(queries.select("query_id", "query"), "query_id").join(corpus.select("doc_id", "content"), "doc_id")
-    scored = scored.withColumn("rerank_score", scorer(F.col("query"), F.col("content"))).drop("query", "content")
+    asked = hits.withColumnRenamed("rank", "prior_rank").join(queries.select("query_id", "query"), "query_id")
+    if most_hits is not None and queries.count() * most_hits <= BROADCAST_HITS:
+        asked = F.broadcast(asked)
+    scored = corpus.select("doc_id", "content").join(asked, "doc_id")
+    scored = scored.withColumn("rerank_score", scorer(F.col("query"), F.col("content"))).select(*[c for c in asked.columns if c != "query"], "rerank_score")
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "prior_rank")))
     return out if top is None else out.where(F.col("rank") <= top)
 

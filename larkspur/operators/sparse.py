@@ -1,23 +1,30 @@
-"""BM25 over an inverted index that is itself a plan.
-
-Postings are needed for the queries' terms only, so the corpus' tokens are
-reduced to those before they are counted; the mean inverse document frequency
-needs the whole vocabulary, and for that only document counts by term (partial
-sums on the map side) are shuffled.  Nothing of the corpus is collected; the
-query vocabulary is broadcast if its size allows.
+"""BM25 scored where a document is.
+
+Document frequencies need one shuffle of partial counts by term.  After that a
+document is one row and its score needs nothing else: the queries' terms and
+weights go to the executors in blocks of a checked size, every Arrow batch of
+tokenised documents is scored against a block and sends on its own best k a
+query.  So the shuffle has k rows a query and batch, not a row for every
+document that shares a word with a query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .ranking import top_k
 
-BROADCAST_TERMS = 1_000_000
+#: Query terms broadcast at once; more go in further blocks.  Documents scored at once.
+BLOCK_TERMS = 500_000
+BATCH = 1024
 
 
 @dataclass(frozen=True)
@@ -51,26 +58,67 @@ def inverse_frequencies(corpus: DataFrame, okapi: Okapi = Okapi()) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, okapi.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def scores(corpus: DataFrame, queries: DataFrame, okapi: Okapi = Okapi()) -> DataFrame:
-    """(query_id, doc_id, score) of all documents that share a term; a term counts as often as the query has it."""
+def query_terms(corpus: DataFrame, queries: DataFrame, okapi: Okapi = Okapi()) -> DataFrame:
+    """(query_id, term, g): how often a query has a term the corpus has, times its idf."""
     terms = queries.select("query_id", F.explode(T.tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    vocabulary = terms.select("term").distinct()
-    small = vocabulary.count() <= BROADCAST_TERMS
-    hint = F.broadcast if small else (lambda df: df)
-    toks = tokenised(corpus)
-    average = toks.agg(F.avg("dl").alias("avgdl"))
-    postings = toks.select("doc_id", "dl", F.explode("toks").alias("term")).join(hint(vocabulary), "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    weight = F.col("tf") * (okapi.k1 + 1) / (F.col("tf") + okapi.k1 * (1 - okapi.b + okapi.b * F.col("dl") / F.col("avgdl")))
-    idf = inverse_frequencies(corpus, okapi).join(hint(vocabulary), "term", "left_semi").select("term", "idf")
-    weighted = postings.crossJoin(F.broadcast(average)).withColumn("w", weight)
-    per_term = terms.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("g"))
-    return weighted.join(hint(per_term), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("g") * F.col("w")).alias("score"))
+    return terms.join(inverse_frequencies(corpus, okapi), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("g"))
+
+
+def _block(corpus: DataFrame, rows: pa.Table, k: int, okapi: Okapi, average: float) -> DataFrame:
+    """(query_id, doc_id, score): each batch's best k for the queries of a block."""
+    queries, query_at = np.unique(rows.column("query_id").to_numpy(), return_inverse=True)
+    term_at = rows.column("term").combine_chunks().dictionary_encode()
+    order = np.argsort(term_at.indices.to_numpy(), kind="stable")
+    bounds = np.searchsorted(term_at.indices.to_numpy()[order], np.arange(len(term_at.dictionary) + 1))
+    shared = corpus.sparkSession.sparkContext.broadcast((queries, term_at.dictionary.to_pylist(), query_at[order], rows.column("g").to_numpy()[order], bounds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, terms, query_at, g, bounds = shared.value
+        vocabulary = pa.array(terms, pa.string())
+        for whole in batches:
+            for a in range(0, whole.num_rows, BATCH):
+                b = whole.slice(a, BATCH)
+                toks, doc = b.column("toks"), b.column("doc_id").to_numpy()
+                size = toks.value_lengths().to_numpy()
+                term = pc.index_in(toks.flatten(), vocabulary)
+                here = pc.is_valid(term).to_numpy(zero_copy_only=False)
+                place = np.repeat(np.arange(len(doc)), size)[here]
+                pair, tf = np.unique(term.drop_null().to_numpy().astype(np.int64) * len(doc) + place, return_counts=True)
+                term, place = np.divmod(pair, len(doc))
+                w = tf * (okapi.k1 + 1) / (tf + okapi.k1 * (1 - okapi.b + okapi.b * size[place] / average))
+                score, hit = np.zeros((len(queries), len(doc))), np.zeros((len(queries), len(doc)), dtype=bool)
+                cut = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1], [True]])) if len(term) else []
+                for i, j in zip(cut[:-1], cut[1:], strict=True):
+                    t = term[i]
+                    at = np.ix_(query_at[bounds[t] : bounds[t + 1]], place[i:j])  # a query has a term once
+                    score[at] += g[bounds[t] : bounds[t + 1], None] * w[i:j]
+                    hit[at] = True
+                q, d = np.nonzero(hit)
+                order = np.lexsort((doc[d], -np.round(score[q, d], 9), q))
+                q, d = q[order], d[order]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, d = q[best], d[best]
+                yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(doc[d]), pa.array(score[q, d])], names=["query_id", "doc_id", "score"])
+
+    toks = tokenised(corpus).select(F.col("doc_id").cast("long").alias("doc_id"), "toks")
+    return toks.mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int = 10, okapi: Okapi = Okapi(), fill: bool = False) -> DataFrame:
-    """The k best documents for each query.  fill: queries that match fewer get documents of score 0, by id, up to k."""
-    found = scores(corpus, queries, okapi)
+    """The k best documents for each query (ids are whole numbers).  fill: queries that match fewer get documents of score 0, by id, up to k.
+
+    The queries are a stated set: their terms pass through the driver a block at a time.
+    """
+    terms = query_terms(corpus, queries, okapi).withColumn("query_id", F.col("query_id").cast("long"))
+    average = tokenised(corpus).agg(F.avg("dl")).first()[0] or 1.0
+    blocks = max(1, -(-queries.select(F.sum(F.size(T.tokens("query")))).first()[0] // BLOCK_TERMS)) if not queries.isEmpty() else 0
+    found = corpus.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    for i in range(blocks):
+        rows = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
+        if len(rows):
+            found = found.unionByName(_block(corpus, rows, k, okapi, average)) if i else _block(corpus, rows, k, okapi, average)
     if fill:
+        found = top_k(found, k).drop("rank")
         spare = F.broadcast(corpus.select("doc_id").distinct().orderBy("doc_id").limit(2 * k))  # enough: fewer than k of them match
         short = queries.select("query_id").distinct().join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id")
         more = short.crossJoin(spare).join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import shared_dir
 from ..operators import dense, ranking, sparse
 
 Hits = Callable[[DataFrame, int, int], DataFrame]
@@ -121,7 +122,7 @@ def cut(df: DataFrame) -> DataFrame:
     """df worked out once, as a reliable checkpoint in the folder all executors share; the plan of what follows starts here."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/larkspur")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -137,7 +138,7 @@ class Pipeline:
         hits = self.retriever(queries, k or s.k_retrieve, k_retriever or s.k_retriever)
         if not reranked:
             return hits.where(F.col("rank") <= s.k_rerank)
-        return ranking.rerank(hits, queries, self.corpus, s.k_rerank, self.providers.scorer)
+        return ranking.rerank(hits, queries, self.corpus, s.k_rerank, self.providers.scorer, most_hits=k or s.k_retrieve)
 
     def documents(self, queries: DataFrame, k: int, k_retriever: int) -> DataFrame:
         """query_id, documents in rank order and the least rerank score (0 without any)."""
