@@ -347,7 +347,7 @@ def ab_winner(spark, d):
 
 @query
 def ab_bootstrap_ci(spark, d):
-    return statistics.bootstrap(ab_pairs(spark, d))
+    return statistics.bootstrap(ab_pairs(spark, d), number=F.col("query_id"))
 
 
 @query
@@ -517,7 +517,7 @@ def spends(spark, d):
 
 @query
 def breaker_anchored(spark, d):
-    return telemetry.breaker_streamed(spends(spark, d), 50.0, 86_400.0)
+    return telemetry.breaker(spends(spark, d), 50.0, 86_400.0)
 
 
 @query
@@ -552,18 +552,14 @@ def semantic_cache_ttl(spark, d):
 @query
 def stream_window_counts(spark, d):
     """Daily counts from a stream with a watermark, drained; the open last windows aren't out yet in append mode, so complete mode."""
-    import uuid
-
     e = live.event_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
-    return live.drain(live.window_counts(e, "1 day"), f"w{uuid.uuid4().hex}", "complete").select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    return live.drain(live.window_counts(e, "1 day"), "window-counts", "complete").select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query
 def stream_breaker(spark, d):
     """All files in one trigger, where spends are taken in order: by several, what one file has behind the watermark would be lost."""
-    import uuid
-
     e = live.event_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema, 2**31 - 1)
     tokens = F.col("value") * 100
     s = e.select("user_id", "ts", F.col("event_id").alias("ord"), telemetry.spend(tokens, tokens / 10).alias("cost"))
-    return live.drain(live.breaker(s, 50.0, 86_400.0), f"b{uuid.uuid4().hex}")
+    return live.drain(live.breaker(s, 50.0, 86_400.0), "breaker")

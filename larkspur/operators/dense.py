@@ -69,6 +69,68 @@ def _block(corpus: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFr
     return corpus.where("embedding is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "embedding").mapInArrow(run, "query_id long, doc_id long, score double")
 
 
+# ------------------------------------------------------------ inverted lists
+def ivf_centroids(corpus: DataFrame, lists: int = 64, sample: int = 20_000, rounds: int = 10, seed: int = 7) -> np.ndarray:
+    """Centres of `lists` cells of unit vectors, by spherical k-means on at most `sample` rows (chosen by hash)."""
+    rows = corpus.where("embedding is not null").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").select("embedding").limit(sample).toArrow()
+    x = np.array(rows.column("embedding").to_pylist(), dtype=np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = x[np.random.default_rng(seed).permutation(len(x))[:lists]].copy()
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        for i in range(len(centres)):
+            if (own == i).any():
+                m = x[own == i].mean(axis=0)
+                centres[i] = m / max(np.linalg.norm(m), 1e-12)
+    return centres
+
+
+def ivf_index(corpus: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Every row of corpus (doc_id, embedding) with the cell it is nearest to; written by cell, a search reads its cells only."""
+    shared = corpus.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("embedding"), pa.array((x @ shared.value.T).argmax(axis=1).astype(np.int32))], names=["doc_id", "embedding", "cell"])
+
+    rows = corpus.where("embedding is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    return rows.mapInArrow(run, "doc_id long, embedding array<float>, cell int")
+
+
+def ivf_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
+    """(query_id, rank, doc_id, score) by inner product among the `probes` cells nearest to each query: approximate."""
+    total = queries.count()
+    blocks = max(1, -(-total // QUERY_BLOCK))
+    found = None
+    for i in range(blocks):
+        rows = queries.where("embedding is not null").where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "embedding").collect()  # a block at most
+        q = np.array([r.embedding for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        cells = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes] if len(rows) else np.zeros((0, probes), int)
+        shared = index.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in rows], dtype=np.int64), q, cells))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q, cells = shared.value
+            for b in batches:
+                if not b.num_rows or not len(ids):
+                    continue
+                x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                doc, cell = b.column("doc_id").to_numpy(), b.column("cell").to_numpy()
+                for c in np.unique(cell):
+                    at, asks = np.flatnonzero(cell == c), np.flatnonzero((cells == c).any(axis=1))
+                    if len(asks):
+                        s = q[asks] @ x[at].T
+                        n = min(k, len(at))
+                        order = np.lexsort((np.broadcast_to(doc[at], s.shape), -np.round(s, 9)), axis=1)[:, :n]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[asks], n)), pa.array(doc[at][order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "doc_id", "score"])
+
+        wanted = sorted({int(c) for c in cells.ravel()})
+        part = index.where(F.col("cell").isin(wanted)).select("doc_id", "embedding", "cell").mapInArrow(run, "query_id long, doc_id long, score double")
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, k).select("query_id", "rank", "doc_id", "score")
+
+
 def index_stats(corpus: DataFrame) -> DataFrame:
     return corpus.agg(F.count("*").alias("total"), F.max(F.size("embedding")).alias("dimension"))
 

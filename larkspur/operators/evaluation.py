@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from ..functions import text as T
+from .quantiles import with_quantiles
 
 #: Fixed values.
 CATEGORIES = ("correct", "empty_response", "retrieval_failure", "hallucination", "low_context_relevance", "incomplete_answer", "verbose_answer", "wrong_answer")
@@ -29,18 +32,16 @@ def numeric_columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[str]:
 
 
 def long_metrics(results: DataFrame, metrics: list[str], keep: list[str]) -> DataFrame:
-    """Rows (keep..., metric, value); null values are left out."""
+    """Rows (keep..., metric, value); null and NaN values are left out."""
     wide = results.select(*keep, *[F.col(m).cast("double").alias(m) for m in metrics])
-    return wide.unpivot(keep, metrics, "metric", "value").where("value is not null")
+    return wide.unpivot(keep, metrics, "metric", "value").where("value is not null and not isnan(value)")
 
 
 def aggregate(results: DataFrame, metrics: list[str], by: tuple[str, ...] = ("config",)) -> DataFrame:
     """mean, population deviation, least, most, median and 95th percentile of each metric."""
-    v = F.col("value")
-    return long_metrics(results, metrics, list(by)).groupBy(*by, "metric").agg(
-        F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.round(F.min(v), 6).alias("min"), F.round(F.max(v), 6).alias("max"),
-        F.round(F.percentile(v, 0.5), 6).alias("p50"), F.round(F.percentile(v, 0.95), 6).alias("p95"),
-    )
+    v, rows = F.col("value"), long_metrics(results, metrics, list(by))
+    out = rows.groupBy(*by, "metric").agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.round(F.min(v), 6).alias("min"), F.round(F.max(v), 6).alias("max"))
+    return with_quantiles(out, rows, "value", (*by, "metric"), {"p50": 0.5, "p95": 0.95})
 
 
 def config_deltas(aggregates: DataFrame) -> DataFrame:
@@ -58,10 +59,8 @@ def baseline_deltas(aggregates: DataFrame, baseline: str) -> DataFrame:
 
 def distribution(df: DataFrame, value: Column, *by: str) -> DataFrame:
     """Latency-style summary: mean, median, deviation, extremes, 95th and 99th percentiles (linear)."""
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, 0.5), 6).alias("median"), F.round(F.stddev_pop(value), 6).alias("std"),
-        F.round(F.min(value), 6).alias("min"), F.round(F.max(value), 6).alias("max"), F.round(F.percentile(value, 0.95), 6).alias("p95"), F.round(F.percentile(value, 0.99), 6).alias("p99"),
-    )
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("std"), F.round(F.min(value), 6).alias("min"), F.round(F.max(value), 6).alias("max"))
+    return with_quantiles(out, df.select(*by, value.cast("double").alias("_v")), "_v", by, {"median": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def tracked(df: DataFrame, value: Column, *by: str) -> DataFrame:
@@ -206,3 +205,50 @@ def grading_accurate(gold: Column | str, kept: Column | str) -> Column:
     """Whether at least min(2, number of gold titles) gold titles were kept."""
     g = F.array_distinct(T.col(gold))
     return F.size(F.array_intersect(g, T.col(kept))) >= F.least(F.lit(2), F.size(g))
+
+
+def fallback_effect(first: DataFrame, second: DataFrame, key: str = "query_id", same: float = 1e-9) -> DataFrame:
+    """F1 of two systems by whether the second (key, f1, used_fallback_retrieval) fell back: means, their difference, and how many rose, fell or stayed."""
+    both = first.select(key, F.col("f1").alias("a")).join(second.select(key, F.col("f1").alias("b"), "used_fallback_retrieval"), key)
+    d = F.col("b") - F.col("a")
+    count = lambda c: F.sum(c.cast("long"))
+    return both.groupBy("used_fallback_retrieval").agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("f1_first"), F.round(F.avg("b"), 6).alias("f1_second"), F.round(F.avg(d), 6).alias("delta"), count(d > same).alias("improved"), count(F.abs(d) <= same).alias("same"), count(d < -same).alias("degraded"))
+
+
+TokenEncoder = Callable[[list[str]], list]
+
+
+def bert_score(results: DataFrame, encoder: TokenEncoder | None = None) -> DataFrame:
+    """results with bert_score: the F1 of tokens matched greedily by cosine; null without an encoder (texts to a matrix of token vectors each)."""
+    if encoder is None:
+        return results.withColumn("bert_score", F.lit(None).cast("double"))
+    import numpy as np
+    import pandas as pd
+
+    def unit(x) -> np.ndarray:
+        x = np.asarray(x, dtype=np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12) if len(x) else x
+
+    def run(prediction: pd.Series, truth: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(map(unit, encoder(prediction.fillna("").tolist())), map(unit, encoder(truth.fillna("").tolist())), strict=True):
+            s = a @ b.T if len(a) and len(b) else np.zeros((1, 1))
+            p, r = s.max(axis=1).mean(), s.max(axis=0).mean()
+            out.append(float(2 * p * r / (p + r)) if p + r > 0 else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    run.__annotations__ = {"prediction": pd.Series, "truth": pd.Series, "return": pd.Series}
+    return results.withColumn("bert_score", F.pandas_udf(run, "double")("prediction", "ground_truth"))
+
+
+def judged(results: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """results with `judgements`, a map of scores from an injected judge (results to (query_id, judgements)); empty without one or where it fails to answer."""
+    none = F.create_map().cast("map<string,double>")
+    if judge is None:
+        return results.withColumn("judgements", none)
+    return results.join(judge(results).select("query_id", "judgements"), "query_id", "left").withColumn("judgements", F.coalesce("judgements", none))
+
+
+def mean_of_present(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Means that leave out nulls and NaN."""
+    return df.agg(*[F.round(F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))), 6).alias(c) for c in columns])

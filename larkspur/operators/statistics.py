@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.qa import shuffled
+from .quantiles import value_places
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """The continued fraction of the incomplete beta function, by Lentz's method."""
@@ -77,19 +80,38 @@ def tested(stats: DataFrame, alpha: float = 0.05) -> DataFrame:
     return stats.withColumn("p_value", F.coalesce(p_value("t", F.col("df").cast("double")), F.lit(1.0))).withColumn("significant", F.col("p_value") < alpha)
 
 
-def bootstrap(pairs: DataFrame, draws: int = 1000, seed: int = 42, by: tuple[str, ...] = ("metric",)) -> DataFrame:
+MODULUS = 2**31 - 1
+
+
+def _scattered(x: Column) -> Column:
+    """A number below MODULUS from one below it; squares keep neighbours from staying neighbours, and all fits 64 bits."""
+    for step in (48_271, 69_621, 39_373):
+        x = F.pmod(x * x + x * F.lit(step).cast("long") + step, F.lit(MODULUS).cast("long"))
+    return x
+
+
+#: How often a row is in a resample: Poisson with mean 1, by its cumulative probabilities.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8))
+
+
+def bootstrap(pairs: DataFrame, draws: int = 1000, seed: int = 42, by: tuple[str, ...] = ("metric",), number: Column | None = None) -> DataFrame:
     """The 2.5 and 97.5 percentiles of resampled mean differences.
 
-    Draw j of resample b is row hash(b, j, seed) mod n.  Differences are summed
-    by how often a resample draws them, so what meets is one number a resample
-    and partition: the resamples of a row are counted where the row is.
+    A row is in a resample as often as a Poisson variable says that is a hash of
+    the row's number (a hash of query_id unless given) and the resample's; for
+    many rows that is drawing with replacement.  A row is drawn where it is, and
+    what meets is a sum and a count a resample and task.
     """
-    ordered = pairs.withColumns({"d": F.col("b") - F.col("a"), "i": F.row_number().over(Window.partitionBy(*by).orderBy("query_id")) - 1, "n": F.count("*").over(Window.partitionBy(*by))})
-    rows = ordered.select(*by, F.col("i").alias("pick"), "d")
-    picks = ordered.select(*by, "i", "n").crossJoin(F.broadcast(pairs.sparkSession.range(draws).select(F.col("id").alias("resample"))))
-    picks = picks.select(*by, "resample", F.pmod(F.xxhash64("resample", "i", F.lit(seed)), F.col("n")).cast("int").alias("pick"))
-    means = picks.join(rows, [*by, "pick"]).groupBy(*by, "resample").agg(F.avg("d").alias("m"))
-    return means.groupBy(*by).agg(F.round(F.percentile("m", 0.025), 6).alias("ci_low"), F.round(F.percentile("m", 0.975), 6).alias("ci_high"))
+    modulus = F.lit(MODULUS).cast("long")
+    row = F.pmod(F.xxhash64("query_id") if number is None else number.cast("long"), modulus)
+    picks = pairs.select(*by, (F.col("b") - F.col("a")).alias("d"), _scattered(F.pmod(row + seed, modulus)).alias("r")).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = _scattered(F.pmod(F.col("r") + F.col("resample").cast("long") * F.lit(1_000_003).cast("long"), modulus)) / F.lit(float(MODULUS))
+    times = F.lit(len(POISSON))
+    for k, p in reversed(list(enumerate(POISSON))):
+        times = F.when(u < p, k).otherwise(times)
+    drawn = picks.select(*by, "resample", "d", times.alias("k")).where("k > 0")
+    means = drawn.groupBy(*by, "resample").agg((F.sum(F.col("d") * F.col("k")) / F.sum("k")).alias("m"))
+    return means.groupBy(*by).agg(F.round(F.percentile("m", 0.025), 6).alias("ci_low"), F.round(F.percentile("m", 0.975), 6).alias("ci_high"))  # `draws` values a group
 
 
 def winner(tests: DataFrame, primary: str, guards: list[str]) -> DataFrame:
@@ -123,17 +145,23 @@ def weighted_kappa(ratings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return s.select(*by, "n", kappa.alias("kappa"))
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """Rank from 1, ties at their mean rank."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def spearman(pairs: DataFrame, by: tuple[str, ...] = (), least: int = 3) -> DataFrame:
-    """Rank correlation of (x, y); groups of under `least` pairs are left out."""
-    one = pairs.where("x is not null and y is not null").withColumn("_all", F.lit(0))
+    """Rank correlation of (x, y), ties at their mean rank; groups of under `least` pairs are left out.
+
+    Equal pairs are counted first; ranks come from counts of values dealt by range.
+    """
+    one = pairs.where("x is not null and y is not null").select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).withColumn("_all", F.lit(0))
     keys = by or ("_all",)
-    ranked = one.withColumns({"rx": average_rank("x", *keys), "ry": average_rank("y", *keys)})
-    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.corr("rx", "ry"), 6).alias("rho"))
+
+    def ranks(side: str) -> DataFrame:
+        return value_places(one, side, keys).select(*keys, F.col("value").alias(side), (F.col("lo") + (F.col("c") + 1) / 2).alias(f"r{side}"))
+
+    cells = one.groupBy(*keys, "x", "y").agg(F.count("*").alias("w")).join(ranks("x"), [*keys, "x"]).join(ranks("y"), [*keys, "y"])
+    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
+    mean = (F.col("n") + 1) / 2  # of ranks, on either side
+    sized = cells.join(one.groupBy(*keys).agg(F.count("*").alias("n")), list(keys))
+    dx, dy = rx - mean, ry - mean
+    out = sized.groupBy(*keys, "n").agg(F.round(F.sum(w * dx * dy) / F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy)), 6).alias("rho"))
     return out.where(F.col("n") >= least).select(*by, "n", "rho")
 
 
@@ -160,7 +188,7 @@ def stratified(rows: DataFrame, stratum: str, key: str, size: int, seed: int = 4
     """About `size` rows, each stratum by its share (rounded half to even, at least 1), chosen by hash, at most `size` in all."""
     total = rows.agg(F.count("*").alias("total"))
     quota = rows.groupBy(stratum).agg(F.count("*").alias("c")).crossJoin(F.broadcast(total)).select(stratum, F.greatest(F.lit(1), F.bround(size * F.col("c") / F.col("total"))).cast("int").alias("quota"))
-    h = F.xxhash64(key, F.lit(seed))
+    h, _ = shuffled(key, seed)
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy(h, key)))
     picked = ranked.where(F.col("_n") <= size).join(F.broadcast(quota), stratum).where(F.col("_n") <= F.col("quota"))
     return picked.orderBy("_n", h, key).limit(size).drop("_n", "quota")
@@ -168,4 +196,4 @@ def stratified(rows: DataFrame, stratum: str, key: str, size: int, seed: int = 4
 
 def hashed_order(rows: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
     """`size` rows in a repeatable random order."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(size)
+    return rows.orderBy(*shuffled(key, seed)).limit(size)

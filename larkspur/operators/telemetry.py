@@ -20,29 +20,13 @@ def spend(input_tokens: Column, output_tokens: Column, per_1k_input: float = 0.0
 
 
 def breaker(spends: DataFrame, limit: float, window_seconds: float, key: str = "user_id") -> DataFrame:
-    """(key, ts, ord, cost) with the window's cumulative cost and whether the breaker is open after the spend.
+    """(key, ord, cumulative, open): the window's cost so far and whether the breaker is open after each spend (key, ts, ord, cost).
 
     A window is anchored at a key's first spend, and anew at the first spend
-    after it has run out.  So it can't be a calendar window; a key's spends are
-    folded in order.  A fold keeps one row a spend, and a key's spends meet in
-    one task, as each window depends on the one before.
+    after it has run out, so it can't be a calendar window, and each window
+    depends on the one before: a key's rows pass through one task, as a sorted
+    stream of which one sum is held.
     """
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    rows = spends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("ord"), at.alias("at"), F.col("cost").alias("cost")))).alias("xs"))
-    item = "struct<ord:bigint,cumulative:double>"
-    start = F.struct(F.array().cast(f"array<{item}>").alias("out"), F.lit(None).cast("double").alias("start"), F.lit(0.0).alias("sum"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = s["start"].isNull() | (x["at"] - s["start"] >= window_seconds)
-        total = F.when(fresh, x["cost"]).otherwise(s["sum"] + x["cost"])
-        return F.struct(F.concat(s["out"], F.array(F.struct(x["ord"].cast("long").alias("ord"), total.alias("cumulative")))).alias("out"), F.when(fresh, x["at"]).otherwise(s["start"]).alias("start"), total.alias("sum"))
-
-    folded = rows.select(key, F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("r"))
-    return folded.select(key, "r.ord", F.round("r.cumulative", 6).alias("cumulative"), (F.col("r.cumulative") >= limit).alias("open"))
-
-
-def breaker_streamed(spends: DataFrame, limit: float, window_seconds: float, key: str = "user_id") -> DataFrame:
-    """breaker() for keys with unboundedly many spends: a key's rows pass through one task as a sorted stream, not as an array."""
     import pyarrow as pa
 
     ordered = spends.select(F.col(key).alias("k"), F.col("ord").cast("long").alias("ord"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("cost").cast("double").alias("cost")).repartition("k").sortWithinPartitions("k", "ord")
@@ -65,38 +49,43 @@ def breaker_streamed(spends: DataFrame, limit: float, window_seconds: float, key
 def cache_lookups(lookups: DataFrame, entries: DataFrame, least: float = 0.92, ttl_seconds: int = 86_400) -> DataFrame:
     """For each lookup (lookup_id, ts, embedding) the best entry (entry_id, ts, embedding) written before it and not expired.
 
-    The lookups are a stated query set: blocks of them are scored against all
-    entries by a matrix product, and only pairs over the threshold leave a task.
+    Time is cut into spans of the time to live: an entry can only be found from
+    its own span and the next.  The lookups and the entries of a span are dealt
+    into blocks of about LOOKUP_BLOCK, a pair of blocks is one matrix product in
+    a task, and of it only the best entry a lookup goes on.
     """
-    blocks = max(1, -(-lookups.count() // LOOKUP_BLOCK))
-    parts = [_block_hits(lookups.where(F.pmod(F.xxhash64("lookup_id"), F.lit(blocks)) == i), entries, least, ttl_seconds) for i in range(blocks)]
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    best = hits.groupBy("lookup_id").agg(F.max_by("entry_id", F.struct(F.col("similarity"), -F.col("entry_id"))).alias("entry_id"), F.max("similarity").alias("similarity"))
-    return lookups.select("lookup_id").join(best, "lookup_id", "left").select("lookup_id", "entry_id", F.round("similarity", 6).alias("similarity"), F.col("entry_id").isNotNull().alias("hit"))
-
-
-def _block_hits(lookups: DataFrame, entries: DataFrame, least: float, ttl_seconds: int) -> DataFrame:
-    """(lookup_id, entry_id, similarity) of a block's hits."""
     import numpy as np
     import pyarrow as pa
 
-    rows = lookups.select("lookup_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "embedding").collect()  # a block at most
-    shared = entries.sparkSession.sparkContext.broadcast((np.array([r.lookup_id for r in rows], dtype=np.int64), np.array([r.t for r in rows], dtype=np.int64), np.array([r.embedding for r in rows], dtype=np.float64)))
-
-    def run(batches):
-        ids, t, q = shared.value
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            s = np.round(q @ x.T, 9)
-            age = t[:, None] - b.column("t").to_numpy()[None]
-            i, j = np.nonzero((s >= least) & (age > 0) & (age < ttl_seconds * 1_000_000))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(b.column("entry_id").to_numpy()[j]), pa.array(s[i, j])], names=["lookup_id", "entry_id", "similarity"])
-
-    return entries.select(F.col("entry_id").cast("long").alias("entry_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "embedding").mapInArrow(run, "lookup_id long, entry_id long, similarity double")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = ttl_seconds * 1_000_000
+    found = lookups.select(F.col("lookup_id").cast("long").alias("id"), t.alias("t"), "embedding").withColumn("own", F.floor(F.col("t") / span))
+    stored = entries.select(F.col("entry_id").cast("long").alias("id"), t.alias("t"), "embedding").withColumn("span", F.floor(F.col("t") / span))
+    found = found.withColumn("span", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    parts = found.groupBy("span").agg(F.ceil(F.count("*") / LOOKUP_BLOCK).alias("nl")).join(stored.groupBy("span").agg(F.ceil(F.count("*") / LOOKUP_BLOCK).alias("ne")), "span")  # a row a span
+    block = F.xxhash64("id")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    left = found.join(parts, "span").select("span", "id", "t", F.col("embedding").alias("vector"), F.pmod(block, "nl").cast("int").alias("i"), every("ne").alias("j"))
+    right = stored.join(parts, "span").select("span", "id", "t", F.col("embedding").alias("vector"), F.pmod(block, "ne").cast("int").alias("j"), every("nl").alias("i"))
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return np.array(table.column("vector").to_pylist(), dtype=np.float64).reshape(len(table), -1)
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, e = a.column("id").to_numpy(), b.column("id").to_numpy()
+        if not len(ids) or not len(e):
+            return pa.table({"lookup_id": pa.array([], pa.int64()), "entry_id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        age = a.column("t").to_numpy()[:, None] - b.column("t").to_numpy()[None]
+        s = np.where((age > 0) & (age < span), np.round(matrix(a) @ matrix(b).T, 9), -np.inf)
+        order = np.argsort(e, kind="stable")  # the least id among equals
+        at = order[s[:, order].argmax(axis=1)]
+        top = s[np.arange(len(ids)), at]
+        ok = top >= least
+        return pa.table({"lookup_id": pa.array(ids[ok]), "entry_id": pa.array(e[at[ok]]), "similarity": pa.array(top[ok])})
+
+    hits = left.groupBy("span", "i", "j").cogroup(right.groupBy("span", "i", "j")).applyInArrow(best, "lookup_id long, entry_id long, similarity double")
+    top = hits.groupBy("lookup_id").agg(F.max_by("entry_id", F.struct(F.col("similarity"), -F.col("entry_id"))).alias("entry_id"), F.max("similarity").alias("similarity"))
+    return lookups.select("lookup_id").join(top, "lookup_id", "left").select("lookup_id", "entry_id", F.round("similarity", 6).alias("similarity"), F.col("entry_id").isNotNull().alias("hit"))
 
 
 def cache_live(entries: DataFrame, now: Column, ttl_seconds: int = 86_400) -> DataFrame:
@@ -133,6 +122,12 @@ def histogram_quantile(values: DataFrame, value: Column, q: float, buckets: tupl
     return wide.select(*by, F.col("total").alias("n"), F.round(out, 6).alias("quantile"))
 
 
+def sliding_quantile(events: DataFrame, value: Column, q: float, buckets: tuple[float, ...], *by: str, window: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """histogram_quantile() over sliding windows of ts, by their start."""
+    rows = events.select(F.window("ts", window, slide).alias("w"), *by, value.alias("_value")).select(F.col("w.start").alias("start"), *by, "_value")
+    return histogram_quantile(rows, F.col("_value"), q, buckets, "start", *by)
+
+
 def latest(events: DataFrame, value: str, *by: str) -> DataFrame:
     """A gauge: the last value of each key."""
     return events.groupBy(*by).agg(F.max_by(value, F.struct("ts", "event_id")).alias(value))

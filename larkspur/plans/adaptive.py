@@ -12,6 +12,7 @@ deterministic stand-ins for models, not equals of them.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import dense, ranking, sparse, telemetry
 from ..sources.shared import shared_dir
-from ..operators import dense, ranking, sparse
 
 Hits = Callable[[DataFrame, int, int], DataFrame]
 DOC = "struct<doc_id:bigint,content:string,score:double,rerank_score:double,source:string>"
@@ -157,6 +158,31 @@ class Pipeline:
         state = cut(queries.select("query_id", "query").join(self.documents(queries, s.k_retrieve, s.k_retriever), "query_id").withColumn("prompt", self.prompt()))
         return state.withColumn("answer", T.clean_answer(self.providers.generate(F.col("query"), F.col("prompt"), contents(), 0)))
 
+    def timed(self, queries: DataFrame) -> DataFrame:
+        """linear() with retrieval_ms, rerank_ms and generation_ms (a stage's time over all queries, shared among them), total_ms, tokens and cost.
+
+        Stages run for all queries at once, each to a table, so a query has no latency of its own.
+        """
+        s, p = self.settings, self.providers
+        took: dict[str, float] = {}
+        n = max(queries.count(), 1)
+
+        def stage(name: str, df: DataFrame) -> DataFrame:
+            began = time.perf_counter()
+            out = cut(df)
+            took[name] = (time.perf_counter() - began) * 1000 / n
+            return out
+
+        hits = stage("retrieval_ms", self.retriever(queries, s.k_retrieve, s.k_retriever))
+        hits = stage("rerank_ms", ranking.rerank(hits, queries, self.corpus, s.k_rerank, p.scorer, most_hits=s.k_retrieve).join(self.corpus, "doc_id"))
+        doc = F.struct(F.col("doc_id").cast("long").alias("doc_id"), "content")
+        found = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", doc.alias("d")))), lambda x: x["d"]).alias("documents"))
+        state = queries.select("query_id", "query").join(found, "query_id", "left").withColumn("documents", F.coalesce("documents", F.array().cast("array<struct<doc_id:bigint,content:string>>")))
+        out = stage("generation_ms", state.withColumn("prompt", self.prompt()).withColumn("answer", T.clean_answer(p.generate(F.col("query"), F.col("prompt"), contents(), 0))))
+        spent = telemetry.spend(F.col("input_tokens"), F.col("output_tokens"))
+        out = out.withColumns({**{k: F.lit(round(v, 3)) for k, v in took.items()}, "total_ms": F.lit(round(sum(took.values()), 3)), "input_tokens": T.token_estimate("prompt"), "output_tokens": T.token_estimate("answer")})
+        return out.withColumn("cost", F.round(spent, 9))
+
     # ------------------------------------------------------- adaptive nodes
     def start(self, queries: DataFrame) -> DataFrame:
         s = self.settings

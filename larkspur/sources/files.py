@@ -1,15 +1,19 @@
 """File sources: text, markdown, JSON, JSON lines and CSV to documents (doc_id, content, metadata).
 
-All are DataFrame readers; nothing is opened on the driver.  A row without
-content is dropped; broken JSON lines are dropped.  A document's id is the
-first 16 hex digits of its content's MD5 unless given.
+All are DataFrame readers; nothing is opened on the driver.  A path without an
+extension is a folder: the files with the reader's extension at any depth, and
+a file that can't be read is passed over.  A row without content is dropped,
+and so is a broken JSON line; `rejected` says which.  A document's id is the
+first 16 hex digits of its content's MD5 unless given.  Rows are numbered from
+their file's blocks: the blocks before a row's own add their counts, so a large
+file is still read by many tasks.
 """
 
 from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -22,12 +26,24 @@ def _document(df: DataFrame, content: Column, **metadata: Column) -> DataFrame:
     return out.select(F.substring(F.md5("content"), 1, 16).alias("doc_id"), "content", F.map_filter("metadata", lambda k, v: v.isNotNull()).alias("metadata"))
 
 
+def _reader(spark: SparkSession, path: str, extension: str):
+    if PurePosixPath(path).suffix:
+        return spark.read
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """df, read from files, with source and the row's number in its file, from 1."""
+    rows = df.select("*", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy("source", "_block").orderBy("_at")))
+    before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    blocks = rows.groupBy("source", "_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return rows.join(blocks, ["source", "_block"]).withColumn("row_number", F.col("_before") + F.col("_in")).drop("_block", "_at", "_in", "_before")
+
+
 def text(spark: SparkSession, path: str, extension: str = "txt", file_type: str = "text") -> DataFrame:
-    """A document a file; of a folder the files with the extension, at any depth."""
-    reader = spark.read
-    if not PurePosixPath(path).suffix:
-        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}")
-    df = reader.text(path, wholetext=True)
+    """A document a file."""
+    df = _reader(spark, path, extension).text(path, wholetext=True)
     return _document(df, F.col("value"), source=F.col("_metadata.file_path"), filename=F.col("_metadata.file_name"), file_type=F.lit(file_type), loaded_at=F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
 
 
@@ -35,38 +51,43 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
     return text(spark, path, "md", "markdown")
 
 
+def _items(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame:
+    """(source, index, o): the objects of JSON files, from 0 in each file; an object may stand alone or in an array."""
+    item = StructType([StructField(n, StringType()) for n in dict.fromkeys(fields)])
+    df = _reader(spark, path, "json").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source"))
+    many = F.from_json("value", ArrayType(item))
+    return df.select("source", F.posexplode(F.when(F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("["), many).otherwise(F.array(F.from_json("value", item)))).alias("index", "o"))
+
+
 def json(spark: SparkSession, path: str, content: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
     """An object or an array of objects a file; index counts from 0 in each file."""
-    raw = spark.read
-    if not PurePosixPath(path).suffix:
-        raw = raw.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-    item = StructType([StructField(n, StringType()) for n in dict.fromkeys((content, *metadata))])
-    df = raw.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source"))
-    many = F.from_json("value", ArrayType(item))
-    rows = df.select("source", F.posexplode(F.when(F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("["), many).otherwise(F.array(F.from_json("value", item)))).alias("index", "o"))
-    return _document(rows, F.col(f"o.{content}"), source=F.col("source"), index=F.col("index"), **{m: F.col(f"o.{m}") for m in metadata})
+    return _document(_items(spark, path, (content, *metadata)), F.col(f"o.{content}"), source=F.col("source"), index=F.col("index"), **{m: F.col(f"o.{m}") for m in metadata})
+
+
+def _lines(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame:
+    """(source, index, o) of the lines of JSON lines files that aren't blank; index is the line's number, from 1, blank lines counted."""
+    item = StructType([StructField(n, StringType()) for n in dict.fromkeys(fields)])
+    rows = _numbered(_reader(spark, path, "jsonl").text(path)).where(F.trim("value") != "")
+    return rows.select("source", F.col("row_number").alias("index"), F.from_json("value", item).alias("o"))
 
 
 def jsonl(spark: SparkSession, path: str, content: str = "text", metadata: tuple[str, ...] = ()) -> DataFrame:
-    """A document a line; index is the line's number in its file, from 1, blank and broken lines counted."""
-    item = StructType([StructField(n, StringType()) for n in dict.fromkeys((content, *metadata))])
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source"))
-    rows = whole.select("source", F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).where(F.trim("value") != "").select("source", (F.col("line") + 1).alias("index"), F.from_json("value", item).alias("o"))
-    return _document(rows, F.col(f"o.{content}"), source=F.col("source"), index=F.col("index"), **{m: F.col(f"o.{m}") for m in metadata})
+    """A document a line."""
+    return _document(_lines(spark, path, (content, *metadata)), F.col(f"o.{content}"), source=F.col("source"), index=F.col("index"), **{m: F.col(f"o.{m}") for m in metadata})
 
 
-def jsonl_split(spark: SparkSession, path: str, content: str = "text") -> DataFrame:
-    """jsonl() for files too large for one task: split by lines, without line numbers."""
-    item = StructType([StructField(content, StringType())])
-    return _document(spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", item).alias("o"), F.col("_metadata.file_path").alias("source")), F.col(f"o.{content}"), source=F.col("source"))
+def rejected(spark: SparkSession, path: str, content: str = "text") -> DataFrame:
+    """(source, index) of the JSON objects or lines that have no content or can't be read: what the readers drop."""
+    rows = (_lines if path.endswith(".jsonl") else _items)(spark, path, (content,))
+    return rows.where(F.col(f"o.{content}").isNull()).select("source", "index")
 
 
 def csv(spark: SparkSession, path: str, columns: tuple[str, ...] = (), separator: str = ", ") -> DataFrame:
-    """A document a row, the columns (all, or those named that are there) joined; a missing cell reads None."""
-    df = spark.read.csv(path, header=True)
+    """A document a row, the columns (all, or those named that are there) joined; a missing cell reads None.  row_number counts from 1."""
+    df = _reader(spark, path, "csv").csv(path, header=True)
     used = [c for c in columns if c in df.columns] or df.columns
     joined = F.concat_ws(separator, *[F.coalesce(F.col(f"`{c}`"), F.lit("None")) for c in used])
-    return _document(df, joined, source=F.col("_metadata.file_path"), row_columns=F.lit(",".join(used)))
+    return _document(_numbered(df.select(joined.alias("_joined"), "_metadata")), F.col("_joined"), source=F.col("source"), row_number=F.col("row_number"), row_columns=F.lit(",".join(used)))
 
 
 READERS = {".txt": text, ".json": json, ".jsonl": jsonl, ".csv": csv, ".md": markdown, ".markdown": lambda s, p, **kw: text(s, p, "markdown", "markdown")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -25,10 +25,25 @@ def answer_map(nested: DataFrame) -> DataFrame:
     return qa.where(~F.coalesce("is_impossible", F.lit(False)) & (F.size("answers") > 0)).select(F.col("id").alias("question_id"), "question", F.col("answers")[0]["text"].alias("answer"))
 
 
+def shuffled(key: str, seed: int = 42) -> list[Column]:
+    """A repeatable random order."""
+    return [F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), F.col(key)]
+
+
 def sampled(rows: DataFrame, key: str, size: int, kind: str | None = None, seed: int = 42) -> DataFrame:
     """`size` questions in a repeatable random order; those of the wanted type first, others fill up."""
-    order = [F.xxhash64(key, F.lit(seed)), F.col(key)]
-    return rows.orderBy(*([(F.col("type") != kind).cast("int")] if kind else []), *order).limit(size)
+    return rows.orderBy(*([(F.col("type") != kind).cast("int")] if kind else []), *shuffled(key, seed)).limit(size)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents (doc_id, content, title) as JSON, an object a line."""
+    return spark.read.schema("doc_id string, content string, title string").json(path)
+
+
+def read_queries(spark: SparkSession, path: str) -> DataFrame:
+    """Queries (query_id, query, ground_truth) as JSON, an object a line; `question` and `answer` are other names of the last two."""
+    raw = spark.read.schema("query_id string, query string, question string, ground_truth string, answer string").json(path)
+    return raw.select("query_id", F.coalesce("query", "question").alias("query"), F.coalesce("ground_truth", "answer").alias("ground_truth"))
 
 
 def pooled_paragraphs(rows: DataFrame, order: str = "idx") -> DataFrame:
@@ -72,13 +87,16 @@ def more_queries(raw: DataFrame, documents: DataFrame, size: int, order: str = "
     return first_by(hit, "question", order).orderBy(order).limit(size).select(F.col("question").alias("query"), "doc_id", "has_answer", "title")
 
 
+SHORT_BLOCK = 10_000
+
+
 def containing(corpus: DataFrame, passages: DataFrame, anchor: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
     """(query_id, doc_id) for every document that contains a passage.
 
     Passages are a stated query set.  A passage's words 2 to 1 + anchor, whole
     words wherever the passage stands, are looked up among the documents' word
     windows; only documents with the anchor are searched.  Passages too short
-    for an anchor are searched in all documents.
+    for an anchor are searched in all documents, a block of them at a time.
     """
     p = passages.select("query_id", "query", T.words("query").alias("w"))
     long = p.where(F.size("w") >= anchor + 2).withColumn("anchor", F.array_join(F.slice("w", 2, anchor), " "))
@@ -89,5 +107,8 @@ def containing(corpus: DataFrame, passages: DataFrame, anchor: int = 3, broadcas
     windows = F.when(F.size("w") >= anchor, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - anchor + 1), lambda i: F.array_join(F.slice("w", i, F.lit(anchor)), " ")))).otherwise(F.array().cast("array<string>"))
     hits = words.select("doc_id", F.explode(windows).alias("anchor")).join(hint(long.select("query_id", "anchor")), "anchor").select("doc_id", "query_id").distinct()
     found = hits.join(hint(long.select("query_id", "query")), "query_id").join(corpus.select("doc_id", "content"), "doc_id").where(F.contains("content", F.col("query"))).select("query_id", "doc_id")
-    rest = corpus.select("doc_id", "content").join(hint(short), F.contains("content", F.col("query"))).select("query_id", "doc_id")
-    return found.unionByName(rest)
+    blocks = -(-short.count() // SHORT_BLOCK)
+    for i in range(blocks):
+        some = F.broadcast(short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
+        found = found.unionByName(corpus.select("doc_id", "content").join(some, F.contains("content", F.col("query"))).select("query_id", "doc_id"))
+    return found

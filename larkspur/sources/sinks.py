@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import hadoop_path
+
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -21,6 +23,37 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/vectors"), spark.read.json(f"{path}/facts").first().asDict()
 
 
+def rebuilt_chunks(index: DataFrame) -> DataFrame:
+    """The chunks of the sparse side from an index that has their content: each from 0 to its own length."""
+    return index.select("doc_id", "content", F.lit(0).alias("start_char"), F.length("content").alias("end_char"))
+
+
+def save_baseline(means: DataFrame, path: str, name: str = "baseline") -> None:
+    """(metric, mean) as one JSON file of (name, metric, mean)."""
+    means.select(F.lit(name).alias("name"), "metric", F.col("mean").cast("double").alias("mean")).coalesce(1).write.mode("overwrite").json(path)  # a row a metric
+
+
+def load_baseline(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("name string, metric string, mean double").json(path).select("metric", "mean")
+
+
+def write_error_report(categorised: DataFrame, path: str, order: str, most: int = 5) -> None:
+    """(category, n, error_rate, examples): the distribution with the first rows of each category."""
+    from ..operators import evaluation
+
+    shown = evaluation.first_examples(categorised, order, most).groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", order))), lambda x: x[order]).alias("examples"))
+    evaluation.error_distribution(categorised).join(shown, "category", "left").write.mode("overwrite").json(path)
+
+
+TASK = "sample_id string, query string, prediction string, contexts array<string>, ratings map<string,int>, notes string"
+
+
+def write_tasks(samples: DataFrame, path: str, dimensions: tuple[str, ...] = ("relevance", "faithfulness", "conciseness")) -> None:
+    """Tasks for annotators: samples (sample_id, query, prediction, contexts) with an empty rating for each dimension."""
+    empty = F.map_from_arrays(F.array(*map(F.lit, dimensions)), F.array_repeat(F.lit(None).cast("int"), len(dimensions)))
+    samples.select("sample_id", "query", "prediction", "contexts", empty.alias("ratings"), F.lit("").alias("notes")).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def undone(todo: DataFrame, done: DataFrame, key: str = "query_id") -> DataFrame:
     """What a run that was broken off has still to do."""
     return todo.join(done.select(key).distinct(), key, "left_anti")
@@ -29,9 +62,8 @@ def undone(todo: DataFrame, done: DataFrame, key: str = "query_id") -> DataFrame
 def resume(todo: DataFrame, path: str, work, key: str = "query_id") -> DataFrame:
     """work(rows not yet in path), appended to path; all results."""
     spark = todo.sparkSession
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    p, fs = hadoop_path(spark, path)
+    if fs.exists(p):
         todo = undone(todo, spark.read.parquet(path), key)
     work(todo).write.mode("append").parquet(path)
     return spark.read.parquet(path)
@@ -53,9 +85,10 @@ def cache_set(path: str, rows: DataFrame, now: Column) -> None:
 
 
 def cache_clear(spark: SparkSession, path: str) -> None:
+    """An empty cache takes the old one's place by two renames; the old one is deleted last, so a crash loses nothing."""
     spark.read.parquet(path).limit(0).write.mode("overwrite").parquet(f"{path}-cleared")
-    jvm = spark.sparkContext._jvm
-    old, new = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}-cleared"))
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
+    (old, fs), (new, _), (gone, _) = (hadoop_path(spark, x) for x in (path, f"{path}-cleared", f"{path}-gone"))
+    fs.delete(gone, True)
+    fs.rename(old, gone)
     fs.rename(new, old)
+    fs.delete(gone, True)

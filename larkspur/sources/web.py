@@ -18,14 +18,24 @@ WEB = "array<struct<doc_id:bigint,content:string,score:double,rerank_score:doubl
 def from_function(search: Callable[[str, int], list[tuple[str, str, str]]], most: int = 5):
     """A provider from a function of (query, most) to (title, body, address) rows, called on executors."""
 
-    @F.udf(WEB)
-    def run(query: str):
+    import pyarrow as pa
+
+    found = pa.list_(pa.struct([("doc_id", pa.int64()), ("content", pa.string()), ("score", pa.float64()), ("rerank_score", pa.float64()), ("source", pa.string())]))
+
+    def one(query: str) -> list[dict]:
         try:
-            return [(None, f"{t}\n{b}", None, None, u) for t, b, u in search(query, most)[:most]]
+            return [{"content": f"{t}\n{b}", "source": u} for t, b, u in search(query, most)[:most]]
         except Exception:  # noqa: BLE001  a failed search is an empty one
             return []
 
-    return lambda queries: queries.select("query_id", run("query").alias("web"))
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), pa.array([one(q) for q in b.column("query").to_pylist()], found)], names=["query_id", "web"])
+
+    def provide(queries: DataFrame) -> DataFrame:
+        return queries.select("query_id", "query").mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, web {WEB}")
+
+    return provide
 
 
 def offline_pages(pages: DataFrame, most: int = 5):

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import fresh_path
+
 EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -62,13 +64,28 @@ def breaker(spends: DataFrame, limit: float, window_seconds: float, late: str =
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything the stream has, as a table in memory: for tests and reports."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Everything the stream has, as a table in the shared folder.
+
+    A batch writes its own part and writes it anew if it runs again; in complete
+    mode the last batch has everything.  The stream's progress is kept beside it.
+    """
+    path = fresh_path(stream.sparkSession, name)
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{'all' if mode == 'complete' else f'batch={n}'}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/_progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if q.lastProgress is None:  # no file, no batch
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/all" if mode == "complete" else f"{path}/batch=*")
 
 
 def exposition(values: DataFrame, name: str, labels: list[str]) -> DataFrame:
-    """Lines of a metrics page: name{label="value"} number."""
-    pairs = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.col(c).cast("string"), F.lit('"')) for c in labels])
+    """Lines of a metrics page: name{label="value"} number; backslashes, quotes and line ends of values are escaped."""
+
+    def escaped(c: str) -> Column:
+        return F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+
+    pairs = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), escaped(c), F.lit('"')) for c in labels])
     return values.select(F.concat(F.lit(name + "{"), pairs, F.lit("} "), F.col("value").cast("string")).alias("line"))

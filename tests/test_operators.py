@@ -179,7 +179,7 @@ def test_breaker_batch_stream_and_fold_agree(spark, tmp_path):
             start, total = t, 0.0
         state[u] = (start, total + c)
         want[i] = round(total + c, 6)
-    for f in (telemetry.breaker, telemetry.breaker_streamed):
+    for f in (telemetry.breaker,):
         assert {r.ord: r.cumulative for r in f(df, 3.0, 5000).collect()} == pytest.approx(want)
     df.coalesce(1).write.parquet(str(tmp_path / "s"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "s"))
@@ -203,7 +203,10 @@ def test_readers(spark, tmp_path):
     assert [c for c, _ in read("a.txt")] == ["one\ntwo"]
     assert [(c, m["index"]) for c, m in read("b.json", metadata=("t",))] == [("x", "0"), ("y", "2")]
     assert [(c, m["index"]) for c, m in read("c.jsonl")] == [("p", "1"), ("q", "4")]
-    assert [c for c, _ in read("d.csv")] == ["1, None", "2, 3"]
+    assert [(c, m["row_number"]) for c, m in read("d.csv")] == [("1, None", "1"), ("2, 3", "2")]
+    assert [r["index"] for r in files.rejected(spark, str(tmp_path / "c.jsonl")).collect()] == [3]
+    assert [r["index"] for r in files.rejected(spark, str(tmp_path / "b.json")).collect()] == [1]
+    assert sorted(r.content for r in files.csv(spark, str(tmp_path)).collect()) == ["1, None", "2, 3"]
     assert [c for c, _ in read("e.md")] == ["# t"]
     assert [r.content for r in files.text(spark, str(tmp_path)).collect()] == ["one\ntwo"]
     with pytest.raises(ValueError):
@@ -250,7 +253,7 @@ def test_registered_bootstrap_draws_a_thousand(spark):
 
     d = "/root/testdata/sf0.001"
     got = sorted(map(tuple, catalog.queries()["ab_bootstrap_ci"](spark, d).collect()))
-    assert got == sorted(map(tuple, statistics.bootstrap(catalog.ab_pairs(spark, d), draws=1000).collect()))
+    assert got == sorted(map(tuple, statistics.bootstrap(catalog.ab_pairs(spark, d), draws=1000, number=F.col("query_id")).collect()))
 
 
 def test_registered_breaker_loses_no_file_out_of_order(spark, tmp_path):
@@ -266,7 +269,7 @@ def test_registered_breaker_loses_no_file_out_of_order(spark, tmp_path):
         file.rename(tmp_path / f"events.parquet{name}.parquet")
         os.utime(tmp_path / f"events.parquet{name}.parquet", (at, at))
     s = events.select("user_id", "ts", F.col("event_id").alias("ord"), telemetry.spend(F.col("value") * 100, F.col("value") * 10).alias("cost"))
-    want = {r.ord: r.cumulative for r in telemetry.breaker_streamed(s, 50.0, 86_400.0).collect()}
+    want = {r.ord: r.cumulative for r in telemetry.breaker(s, 50.0, 86_400.0).collect()}
     read, catalog.table = catalog.table, lambda spark, d, name: events
     try:
         got = {r.ord: r.cumulative for r in catalog.queries()["stream_breaker"](spark, str(tmp_path)).collect()}
