@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog_sql import oracle_sql  # noqa: F401
+from . import catalog_sources, catalog_sql
 from .functions import text as T
 from .functions.rouge import rouge_l
 from .operators import chunking, dense, evaluation, ranking, sparse, statistics, telemetry
@@ -29,7 +29,11 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return {**QUERIES, **catalog_sources.QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**catalog_sql.oracle_sql(), **catalog_sources.SQL}
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

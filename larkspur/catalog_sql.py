@@ -1,14 +1,16 @@
 """DuckDB SQL with the same result as the queries of the catalogue, where SQL can say it.
 
-Left out: queries that draw by hash (stratified_sample, ab_bootstrap_ci), use
-Student's distribution (ab_p_values, ab_winner), vectors of hashed words
-(sentence_faithfulness), a stemmer (qa_rouge_l_stemmed), per-row text machinery
-(answer_cleanup, rewrite_cleanup) or the unrolled state machine (retry_unrolled,
-agentic_rates, linear_answers); tests compare these with plain versions.
+Left out: vectors of hashed words (sentence_faithfulness), a stemmer
+(qa_rouge_l_stemmed), per-row text machinery (answer_cleanup, rewrite_cleanup),
+the unrolled state machine (retry_unrolled, agentic_rates, linear_answers),
+times (timed_answers) and approximate search (dense_ann_recall); tests compare
+these with plain versions.
 """
 
 from __future__ import annotations
 
+import math
+
 WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda t: t <> '')"
 TOKENS = WORDS.format("lower({})")
 PUNCTUATION = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~"
@@ -131,26 +133,45 @@ def windows(size: int, stride: int, to_the_end: bool) -> str:
 
 
 STRIPPED = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
-#: Sentences of up to 60 tokens together; one of over 100 is cut.
-SEMANTIC = f"""
+def semantic(target: int, most: int) -> str:
+    """CTEs up to `semantic`: sentences of up to target tokens together; one of over most is cut."""
+    return f"""
 paragraph AS (SELECT doc_id, {STRIPPED.format("unnest(ps)")} AS p, generate_subscripts(ps, 1) AS pi FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents)),
 split AS (SELECT doc_id, pi, string_split(regexp_replace(p, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ss FROM paragraph WHERE p <> ''),
 sentence AS (SELECT doc_id, s, len({WORDS.format("s")}) AS n, length(s) AS chars, row_number() OVER (PARTITION BY doc_id ORDER BY pi, si) AS i
              FROM (SELECT doc_id, pi, {STRIPPED.format("unnest(ss)")} AS s, generate_subscripts(ss, 1) AS si FROM split) WHERE s <> ''),
-fold AS (SELECT doc_id, i, 1 AS gid, CASE WHEN n > 100 THEN 0 ELSE n END AS total, n > 100 AS forced FROM sentence WHERE i = 1
-         UNION ALL SELECT s.doc_id, s.i, f.gid + (s.n > 100 OR f.forced OR f.total + s.n > 60)::INT, CASE WHEN s.n > 100 THEN 0 WHEN f.forced OR f.total + s.n > 60 THEN s.n ELSE f.total + s.n END, s.n > 100
+fold AS (SELECT doc_id, i, 1 AS gid, CASE WHEN n > {most} THEN 0 ELSE n END AS total, n > {most} AS forced FROM sentence WHERE i = 1
+         UNION ALL SELECT s.doc_id, s.i, f.gid + (s.n > {most} OR f.forced OR f.total + s.n > {target})::INT, CASE WHEN s.n > {most} THEN 0 WHEN f.forced OR f.total + s.n > {target} THEN s.n ELSE f.total + s.n END, s.n > {most}
          FROM fold f JOIN sentence s ON s.doc_id = f.doc_id AND s.i = f.i + 1),
 grouped AS (SELECT doc_id, gid, bool_or(forced) AS forced, string_agg(s, ' ' ORDER BY i) AS content, sum(chars) AS chars FROM fold JOIN sentence USING (doc_id, i) GROUP BY doc_id, gid),
 placed AS (SELECT *, coalesce(sum(chars) OVER (PARTITION BY doc_id ORDER BY gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS begun, {WORDS.format("content")} AS toks FROM grouped),
 piece AS (SELECT doc_id, gid, 0 AS p, begun AS start_char, begun + length(content) AS end_char, content FROM placed WHERE NOT forced
-          UNION ALL SELECT doc_id, gid, p, begun + trunc(p / n * chars)::INT, begun + trunc(least(p + 100, n) / n * chars)::INT, array_to_string(toks[p + 1:p + 100], ' ') FROM (SELECT *, len(toks) AS n, unnest(range(0, len(toks), 100)) AS p FROM placed WHERE forced)),
+          UNION ALL SELECT doc_id, gid, p, begun + trunc(p / n * chars)::INT, begun + trunc(least(p + {most}, n) / n * chars)::INT, array_to_string(toks[p + 1:p + {most}], ' ') FROM (SELECT *, len(toks) AS n, unnest(range(0, len(toks), {most})) AS p FROM placed WHERE forced)),
 semantic AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY gid, p) - 1)::INT AS chunk_index, start_char::INT AS start_char, end_char::INT AS end_char, len({WORDS.format("content")}) AS n_tokens, content FROM piece)"""
+
+
 CHUNK_ID = "substr(md5(doc_id || '_' || chunk_index || '_' || start_char), 1, 16) AS chunk_id"
 SUMMARY = "count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99"
 AB = """
 side AS (SELECT event_type, user_id, round(avg(value), 9) AS f1, count(*)::DOUBLE AS faithfulness FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL),
 pairs AS (SELECT v.user_id, unnest(['f1', 'faithfulness']) AS metric, unnest([v.f1, v.faithfulness]) AS a, unnest([c.f1, c.faithfulness]) AS b
           FROM side v JOIN side c USING (user_id) WHERE v.event_type = 'view' AND c.event_type = 'click')"""
+#: Student's t by Simpson's rule on 2,000 steps.
+TESTED = """
+stat AS (SELECT metric, count(*) AS n, avg(b - a) AS md, CASE WHEN stddev_samp(b - a) > 1e-12 THEN stddev_samp(b - a) END AS sd, max(abs(a) + abs(b)) AS most FROM pairs GROUP BY 1),
+t AS (SELECT metric, round(md, 6) AS difference, round(md / (sd / sqrt(n)), 6) AS t, (n - 1)::DOUBLE AS v FROM stat WHERE most > 0),
+area AS (SELECT metric, sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(abs(t) * i / 2000, 2) / v, -(v + 1) / 2)) * abs(any_value(t)) / 6000 * exp(lgamma((any_value(v) + 1) / 2) - lgamma(any_value(v) / 2)) / sqrt(any_value(v) * pi()) AS half
+         FROM t CROSS JOIN range(2001) r(i) WHERE t IS NOT NULL GROUP BY metric),
+tested AS (SELECT metric, difference, coalesce(greatest(1 - 2 * half, 0), 1.0) AS p_value FROM t LEFT JOIN area USING (metric))"""
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8))
+
+
+def scattered(x: str) -> str:
+    for step in (48_271, 69_621, 39_373):
+        x = f"list_transform([({x})::BIGINT], lambda x: (x * x + x * {step} + {step}) % 2147483647)[1]"
+    return x
+
+
 RATED = "rated AS (SELECT l.doc_id, quality, toxic, lang, n_chars FROM labels l JOIN documents USING (doc_id))"
 ANNOTATIONS = f"""{RATED},
 base AS (SELECT 'a' AS annotator_id, printf('s%04d', doc_id) AS sample_id, quality * 4 + 1 AS relevance, 5 - toxic * 4 AS faithfulness FROM rated
@@ -168,6 +189,12 @@ def _quantile() -> str:
     return f"CASE {' '.join(parts)} ELSE {BUCKETS[-1]} END"
 
 
+BREAKER = """WITH RECURSIVE s AS (SELECT user_id, event_id AS ord, epoch_us(ts) / 1e6 AS sec, value * 100 / 1000 * 0.004::DOUBLE + value * 100 / 10 / 1000 * 0.012::DOUBLE AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+            f AS (SELECT user_id, n, ord, sec AS start, cost AS cumulative FROM s WHERE n = 1
+                  UNION ALL SELECT s.user_id, s.n, s.ord, CASE WHEN s.sec - f.start >= 86400 THEN s.sec ELSE f.start END, CASE WHEN s.sec - f.start >= 86400 THEN s.cost ELSE f.cumulative + s.cost END FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1)
+            SELECT user_id, ord, round(cumulative, 6) AS cumulative, cumulative >= 50 AS open FROM f"""
+
+
 def template(context: str, question: str) -> str:
     from .plans.adaptive import PROMPT
 
@@ -212,7 +239,7 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN rank < prior_rank THEN 'up' WHEN rank > prior_rank THEN 'down' ELSE 'same' END AS movement FROM reranked""",
         "chunk_fixed": f"SELECT {CHUNK_ID}, * FROM ({windows(128, 112, False)})",
         "chunk_sliding": f"SELECT {CHUNK_ID}, * FROM ({windows(128, 96, True)})",
-        "chunk_semantic": f"WITH RECURSIVE {SEMANTIC} SELECT {CHUNK_ID}, * FROM semantic",
+        "chunk_semantic": f"WITH RECURSIVE {semantic(60, 100)} SELECT {CHUNK_ID}, * FROM semantic",
         "chunk_stats": f"""SELECT strategy, count(*) AS n_chunks, round(avg(length(content)), 6) AS avg_chars, min(length(content)) AS min_chars, max(length(content)) AS max_chars, round(stddev_pop(length(content)), 6) AS std_chars
             FROM (SELECT 'fixed' AS strategy, content FROM ({windows(128, 112, False)}) UNION ALL SELECT 'sliding', content FROM ({windows(128, 112, True)})) GROUP BY 1""",
         "doc_eda": f"""SELECT count(*) AS n_docs, sum(length(text))::BIGINT AS chars, round(avg(length(text)), 6) AS avg_chars, min(length(text)) AS min_chars, max(length(text)) AS max_chars, sum(len({WORDS.format("text")}))::BIGINT AS words,
@@ -238,6 +265,18 @@ def oracle_sql() -> dict[str, str]:
         "worst_predictions": f"WITH RECURSIVE {RESULTS} SELECT pair_id, round(0.5 * f1 + 0.3 * faithfulness + 0.2 * exact_match, 6) AS badness FROM results ORDER BY badness, pair_id LIMIT 20",
         "ab_paired_stats": f"""WITH {AB}, s AS (SELECT metric, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(b - a) AS md, CASE WHEN stddev_samp(b - a) > 1e-12 THEN stddev_samp(b - a) END AS sd, max(abs(a) + abs(b)) AS most FROM pairs GROUP BY 1)
             SELECT metric, n, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(md, 6) AS difference, round(md / (sd / sqrt(n)), 6) AS t, n - 1 AS df, round(coalesce(md / sd, 0), 6) AS effect_size FROM s WHERE most > 0""",
+        "ab_p_values": f"""WITH {AB},{TESTED} SELECT metric, round(p_value, 6) AS p_value, p_value < 0.05 AS significant FROM tested""",
+        "ab_winner": f"""WITH {AB},{TESTED}, s AS (SELECT coalesce(bool_or(metric = 'faithfulness' AND p_value < 0.05 AND difference < 0), false) AS guard, coalesce(bool_or(metric = 'f1'), false) AS there, coalesce(bool_or(metric = 'f1' AND p_value < 0.05 AND difference > 0), false) AS better, coalesce(bool_or(metric = 'f1' AND p_value < 0.05 AND difference < 0), false) AS worse FROM tested)
+            SELECT CASE WHEN guard OR there AND worse THEN 'champion' WHEN there AND better THEN 'challenger' ELSE 'no_significant_difference' END AS winner,
+                   CASE WHEN guard THEN 'guard metric regressed' WHEN NOT there THEN 'primary metric not available' WHEN better THEN 'primary metric significantly better' WHEN worse THEN 'primary metric significantly worse' ELSE 'no significant difference' END AS reason FROM s""",
+        "ab_bootstrap_ci": f"""WITH {AB}, rows AS (SELECT metric, b - a AS d, {scattered("(user_id % 2147483647 + 42) % 2147483647")} AS r FROM pairs),
+            drawn AS (SELECT metric, resample, d, {scattered("(r + resample * 1000003) % 2147483647")} / 2147483647.0::DOUBLE AS u FROM rows CROSS JOIN range(1000) t(resample)),
+            times AS (SELECT metric, resample, d, CASE {" ".join(f"WHEN u < {p!r}::DOUBLE THEN {k}" for k, p in enumerate(POISSON))} ELSE {len(POISSON)} END AS k FROM drawn),
+            means AS (SELECT metric, resample, sum(d * k) / sum(k) AS m FROM times WHERE k > 0 GROUP BY ALL)
+            SELECT metric, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM means GROUP BY 1""",
+        "stratified_sample": """WITH q AS (SELECT lang, greatest(1, round_even(50 * count(*) / (SELECT count(*) FROM documents)::DOUBLE, 0))::INT AS quota FROM documents GROUP BY 1),
+            r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) AS n FROM documents)
+            SELECT doc_id, r.lang FROM r JOIN q ON q.lang IS NOT DISTINCT FROM r.lang WHERE n <= quota ORDER BY n, md5('42:' || doc_id), doc_id LIMIT 50""",
         "kappa_quadratic": f"""WITH {RATED}, r AS (SELECT lang, (quality * 4 + 1)::DOUBLE AS x, (5 - toxic * 4)::DOUBLE AS y FROM rated), s AS (SELECT lang, count(*) AS n, sum((x - y) ** 2) AS dd, n * sum(x * x) + n * sum(y * y) - 2 * sum(x) * sum(y) AS below FROM r GROUP BY 1)
             SELECT lang, n, CASE WHEN below = 0 THEN CASE WHEN dd = 0 THEN 1.0 ELSE 'nan'::DOUBLE END ELSE round(1 - n * dd / below, 6) END AS kappa FROM s""",
         "spearman_ties": f"""WITH {RATED}, r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS rx, rank() OVER (PARTITION BY lang ORDER BY quality) + (count(*) OVER (PARTITION BY lang, quality) - 1) / 2 AS ry FROM rated)
@@ -265,10 +304,7 @@ def oracle_sql() -> dict[str, str]:
         "supporting_facts_recall": f"""WITH {PASSAGES},{GOLD},{bm25('passages', 10)}, g AS (SELECT query_id, list(DISTINCT doc_id) AS gold FROM containing GROUP BY 1), h AS (SELECT query_id, list(doc_id) AS found FROM bm25 GROUP BY 1)
             SELECT query_id, CASE WHEN gold IS NULL THEN 1.0 ELSE round(len(list_intersect(gold, coalesce(found, [])))::DOUBLE / len(gold), 6) END AS recall, CASE WHEN gold IS NULL THEN true ELSE len(list_intersect(gold, coalesce(found, []))) >= least(2, len(gold)) END AS accurate
             FROM passages LEFT JOIN g USING (query_id) LEFT JOIN h USING (query_id)""",
-        "breaker_anchored": """WITH RECURSIVE s AS (SELECT user_id, event_id AS ord, epoch_us(ts) / 1e6 AS sec, value * 100 / 1000 * 0.004::DOUBLE + value * 100 / 10 / 1000 * 0.012::DOUBLE AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-            f AS (SELECT user_id, n, ord, sec AS start, cost AS cumulative FROM s WHERE n = 1
-                  UNION ALL SELECT s.user_id, s.n, s.ord, CASE WHEN s.sec - f.start >= 86400 THEN s.sec ELSE f.start END, CASE WHEN s.sec - f.start >= 86400 THEN s.cost ELSE f.cumulative + s.cost END FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1)
-            SELECT user_id, ord, round(cumulative, 6) AS cumulative, cumulative >= 50 AS open FROM f""",
+        "breaker_anchored": BREAKER,
         "rate_1m": "WITH c AS (SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY minute), 6) AS share FROM c",
         "hist_quantile": f"WITH c AS (SELECT event_type, count(*) AS n, {_cum} FROM events GROUP BY 1) SELECT event_type, n, round({_quantile()}, 6) AS quantile FROM c",
         "hist_buckets": f"WITH c AS (SELECT event_type, count(*) AS total, {_cum} FROM events GROUP BY 1) SELECT event_type, unnest([{', '.join(f'{b}::DOUBLE' for b in BUCKETS)}, NULL]) AS le, unnest([{', '.join(f'b{i}' for i in range(len(BUCKETS)))}, total]) AS n FROM c",
@@ -276,5 +312,6 @@ def oracle_sql() -> dict[str, str]:
         "semantic_cache_ttl": f"""WITH hit AS (SELECT q.vec_id AS lookup_id, e.vec_id AS entry_id, round({DOT.format("q.embedding", "e.embedding")}, 9) AS s FROM embeddings q JOIN embeddings e ON e.vec_id < q.vec_id AND q.vec_id - e.vec_id < 120),
             best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY s DESC, entry_id) AS r FROM hit WHERE s >= 0.5) WHERE r = 1)
             SELECT vec_id AS lookup_id, entry_id, round(s, 6) AS similarity, entry_id IS NOT NULL AS hit FROM embeddings LEFT JOIN best ON lookup_id = vec_id""",
+        "stream_breaker": BREAKER,
         "stream_window_counts": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     }

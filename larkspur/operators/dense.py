@@ -70,11 +70,27 @@ def _block(corpus: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFr
 
 
 # ------------------------------------------------------------ inverted lists
-def ivf_centroids(corpus: DataFrame, lists: int = 64, sample: int = 20_000, rounds: int = 10, seed: int = 7) -> np.ndarray:
-    """Centres of `lists` cells of unit vectors, by spherical k-means on at most `sample` rows (chosen by hash)."""
+def _unit_sample(corpus: DataFrame, sample: int, seed: int) -> np.ndarray:
     rows = corpus.where("embedding is not null").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").select("embedding").limit(sample).toArrow()
     x = np.array(rows.column("embedding").to_pylist(), dtype=np.float64)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def ivf_probes(corpus: DataFrame, centres: np.ndarray, k: int = 10, recall: float = 0.95, sample: int = 10_000, asked: int = 200, seed: int = 11) -> int:
+    """The fewest cells to search for `recall` of the k nearest, as measured among at most `sample` rows for `asked` of them."""
+    x = _unit_sample(corpus, sample, seed)
+    q = x[:asked]
+    near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
+    order = np.argsort(-(q @ centres.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(centres))[None], 1)
+    needed = np.sort(np.take_along_axis(place, (x @ centres.T).argmax(axis=1)[near], 1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+
+
+def ivf_centroids(corpus: DataFrame, lists: int = 64, sample: int = 20_000, rounds: int = 10, seed: int = 7) -> np.ndarray:
+    """Centres of `lists` cells of unit vectors, by spherical k-means on at most `sample` rows (chosen by hash)."""
+    x = _unit_sample(corpus, sample, seed)
     centres = x[np.random.default_rng(seed).permutation(len(x))[:lists]].copy()
     for _ in range(rounds):
         own = (x @ centres.T).argmax(axis=1)

@@ -72,6 +72,17 @@ def rank_metrics(hits: DataFrame, gold: DataFrame, ks: list[int], by: list[str]
     return first.groupBy(*(by or [])).agg(F.count("*").alias("n_queries"), *recall, F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
+def depth_sweep(hits: DataFrame, gold: DataFrame, ks: list[int], configs: list[str]) -> DataFrame:
+    """recall and mrr of every configuration (a column of hits) at every depth; a first hit below the depth counts for neither."""
+    spark = hits.sparkSession
+    grid = F.broadcast(spark.createDataFrame([(c, k) for c in configs for k in ks], "config string, k int"))
+    base = gold.where(F.col("doc_id").isNotNull()).select("query_id", F.col("doc_id").alias("gold_id")).crossJoin(grid)
+    found = hits.select("config", "query_id", F.col("doc_id").alias("gold_id"), "rank").groupBy("config", "query_id", "gold_id").agg(F.min("rank").alias("first"))
+    first = base.join(found, ["config", "query_id", "gold_id"], "left")
+    hit = F.coalesce(F.col("first") <= F.col("k"), F.lit(False))
+    return first.groupBy("config", "k").agg(F.count("*").alias("n_queries"), F.round(F.avg(hit.cast("double")), 6).alias("recall"), F.round(F.avg(F.when(hit, 1.0 / F.col("first")).otherwise(0.0)), 6).alias("mrr"))
+
+
 Scorer = Callable[[Column, Column], Column]
 
 

@@ -146,7 +146,7 @@ def weighted_kappa(ratings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def spearman(pairs: DataFrame, by: tuple[str, ...] = (), least: int = 3) -> DataFrame:
-    """Rank correlation of (x, y), ties at their mean rank; groups of under `least` pairs are left out.
+    """Rank correlation of (x, y), ties at their mean rank; groups of under `least` pairs are left out, and rho is null without spread.
 
     Equal pairs are counted first; ranks come from counts of values dealt by range.
     """
@@ -161,7 +161,7 @@ def spearman(pairs: DataFrame, by: tuple[str, ...] = (), least: int = 3) -> Data
     mean = (F.col("n") + 1) / 2  # of ranks, on either side
     sized = cells.join(one.groupBy(*keys).agg(F.count("*").alias("n")), list(keys))
     dx, dy = rx - mean, ry - mean
-    out = sized.groupBy(*keys, "n").agg(F.round(F.sum(w * dx * dy) / F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy)), 6).alias("rho"))
+    out = sized.groupBy(*keys, "n").agg(F.round(F.sum(w * dx * dy) / F.nullif(F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy)), F.lit(0.0)), 6).alias("rho"))
     return out.where(F.col("n") >= least).select(*by, "n", "rho")
 
 

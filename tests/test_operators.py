@@ -276,3 +276,78 @@ def test_registered_breaker_loses_no_file_out_of_order(spark, tmp_path):
     finally:
         catalog.table = read
     assert got == pytest.approx(want)
+
+
+def test_inverted_lists_reach_the_measured_recall(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (40, 16))
+    rows = [(i, (centres[i % 40] + rng.normal(0, 0.25, 16)).tolist()) for i in range(4000)]
+    v = spark.createDataFrame([(i, (np.array(x) / np.linalg.norm(x)).tolist()) for i, x in rows], "doc_id long, embedding array<float>").repartition(4)
+    q = v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    cells = dense.ivf_centroids(v, 40)
+    probes = dense.ivf_probes(v, cells)
+    assert probes < 20
+    near = {(r.query_id, r.doc_id) for r in dense.ivf_search(dense.ivf_index(v, cells), cells, q, 10, probes).collect()}
+    exact = {(r.query_id, r.doc_id) for r in dense.search(v, q, 10).collect()}
+    assert len(near & exact) >= 0.9 * len(exact)
+
+
+def test_exact_quantiles_and_ranks_equal_plain(spark):
+    import numpy as np
+
+    from larkspur.operators.quantiles import quantiles, value_places
+
+    rng = np.random.default_rng(9)
+    rows = [("a", float(x)) for x in rng.normal(0, 1, 700)] + [("b", float(x)) for x in rng.integers(0, 4, 500)] + [("c", 7.0), (None, 1.0), (None, 2.0), ("a", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r for r in quantiles(df, "v", ("g",), {"p5": 0.05, "p50": 0.5, "p99": 0.99}).collect()}
+    for g in ("a", "b", "c", None):
+        x = [v for k, v in rows if k == g and v is not None and v == v]
+        assert [got[g].p5, got[g].p50, got[g].p99] == pytest.approx(np.quantile(x, [0.05, 0.5, 0.99]).tolist())
+    places = {(r.g, r.value): (r.c, r.lo, r.n) for r in value_places(df, "v", ("g",)).collect()}
+    b = sorted(v for k, v in rows if k == "b")
+    assert all(places["b", x] == (b.count(x), b.index(x), 500) for x in set(b))
+
+
+def test_cache_blocks_agree_with_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(telemetry, "LOOKUP_BLOCK", 16)
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (150, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    at = rng.integers(0, 2000, 150)
+    df = spark.createDataFrame([(i, int(at[i]), x[i].tolist()) for i in range(150)], "id long, s long, embedding array<double>").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.lookup_id: r.entry_id for r in telemetry.cache_lookups(df.withColumnRenamed("id", "lookup_id"), df.withColumnRenamed("id", "entry_id"), 0.8, 300).collect()}
+    s = np.round(x @ x.T, 9)
+    for i in range(150):
+        ok = [j for j in range(150) if 0 < at[i] - at[j] < 300 and s[i, j] >= 0.8]
+        assert got[i] == (min(ok, key=lambda j: (-s[i, j], j)) if ok else None)
+
+
+def test_injected_judges(spark):
+    df = spark.createDataFrame([(1, "a b", "a b"), (2, "x", "y")], "query_id long, prediction string, ground_truth string")
+    assert {r.bert_score for r in evaluation.bert_score(df).collect()} == {None}
+    encoder = lambda texts: [[[float(ord(w[0]) == ord(c)) for c in "abxy"] for w in t.split()] for t in texts]
+    assert {r.query_id: r.bert_score for r in evaluation.bert_score(df, encoder).collect()} == {1: 1.0, 2: 0.0}
+    assert {tuple(r.judgements) for r in evaluation.judged(df).collect()} == {()}
+    judge = lambda results: results.where("query_id = 1").select("query_id", F.create_map(F.lit("quality"), F.lit(0.5)).alias("judgements"))
+    assert {r.query_id: r.judgements for r in evaluation.judged(df, judge).collect()} == {1: {"quality": 0.5}, 2: {}}
+
+
+def test_timed_plan(spark, corpus):
+    q = spark.createDataFrame([(1, "python language"), (2, "zzz")], "query_id long, query string")
+    p = adaptive.Pipeline(corpus)
+    timed = {r.query_id: r for r in p.timed(q).collect()}
+    plain = {r.query_id: r for r in p.linear(q).collect()}
+    assert {i: r.answer for i, r in timed.items()} == {i: r.answer for i, r in plain.items()}
+    assert all(r.total_ms == pytest.approx(r.retrieval_ms + r.rerank_ms + r.generation_ms, abs=0.01) and r.cost > 0 for r in timed.values())
+
+
+def test_error_report(spark, tmp_path):
+    rows = spark.createDataFrame([(1, ["correct"]), (2, ["wrong_answer", "hallucination"]), (3, ["wrong_answer"])], "pair_id long, categories array<string>")
+    sinks.write_error_report(rows, str(tmp_path / "r"), "pair_id")
+    got = {r.category: (r.n, r.examples) for r in spark.read.json(str(tmp_path / "r")).collect()}
+    assert got["wrong_answer"] == (2, [2, 3]) and got["empty_response"] == (0, None)
