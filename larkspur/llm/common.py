@@ -8,72 +8,18 @@ characters.  Nulls count as empty texts throughout.
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-CHUNK_BYTES = 2 << 20
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-# --------------------------------------------------------------- shared folder
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.  Where it is unset a local master gets one here; a cluster gets an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file:///tmp/checkpoints/larkspur"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/larkspur-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+from ..sources.shared import drop_path, fresh_path, shared_dir, written  # noqa: F401
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here and survives lost executors.  Its shuffles' files go at once."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may have gone first
-            return
-
-
-atexit.register(_clean)
+CHUNK_BYTES = 2 << 20
 
 
 def text_bytes(docs: DataFrame) -> int:

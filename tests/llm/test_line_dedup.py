@@ -50,3 +50,20 @@ def test_odd_rows(spark, odd_docs, no_docs):
     kept = ld.without_repeated_lines(odd_docs, 2)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count() - 1  # 6 is a copy of 0
     assert ld.without_repeated_lines(no_docs).count() == 0
+
+
+def test_bitmaps_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
+    from larkspur.llm import line_dedup as ld
+
+    rows = [(i, f"own {i}\nshared line\n{'again' if i % 2 else 'other'}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(map(tuple, ld.line_report(df, 10).collect()))
+    monkeypatch.setattr(ld, "BROADCAST_BYTES", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "Broadcast" not in ld.with_bitmaps(df, 10)[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(tuple, ld.line_report(df, 10).collect())) == want
+    assert {r[2] for r in want} == {2}
