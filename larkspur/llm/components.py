@@ -24,9 +24,10 @@ def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
     """edges with the m of their a; least is (a, m, c), c the edges of a."""
     most = max(HUB_EDGES, 2 * n_edges // HUBS)
     hubs = F.broadcast(least.where(F.col("c") > most).select("a", F.col("m").alias("hub_m")))  # at most HUBS rows
-    marked = edges.join(hubs, "a", "left")
-    near = marked.where("hub_m is null").select("a", "b").join(least.select("a", "m"), "a")
-    return marked.where("hub_m is not null").select("a", "b", F.col("hub_m").alias("m")).unionByName(near)
+    own = F.when(F.col("hub_m").isNull(), F.col("a")).otherwise(F.xxhash64("a", "b"))  # edges of a hub are dealt anywhere, and have its m already
+    marked = edges.join(hubs, "a", "left").select("a", "b", "hub_m", own.alias("own"))
+    found = marked.join(least.select(F.col("a").alias("own"), "m"), "own", "left")
+    return found.select("a", "b", F.coalesce("hub_m", "m").alias("m"))
 
 
 def _star(edges: DataFrame, large: bool, n_edges: int) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, free_name, widened
+from .common import chunks, free_name, trim, widened
 
 BUCKET_BITS = 14
 ORDERS = (2, 3, 4)
@@ -200,7 +200,10 @@ def fit(docs: DataFrame, sample: int = 500) -> Model | None:
     labelled = docs.where(training_rows(docs)).select("lang", "text")
     kinds = labelled.select("lang").distinct().count()
     langs, y, x, held = sample_counts(labelled, "lang", max(20, min(sample, MOST_ROWS // max(1, kinds))))
-    return train(langs, y, x, held) if langs else None
+    model = train(langs, y, x, held) if langs else None
+    del y, x, held
+    trim()  # the driver goes on to other work
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, lang_col: str, score_col: str) -> DataFrame:
