@@ -1,8 +1,8 @@
 """Line dedup: range-partitioned line hashes, secondary sort, keep bitmaps.
 
-Every line of every text becomes a row (hash of its key, document, position).
-The rows are range-partitioned by (hash, document) and sorted by (hash,
-document, position), so a line that a third of all documents hold spreads over
+Every different line of a text becomes a row (hash of its key, document, first
+position, and the packed positions of its repeats).  The rows are range-partitioned by (hash, document) and sorted by (hash, document,
+position), so a line that a third of all documents hold spreads over
 many partitions.  Each partition is read as a stream: a run of one hash is
 decided as soon as it shows `min_docs` documents, so at most min_docs - 1
 documents' rows are held.  Runs at a partition's ends go out undecided with
@@ -29,7 +29,7 @@ from .common import IS_SPACE, LOWER, SpanHasher, chunks, free_name, line_spans,
 
 NO_ID = -(1 << 63)
 BROADCAST_BYTES = 32 << 20
-HIT = "doc long, rk long, pos int"
+HIT = "doc long, rk long, pos int, more binary"
 
 
 def row_key(docs: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def row_key(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(h, doc, rk, pos) of every line whose key has a character."""
+    """(h, doc, rk, pos, more) of every key with a character and row with it: its first line there, and the packed places of its others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
@@ -53,23 +53,30 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 full = np.flatnonzero(a < z)
                 h = hasher.spans(LOWER[c.data], solid[a[full]], solid[z[full] - 1] + 1)
                 row = np.searchsorted(first, full, side="right") - 1
-                at = c.first + row
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[at]), pa.array(rk[at]), pa.array((full - first[row]).astype(np.int32))], names=["h", "doc", "rk", "pos"])
+                pos = (full - first[row]).astype("<i4")
+                order = np.lexsort((pos, h, row))
+                h, row, pos = h[order], row[order], pos[order]
+                begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
+                more = np.full(len(begin), None, dtype=object)
+                for i in np.flatnonzero(np.diff(begin, append=len(h)) > 1).tolist():
+                    more[i] = zlib.compress(pos[begin[i] + 1 : begin[i + 1] if i + 1 < len(begin) else len(h)].tobytes(), 1)
+                at = c.first + row[begin]
+                yield pa.RecordBatch.from_arrays([pa.array(h[begin].view(np.int64)), pa.array(doc[at]), pa.array(rk[at]), pa.array(pos[begin]), pa.array(more, pa.binary())], names=["h", "doc", "rk", "pos", "more"])
 
-    return row_key(docs).mapInArrow(run, "h long, doc long, rk long, pos int")
+    return row_key(docs).mapInArrow(run, "h long, " + HIT)
 
 
 def scan_runs(min_docs: int, keep_first: bool):
-    """The streaming pass over sorted (h, doc, rk, pos).
+    """The streaming pass over sorted (h, doc, rk, pos, more).  What is held of a run is a row a document, up to min_docs.
 
-    kind 0: a row to drop; kind 1: a row of a run at the partition's border,
+    kind 0: a row to drop (a pos of -1 stays, its `more` goes); kind 1: a row of a run at the partition's border,
     undecided; kind 2: such a run's number of documents and first row.
     """
 
     def batch(kind: int, h, n, rows) -> pa.RecordBatch:
-        doc, rk, pos = rows
+        doc, rk, pos, more = rows
         size = len(doc)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, h, np.int64)), pa.array(np.full(size, n, np.int64)), pa.array(doc), pa.array(rk), pa.array(pos)], names=["kind", "h", "n", "doc", "rk", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(np.full(size, h, np.int64)), pa.array(np.full(size, n, np.int64)), pa.array(doc), pa.array(rk), pa.array(pos), pa.array(more, pa.binary())], names=["kind", "h", "n", "doc", "rk", "pos", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = None  # the open run: hash, documents, last document, first row, rows held
@@ -79,9 +86,9 @@ def scan_runs(min_docs: int, keep_first: bool):
             nonlocal n, last, head
             doc = rows[0]
             if head is None:
-                head = tuple(x[:1] for x in rows)
+                head = (*(x[:1] for x in rows[:3]), np.full(1, None, dtype=object))
                 if keep_first:
-                    rows = tuple(x[1:] for x in rows)
+                    rows = (rows[0], rows[1], np.concatenate([[-1], rows[2][1:]]).astype(np.int32), rows[3])
                     if border:
                         yield batch(1, h, 0, head)
             before = n
@@ -108,7 +115,7 @@ def scan_runs(min_docs: int, keep_first: bool):
         for b in batches:
             if not b.num_rows:
                 continue
-            hs, *rows = (b.column(x).to_numpy(zero_copy_only=False) for x in ("h", "doc", "rk", "pos"))
+            hs, *rows = (b.column(x).to_numpy(zero_copy_only=False) for x in ("h", "doc", "rk", "pos", "more"))
             cut = np.flatnonzero(hs[1:] != hs[:-1]) + 1
             starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(hs)]])
             if h is not None and hs[0] != h:
@@ -126,10 +133,14 @@ def scan_runs(min_docs: int, keep_first: bool):
                 docs = np.add.reduceat(new[: starts[-1]], starts[1:-1])
                 sel = np.zeros(len(hs), dtype=bool)
                 sel[starts[1] : starts[-1]] = np.repeat(docs >= min_docs, (ends - starts)[1:-1])
+                drop = rows
                 if keep_first:
-                    sel[starts] = False
+                    stay = rows[2].copy()
+                    stay[starts] = -1
+                    drop = [rows[0], rows[1], stay, rows[3]]
+                    sel[starts] &= b.column("more").is_valid().to_numpy(zero_copy_only=False)[starts]
                 if sel.any():
-                    yield batch(0, 0, 0, [x[sel] for x in rows])
+                    yield batch(0, 0, 0, [x[sel] for x in drop])
             h = hs[-1]
             yield from add([x[starts[-1] :] for x in rows])
         if h is not None:
@@ -139,15 +150,15 @@ def scan_runs(min_docs: int, keep_first: bool):
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
-    """(doc, rk, pos) of every line to drop."""
+    """(doc, rk, pos, more) of the lines to drop."""
     lines = written(line_rows(docs), "lines")
     ranged = lines.repartitionByRange("h", "doc").sortWithinPartitions("h", "doc", "pos", "rk")
     out = written(ranged.mapInArrow(scan_runs(min_docs, keep_first), "kind int, h long, n long, " + HIT), "line-runs")
     total = out.where("kind = 2").groupBy("h").agg(F.sum("n").alias("docs"), F.min(F.struct("doc", "pos", "rk")).alias("head"))
-    open_rows = out.where("kind = 1").select("h", "doc", "rk", "pos").join(F.broadcast(total), "h").where(F.col("docs") >= min_docs)  # two rows a partition at most
+    open_rows = out.where("kind = 1").select("h", "doc", "rk", "pos", "more").join(F.broadcast(total), "h").where(F.col("docs") >= min_docs)  # two rows a partition at most
     if keep_first:
         open_rows = open_rows.where(~((F.col("doc") == F.col("head.doc")) & (F.col("pos") == F.col("head.pos")) & (F.col("rk") == F.col("head.rk"))))
-    return out.where("kind = 0").select("doc", "rk", "pos").unionByName(open_rows.select("doc", "rk", "pos"))
+    return out.where("kind = 0").select("doc", "rk", "pos", "more").unionByName(open_rows.select("doc", "rk", "pos", "more"))
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
@@ -159,13 +170,14 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits = []
-            for p in b.column("ps").to_pylist():
-                keep = np.ones(-(-(max(p) + 1) // 8) * 8, dtype=np.uint8)
+            for ps, ms in zip(b.column("ps").to_pylist(), b.column("ms").to_pylist(), strict=True):
+                p = np.concatenate([np.array([x for x in ps if x >= 0], dtype=np.int64), *(np.frombuffer(zlib.decompress(m), "<i4") for m in ms)]).astype(np.int64)
+                keep = np.ones(-(-(int(p.max(initial=-1)) + 1) // 8) * 8, dtype=np.uint8)
                 keep[p] = 0
                 bits.append(zlib.compress(np.packbits(keep).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("rk"), pa.array(bits, pa.binary())], names=["doc", "rk", "keep"])
 
-    return dropped_lines(docs, min_docs, keep_first).groupBy("doc", "rk").agg(F.collect_set("pos").alias("ps")).mapInArrow(pack, "doc long, rk long, keep binary")
+    return dropped_lines(docs, min_docs, keep_first).groupBy("doc", "rk").agg(F.collect_set("pos").alias("ps"), F.collect_set("more").alias("ms")).mapInArrow(pack, "doc long, rk long, keep binary")
 
 
 def kept_flags(keep: bytes | None, n: int) -> np.ndarray:

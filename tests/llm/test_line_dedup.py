@@ -67,3 +67,24 @@ def test_bitmaps_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted(map(tuple, ld.line_report(df, 10).collect())) == want
     assert {r[2] for r in want} == {2}
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_lines_repeated_inside_texts(spark, keep_first):
+    """One row a text and key travels, however often the text repeats the line."""
+    from larkspur.llm import line_dedup as ld
+
+    rows = [(i, "head\n" + "often\n" * (1 + 300 * (i % 3)) + f"own {i}\n\nhead\nown {i}") for i in range(40)] + [(50, "rare\n" * 50_000 + "often")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert ld.line_rows(df).count() == 40 * 3 + 2
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.line_report(df, 10, keep_first).collect()}
+    for i, text in rows:
+        lines, first = text.split("\n"), set()
+        kept = []
+        for j, x in enumerate(lines):
+            common = x in ("head", "often")
+            if common and not (keep_first and i == 0 and x not in first):
+                continue
+            first.add(x)
+            kept.append(x)
+        assert got[i] == (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
