@@ -1,11 +1,11 @@
 """Line dedup: range-partitioned line hashes, secondary sort, keep bitmaps.
 
 Every different line of a text becomes a row (hash of its key, document, first
-position, and the packed positions of its repeats).  The rows are range-partitioned by (hash, document) and sorted by (hash, document,
-position), so a line that a third of all documents hold spreads over
-many partitions.  Each partition is read as a stream: a run of one hash is
-decided as soon as it shows `min_docs` documents, so at most min_docs - 1
-documents' rows are held.  Runs at a partition's ends go out undecided with
+position, and the packed positions of its repeats).  The rows are
+range-partitioned by (hash, document) and sorted by (hash, document, position),
+so a line that a third of all documents hold spreads over many partitions.
+Each partition is read as a stream: a run of one hash is decided as soon as it
+shows `min_docs` documents, so at most min_docs - 1 documents' rows are held.  Runs at a partition's ends go out undecided with
 their counts; those counts, two rows a partition at most, are added up and
 broadcast back.  What returns is a compressed bitmap of kept lines a document.
 
