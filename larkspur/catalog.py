@@ -112,7 +112,7 @@ def bm25_index_stats(spark, d):
 
 @query
 def bm25_idf(spark, d):
-    return sparse.inverse_frequencies(corpus(spark, d)).withColumn("idf", F.round("idf", 6))
+    return sparse.inverse_frequencies(sparse.spread(corpus(spark, d))).withColumn("idf", F.round("idf", 6))
 
 
 @query

@@ -34,6 +34,15 @@ class Okapi:
     epsilon: float = 0.25
 
 
+SMALL = 64
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its source gives fewer tasks than there are cores, and SMALL at most: a table of one or a few files.  Others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, SMALL) else df
+
+
 def tokenised(corpus: DataFrame) -> DataFrame:
     """doc_id, its tokens and their number."""
     return corpus.select("doc_id", T.tokens(F.coalesce("content", F.lit(""))).alias("toks")).withColumn("dl", F.size("toks"))
@@ -109,6 +118,7 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 10, okapi: Okapi = Ok
 
     The queries are a stated set: their terms pass through the driver a block at a time.
     """
+    corpus = spread(corpus.select("doc_id", "content"))
     terms = query_terms(corpus, queries, okapi).withColumn("query_id", F.col("query_id").cast("long"))
     average = tokenised(corpus).agg(F.avg("dl")).first()[0] or 1.0
     blocks = max(1, -(-queries.select(F.sum(F.size(T.tokens("query")))).first()[0] // BLOCK_TERMS)) if not queries.isEmpty() else 0
