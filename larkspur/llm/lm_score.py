@@ -41,7 +41,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from .common import LOWER, SpanHasher, chunks, mix, text_bytes, trim, word_spans, written
 
 PID_BYTES = 8 << 20
-FLUSH = 2_000_000
+FLUSH = 1_500_000
 START = np.uint64(0x14057B7EF767814F)
 #: A chunk: its documents, their numbers of words, their words as places in `words`, and those words' hashes.
 CHUNK = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(pa.int64())), ("n", pa.binary()), ("w", pa.binary()), ("words", pa.binary())])
