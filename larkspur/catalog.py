@@ -263,10 +263,10 @@ METRICS = ["f1", "exact_match", "rouge_l", "faithfulness"]
 
 def tagged_results(spark, d):
     """Results under two configurations: all metrics, and with the roles of question and answer changed for faithfulness."""
-    r = results(spark, d)
-    a = r.select(F.lit("direct").alias("config"), "pair_id", *METRICS)
-    b = r.select(F.lit("reversed").alias("config"), "pair_id", "f1", "exact_match", "rouge_l", F.round(T.word_overlap("ground_truth", F.array("prediction")), 9).alias("faithfulness"))
-    return a.unionByName(b)
+    turned = F.round(T.word_overlap("ground_truth", F.array("prediction")), 9)
+    one = lambda name, c: F.struct(F.lit(name).alias("config"), c.alias("faithfulness"))
+    r = results(spark, d).withColumn("as", F.explode(F.array(one("direct", F.col("faithfulness")), one("reversed", turned))))
+    return r.withColumn("faithfulness", F.col("as.faithfulness")).select("as.config", "pair_id", *METRICS)
 
 
 @query

@@ -1,10 +1,9 @@
-"""ROUGE-L (longest common subsequence), batched through Arrow; a numpy row of the table a token."""
+"""ROUGE-L (longest common subsequence), batched through Arrow; a row of the table is the bits of a whole number."""
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,14 +76,16 @@ def stem(w: str) -> str:
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    ids = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]))}
-    y = np.array([ids[t] for t in b])
-    row = np.zeros(len(b) + 1, dtype=np.int32)
+    """Length of the longest common subsequence, one row of the table as the bits of a whole number."""
+    places: dict[str, int] = {}
+    for i, t in enumerate(b):
+        places[t] = places.get(t, 0) | 1 << i
+    every = (1 << len(b)) - 1
+    row = every
     for t in a:
-        new = row.copy()
-        new[1:] = np.maximum(row[1:], row[:-1] + (y == ids[t]))
-        row = np.maximum.accumulate(new)
-    return int(row[-1])
+        hit = row & places.get(t, 0)
+        row = (row + hit | row - hit) & every
+    return len(b) - row.bit_count()
 
 
 def rouge_l(prediction: Column | str, truth: Column | str, stemmed: bool = True) -> Column:

@@ -50,16 +50,27 @@ def exact_match(prediction: Column | str, truth: Column | str) -> Column:
 def token_f1(prediction: Column | str, truth: Column | str) -> Column:
     """Multiset overlap of answer tokens: 2 * overlap / (both lengths); 0 if either side is empty.
 
-    Token counts live in one sorted array a side, and overlap is counted on the
-    distinct tokens of the shorter, so cost stays near n log n.
+    The tokens of both sides are sorted together, each prediction token before
+    its equals of the truth; one fold over them pairs equals, so cost is n log n.
     """
-    a, b = F.array_sort(answer_tokens(prediction)), F.array_sort(answer_tokens(truth))
 
-    def count(xs: Column, t: Column) -> Column:
-        return F.size(F.filter(xs, lambda x: x == t))
+    def sided(xs: Column, side: int) -> Column:
+        return F.transform(xs, lambda t: F.struct(t.alias("t"), F.lit(side).alias("side")))
 
-    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
+    def paired(s: Column, x: Column) -> Column:
+        same = s["t"] == x["t"]
+        first = x["side"] == 0
+        meets = ~first & same & (s["spare"] > 0)
+        spare = F.when(first, F.when(same, s["spare"] + 1).otherwise(F.lit(1))).when(meets, s["spare"] - 1).otherwise(s["spare"])
+        return F.struct(F.when(first, x["t"]).otherwise(s["t"]).alias("t"), spare.alias("spare"), (s["both"] + F.when(meets, 1).otherwise(0)).alias("both"))
+
+    def score(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        none = F.struct(F.lit("").alias("t"), F.lit(0).alias("spare"), F.lit(0).alias("both"))
+        both = F.aggregate(F.sort_array(F.concat(sided(a, 0), sided(b, 1))), none, paired, lambda s: s["both"])
+        return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
+
+    return let(F.struct(answer_tokens(prediction).alias("a"), answer_tokens(truth).alias("b")), score)
 
 
 def best_over_truths(metric, prediction: Column | str, truths: Column | str) -> Column:

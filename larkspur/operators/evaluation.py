@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from ..functions import text as T
+from ..sources.shared import written
 from .quantiles import with_quantiles
 
 #: Fixed values.
@@ -38,8 +39,13 @@ def long_metrics(results: DataFrame, metrics: list[str], keep: list[str]) -> Dat
 
 
 def aggregate(results: DataFrame, metrics: list[str], by: tuple[str, ...] = ("config",)) -> DataFrame:
-    """mean, population deviation, least, most, median and 95th percentile of each metric."""
-    v, rows = F.col("value"), long_metrics(results, metrics, list(by))
+    """mean, population deviation, least, most, median and 95th percentile of each metric.
+
+    Metrics are costly to make and read three times (summary, counts of values,
+    their sketch), so they are written once, as narrow rows.
+    """
+    made = written(results.select(*by, *metrics), "metrics")
+    v, rows = F.col("value"), long_metrics(made, metrics, list(by))
     out = rows.groupBy(*by, "metric").agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"), F.round(F.min(v), 6).alias("min"), F.round(F.max(v), 6).alias("max"))
     return with_quantiles(out, rows, "value", (*by, "metric"), {"p50": 0.5, "p95": 0.95})
 

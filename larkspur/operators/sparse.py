@@ -1,11 +1,11 @@
 """BM25 scored where a document is.
 
-Document frequencies need one shuffle of partial counts by term.  After that a
-document is one row and its score needs nothing else: the queries' terms and
-weights go to the executors in blocks of a checked size, every Arrow batch of
-tokenised documents is scored against a block and sends on its own best k a
-query.  So the shuffle has k rows a query and batch, not a row for every
-document that shares a word with a query.
+Document frequencies and lengths need one pass and one shuffle of partial
+counts by term, written as a table.  After that a document is one row and its
+score needs nothing else: the queries' terms and weights go to the executors in
+blocks of a checked size, every Arrow batch of tokenised documents is scored
+against a block and sends on its own best k a query.  So the shuffle has k rows
+a query and batch, not a row for every document that shares a word with a query.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
 from .ranking import top_k
 
 #: Query terms broadcast at once; more go in further blocks.  Documents scored at once.
@@ -55,22 +56,32 @@ def index_stats(corpus: DataFrame) -> DataFrame:
     return toks.agg(F.count("*").alias("n_docs"), F.round(F.avg("dl"), 6).alias("avg_length")).crossJoin(terms)
 
 
-def document_frequencies(corpus: DataFrame) -> DataFrame:
-    return tokenised(corpus).select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def _counted(corpus: DataFrame) -> DataFrame:
+    """(term, df, total) in one pass over the corpus; the row of the null term has the number of documents and their total length."""
+    each = F.transform(F.array_distinct("toks"), lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("n")))
+    length = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("dl").cast("long").alias("n")))
+    rows = tokenised(corpus).select(F.explode(F.concat(each, length)).alias("e"))
+    return written(rows.groupBy(F.col("e.term").alias("term")).agg(F.count("*").alias("df"), F.sum("e.n").alias("total")), "terms")
+
+
+def _weighted(counted: DataFrame, okapi: Okapi) -> tuple[DataFrame, float]:
+    """(term, df, idf) of a counted corpus, and its mean length."""
+    n, total = counted.where("term is null").select("df", "total").first() or (0, 0)
+    raw = counted.where("term is not null").select("term", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    idf = F.when(F.col("raw") < 0, okapi.epsilon * mean).otherwise(F.col("raw"))
+    return raw.select("term", "df", idf.alias("idf")), total / n if total else 1.0
 
 
 def inverse_frequencies(corpus: DataFrame, okapi: Okapi = Okapi()) -> DataFrame:
     """(term, df, idf): ln(N - df + 0.5) - ln(df + 0.5); where negative, epsilon times the mean over all terms."""
-    n = corpus.agg(F.count("*").alias("n"))
-    raw = document_frequencies(corpus).crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, okapi.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return _weighted(_counted(corpus), okapi)[0]
 
 
-def query_terms(corpus: DataFrame, queries: DataFrame, okapi: Okapi = Okapi()) -> DataFrame:
-    """(query_id, term, g): how often a query has a term the corpus has, times its idf."""
+def query_terms(idf: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, term, g): how often a query has a term of idf (term, df, idf), times its idf."""
     terms = queries.select("query_id", F.explode(T.tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    return terms.join(inverse_frequencies(corpus, okapi), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("g"))
+    return terms.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("g"))
 
 
 def _block(corpus: DataFrame, rows: pa.Table, k: int, okapi: Okapi, average: float) -> DataFrame:
@@ -119,9 +130,9 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 10, okapi: Okapi = Ok
     The queries are a stated set: their terms pass through the driver a block at a time.
     """
     corpus = spread(corpus.select("doc_id", "content"))
-    terms = query_terms(corpus, queries, okapi).withColumn("query_id", F.col("query_id").cast("long"))
-    average = tokenised(corpus).agg(F.avg("dl")).first()[0] or 1.0
-    blocks = max(1, -(-queries.select(F.sum(F.size(T.tokens("query")))).first()[0] // BLOCK_TERMS)) if not queries.isEmpty() else 0
+    idf, average = _weighted(_counted(corpus), okapi)
+    terms = query_terms(idf, queries).withColumn("query_id", F.col("query_id").cast("long"))
+    blocks = -(-(queries.select(F.sum(F.size(T.tokens("query")))).first()[0] or 0) // BLOCK_TERMS)
     found = corpus.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
     for i in range(blocks):
         rows = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
