@@ -68,6 +68,7 @@ BIN_BYTES = 8 << 20
 MERGED = 4096
 SLOTS = 1 << 20
 NARROW_GROUPS = 4000
+NARROW_PAIRS = 500_000
 BROADCAST_ROWS = 1_000_000
 STEP = 1.5
 LOW48 = np.uint64((1 << 48) - 1)
@@ -505,7 +506,8 @@ class NgramJoin:
         """The small groups of a reduced table, narrowed to the sets whose bitmaps allow links."""
         groups = reduced.where("kind = 1 and not large").select("bucket", "members").dropDuplicates(["bucket"])
         loose = groups.select("bucket", F.explode("members").alias("key")).join(self.maps, "key")
-        bins = max(1, reduced.where("kind = 1").count() // NARROW_GROUPS)
+        work = groups.agg(F.count("*"), F.sum(F.size("members").cast("long") * F.size("members"))).first()
+        bins = max(1, work[0] // NARROW_GROUPS, (work[1] or 0) // NARROW_PAIRS)
         return loose.groupBy(F.pmod("bucket", F.lit(bins)).alias("bin")).applyInArrow(narrow(self.sim), "bucket long, part long, large boolean, members array<long>").dropDuplicates(["bucket"])
 
     def _rare_groups(self, hot: DataFrame) -> DataFrame:

@@ -140,3 +140,16 @@ def test_hub_nodes_are_joined_apart(spark, monkeypatch):
     links = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 160)] + [(159, 30)]
     got = {r.node: r.component for r in cp.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert set(got) == {x for p in links for x in p} and set(got.values()) == {0}
+
+
+def test_texts_of_one_template(spark, monkeypatch):
+    """Texts of lines drawn from few lines share many shingles; their groups are narrowed in many tasks."""
+    monkeypatch.setattr(nj, "NARROW_PAIRS", 200)
+    monkeypatch.setattr(nj, "BLOCK", 40)
+    rng = random.Random(11)
+    lines = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(90)) for _ in range(6)) for _ in range(16)]
+    rows = [(i, "\n".join(sorted(rng.sample(lines, 8), key=lines.index))) for i in range(150)]
+    rows += [(150 + i, rows[i][1] + " end") for i in range(20)]
+    got = found(spark, rows, 3, (90, 100))
+    assert got == brute(rows, 3, 90, 100)
+    assert any(i != c for i, (_, c) in got.items())
