@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from . import catalog_sources, catalog_sql
 from .functions import text as T
 from .functions.rouge import rouge_l
-from .operators import chunking, dense, evaluation, ranking, sparse, statistics, telemetry
+from .operators import bm25_index, chunking, dense, evaluation, ranking, sparse, statistics, telemetry
+from .operators.bm25_index import Bm25Index
 from .plans import adaptive
 from .sources import qa, sinks
+from .sources.shared import fresh_path
 from .streaming import telemetry as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +99,27 @@ def bm25_topk(spark, d):
     return bm25_hits(spark, d, 5).withColumn("score", F.round("score", 6))
 
 
+def bm25_stored_index(spark, d):
+    """An index of half of the documents, to which the other half is added, merged."""
+    c, path = corpus(spark, d), fresh_path(spark, "bm25")
+    Bm25Index.build(c.where("doc_id % 2 = 0"), path).add(c.where("doc_id % 2 <> 0")).merge()
+    return Bm25Index.open(spark, path)
+
+
+@query
+def bm25_stored(spark, d):
+    """bm25_topk through a stored index."""
+    return bm25_index.search(bm25_stored_index(spark, d), passages(spark, d), 5).withColumn("score", F.round("score", 6))
+
+
+@query
+def bm25_stored_reads(spark, d):
+    """What that search reads of the index and as a share of the corpus' bytes."""
+    index, reads = bm25_stored_index(spark, d), []
+    bm25_index.search(index, passages(spark, d), 5, reads=reads)
+    return bm25_index.reading(index, reads)
+
+
 @query
 def bm25_filled(spark, d):
     """Queries of one rare word each (a passage's longest): fewer documents than k match, and others fill up."""

@@ -208,6 +208,7 @@ def oracle_sql() -> dict[str, str]:
     numbered = "array_to_string(list_transform(docs, lambda x, i: i || '. ' || substr(x, 1, 500)), chr(10))"
     recall = lambda ks: ", ".join(f"round(avg(coalesce(first <= {k}, false)::INT::DOUBLE), 6) AS recall_at_{k}" for k in ks)
     return {
+        "bm25_stored": f"WITH {PASSAGES},{bm25('passages', 5)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM bm25",
         "bm25_topk": f"WITH {PASSAGES},{bm25('passages', 5)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM bm25",
         "bm25_filled": f"""WITH q AS (SELECT item_id AS query_id, list_sort(list_transform({TOKENS.format("text")}, lambda t: {{'n': -length(t), 't': t}}))[1].t AS query FROM benchmark),{bm25('q', 5)},
             spare AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 10),
