@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from . import catalog_sql as S
 from .functions import text as T
-from .operators import chunking, dense, evaluation, ranking, statistics, telemetry
+from .operators import chunking, dense, evaluation, ranking, statistics, telemetry, vector_index
+from .operators.vector_index import VectorIndex
 from .sources import files, qa, sinks, web
 from .sources.shared import fresh_path, hadoop_path
 from .streaming import telemetry as live
@@ -327,6 +328,21 @@ def dense_ann_recall(spark, d):
     return hit.agg(F.count_distinct("query_id").alias("n_queries"), F.round(F.avg(F.coalesce("found", F.lit(0))), 6).alias("recall"))
 
 
+@query()
+def dense_stored_recall(spark, d):
+    """Recall of the ten nearest through a stored index, and the files that a block of queries opens at most."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    path, opened = fresh_path(spark, "vectors"), []
+    VectorIndex.build(v, path)
+    index = VectorIndex.open(spark, path)
+    near = vector_index.search(index, q, 10, opened=opened)
+    hit = dense.search(v, q, 10).join(near.select("query_id", "doc_id", F.lit(1).alias("found")), ["query_id", "doc_id"], "left")
+    total, most = vector_index.files(index), max((vector_index.files(index, c) for c in opened), default=0)
+    both = hit.agg(F.count_distinct("query_id").alias("n_queries"), F.round(F.avg(F.coalesce("found", F.lit(0))), 6).alias("recall"))
+    return both.withColumns({"n_files": F.lit(total), "n_blocks": F.lit(len(opened)), "most_files_of_a_block": F.lit(most)})
+
+
 # ---------------------------------------------------------------- evaluation
 def turns(spark, d):
     from .catalog import results
