@@ -66,23 +66,33 @@ def refined(keys: DataFrame) -> DataFrame:
     live = keys.select("doc", "rk", "cls", *[f"h{k}" for k in range(BLOCKS)])
     for k in range(BLOCKS + 1):
         several = live.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
-        kept = live.join(several, "cls", "left_semi")
+        kept = live.join(several.hint("merge"), "cls", "left_semi")
         if k < BLOCKS:
             kept = kept.withColumn("cls", F.xxhash64("cls", f"h{k}")).drop(f"h{k}")
         live = written(kept, f"classes-{k}")
     return live
 
 
+def of_live(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """rows (with rk) that may be in live: a bit for each rk, 64 a word and at most 2^20 words, goes to where the texts are, so that few others travel."""
+    word, bit = F.expr(f"rk & {(1 << 20) - 1}").alias("word"), F.expr("shiftleft(1L, cast(shiftright(rk, 20) & 63 AS int))").alias("bit")
+    bits = live.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return rows.withColumns({"word": word, "bit": bit}).join(F.broadcast(bits), "word").where("bits & bit <> 0").drop("word", "bit", "bits")
+
+
 def duplicates(docs: DataFrame, bits: int = 64, keys: DataFrame | None = None) -> DataFrame:
     """(doc, rk) of the rows whose text a smaller doc_id has; bits are the size of the block hashes."""
     live = refined(keys if keys is not None else keyed(docs, bits))
     t = F.coalesce("text", F.lit(""))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(t).alias("rk"), t.alias("text")).join(live.distinct(), ["doc", "rk"])
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(t).alias("rk"), t.alias("text"))
+    texts = of_live(rows, live).join(live.distinct().hint("merge"), ["doc", "rk"])  # live grows with the input: never broadcast
     firsts = written(texts.groupBy("cls", "text").agg(F.min("doc").alias("first")), "class-texts")
     of_class = firsts.groupBy("cls").agg(F.count("*").alias("n"), F.min("first").alias("first"))
-    plain = live.join(of_class.where("n = 1"), "cls").where("doc > first").select("doc", "rk")
-    mixed = texts.join(of_class.where("n > 1").select("cls"), "cls", "left_semi")  # hashes of unlike texts met
-    return plain.unionByName(mixed.join(firsts, ["cls", "text"]).where("doc > first").select("doc", "rk")).distinct()
+    out = live.join(of_class.where("n = 1").hint("merge"), "cls").where("doc > first").select("doc", "rk")
+    mixed = of_class.where("n > 1").select("cls")  # hashes of unlike texts met
+    if not mixed.isEmpty():
+        out = out.unionByName(texts.join(mixed, "cls", "left_semi").join(firsts, ["cls", "text"]).where("doc > first").select("doc", "rk"))
+    return out.distinct()
 
 
 def masks(docs: DataFrame, labels: DataFrame, bits: int = 64) -> DataFrame:
@@ -90,7 +100,7 @@ def masks(docs: DataFrame, labels: DataFrame, bits: int = 64) -> DataFrame:
     keys = written(keyed(docs, bits), "filter-keys")
     copies = duplicates(docs, bits, keys).withColumn("copy", F.lit(1 << 4))
     said = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    rows = keys.select("doc", "rk", "part", "mask").join(copies, ["doc", "rk"], "left").join(said, "doc", "left")
+    rows = keys.select("doc", "rk", "part", "mask").join(copies.hint("merge"), ["doc", "rk"], "left").join(said.hint("merge"), "doc", "left")
     mask = (F.col("mask") + F.coalesce("copy", F.lit(0))).alias("mask")
     count = lambda c: F.sum(F.coalesce(c, F.lit(0)).cast("long")).alias(c)
     return rows.select("part", mask, "good", "toxic").groupBy("part", "mask").agg(F.count("*").alias("n"), count("good"), count("toxic"))
