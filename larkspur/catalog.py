@@ -19,6 +19,7 @@ from .operators.bm25_index import Bm25Index
 from .plans import adaptive
 from .sources import qa, sinks
 from .sources.shared import fresh_path
+from .streaming import stateful
 from .streaming import telemetry as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -583,10 +584,33 @@ def stream_window_counts(spark, d):
     return live.drain(live.window_counts(e, "1 day"), "window-counts", "complete").select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def out_of_order(spark, df, name, slices=4):
+    """A stream of df (with ts) by files of a slice of its time each, every two neighbours changed, and how late a row can be.  A last file's row has a time only: it closes what is open."""
+    path, (lo, hi) = fresh_path(spark, name), df.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    width = ((hi or 0) - (lo or 0)) // slices + 1
+    own = F.least(F.lit(slices - 1), F.floor((F.unix_micros("ts") - (lo or 0)) / width))
+    for n in range(slices):
+        df.where(own == (n ^ 1 if n ^ 1 < slices else n)).write.parquet(f"{path}/{n:03d}")
+    end = spark.range(1).select(F.timestamp_micros(F.lit((hi or 0) + 4 * width + 1)).alias("ts"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != "ts"])
+    end.select(df.columns).write.parquet(f"{path}/{slices:03d}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).option("recursiveFileLookup", "true").parquet(path)
+    return stream, f"{2 * width // 1_000_000 + 1} seconds"
+
+
 @query
 def stream_breaker(spark, d):
-    """All files in one trigger, where spends are taken in order: by several, what one file has behind the watermark would be lost."""
-    e = live.event_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema, 2**31 - 1)
+    """Files out of order over several triggers; the buffers put a key's spends in order."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     tokens = F.col("value") * 100
-    s = e.select("user_id", "ts", F.col("event_id").alias("ord"), telemetry.spend(tokens, tokens / 10).alias("cost"))
-    return live.drain(live.breaker(s, 50.0, 86_400.0), "breaker")
+    stream, late = out_of_order(spark, e.select("user_id", "ts", F.col("event_id").alias("ord"), telemetry.spend(tokens, tokens / 10).alias("cost")), "spends")
+    with stateful.rocks(spark):
+        return live.drain(stateful.breaker(stream, 50.0, 86_400.0, late), "breaker")
+
+
+@query
+def stream_cache(spark, d):
+    """semantic_cache_ttl as a stream, a day later: the first watermark is time 0, and what isn't after it is late."""
+    v = vectors(spark, d).select(F.col("doc_id").alias("id"), F.timestamp_micros((F.col("doc_id") + 1440) * 60_000_000).alias("ts"), "embedding")
+    stream, late = out_of_order(spark, v, "requests")
+    with stateful.rocks(spark):
+        return live.drain(stateful.cache_lookups(stream, 64, 0.5, 7200, late), "cache")

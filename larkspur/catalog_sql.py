@@ -195,6 +195,11 @@ BREAKER = """WITH RECURSIVE s AS (SELECT user_id, event_id AS ord, epoch_us(ts)
             SELECT user_id, ord, round(cumulative, 6) AS cumulative, cumulative >= 50 AS open FROM f"""
 
 
+CACHE = f"""WITH hit AS (SELECT q.vec_id AS lookup_id, e.vec_id AS entry_id, round({DOT.format("q.embedding", "e.embedding")}, 9) AS s FROM embeddings q JOIN embeddings e ON e.vec_id < q.vec_id AND q.vec_id - e.vec_id < 120),
+            best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY s DESC, entry_id) AS r FROM hit WHERE s >= 0.5) WHERE r = 1)
+            SELECT vec_id AS lookup_id, entry_id, round(s, 6) AS similarity, entry_id IS NOT NULL AS hit FROM embeddings LEFT JOIN best ON lookup_id = vec_id"""
+
+
 def template(context: str, question: str) -> str:
     from .plans.adaptive import PROMPT
 
@@ -310,9 +315,8 @@ def oracle_sql() -> dict[str, str]:
         "hist_quantile": f"WITH c AS (SELECT event_type, count(*) AS n, {_cum} FROM events GROUP BY 1) SELECT event_type, n, round({_quantile()}, 6) AS quantile FROM c",
         "hist_buckets": f"WITH c AS (SELECT event_type, count(*) AS total, {_cum} FROM events GROUP BY 1) SELECT event_type, unnest([{', '.join(f'{b}::DOUBLE' for b in BUCKETS)}, NULL]) AS le, unnest([{', '.join(f'b{i}' for i in range(len(BUCKETS)))}, total]) AS n FROM c",
         "gauge_latest": "SELECT event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1",
-        "semantic_cache_ttl": f"""WITH hit AS (SELECT q.vec_id AS lookup_id, e.vec_id AS entry_id, round({DOT.format("q.embedding", "e.embedding")}, 9) AS s FROM embeddings q JOIN embeddings e ON e.vec_id < q.vec_id AND q.vec_id - e.vec_id < 120),
-            best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lookup_id ORDER BY s DESC, entry_id) AS r FROM hit WHERE s >= 0.5) WHERE r = 1)
-            SELECT vec_id AS lookup_id, entry_id, round(s, 6) AS similarity, entry_id IS NOT NULL AS hit FROM embeddings LEFT JOIN best ON lookup_id = vec_id""",
+        "semantic_cache_ttl": CACHE,
+        "stream_cache": CACHE,
         "stream_breaker": BREAKER,
         "stream_window_counts": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     }
