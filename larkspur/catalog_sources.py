@@ -412,6 +412,36 @@ def hist_quantile_sliding(spark, d):
     return telemetry.sliding_quantile(table(spark, d, "events"), F.col("value") / 10, 0.95, telemetry.QUERY_BUCKETS, "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("SELECT e.event_type, name, count(*) AS n, true AS within_one_percent FROM events e, (SELECT unnest(['median', 'p95', 'p99']) AS name) GROUP BY ALL")
+def sketch_quantiles(spark, d):
+    """Quantiles by the minutes' sketches, merged, and whether their ranks among all values are within a hundredth of what was asked."""
+    e, qs = table(spark, d, "events"), {"median": 0.5, "p95": 0.95, "p99": 0.99}
+    found = telemetry.merged_quantiles(telemetry.minute_sketches(e, F.col("value"), "event_type"), qs, "event_type")
+    asked = found.select("event_type", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(q).alias("q"), F.col(n).alias("v")) for n, q in qs.items()])).alias("a")).select("event_type", "a.*")
+    ranks = e.select("event_type", "value").join(F.broadcast(asked), "event_type").groupBy("event_type", "name", "q").agg(F.count("*").alias("n"), F.avg((F.col("value") <= F.col("v")).cast("double")).alias("rank"))
+    return ranks.select("event_type", "name", "n", (F.abs(F.col("rank") - F.col("q")) <= 0.01).alias("within_one_percent"))
+
+
+@query("SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars, 2 AS runs FROM documents")
+def resume_batches(spark, d):
+    """Lengths of all documents in batches; the first run breaks off in its third batch, the second does the rest."""
+    docs, path, left = table(spark, d, "documents").select("doc_id", "text"), fresh_path(spark, "lengths"), [2]
+
+    def work(rows):
+        if not left[0]:
+            raise InterruptedError("third batch")
+        left[0] -= 1
+        return rows.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
+
+    size, runs = -(-docs.count() // 5), 0
+    while True:
+        runs += 1
+        try:
+            return sinks.resume(docs, path, work, "doc_id", size).withColumn("runs", F.lit(runs))
+        except InterruptedError:
+            left[0] = 10**9
+
+
 # ----------------------------------------------------------------- ablations
 @query(f"""WITH {S.RETRIEVAL},{S.fused(20)},{S.RERANKED}, every AS (SELECT 'bm25' AS config, query_id, doc_id, rank FROM bm25 UNION ALL SELECT 'dense', query_id, doc_id, rank FROM dense UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM hybrid UNION ALL SELECT 'bm25_reranked', query_id, doc_id, rank FROM reranked),
           firsts AS (SELECT c.config, k.k, g.query_id, min(rank) AS first FROM gold g CROSS JOIN (SELECT unnest(['bm25', 'dense', 'hybrid', 'bm25_reranked']) AS config) c CROSS JOIN (SELECT unnest([1, 2, 3, 5, 7, 10]) AS k) k LEFT JOIN every e ON e.config = c.config AND e.query_id = g.query_id AND e.doc_id = g.doc_id GROUP BY ALL)

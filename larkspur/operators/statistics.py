@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..sources.qa import shuffled
 from .quantiles import value_places
@@ -83,15 +87,17 @@ def tested(stats: DataFrame, alpha: float = 0.05) -> DataFrame:
 MODULUS = 2**31 - 1
 
 
-def _scattered(x: Column) -> Column:
+def _scattered(x: np.ndarray) -> np.ndarray:
     """A number below MODULUS from one below it; squares keep neighbours from staying neighbours, and all fits 64 bits."""
     for step in (48_271, 69_621, 39_373):
-        x = F.pmod(x * x + x * F.lit(step).cast("long") + step, F.lit(MODULUS).cast("long"))
+        x = (x * x + x * step + step) % MODULUS
     return x
 
 
 #: How often a row is in a resample: Poisson with mean 1, by its cumulative probabilities.
 POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8))
+#: Rows drawn at once, and groups whose sums a task holds.
+DRAWN_ROWS, HELD_GROUPS = 1024, 256
 
 
 def bootstrap(pairs: DataFrame, draws: int = 1000, seed: int = 42, by: tuple[str, ...] = ("metric",), number: Column | None = None) -> DataFrame:
@@ -99,18 +105,44 @@ def bootstrap(pairs: DataFrame, draws: int = 1000, seed: int = 42, by: tuple[str
 
     A row is in a resample as often as a Poisson variable says that is a hash of
     the row's number (a hash of query_id unless given) and the resample's; for
-    many rows that is drawing with replacement.  A row is drawn where it is, and
-    what meets is a sum and a count a resample and task.
+    many rows that is drawing with replacement.  A row's counts for all resamples
+    are one vector, and a task adds them up: it sends `draws` sums a group,
+    however many rows it has.
     """
-    modulus = F.lit(MODULUS).cast("long")
-    row = F.pmod(F.xxhash64("query_id") if number is None else number.cast("long"), modulus)
-    picks = pairs.select(*by, (F.col("b") - F.col("a")).alias("d"), _scattered(F.pmod(row + seed, modulus)).alias("r")).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = _scattered(F.pmod(F.col("r") + F.col("resample").cast("long") * F.lit(1_000_003).cast("long"), modulus)) / F.lit(float(MODULUS))
-    times = F.lit(len(POISSON))
-    for k, p in reversed(list(enumerate(POISSON))):
-        times = F.when(u < p, k).otherwise(times)
-    drawn = picks.select(*by, "resample", "d", times.alias("k")).where("k > 0")
-    means = drawn.groupBy(*by, "resample").agg((F.sum(F.col("d") * F.col("k")) / F.sum("k")).alias("m"))
+    row = F.pmod(F.xxhash64("query_id") if number is None else number.cast("long"), F.lit(MODULUS).cast("long"))
+    rows = pairs.select(*by, (F.col("b") - F.col("a")).cast("double").alias("_d"), F.pmod(row + seed, F.lit(MODULUS).cast("long")).alias("_r")).where("_d IS NOT NULL")
+    shape = StructType([*rows.schema.fields[: len(by)], StructField("_sums", ArrayType(DoubleType())), StructField("_times", ArrayType(LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, shift = np.array(POISSON), np.arange(draws, dtype=np.int64) * 1_000_003
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        kinds: list[pa.DataType] = []
+
+        def sent() -> pa.RecordBatch:
+            keys = [pa.array([k[i] for k in held], t) for i, t in enumerate(kinds)]
+            out = [*keys, pa.array([s for s, _ in held.values()], pa.list_(pa.float64())), pa.array([c for _, c in held.values()], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(out, names=[*by, "_sums", "_times"])
+
+        for whole in batches:
+            kinds = [whole.schema.field(c).type for c in by]
+            for a in range(0, whole.num_rows, DRAWN_ROWS):
+                b = whole.slice(a, DRAWN_ROWS)
+                places: dict[tuple, list[int]] = {}
+                for i, key in enumerate(zip(*(b.column(c).to_pylist() for c in by), strict=True)) if by else ((i, ()) for i in range(b.num_rows)):
+                    places.setdefault(key, []).append(i)
+                d, r = b.column("_d").to_numpy(), _scattered(b.column("_r").to_numpy())
+                times = np.searchsorted(bounds, _scattered((r[:, None] + shift) % MODULUS) / float(MODULUS), side="right")
+                for key, at in places.items():
+                    s, c = held.get(key, (np.zeros(draws), np.zeros(draws, np.int64)))
+                    held[key] = (s + d[at] @ times[at], c + times[at].sum(axis=0))
+                if len(held) > HELD_GROUPS:
+                    yield sent()
+                    held.clear()
+        if held:
+            yield sent()
+
+    vectors = rows.mapInArrow(run, shape).select(*by, F.posexplode(F.arrays_zip("_sums", "_times")).alias("resample", "v"))
+    means = vectors.groupBy(*by, "resample").agg((F.sum("v._sums") / F.nullif(F.sum("v._times"), F.lit(0))).alias("m"))
     return means.groupBy(*by).agg(F.round(F.percentile("m", 0.025), 6).alias("ci_low"), F.round(F.percentile("m", 0.975), 6).alias("ci_high"))  # `draws` values a group
 
 

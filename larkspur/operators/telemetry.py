@@ -113,7 +113,10 @@ def bucket_counts(values: DataFrame, value: Column, buckets: tuple[float, ...],
 def histogram_quantile(values: DataFrame, value: Column, q: float, buckets: tuple[float, ...], *by: str) -> DataFrame:
     """The quantile by linear interpolation in its bucket; beyond the last bound, that bound."""
     sums = [F.sum((value <= b).cast("long")).alias(f"b{i}") for i, b in enumerate(buckets)]
-    wide = values.groupBy(*by).agg(*sums, F.count("*").alias("total"))
+    return _interpolated(values.groupBy(*by).agg(*sums, F.count("*").alias("total")), q, buckets, *by)
+
+
+def _interpolated(wide: DataFrame, q: float, buckets: tuple[float, ...], *by: str) -> DataFrame:
     rank, out = F.lit(q) * F.col("total"), F.lit(float(buckets[-1]))
     for i in reversed(range(len(buckets))):
         low, under = (F.lit(float(buckets[i - 1])), F.col(f"b{i - 1}")) if i else (F.lit(0.0), F.lit(0))
@@ -122,10 +125,34 @@ def histogram_quantile(values: DataFrame, value: Column, q: float, buckets: tupl
     return wide.select(*by, F.col("total").alias("n"), F.round(out, 6).alias("quantile"))
 
 
-def sliding_quantile(events: DataFrame, value: Column, q: float, buckets: tuple[float, ...], *by: str, window: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
-    """histogram_quantile() over sliding windows of ts, by their start."""
-    rows = events.select(F.window("ts", window, slide).alias("w"), *by, value.alias("_value")).select(F.col("w.start").alias("start"), *by, "_value")
-    return histogram_quantile(rows, F.col("_value"), q, buckets, "start", *by)
+def _in_windows(rows: DataFrame, minutes: int) -> DataFrame:
+    """rows of a minute each, once for every window of so many minutes that holds it, by its start."""
+    back = F.explode(F.sequence(F.lit(0), F.lit(minutes - 1)))
+    return rows.withColumn("_back", back).withColumn("start", F.col("minute") - F.make_dt_interval(mins=F.col("_back"))).drop("_back", "minute")
+
+
+def sliding_quantile(events: DataFrame, value: Column, q: float, buckets: tuple[float, ...], *by: str, minutes: int = 5) -> DataFrame:
+    """histogram_quantile() over the windows of `minutes` that begin at every minute.  Events are counted once a minute; windows add these counts."""
+    sums = [F.sum((value <= b).cast("long")).alias(f"b{i}") for i, b in enumerate(buckets)]
+    per = events.groupBy(F.date_trunc("minute", "ts").alias("minute"), *by).agg(*sums, F.count("*").alias("total"))
+    wide = _in_windows(per, minutes).groupBy("start", *by).agg(*[F.sum(c).alias(c) for c in [*[f"b{i}" for i in range(len(buckets))], "total"]])
+    return _interpolated(wide, q, buckets, "start", *by)
+
+
+def minute_sketches(events: DataFrame, value: Column, *by: str, k: int = 400) -> DataFrame:
+    """(minute, by..., n, sketch): a KLL sketch of the values of every minute and key, from which any later window can be had without the events."""
+    return events.groupBy(F.date_trunc("minute", "ts").alias("minute"), *by).agg(F.count(value).alias("n"), F.kll_sketch_agg_double(value.cast("double"), k).alias("sketch"))
+
+
+def merged_quantiles(sketches: DataFrame, qs: dict[str, float], *by: str) -> DataFrame:
+    """(by..., n, one column a name of qs) of sketches (by..., n, sketch), merged."""
+    whole = sketches.where("n > 0").groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    return whole.select(*by, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(name) for name, q in qs.items()])
+
+
+def sliding_sketches(sketches: DataFrame, qs: dict[str, float], *by: str, minutes: int = 5) -> DataFrame:
+    """merged_quantiles() over the windows of `minutes` that begin at every minute."""
+    return merged_quantiles(_in_windows(sketches, minutes), qs, "start", *by)
 
 
 def latest(events: DataFrame, value: str, *by: str) -> DataFrame:

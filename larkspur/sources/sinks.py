@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .shared import hadoop_path
+from .shared import drop_path, fresh_path, hadoop_path
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -59,14 +62,52 @@ def undone(todo: DataFrame, done: DataFrame, key: str = "query_id") -> DataFrame
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
-def resume(todo: DataFrame, path: str, work, key: str = "query_id") -> DataFrame:
-    """work(rows not yet in path), appended to path; all results."""
+LEDGER = "batch string, n_rows long, first string, last string"
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame | None:
+    """What the ledger at path says is done; None where nothing is.  Rows of a batch that broke off are not in it."""
+    p, fs = hadoop_path(spark, f"{path}/ledger")
+    batches = [r.batch for r in spark.read.schema(LEDGER).parquet(f"{path}/ledger").select("batch").collect()] if fs.exists(p) else []
+    return spark.read.parquet(*[f"{path}/batches/{b}" for b in batches]) if batches else None
+
+
+def resume(todo: DataFrame, path: str, work, key: str = "query_id", batch_rows: int = 100_000) -> DataFrame:
+    """work(rows that path doesn't have yet), a batch of about `batch_rows` after the other; all results.
+
+    A batch's results are written to a folder of their own, and then one row in
+    the ledger makes them count.  A run that breaks off keeps every batch of the
+    ledger; the next one deletes what isn't in it and does only the rest.  What is
+    left is dealt into batches by the key's hash as one table, so each batch reads
+    its own part.  One run at a time.
+    """
     spark = todo.sparkSession
-    p, fs = hadoop_path(spark, path)
+    done = committed(spark, path)
+    left = (undone(todo, done, key) if done is not None else todo).withColumn("_key", F.col(key))
+    _drop_broken(spark, path)
+    n = max(1, -(-left.count() // batch_rows))
+    parts = fresh_path(spark, "todo")
+    left.withColumn("_batch", F.pmod(F.xxhash64("_key"), F.lit(n)).cast("int")).repartition("_batch").write.partitionBy("_batch").parquet(parts)
+    rows = spark.read.schema(StructType([*left.schema.fields, StructField("_batch", IntegerType())])).parquet(parts)
+    for i in range(n):
+        batch, name = rows.where(F.col("_batch") == i), uuid.uuid4().hex
+        size, first, last = batch.agg(F.count("*"), F.min("_key").cast("string"), F.max("_key").cast("string")).first()
+        if size or (done is None and i == 0):
+            work(batch.drop("_batch", "_key")).write.parquet(f"{path}/batches/{name}")
+            spark.createDataFrame([(name, size, first, last)], LEDGER).coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+    drop_path(spark, parts)
+    return committed(spark, path)
+
+
+def _drop_broken(spark: SparkSession, path: str) -> None:
+    """Deletes the folders of batches that the ledger doesn't have."""
+    p, fs = hadoop_path(spark, f"{path}/batches")
     if fs.exists(p):
-        todo = undone(todo, spark.read.parquet(path), key)
-    work(todo).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+        ledger, lfs = hadoop_path(spark, f"{path}/ledger")
+        kept = {r.batch for r in spark.read.schema(LEDGER).parquet(f"{path}/ledger").select("batch").collect()} if lfs.exists(ledger) else set()
+        for f in fs.listStatus(p):
+            if f.getPath().getName() not in kept:
+                fs.delete(f.getPath(), True)
 
 
 def write_annotations(rows: DataFrame, path: str) -> None:
