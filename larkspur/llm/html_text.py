@@ -13,9 +13,11 @@ Pages are parsed to a light DOM.  Three things take branches out:
   counted with the real ones, so a few pages alone prove nothing: a branch needs
   about ten equal pages, a block five.  Nodes of an importance below
   `least_importance` are a template's, and go;
-* names, as weak evidence: an element whose class or id is made only of words
-  like advert, sidebar or comments goes where enough text stays without such
-  elements; else the largest of them is taken to be the article's frame.
+* names: an element whose class or id is made only of words for readers'
+  comments goes, unless nothing else has any text.  Other names are weak
+  evidence: an element named like an advert or a sidebar goes where enough text
+  stays without such elements; else the largest of them is taken to be the
+  article's frame.
 
 What is left of the outermost main and article elements, in page order, or of
 the whole page where there is none, is the text.
@@ -37,6 +39,7 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -71,7 +74,7 @@ NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-NAME_PART = re.compile(r"[a-z]+")
+NAME_PART = re.compile(r"[a-z]{2,}")
 LOW = "page_id long, url string, text string, n_chars long"
 
 
@@ -86,34 +89,44 @@ def is_noise(tag: str, at: dict[str, str], in_article: bool) -> bool:
     return bool(at) and ("hidden" in at or at.get("aria-hidden", "").lower() == "true" or at.get("role", "").lower() in NOISE_ROLES)
 
 
-def is_named(tag: str, at: dict[str, str], in_article: bool) -> bool:
-    """Whether a class or the id is made of noise words and neutral ones only."""
+NAMED, COMMENTS = 1, 2
+
+
+def named_as(tag: str, at: dict[str, str], in_article: bool) -> int:
+    """COMMENTS or NAMED if a class or the id is made of such words and neutral ones only, else 0."""
     if not at or tag in ("body", "html", "main"):
-        return False
-    words = COMMENT_WORDS if tag == "article" else NOISE_WORDS - {"header"} if in_article else NOISE_WORDS
+        return 0
+    words, out = NOISE_WORDS - {"header"} if in_article else NOISE_WORDS, 0
     for name in f"{at.get('class', '')} {at.get('id', '')}".lower().split():
         parts = set(NAME_PART.findall(name))
-        if parts & words and parts <= words | NEUTRAL_WORDS:
-            return True
-    return False
+        if parts & COMMENT_WORDS and parts <= COMMENT_WORDS | NEUTRAL_WORDS:
+            return COMMENTS
+        if tag != "article" and parts & words and parts <= words | NEUTRAL_WORDS:
+            out = NAMED
+    return out
 
 
 class Node:
     __slots__ = ("implied", "inside", "key", "kids", "main", "named", "noise", "size", "tag")
 
-    def __init__(self, tag: str, key: int, noise: bool, named: bool, main: bool, inside: bool, implied: int) -> None:
+    def __init__(self, tag: str, key: int, noise: bool, named: int, main: bool, inside: bool, implied: int) -> None:
         self.tag, self.key, self.noise, self.named, self.main, self.inside, self.implied = tag, key, noise, named, main, inside, implied
         self.kids: list = []
         self.size = 0
 
 
+@cache
+def raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+
+
 def path_key(parent: int, tag: str, at: dict[str, str]) -> int:
     return short_hash(f"{parent}/{tag}.{at.get('class', '')}")
 
 
 def parse(source: str) -> Node:
     """The DOM: Nodes and text; void and raw elements have no content."""
-    root = Node("", 0, False, False, False, False, 0)
+    root = Node("", 0, False, 0, False, False, 0)
     stack, at = [root], 0
     opened: list[tuple[int, dict[str, int]]] = [(0, {})]  # open elements by tag, above each wall: a stray end doesn't close a wall
 
@@ -160,13 +173,14 @@ def parse(source: str) -> Node:
                     close(i)
             top = stack[-1]
             main = tag in ("article", "main") or found.get("role", "").lower() in ("main", "article")
-            named = is_named(tag, found, top.inside)
+            named = named_as(tag, found, top.inside)
             implied = sum(1 << bit for bit, (_, tags, walls) in enumerate(IMPLIED) if tag in tags or top.implied >> bit & 1 and tag not in walls)
             node = Node(tag, path_key(top.key, tag, found), is_noise(tag, found, top.inside), named, main and not named, top.inside or tag in ("article", "main"), implied)
             top.kids.append(node)
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                end = raw_end(tag).search(source, at)
+                at = source.find(">", end.end()) + 1 if end else 0
+                at = at or len(source)  # one that isn't closed takes the rest
             elif tag not in VOID and (not m[3].rstrip().endswith("/") or tag in BLOCKS):
                 if tag in WALLS:
                     opened.append((len(stack), {}))
@@ -206,12 +220,12 @@ def _gone(node: Node, low: frozenset[int]) -> bool:
     return node.noise or node.key in low
 
 
-def _outermost_named(nodes: list[Node], low: frozenset[int]) -> list[Node]:
+def _outermost_named(nodes: list[Node], low: frozenset[int], least: int = NAMED) -> list[Node]:
     out, stack = [], list(nodes)
     while stack:
         for k in stack.pop().kids:
             if isinstance(k, Node) and not _gone(k, low):
-                (out if k.named else stack).append(k)
+                (out if k.named >= least else stack).append(k)
     return out
 
 
@@ -220,8 +234,13 @@ ENOUGH, ENOUGH_SHARE = 120, 0.2
 
 
 def drop_named(nodes: list[Node], low: frozenset[int]) -> None:
-    """Makes named elements noise, but for those without which too little text stays."""
+    """Makes comments noise unless they are all there is, and named elements but for those without which too little text stays."""
     weigh(nodes, low)
+    said = _outermost_named(nodes, low, COMMENTS)
+    if said and sum(k.size for k in said) < sum(n.size for n in nodes):
+        for k in said:
+            k.noise = True
+        weigh(nodes, low)
     total = sum(n.size for n in nodes)
     heap = [(-k.size, i, k) for i, k in enumerate(_outermost_named(nodes, low))]
     heapify(heap)

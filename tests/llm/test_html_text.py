@@ -145,3 +145,29 @@ def test_copies_of_one_page_stay_whole(spark):
 
 def test_no_pages(spark):
     assert h.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+COMMENTS = "".join(f"<p>Reader {k} says something rather long about this.</p>" for k in range(8))
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<div><p>Short item 0 is all that we wrote.</p></div><div class='comments'>{COMMENTS}</div>", "Short item 0 is all that we wrote."),
+        (f"<main><p>Brief note.</p><div id='comments'>{COMMENTS}</div></main>", "Brief note."),
+        (f"<article><p>Brief note.</p><section class='post-replies'>{COMMENTS}</section></article>", "Brief note."),
+        ("<div class='comments'><p>Nothing else is here.</p></div>", "Nothing else is here."),
+        ("<article><p>Text of the page.</p><div class='ad-slot-300x250'>Buy now</div></article>", "Text of the page."),
+        ("<article><p>Text.</p><script>a</scripty>b</script ><p>More.</p></article>", "Text.\n\nMore."),
+    ],
+)
+def test_comments_and_adverts_go_however_short_the_rest(body, want):
+    assert h.main_text(f"<html><body>{body}</body></html>") == want
+
+
+@pytest.mark.parametrize("part", ["</style x", "</style" + " " * 30, "</style", "<!-- ", "</style>", "<style>"])
+def test_raw_elements_are_linear(part):
+    source = "<p>Text.</p><style>" + part * (1_000_000 // len(part))
+    began = time.process_time()
+    assert h.main_text(source).startswith("Text.")
+    assert time.process_time() - began < 5  # under one on an idle machine
