@@ -52,7 +52,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_mixing import mixing_report
 
-    return mixing_report(documents(spark, sf_dir), entropy_share=0.98, most_repetition=2.0)
+    return mixing_report(documents(spark, sf_dir), entropy_share=0.5, most_repetition=2.0)
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

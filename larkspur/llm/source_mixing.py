@@ -5,18 +5,19 @@ Exponent 1 keeps the corpus as it is, 0 makes all sources equal.  The exponent
 is found by bisection, many points at once: every round adds up, in one
 aggregate over the sources, what the targets need at 64 exponents and narrows
 the interval 63 times, so no list of sources reaches the driver.  Targets: an
-entropy of the weights (at least a share of the largest possible), a limit on
-repetition (the largest epoch count over the smallest), or both; the exponent
-is the least flattening that meets the entropy, held back by the repetition
-limit, which comes first.
+entropy of the weights, a limit on
+repetition (the largest epoch count over the smallest), or both; the entropy
+asked is a share of the way from the corpus' own to the largest possible, so it
+asks for something wherever sources differ in size.  The exponent is the least
+flattening that meets the entropy, held back by the repetition limit, which
+comes first.
 
 The budget is the least that leaves every source one whole epoch, so nothing
 is dropped: the source with the lowest rate is read once and others more.
 Epochs are realised as block permutations: a source's rows are dealt by hash
-into blocks of about `block_tokens`, or larger ones where that would be more than
-CELLS blocks; every epoch has its own order of them, by a hash of (source,
-epoch, block), and a row carries its epoch, its block and the block's place in
-the epoch.  Whole epochs take all blocks, the partial last one takes them in
+into `blocks` blocks, whatever its size; every epoch has its own order of them,
+by a hash of (source, epoch, block), and a row carries its epoch, its block and
+the block's place in the epoch.  Whole epochs take all blocks, the partial last one takes them in
 its order until its budget is met; a block at the border is taken if at least
 half of it fits.
 
@@ -37,7 +38,6 @@ from pyspark.sql import functions as F
 from .common import free_name, written
 
 POINTS = 64
-CELLS = 1 << 12
 
 
 def tokens(text: Column) -> Column:
@@ -79,7 +79,9 @@ def choose_exponent(totals: DataFrame, entropy_share: float | None, most_repetit
             floor = b
     x = floor
     if entropy_share is not None:
-        goal, a, b = entropy_share * math.log(max(head["n"], 1)), floor, 1.0
+        ((z, e),) = sums([1.0])
+        own = math.log(z) - e / z
+        goal, a, b = own + entropy_share * (math.log(max(head["n"], 1)) - own), floor, 1.0
         for _ in range(rounds):
             xs = [a + (b - a) * i / (POINTS - 1) for i in range(POINTS)]
             h = [math.log(z) - e / z for z, e in sums(xs)]  # entropy falls as the exponent grows
@@ -99,32 +101,27 @@ def choose_exponent(totals: DataFrame, entropy_share: float | None, most_repetit
     return Mix(x, int(head["all"]), log_norm, log_scale)
 
 
-def mixed(docs: DataFrame, entropy_share: float | None = None, most_repetition: float | None = 1.25, block_tokens: int = 20_000, least_blocks: int = 64, seed: int = 17) -> tuple[DataFrame, tuple[str, str, str, str]]:
+def mixed(docs: DataFrame, entropy_share: float | None = None, most_repetition: float | None = 1.25, blocks: int = 1024, seed: int = 17) -> tuple[DataFrame, tuple[str, str, str, str]]:
     """docs with each row as often as its source's epochs take it, and the names of the columns with its tokens, epoch (from 0), block and the block's place in the epoch (from 0)."""
-    src, n, tot, ep, blocks, block, epochs, place = (free_name(docs.columns, x) for x in ("mx_src", "mx_tokens", "mx_total", "mx_epoch", "mx_blocks", "mx_block", "mx_epochs", "mx_place"))
+    src, n, tot, ep, block, epochs, place = (free_name(docs.columns, x) for x in ("mx_src", "mx_tokens", "mx_total", "mx_epoch", "mx_block", "mx_epochs", "mx_place"))
     source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    keyed = docs.withColumns({src: source, n: tokens(F.col("text"))})
-    row_hash = F.xxhash64(*[F.col(c) for c in ("doc_id", "text")], F.lit(seed))
-    # totals by source and fine block; the source's number of blocks follows from its total
-    fine = F.pmod(row_hash, F.lit(CELLS))
-    per_cell = written(keyed.groupBy(F.col(src), fine.alias("cell")).agg(F.sum(n).alias("t")), "mix-cells")
-    totals = written(per_cell.groupBy(F.col(src)).agg(F.sum("t").alias("src_tokens")), "mix-sources")
+    own_block = F.pmod(F.xxhash64(*[F.col(c) for c in ("doc_id", "text")], F.lit(seed)), F.lit(blocks)).cast("int")
+    keyed = docs.withColumns({src: source, n: tokens(F.col("text")), block: own_block})
+    per_block = written(keyed.groupBy(src, block).agg(F.sum(n).alias("t")), "mix-blocks")
+    totals = written(per_block.groupBy(src).agg(F.sum("t").alias("src_tokens")), "mix-sources")
     mix = choose_exponent(totals, entropy_share, most_repetition)
     rate = F.exp((mix.exponent - 1) * F.log(F.col("src_tokens") / F.lit(float(max(mix.total, 1)))) - mix.log_norm + mix.log_scale)
-    plan = totals.select(src, F.col("src_tokens").alias(tot), F.round(rate, 9).alias(epochs), F.least(F.lit(CELLS), F.greatest(F.lit(least_blocks), F.ceil(F.col("src_tokens") / block_tokens))).cast("int").alias(blocks))
-    cells = per_cell.join(plan, src).withColumn(block, F.pmod("cell", F.col(blocks)))
-    per_block = cells.groupBy(src, block, tot, epochs, blocks).agg(F.sum("t").alias("t"))
+    plan = totals.select(src, F.col("src_tokens").alias(tot), F.round(rate, 9).alias(epochs))
     last = F.floor(epochs).cast("int")
-    each = per_block.withColumn(ep, F.explode(F.sequence(F.lit(0), last)))
-    order = Window.partitionBy(src, ep).orderBy(F.xxhash64(src, ep, block, F.lit(seed)), block)  # at most CELLS rows a group
+    each = per_block.join(plan, src).withColumn(ep, F.explode(F.sequence(F.lit(0), last)))
+    order = Window.partitionBy(src, ep).orderBy(F.xxhash64(src, ep, block, F.lit(seed)), block)  # `blocks` rows a group
     before = F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = (F.col(ep) < last) | (before + F.col("t") / 2 <= (F.col(epochs) - last) * F.col(tot)) & (F.col(epochs) > last)
     chosen = free_name(docs.columns, "mx_chosen")
-    side = written(each.withColumns({place: F.row_number().over(order) - 1, chosen: taken}).where(chosen).select(src, F.col(block).cast("int").alias(block), ep, place), "mix-blocks")
-    known = plan.select(src, blocks)
+    side = written(each.withColumns({place: F.row_number().over(order) - 1, chosen: taken}).where(chosen).select(src, block, ep, place), "mix-taken")
     if side.count() <= 500_000:
-        side, known = F.broadcast(side), F.broadcast(known)
-    out = keyed.join(known, src).withColumn(block, F.pmod(F.pmod(row_hash, F.lit(CELLS)), F.col(blocks)).cast("int")).join(side, [src, block])
+        side = F.broadcast(side)
+    out = keyed.join(side, [src, block])
     return out.select(*docs.columns, F.col(n), F.col(ep), F.col(block), F.col(place)), (n, ep, block, place)
 
 
