@@ -5,18 +5,18 @@ counted by pattern over all documents (at most 3^rules patterns, so the counts
 and the model are small whatever the input), and expectation-maximisation on
 those counts estimates each rule's accuracy and the share of good documents.
 The posterior probability that a document is good replaces all-must-pass
-filtering.
+filtering: a document that a weak rule votes against stays if others speak for it.
 
 The rules hold for any script and language.  None has a word list: what words
 are common is counted in the corpus itself (documents by hashed word, in a sketch
 of `SLOTS` counters; a word of `COMMON_SHARE` of the documents, and of two, is
-common).  Measures that rise and fall together (symbols and letters; repeated
-windows and lines) are one rule, as the model takes rules to be independent.
-Letters are Unicode's letters and marks.  Where a third of a text or more is of a script without spaces between words,
+common).  Repeated windows and repeated lines rise and fall together and are one
+rule, as the model takes rules to be independent within a class.  Letters are Unicode's letters and marks.  Where a third of a text or more is of a script without spaces between words,
 the rules on words abstain.
 
 Defined results: a null text has no words; every row gets its own verdict;
-repeated rows get equal ones; other columns are not read.
+repeated rows get equal ones; a posterior of exactly the threshold is kept;
+without documents there is nothing to fit and no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -143,50 +143,41 @@ def _not_first(h: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def rule_votes() -> dict[str, F.Column]:
-    """Each rule's vote: 1 good, -1 bad, 0 abstains.  A rule that nearly every text meets only votes against."""
+    """Each rule's vote: 1 good, -1 bad, 0 abstains: between its two bounds, and where a text is too short for its measure."""
 
-    def vote(good, bad):
-        return F.when(bad, -1).when(good, 1).otherwise(0)
+    def vote(good, bad, ok):
+        return F.when(ok, F.when(bad, -1).when(good, 1).otherwise(0)).otherwise(0)
 
     n, chars = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars"))
     mean, symbols, letters = F.col("word_chars") / n, F.col("n_symbols") / n, F.col("n_letters") / chars
-    repeats, dups = F.col("n_repeat_words") / n, F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
-    short, lines = F.col("n_words") < 30, F.col("n_lines") >= 3
+    repeats, dups = F.col("n_repeat_words") / n, F.when(F.col("n_lines") >= 3, F.col("n_dup_lines") / F.col("n_lines")).otherwise(0.0)
     spaced = F.col("n_unspaced") * 3 < F.col("word_chars")
-    distinct, commons = F.col("n_distinct") / n, F.col("n_common") / n
+    distinct, commons, size = F.col("n_distinct") / n, F.col("n_common") / n, F.col("n_words")
     return {
-        "length": F.when(spaced & (F.col("n_words") < 10), -1).otherwise(0),
-        "mean_word": F.when(spaced & ((mean < 2) | (mean > 15)), -1).otherwise(0),
-        "characters": vote((symbols <= 0.02) & (letters >= 0.8), (symbols > 0.2) & spaced | ~short & (letters < 0.6)),
-        "repetition": F.when(short, 0).otherwise(vote((repeats <= 0.05) & (~lines | (dups <= 0.1)), (repeats > 0.2) | lines & (dups > 0.3))),
-        "vocabulary": F.when(~spaced | short, 0).otherwise(vote(commons >= 0.35, (commons < 0.2) & (commons > 0.02))),
-        "recurrence": F.when(~spaced | (F.col("n_words") < 200), 0).otherwise(vote(distinct <= 0.85, distinct > 0.95)),
+        "length": vote(size >= 50, size < 20, spaced),
+        "mean_word": vote(mean.between(3, 7), (mean < 2.5) | (mean > 10), spaced & (size >= 10)),
+        "letters": vote(letters >= 0.93, (letters < 0.9) & (size >= 100) | (letters < 0.75) & (size >= 30), F.lit(True)),
+        "symbols": vote(symbols <= 0.02, symbols > 0.1, spaced),
+        "repetition": vote((repeats <= 0.05) & (dups <= 0.1), (repeats > 0.1) | (dups > 0.3), size >= 30),
+        "vocabulary": vote(commons >= 0.35, (commons < 0.25) & (commons > 0.02), spaced & (size >= 30)),
+        "recurrence": vote(distinct.between(0.4, 0.9), (distinct > 0.97) | (distinct < 0.3), spaced & (size >= 100)),
     }
 
 
-#: Bounds for the share of good documents that a rule may vote for, of those it votes on: a vote against on the measures of form
-#: is hardly ever wrong, while common words may be lacking because the corpus has little of a language.
-TRUST = {"vocabulary": (0.9, 0.97), "recurrence": (0.95, 0.99)}
-FORM = (0.995, 0.9999)
-
-
-def fit_votes(votes: np.ndarray, counts: np.ndarray, steps: int = 200, prior: tuple[float, float] = (0.6, 0.98), strength: float = 0.02, bounds: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+def fit_votes(votes: np.ndarray, counts: np.ndarray, steps: int = 1000) -> tuple[np.ndarray, float]:
     """Rules' log-odds weights [rule, vote + 1] and the log-odds of a good document, by EM.
 
     For either class a rule has a probability of voting good, given that it
-    votes; that it abstains says nothing (its weight is 0).  The probabilities
-    start at `prior` (in bad documents, in good ones: a vote against is rare on
-    good text, while most rules miss most kinds of bad text) and stay near it by
-    a Beta prior whose weight is `strength` of the votes; this also keeps the
-    classes from changing places.  bounds [rule, 2] are for the good class; in
-    bad documents a rule then votes good at least half the time.
+    votes; that it abstains says nothing (its weight is 0).  Both are free, but
+    that a rule is no worse than chance: it votes good no less often on good
+    texts than on bad ones.  Three rules or more that are independent within a
+    class identify them; what names the classes is that good documents are the
+    ones with more good votes.  One imaginary vote a rule keeps the
+    probabilities off 0 and 1, and is where they begin.
     """
-    total = counts.sum()
     up, down = (votes > 0).astype(float), (votes < 0).astype(float)
-    base = np.stack([np.full(votes.shape[1], x) for x in prior])  # class, rule: of a good vote
-    low, high = (np.full_like(base, 1e-9), np.full_like(base, 1 - 1e-9)) if bounds is None else (np.stack([np.full(len(bounds), 0.5), bounds[:, 0]]), np.stack([np.full(len(bounds), 0.9), bounds[:, 1]]))
-    cast = counts @ (up + down) * strength + 1
-    theta, share = np.clip(base, low, high), 0.9
+    start = np.stack([np.full(votes.shape[1], x) for x in (0.4, 0.9)])  # class, rule: of a good vote
+    theta, share = start, 0.9
 
     def odds() -> tuple[np.ndarray, np.ndarray]:
         return np.log(theta[1] / theta[0]), np.log((1 - theta[1]) / (1 - theta[0]))
@@ -194,9 +185,10 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, steps: int = 200, prior: tu
     for _ in range(steps):
         good, bad = odds()
         p = 1 / (1 + np.exp(-(np.log(share / (1 - share)) + up @ good + down @ bad)))
-        new = np.clip(np.stack([((counts * w) @ up + base[c] * cast) / ((counts * w) @ (up + down) + cast) for c, w in ((0, 1 - p), (1, p))]), low, high)
+        new = np.stack([((counts * w) @ up + start[c]) / ((counts * w) @ (up + down) + 1) for c, w in ((0, 1 - p), (1, p))])
+        new = np.stack([np.minimum(new[0], new[1]), new[1]])
         moved = np.abs(new - theta).max()
-        theta, share = new, float(np.clip((counts * p).sum() / max(total, 1), 0.02, 0.98))
+        theta, share = new, float(((counts * p).sum() + 0.9) / (counts.sum() + 1))
         if moved < 1e-9:
             break
     good, bad = odds()
@@ -211,7 +203,7 @@ def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     names = [f"vote_{k}" for k in rules]
     patterns = voted.groupBy(*names).count().collect()  # at most 3^rules rows
     table = np.array([[r[x] for x in names] for r in patterns], dtype=int).reshape(-1, len(names))
-    weights, bias = fit_votes(table, np.array([r["count"] for r in patterns], dtype=float), bounds=np.array([TRUST.get(k, FORM) for k in rules]))
+    weights, bias = fit_votes(table, np.array([r["count"] for r in patterns], dtype=float))
     logit = F.lit(bias)
     for k, w in zip(names, weights, strict=True):
         logit = logit + F.when(F.col(k) < 0, float(w[0])).when(F.col(k) == 0, float(w[1])).otherwise(float(w[2]))
