@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import models
 from ..functions import text as T
 from .ranking import top_k
 
@@ -181,7 +182,7 @@ def hashed_encoder(dimension: int = 64) -> Encoder:
 
 
 def encoded(df: DataFrame, text: str, encoder: Encoder | None = None, batch: int = 32, out: str = "embedding") -> DataFrame:
-    """df with the L2-normalised vectors of a text column; the encoder is made once a task and sees `batch` texts at a time."""
+    """df with the L2-normalised vectors of a text column; the encoder, a small one that goes with the task, sees `batch` texts at a time."""
     make = encoder or hashed_encoder()
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -195,3 +196,19 @@ def encoded(df: DataFrame, text: str, encoder: Encoder | None = None, batch: int
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}  # names in this function's scope aren't resolved from strings
     return df.withColumn(out, F.pandas_udf(run, "array<float>")(F.col(text)))
+
+
+def encoded_by(df: DataFrame, text: str, name: str, factory: Callable[[], Encoder], pace: models.Pace = models.Pace(), out: str = "embedding", error: str = "error") -> DataFrame:
+    """encoded() by a model that each worker makes for itself, called by token budget; rows it fails on have a null vector and the error."""
+
+    def unit() -> models.Model:
+        encode = factory()
+
+        def run(texts: list[str]) -> list[list[float]]:
+            v = np.asarray(encode(texts), dtype=np.float32)
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            return (v / np.where(norm == 0, 1, norm)).tolist()
+
+        return run
+
+    return models.modelled(df, text, name, unit, "array<float>", out, error, pace)

@@ -2,9 +2,9 @@
 
 Every conditional edge is a predicate on the state's columns: the rows that
 take a branch go through it, the others pass by, and both come together again.
-The retry loop is bounded, so it is unrolled.  The state is checkpointed
-before each split, so retrieval isn't computed once a branch and plans stay
-small.
+The retry loop is bounded and goes over the rows that are left, until there are
+none.  The state is checkpointed before each split, so retrieval isn't computed
+once a branch and plans stay small.
 
 Model calls are providers: functions of Columns.  The defaults are
 deterministic stand-ins for models, not equals of them.
@@ -263,6 +263,8 @@ class Pipeline:
                 return state if done is None else done.unionByName(state)
             done = state.where(accepted) if done is None else done.unionByName(state.where(accepted))
             state = state.where(~accepted)
+            if state.isEmpty():  # from the checkpoint: no attempt is planned for nobody
+                return done
         return done
 
 
