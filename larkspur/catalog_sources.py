@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog_sql as S
+from .functions import models
 from .functions import text as T
 from .operators import chunking, dense, evaluation, ranking, statistics, telemetry, vector_index
 from .operators.vector_index import VectorIndex
@@ -68,15 +69,48 @@ def source_markdown(spark, d):
     return files.markdown(spark, single_texts(spark, d, "md")).where(F.length("content") > 0).select("doc_id", F.col("metadata")["file_type"].alias("file_type"))
 
 
-@query("SELECT substr(md5(text), 1, 16) AS doc_id, text AS content, lang, 0 AS index FROM documents WHERE doc_id % 10 = 0 AND doc_id % 3 <> 0")
+@query("SELECT substr(md5(text), 1, 16) AS doc_id, text AS content, lang, 0 AS index FROM documents WHERE doc_id % 3 <> 0")
 def source_json(spark, d):
-    """An object a file; those of ids divisible by 3 lack the content and are dropped."""
+    """All documents, an object a file, in a folder each; those of ids divisible by 3 lack the content and are dropped."""
     out = fresh_path(spark, "json")
-    rows = table(spark, d, "documents").where("doc_id % 10 = 0").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("text"), "lang")
-    rows.repartitionByRange(rows.count(), "doc_id").write.json(out)
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("text"), "lang")
+    rows.repartition(2 * spark.sparkContext.defaultParallelism, "doc_id").write.partitionBy("doc_id").json(out)
     return files.json(spark, out, metadata=("lang",)).select("doc_id", "content", F.col("metadata")["lang"].alias("lang"), F.col("metadata")["index"].cast("int").alias("index"))
 
 
+@query("SELECT coalesce(lang, 'none') AS lang, count(*) AS n, false AS unread FROM documents WHERE text IS NOT NULL GROUP BY ALL UNION ALL SELECT 'broken', NULL, true")
+def source_unread(spark, d):
+    """All documents as packed JSON lines, a folder a language, and a file that is no packed one: what is read, and what is named as unread."""
+    out = fresh_path(spark, "packed")
+    language = F.coalesce("lang", F.lit("none"))
+    table(spark, d, "documents").select(language.alias("lang"), "text", language.alias("language")).write.partitionBy("lang").option("compression", "gzip").json(out)
+    spark.range(1).select(F.lit("broken").alias("lang"), F.lit("no gzip").alias("value")).write.mode("append").partitionBy("lang").text(out)
+    p, fs = hadoop_path(spark, f"{out}/lang=broken")
+    for f in fs.listStatus(p):  # one file
+        if f.getPath().getName().endswith(".txt"):
+            fs.rename(f.getPath(), hadoop_path(spark, f"{out}/lang=broken/broken.json.gz")[0])
+    read = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("pathGlobFilter", files.names("json")).text(out)
+    docs = read.select(F.from_json("value", "text string, language string").alias("o"), F.create_map(F.lit("source"), F.col("_metadata.file_path")).alias("metadata")).where("o.text IS NOT NULL")
+    lost = files.unread(spark, out, "json", docs).select(F.regexp_extract("source", "lang=([^/]*)/", 1).alias("lang"), F.lit(None).cast("long").alias("n"), F.lit(True).alias("unread"))
+    return docs.groupBy(F.col("o.language").alias("lang")).agg(F.count("*").alias("n"), F.lit(False).alias("unread")).unionByName(lost)
+
+
+@query("SELECT doc_id, CASE WHEN contains(coalesce(text, ''), '$') THEN NULL ELSE length(coalesce(text, ''))::BIGINT END AS n_chars, contains(coalesce(text, ''), '$') AS failed FROM documents")
+def model_runs(spark, d):
+    """A model that measures texts and breaks on a sign: its texts stand apart, their neighbours have results."""
+
+    def measure():
+        def model(texts):
+            if any("$" in t for t in texts):
+                raise ValueError("a sign that it doesn't know")
+            return [len(t) for t in texts]
+
+        return model
+
+    done = models.modelled(table(spark, d, "documents").select("doc_id", "text"), "text", "measure", measure, "long", "n_chars", pace=models.Pace(attempts=1))
+    return done.select("doc_id", "n_chars", F.col("error").isNotNull().alias("failed"))
+
+
 @query("SELECT substr(md5(text), 1, 16) AS doc_id, lang, rank() OVER (ORDER BY documents.doc_id) AS index FROM documents")
 def source_jsonl(spark, d):
     """All documents as one file, by id: the line's number is the id's rank."""

@@ -3,7 +3,8 @@
 All are DataFrame readers; nothing is opened on the driver.  A path without an
 extension is a folder: the files with the reader's extension at any depth, and
 a file that can't be read is passed over.  A row without content is dropped,
-and so is a broken JSON line; `rejected` says which.  A document's id is the
+and so is a broken JSON line; `rejected` says which, and `unread` names the
+files of a folder that gave nothing.  A document's id is the
 first 16 hex digits of its content's MD5 unless given.  Rows are numbered from
 their file's blocks: the blocks before a row's own add their counts, so a large
 file is still read by many tasks.
@@ -26,10 +27,15 @@ def _document(df: DataFrame, content: Column, **metadata: Column) -> DataFrame:
     return out.select(F.substring(F.md5("content"), 1, 16).alias("doc_id"), "content", F.map_filter("metadata", lambda k, v: v.isNotNull()).alias("metadata"))
 
 
+def names(extension: str) -> str:
+    """A folder's files of an extension, packed ones too."""
+    return f"*.{{{extension},{extension}.gz,{extension}.bz2,{extension}.zst}}"
+
+
 def _reader(spark: SparkSession, path: str, extension: str):
     if PurePosixPath(path).suffix:
         return spark.read
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names(extension)).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -82,6 +88,14 @@ def rejected(spark: SparkSession, path: str, content: str = "text") -> DataFrame
     return rows.where(F.col(f"o.{content}").isNull()).select("source", "index")
 
 
+def unread(spark: SparkSession, path: str, extension: str, read: DataFrame) -> DataFrame:
+    """(source, length) of the files below a folder from which `read`, documents of a reader, has no row: they are broken and were passed over, or hold nothing that the reader takes.  Files of no bytes are not listed."""
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names(extension)).load(path).select("path", "length")  # names and sizes only
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "file:/").alias("_source")
+    seen = read.select(plain(F.col("metadata")["source"])).distinct()
+    return there.withColumn("_source", plain("path")).join(seen, "_source", "left_anti").select(F.col("path").alias("source"), "length")
+
+
 def csv(spark: SparkSession, path: str, columns: tuple[str, ...] = (), separator: str = ", ") -> DataFrame:
     """A document a row, the columns (all, or those named that are there) joined; a missing cell reads None.  row_number counts from 1."""
     df = _reader(spark, path, "csv").csv(path, header=True)
