@@ -4,9 +4,10 @@ Each text becomes an 8-bit greyscale PNG, 64 samples a line, whose samples are
 the text's bytes and then the bytes 0 up to the next multiple of 64.  A task
 appends its images to tar shards in the shared folder; a member's name is the
 SHA-256 of the image, and equal images are stored once a shard.  Rows carry
-digest, shard, offset and length.  `headers` reads only each image's first 33
-bytes to fill metadata columns; `read_back` reads whole ranges and decodes them.
-Either deals its rows by shard and offset, as many as READ_BYTES of media a task.
+digest, shard, offset and length.  `headers` deals the rows by shard and offset,
+as many as READ_BYTES of media a task, and reads only each image's first 33 bytes
+to fill the metadata columns; `read_back` goes on from there, reads whole ranges
+and decodes them for the features.
 Give `folder` to keep the shards; without it they go with the session.
 
 Shards appear under their name only when complete, with a random part for the
@@ -154,59 +155,69 @@ def by_place(placed: DataFrame) -> DataFrame:
     return placed.repartitionByRange(n, "shard", "offset", F.xxhash64("doc_id")).sortWithinPartitions("shard", "offset")
 
 
+class Ranges:
+    """Reads of ranges of shards, one shard open at a time."""
+
+    def __init__(self) -> None:
+        self.shard, self.file = None, None
+
+    def read(self, shard: str, offset: int, length: int) -> bytes:
+        if shard != self.shard:
+            self.close()
+            store_fs, path = filesystem(shard)
+            self.shard, self.file = shard, store_fs.open_input_file(path)
+        return self.file.read_at(length, offset)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+HEADED = PLACED + ", width int, height int"
+
+
 def headers(placed: DataFrame) -> DataFrame:
-    """digest, width and height of every placed row, from 33 bytes each."""
+    """placed, by_place(), with width and height from 33 bytes of each row's image."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, f = None, None
+        ranges, last, size = Ranges(), None, (0, 0)
         for b in batches:
             sizes = []
-            for shard, offset in zip(b.column("shard").to_pylist(), b.column("offset").to_pylist(), strict=True):
-                if shard != at:
-                    if f is not None:
-                        f.close()
-                    store_fs, path = filesystem(shard)
-                    at, f = shard, store_fs.open_input_file(path)
-                sizes.append(png_header(f.read_at(33, offset)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), *(pa.array([x[i] for x in sizes], pa.int32()) for i in (0, 1))], names=["doc_id", "digest", "width", "height"])
-        if f is not None:
-            f.close()
+            for place in zip(b.column("shard").to_pylist(), b.column("offset").to_pylist(), strict=True):
+                if place != last:  # equal images stand together
+                    last, size = place, png_header(ranges.read(*place, 33))
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[i] for x in sizes], pa.int32()) for i in (0, 1))], names=[*b.schema.names, "width", "height"])
+        ranges.close()
 
-    return by_place(placed).mapInArrow(run, "doc_id long, digest string, width int, height int")
+    return by_place(placed).mapInArrow(run, HEADED)
 
 
-def read_back(placed: DataFrame) -> DataFrame:
-    """FEATURES of every placed row, from the stored bytes."""
+def read_back(headed: DataFrame) -> DataFrame:
+    """FEATURES of every row of headers(), from the stored bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in FEATURES.split(", ")]
         types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in FEATURES.split(", ")]
-        at, f, last = None, None, {}
+        ranges, last, found = Ranges(), None, ()
         for b in batches:
             out = []
             for r in b.to_pylist():
-                if r["shard"] != at:
-                    if f is not None:
-                        f.close()
-                    store_fs, path = filesystem(r["shard"])
-                    at, f, last = r["shard"], store_fs.open_input_file(path), {}
-                key = r["offset"]
-                if key not in last:
-                    image = f.read_at(r["length"], r["offset"])
-                    width, height = png_header(image)
+                if (r["shard"], r["offset"]) != last:
+                    image = ranges.read(r["shard"], r["offset"], r["length"])
                     if hashlib.sha256(image).hexdigest() != r["digest"]:
                         raise OSError(f"{r['shard']} at {r['offset']}: stored bytes differ from their digest")
                     s = png_samples(image)
-                    if len(last) > 256:
-                        last.clear()
-                    last[key] = (width, height, len(s), hashlib.sha256(s).hexdigest(), zlib.crc32(s[-64:]), len(image), r["digest"], feature_of(s))
-                out.append((r["doc_id"], r["n_bytes"], *last[key], r["shard"], r["offset"], r["length"]))
+                    if len(s) != r["width"] * r["height"]:
+                        raise OSError(f"{r['shard']} at {r['offset']}: {len(s)} samples, but the header has {r['width']} x {r['height']}")
+                    last = r["shard"], r["offset"]
+                    found = len(s), hashlib.sha256(s).hexdigest(), zlib.crc32(s[-64:]), len(image), r["digest"], feature_of(s)
+                out.append((r["doc_id"], r["n_bytes"], r["width"], r["height"], *found, r["shard"], r["offset"], r["length"]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-        if f is not None:
-            f.close()
+        ranges.close()
 
-    return by_place(placed).mapInArrow(run, FEATURES)
+    return headed.mapInArrow(run, FEATURES)
 
 
 def members(shard: str) -> list[str]:
@@ -217,4 +228,4 @@ def members(shard: str) -> list[str]:
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    return read_back(store(docs, folder))
+    return read_back(headers(store(docs, folder)))

@@ -17,7 +17,7 @@ def test_round_trip(data):
 def test_payloads_come_back(spark, odd_docs, no_docs, tmp_path):
     folder = f"file://{tmp_path}/media"
     placed = media.store(odd_docs, folder)
-    rows = media.read_back(placed).collect()
+    rows = media.read_back(media.headers(placed)).collect()
     want = []
     for r in odd_docs.collect():
         raw = (r.text or "").encode()
@@ -34,9 +34,43 @@ def test_payloads_come_back(spark, odd_docs, no_docs, tmp_path):
     assert hashlib.sha256(image).hexdigest() == places[0].digest
     assert {(r.digest, r.width, r.height) for r in media.headers(placed).collect()} == {(r.media_sha256, r.width, r.height) for r in rows}
     assert {(r.media_sha256, r.shard, r.offset, r.length) for r in rows} == {(r.digest, r.shard, r.offset, r.length) for r in places}
+    assert {(r.payload_sha256, r.feature) for r in rows} == {(hashlib.sha256(p).hexdigest(), plain_feature(p)) for p in ((lambda b: b + bytes(-len(b) % 64 if b else 64))((r.text or "").encode()) for r in odd_docs.collect())}
     assert media.media_columns(no_docs).count() == 0
 
 
+def plain_feature(samples):
+    mean = sum(samples) / len(samples)
+    deviation = (sum((x - mean) ** 2 for x in samples) / len(samples)) ** 0.5
+    return f"{mean:.4f};{deviation:.4f};" + ",".join(str(sum(x // 16 == k for x in samples)) for k in range(16))
+
+
+def test_headers_read_no_payload(spark, tmp_path):
+    """Metadata come from the first 33 bytes: an image whose rest is damaged still has them, and read_back says what is wrong."""
+    import pytest
+
+    docs = spark.createDataFrame([(1, "a" * 100)], "doc_id long, text string")
+    placed = media.store(docs, f"file://{tmp_path}/media")
+    (p,) = placed.collect()
+    path = p.shard.removeprefix("file://")
+    with open(path, "r+b") as f:
+        f.seek(p.offset + 33)
+        f.write(b"damaged")
+    (r,) = media.headers(placed).collect()
+    assert (r.width, r.height) == (64, 2)
+    with pytest.raises(Exception, match="differ from their digest"):
+        media.read_back(media.headers(placed)).collect()
+
+
+def test_registered_query_gives_equal_values_for_equal_texts(spark):
+    from larkspur.llm.catalog import op8_media_columns
+
+    rows = op8_media_columns(spark, "/root/testdata/sf0.001").collect()
+    values = {}
+    for r in rows:
+        values.setdefault(r.payload_sha256, set()).add(tuple(r)[1:])
+    assert len(rows) > len(values) and all(len(v) == 1 for v in values.values())
+
+
 def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a", "d", "s", 5, 6)], "doc_id long, text string, digest string, shard string, offset long, length long")
     (r,) = media.media_columns(docs).collect()
