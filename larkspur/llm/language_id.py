@@ -4,10 +4,10 @@ A text's features are its byte 2- to 4-grams (A-Z lower-cased, digits and
 ASCII signs dropped to one mark), hashed into buckets; the document vector is
 the average of the buckets' embeddings and a softmax layer scores languages.
 Embeddings and layer are trained together by stochastic gradient descent in
-numpy on at most `sample` labelled rows a language, MOST_ROWS in all, of the
-MOST_LANGUAGES most frequent languages (documented bounds; the rows are those with
-the least hash of their text, each text once a language, so the choice is random
-and repeatable).  Rows are sparse; only a batch is dense.
+numpy on at most `sample` labelled rows a language, and MOST_ROWS in all or one a
+language where there are more languages than that (documented bounds; the rows
+are those with the least hash of their text, each text once a language, so the
+choice is random and repeatable).  Rows are sparse; only a batch is dense.
 As the layer is linear, prediction averages one small row a bucket, embedding
 times layer, over the whole text; every document is read whole.
 
@@ -16,8 +16,9 @@ then the rejection threshold, the score below which at most `reject_share` of
 rightly labelled rows fall (never above `most_threshold`).
 
 Defined results: a null text, or one without a letter, is `und` with score 0;
-with no labelled row at all every document is `und`; repeated rows get equal
-results; only text is read when predicting.
+with no labelled row at all every document is `und`; of equally likely languages
+the first by name is predicted; repeated rows get equal results; only text is
+read when predicting.
 """
 
 from __future__ import annotations
@@ -199,7 +200,7 @@ def held_out() -> Column:
 def fit(docs: DataFrame, sample: int = 500) -> Model | None:
     labelled = docs.where(training_rows(docs)).select("lang", "text")
     kinds = labelled.select("lang").distinct().count()
-    langs, y, x, held = sample_counts(labelled, "lang", max(20, min(sample, MOST_ROWS // max(1, kinds))))
+    langs, y, x, held = sample_counts(labelled, "lang", max(1, min(sample, MOST_ROWS // max(1, kinds))))
     model = train(langs, y, x, held) if langs else None
     del y, x, held
     trim()  # the driver goes on to other work
@@ -236,9 +237,11 @@ def predict(docs: DataFrame, model: Model | None, lang_col: str, score_col: str)
 
 
 def language_report(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and whether the calibrated threshold rejects the prediction."""
     model = fit(docs)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
-    return predict(slim, model, "lang_pred", "score").select("doc_id", "held_out", "lang_pred", "score")
+    rejected = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < (model.threshold if model else 0.0))
+    return predict(slim, model, "lang_pred", "score").select("doc_id", "held_out", "lang_pred", "score", rejected.alias("rejected"))
 
 
 def known_languages(docs: DataFrame, sample: int = 500) -> DataFrame:

@@ -31,7 +31,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = li.language_report(odd_docs).collect()
     assert len(rows) == odd_docs.count()
     assert all(r.lang_pred == "und" and r.score == 0 for r in rows if r.doc_id in (1, 2, 3, 8))
-    assert all(0 <= r.score <= 1 and r.held_out is not None for r in rows)
+    assert all(0 <= r.score <= 1 and r.held_out is not None and (r.rejected or r.lang_pred != "und") for r in rows)
     assert li.language_report(no_docs).count() == 0
     assert li.known_languages(no_docs).columns == no_docs.columns
     assert {r.lang_pred for r in li.language_report(odd_docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
@@ -57,3 +57,10 @@ def test_copies_of_one_text_fill_no_sample(spark):
     assert [(n, int((y == i).sum())) for i, n in enumerate(langs)] == want
     rows = {x.idx[a:b].tobytes() + x.num[a:b].tobytes() for a, b in zip(x.begin[:-1], x.begin[1:], strict=True)}
     assert len(rows) > 0.9 * len(y)
+
+
+def test_rejected_says_what_the_filter_drops(spark):
+    docs = labelled(spark)
+    rows = li.language_report(docs.select("doc_id", "text", "lang")).collect()
+    kept = {r.doc_id for r in li.known_languages(docs.select("doc_id", "text", "lang")).collect()}
+    assert {r.doc_id for r in rows if not r.rejected} == kept
