@@ -1,8 +1,9 @@
 """Exact nearest neighbours and encoding.
 
-Queries are sent to the executors in blocks of a bounded size; every Arrow
-batch of the corpus is scored against a block by one matrix product and sends
-on its own best k a query, so the shuffle has k rows a query and batch whatever
+Queries are sent to the executors in blocks of a bounded size, one after the
+other, each block's result written before the next is taken; STEP rows of the
+corpus at a time are scored against a block by one matrix product, and of them
+the best k a query go on, so the shuffle has k rows a query and step whatever
 the corpus' size.
 """
 
@@ -13,14 +14,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions import text as T
+from ..sources.shared import written
 from .ranking import top_k
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK, STEP = 4096, 1024
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
@@ -31,19 +34,21 @@ def search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "co
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric: {metric}")
-    total = queries.count()
-    blocks = -(-total // QUERY_BLOCK)
-    parts = [_block(corpus, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries, k, metric) for i in range(blocks)]
-    if not parts:
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
     first = F.round("score", 9)
-    return top_k(out, k, [first.asc() if metric == "euclidean" else first.desc(), F.col("doc_id")]).select("query_id", "rank", "doc_id", "score")
+    order = [first.asc() if metric == "euclidean" else first.desc(), F.col("doc_id")]
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    out = queries.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    for i in range(blocks):
+        part, shared = _block(corpus, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else queries, k, metric)
+        if blocks == 1:
+            out = part
+        else:
+            out = out.unionByName(written(top_k(part, k, order).drop("rank"), "block-hits"))
+            shared.destroy()
+    return top_k(out, k, order).select("query_id", "rank", "doc_id", "score")
 
 
-def _block(corpus: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+def _block(corpus: DataFrame, queries: DataFrame, k: int, metric: str) -> tuple[DataFrame, Broadcast]:
     rows = queries.where("embedding is not null").select("query_id", "embedding").collect()  # a block at most
     ids = np.array([r.query_id for r in rows], dtype=np.int64)
     q = np.array([r.embedding for r in rows], dtype=np.float64)
@@ -52,9 +57,7 @@ def _block(corpus: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
+        for b in (whole.slice(a, STEP) for whole in batches for a in range(0, whole.num_rows if len(ids) else 0, STEP)):
             flat = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             x = flat.reshape(b.num_rows, -1)
             if x.shape[1] != q.shape[1]:
@@ -67,7 +70,8 @@ def _block(corpus: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFr
             order = np.lexsort((np.broadcast_to(doc, s.shape), -sign * np.round(s, 9)), axis=1)[:, :n]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(doc[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "doc_id", "score"])
 
-    return corpus.where("embedding is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "embedding").mapInArrow(run, "query_id long, doc_id long, score double")
+    rows = corpus.where("embedding is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "embedding")
+    return rows.mapInArrow(run, "query_id long, doc_id long, score double"), shared
 
 
 # ------------------------------------------------------------ inverted lists

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from ..functions import text as T
 from ..sources.shared import written
 from .ranking import top_k
 
-#: Query terms broadcast at once; more go in further blocks.  Documents scored at once.
-BLOCK_TERMS = 500_000
+#: Query terms and queries broadcast at once; more go in further blocks.  Documents scored at once: a task holds a number for each of them and each query.
+BLOCK_TERMS, BLOCK_QUERIES = 500_000, 4096
 BATCH = 1024
 
 
@@ -84,8 +85,8 @@ def query_terms(idf: DataFrame, queries: DataFrame) -> DataFrame:
     return terms.join(idf, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("g"))
 
 
-def _block(corpus: DataFrame, rows: pa.Table, k: int, okapi: Okapi, average: float) -> DataFrame:
-    """(query_id, doc_id, score): each batch's best k for the queries of a block."""
+def _block(corpus: DataFrame, rows: pa.Table, k: int, okapi: Okapi, average: float) -> tuple[DataFrame, Broadcast]:
+    """(query_id, doc_id, score): each batch's best k for the queries of a block; and what was sent to the tasks for it."""
     queries, query_at = np.unique(rows.column("query_id").to_numpy(), return_inverse=True)
     term_at = rows.column("term").combine_chunks().dictionary_encode()
     order = np.argsort(term_at.indices.to_numpy(), kind="stable")
@@ -121,23 +122,30 @@ def _block(corpus: DataFrame, rows: pa.Table, k: int, okapi: Okapi, average: flo
                 yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(doc[d]), pa.array(score[q, d])], names=["query_id", "doc_id", "score"])
 
     toks = tokenised(corpus).select(F.col("doc_id").cast("long").alias("doc_id"), "toks")
-    return toks.mapInArrow(run, "query_id long, doc_id long, score double")
+    return toks.mapInArrow(run, "query_id long, doc_id long, score double"), shared
 
 
 def search(corpus: DataFrame, queries: DataFrame, k: int = 10, okapi: Okapi = Okapi(), fill: bool = False) -> DataFrame:
     """The k best documents for each query (ids are whole numbers).  fill: queries that match fewer get documents of score 0, by id, up to k.
 
-    The queries are a stated set: their terms pass through the driver a block at a time.
+    The queries are a stated set: their terms pass through the driver a block at a time, and where there are several a block's result
+    is written before the next is taken.
     """
     corpus = spread(corpus.select("doc_id", "content"))
     idf, average = _weighted(_counted(corpus), okapi)
     terms = query_terms(idf, queries).withColumn("query_id", F.col("query_id").cast("long"))
-    blocks = -(-(queries.select(F.sum(F.size(T.tokens("query")))).first()[0] or 0) // BLOCK_TERMS)
+    n_terms, n_queries = queries.agg(F.sum(F.size(T.tokens("query"))), F.count_distinct("query_id")).first()
+    blocks = max(-(-(n_terms or 0) // BLOCK_TERMS), -(-n_queries // BLOCK_QUERIES)) if n_terms else 0
     found = corpus.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
     for i in range(blocks):
         rows = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
         if len(rows):
-            found = found.unionByName(_block(corpus, rows, k, okapi, average)) if i else _block(corpus, rows, k, okapi, average)
+            part, shared = _block(corpus, rows, k, okapi, average)
+            if blocks == 1:
+                found = part
+            else:
+                found = found.unionByName(written(top_k(part, k).drop("rank"), "block-hits"))
+                shared.destroy()
     if fill:
         found = top_k(found, k).drop("rank")
         spare = F.broadcast(corpus.select("doc_id").distinct().orderBy("doc_id").limit(2 * k))  # enough: fewer than k of them match

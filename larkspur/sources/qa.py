@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
 def first_by(rows: DataFrame, key: str | Column, order: str) -> DataFrame:
-    """The first row of each key in input order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+    """The first row of each key in input order.  Keys meet by their 128-bit digest, after each task has kept its own first rows."""
+    digest = F.md5((F.col(key) if isinstance(key, str) else key).cast("string")).alias("_digest")
+    return rows.groupBy(digest).agg(F.min_by(F.struct(*rows.columns), F.struct(order)).alias("_row")).select("_row.*")
 
 
 def distinct_contexts(rows: DataFrame, order: str = "idx") -> DataFrame:

@@ -1,13 +1,9 @@
-"""Structured Streaming: windowed telemetry with watermarks, and the stateful spend breaker."""
+"""Structured Streaming: windowed telemetry with watermarks; what needs an order is in stateful."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.shared import fresh_path
 
@@ -36,33 +32,6 @@ def once(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def breaker(spends: DataFrame, limit: float, window_seconds: float, late: str = "1 hour") -> DataFrame:
-    """(user_id, ord, cumulative, open) of a stream of spends (user_id, ord, ts, cost).
-
-    State a key: the window's start and sum.  A key that spends nothing until
-    its window has run out is forgotten: its next spend opens a new one anyway.
-    """
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start, total = state.get if state.exists else (None, 0.0)
-        rows = pd.concat(list(parts)).sort_values("ord")
-        sums = []
-        for at, cost in zip(rows["at"], rows["cost"], strict=True):
-            if start is None or at - start >= window_seconds:
-                start, total = at, 0.0
-            total += cost
-            sums.append(total)
-        state.update((start, total))
-        state.setTimeoutTimestamp(max(int((start + window_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": key[0], "ord": rows["ord"].to_numpy(), "cumulative": [round(s, 6) for s in sums], "open": [s >= limit for s in sums]})
-
-    timed = spends.withWatermark("ts", late).withColumn("at", F.unix_micros("ts") / 1e6)
-    return timed.groupBy("user_id").applyInPandasWithState(run, "user_id long, ord long, cumulative double, open boolean", "start double, total double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Everything the stream has, as a table in the shared folder.
 

@@ -105,3 +105,19 @@ def test_the_loop_ends_when_no_row_is_left(spark, accept, generations):
     plan = adaptive.Pipeline(corpus, settings=adaptive.Settings(grade_answers=True, max_retries=2), providers=providers)
     out = plan.adaptive(spark.createDataFrame([(1, "python language")], "query_id long, query string")).collect()
     assert asked == list(range(generations)) and len(out) == 1 and out[0].answer_is_acceptable == accept
+
+
+def test_queries_in_several_blocks(spark, monkeypatch):
+    """The same hits whatever the blocks' size."""
+    from larkspur.operators import sparse
+
+    c = spark.createDataFrame([(i, f"word{i % 7} common x{i}") for i in range(60)], "doc_id long, content string")
+    q = spark.createDataFrame([(i, f"common word{i % 5}") for i in range(23)], "query_id long, query string")
+    v = spark.createDataFrame([(i, [float(i % 9), float(i % 4), 1.0]) for i in range(60)], "doc_id long, embedding array<double>")
+    listed = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in df.collect())
+    vq = v.where("doc_id < 23").withColumnRenamed("doc_id", "query_id")
+    want = listed(sparse.search(c, q, 4)), listed(dense.search(v, vq, 4)), listed(dense.search(v, vq, 4, "euclidean"))
+    monkeypatch.setattr(sparse, "BLOCK_QUERIES", 5)
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 6)
+    monkeypatch.setattr(dense, "STEP", 7)
+    assert (listed(sparse.search(c, q, 4)), listed(dense.search(v, vq, 4)), listed(dense.search(v, vq, 4, "euclidean"))) == want

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import chunking, dense, evaluation, ranking, sparse, statistics, telemetry
 from larkspur.plans import adaptive
 from larkspur.sources import files, qa, sinks, web
+from larkspur.streaming import stateful
 from larkspur.streaming import telemetry as live
 
 
@@ -181,9 +182,11 @@ def test_breaker_batch_stream_and_fold_agree(spark, tmp_path):
         want[i] = round(total + c, 6)
     for f in (telemetry.breaker,):
         assert {r.ord: r.cumulative for r in f(df, 3.0, 5000).collect()} == pytest.approx(want)
-    df.coalesce(1).write.parquet(str(tmp_path / "s"))
+    end = spark.createDataFrame([(None, None, None)], "user_id long, ord long, cost double").withColumn("ts", F.timestamp_seconds(F.lit(10_000_000)))
+    df.unionByName(end).coalesce(1).write.parquet(str(tmp_path / "s"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "s"))
-    assert {r.ord: r.cumulative for r in live.drain(live.breaker(stream, 3.0, 5000), "breaker_test").collect()} == pytest.approx(want)
+    with stateful.rocks(spark):
+        assert {r.ord: r.cumulative for r in live.drain(stateful.breaker(stream, 3.0, 5000), "breaker_test").collect()} == pytest.approx(want)
 
 
 def test_cache(spark):
