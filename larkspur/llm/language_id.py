@@ -232,6 +232,7 @@ def predict(docs: DataFrame, model: Model | None, lang_col: str, score_col: str)
                 if t is None or not letter.search(t):
                     lang[i], score[i] = UNKNOWN, 0.0
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in fields), pa.array(lang, pa.string()), pa.array(np.round(score, 6))], names=[*fields, lang_col, score_col])
+        trim()
 
     return docs.mapInArrow(run, widened(docs, **{lang_col: "string", score_col: "double"}))
 

@@ -236,6 +236,8 @@ def piece_rows(docs: DataFrame, tokenizer_path: str, length: int, end_id: int, w
                     names.append("ids")
                 seen += c.n
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        del encoder
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
