@@ -433,9 +433,34 @@ def random_sample(spark, d):
     return statistics.hashed_order(table(spark, d, "documents").select("doc_id"), "doc_id", 25)
 
 
-@query("SELECT unnest([0.2, 0.3, 0.5, 0.8])::DOUBLE AS effect, unnest([197, 88, 32, 13]) AS n")
+@query("""WITH w AS (SELECT avg(value) AS mean, stddev_samp(value) AS sd FROM events), e AS (SELECT event_type, round(abs(avg(value) - mean) / sd, 4) AS effect FROM events, w GROUP BY event_type, mean, sd)
+          SELECT event_type, effect, ceil(pow(2.801585218112968 / nullif(effect, 0), 2))::BIGINT AS n FROM e""")
 def sample_sizes(spark, d):
-    return spark.createDataFrame([(e, statistics.minimum_sample_size(e)) for e in (0.2, 0.3, 0.5, 0.8)], "effect double, n int")
+    """How many pairs would show that a kind of event differs from all as much as it does."""
+    e = table(spark, d, "events")
+    whole = F.broadcast(e.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")))  # one row
+    effect = e.groupBy("event_type").agg(F.avg("value").alias("own")).crossJoin(whole).select("event_type", F.round(F.abs(F.col("own") - F.col("mean")) / F.col("sd"), 4).alias("effect"))
+    return effect.withColumn("n", statistics.sample_sizes(F.col("effect")))
+
+
+@query(f"WITH {S.TURNS},{S.F1} SELECT pair_id, round(f1, 6) AS f1 FROM f1")
+def sink_results(spark, d):
+    """Results written as JSON and read again."""
+    path = fresh_path(spark, "results")
+    sinks.write_json(turns(spark, d).select("pair_id", F.round("f1", 6).alias("f1")), path)
+    return spark.read.schema("pair_id long, f1 double").json(path)
+
+
+def _error_report(spark, d):
+    path = fresh_path(spark, "errors")
+    sinks.write_error_report(turns(spark, d).withColumn("categories", evaluation.categories()), path, "pair_id")
+    return spark.read.schema("category string, n long, error_rate double, examples array<long>").json(path)
+
+
+@query(S.oracle_sql()["error_distribution"])
+def sink_error_report(spark, d):
+    """The distribution of an error report, written and read again."""
+    return _error_report(spark, d).select("category", "n", "error_rate")
 
 
 _starts = "unnest([date_trunc('minute', ts) - to_minutes(m) FOR m IN [0, 1, 2, 3, 4]])"

@@ -165,6 +165,12 @@ def minimum_sample_size(effect: float = 0.5, alpha: float = 0.05, power: float =
     return math.ceil(((z(1 - alpha / 2) + z(power)) / effect) ** 2)
 
 
+def sample_sizes(effect: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+    """minimum_sample_size() of a column of effects; null where there is none."""
+    z = NormalDist().inv_cdf
+    return F.ceil(F.pow(F.lit(z(1 - alpha / 2) + z(power)) / F.nullif(F.abs(effect), F.lit(0.0)), F.lit(2.0)))
+
+
 def weighted_kappa(ratings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Cohen's kappa with quadratic weights of rating pairs (x, y), missing ratings 3.
 
