@@ -8,6 +8,10 @@ files of a folder that gave nothing.  A document's id is the
 first 16 hex digits of its content's MD5 unless given.  Rows are numbered from
 their file's blocks: the blocks before a row's own add their counts, so a large
 file is still read by many tasks.
+
+A path that ends in `.packed` holds many small files as rows of a table (`pack`
+writes it): a file costs a row there, and not a folder's entry, a listing and a
+share of a task.
 """
 
 from __future__ import annotations
@@ -47,6 +51,24 @@ def _numbered(df: DataFrame) -> DataFrame:
     return rows.join(blocks, ["source", "_block"]).withColumn("row_number", F.col("_before") + F.col("_in")).drop("_block", "_at", "_in", "_before")
 
 
+PACKED, WHOLE = ".packed", "source string, value string"
+
+
+def pack(whole: DataFrame, path: str) -> str:
+    """Whole files (source, value) as a table; path must end in .packed."""
+    if not path.endswith(PACKED):
+        raise ValueError(f"a path of packed files ends in {PACKED}: {path}")
+    whole.select("source", "value").write.parquet(path)
+    return path
+
+
+def _whole(spark: SparkSession, path: str, extension: str) -> DataFrame:
+    """(source, value): files, or packed ones, each in one piece."""
+    if path.endswith(PACKED):
+        return spark.read.schema(WHOLE).parquet(path)
+    return _reader(spark, path, extension).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
+
+
 def text(spark: SparkSession, path: str, extension: str = "txt", file_type: str = "text") -> DataFrame:
     """A document a file."""
     df = _reader(spark, path, extension).text(path, wholetext=True)
@@ -60,7 +82,7 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
 def _items(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame:
     """(source, index, o): the objects of JSON files, from 0 in each file; an object may stand alone or in an array."""
     item = StructType([StructField(n, StringType()) for n in dict.fromkeys(fields)])
-    df = _reader(spark, path, "json").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source"))
+    df = _whole(spark, path, "json")
     many = F.from_json("value", ArrayType(item))
     return df.select("source", F.posexplode(F.when(F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("["), many).otherwise(F.array(F.from_json("value", item)))).alias("index", "o"))
 
