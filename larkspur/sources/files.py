@@ -7,7 +7,9 @@ and so is a broken JSON line; `rejected` says which, and `unread` names the
 files of a folder that gave nothing.  A document's id is the
 first 16 hex digits of its content's MD5 unless given.  Rows are numbered from
 their file's blocks: the blocks before a row's own add their counts, so a large
-file is still read by many tasks.
+file is still read by many tasks.  A path to a folder that has the reader's
+extension is one file in parts, as Spark writes it: its parts by name, numbered
+through.
 
 A path that ends in `.packed` holds many small files as rows of a table (`pack`
 writes it): a file costs a row there, and not a folder's entry, a listing and a
@@ -42,13 +44,15 @@ def _reader(spark: SparkSession, path: str, extension: str):
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names(extension)).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """df, read from files, with source and the row's number in its file, from 1."""
-    rows = df.select("*", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy("source", "_block").orderBy("_at")))
-    before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
-    blocks = rows.groupBy("source", "_block").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return rows.join(blocks, ["source", "_block"]).withColumn("row_number", F.col("_before") + F.col("_in")).drop("_block", "_at", "_in", "_before")
+def _numbered(df: DataFrame, path: str, extension: str) -> DataFrame:
+    """df, read from path, with source and the row's number in its file, from 1.  Only a row a block is shuffled: a task reads a block's rows one after the other, so they are counted from its first."""
+    file = F.col("_metadata.file_path")
+    source = F.regexp_replace(file, rf"(\.{extension})/[^/]*$", "$1") if PurePosixPath(path).suffix else file
+    rows = df.select("*", source.alias("source"), file.alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    before = Window.partitionBy("source").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    blocks = rows.groupBy("source", "_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    blocks = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(blocks), ["_file", "_block"]).withColumn("row_number", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_file", "_block", "_at", "_first", "_before")
 
 
 PACKED, WHOLE = ".packed", "source string, value string"
@@ -95,7 +99,7 @@ def json(spark: SparkSession, path: str, content: str = "text", metadata: tuple[
 def _lines(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame:
     """(source, index, o) of the lines of JSON lines files that aren't blank; index is the line's number, from 1, blank lines counted."""
     item = StructType([StructField(n, StringType()) for n in dict.fromkeys(fields)])
-    rows = _numbered(_reader(spark, path, "jsonl").text(path)).where(F.trim("value") != "")
+    rows = _numbered(_reader(spark, path, "jsonl").text(path), path, "jsonl").where(F.trim("value") != "")
     return rows.select("source", F.col("row_number").alias("index"), F.from_json("value", item).alias("o"))
 
 
@@ -123,7 +127,7 @@ def csv(spark: SparkSession, path: str, columns: tuple[str, ...] = (), separator
     df = _reader(spark, path, "csv").csv(path, header=True)
     used = [c for c in columns if c in df.columns] or df.columns
     joined = F.concat_ws(separator, *[F.coalesce(F.col(f"`{c}`"), F.lit("None")) for c in used])
-    return _document(_numbered(df.select(joined.alias("_joined"), "_metadata")), F.col("_joined"), source=F.col("source"), row_number=F.col("row_number"), row_columns=F.lit(",".join(used)))
+    return _document(_numbered(df.select(joined.alias("_joined"), "_metadata"), path, "csv"), F.col("_joined"), source=F.col("source"), row_number=F.col("row_number"), row_columns=F.lit(",".join(used)))
 
 
 READERS = {".txt": text, ".json": json, ".jsonl": jsonl, ".csv": csv, ".md": markdown, ".markdown": lambda s, p, **kw: text(s, p, "markdown", "markdown")}

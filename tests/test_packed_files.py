@@ -26,6 +26,6 @@ def test_source_json_makes_no_file_a_document(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(catalog_sources, "fresh_path", lambda s, name: f"{tmp_path}/{name}")
     got = catalog_sources.source_json(spark, str(tmp_path))
     assert sorted((r.content, r.lang, r["index"]) for r in got.collect()) == sorted(((t, g, 0) for i, t, g in rows if i % 3), key=lambda r: r[0])
-    assert len(list((tmp_path / "json.packed").rglob("*.parquet"))) < 50
+    assert len(list((tmp_path / "json").rglob("*.parquet"))) < 50
     assert got.where(F.col("doc_id") != F.substring(F.md5("content"), 1, 16)).count() == 0
-    assert json.loads(spark.read.parquet(f"{tmp_path}/json.packed").where("source = 'doc_id=3/0.json'").first().value) == {"lang": "en"}
+    assert json.loads(spark.read.parquet(f"{tmp_path}/json/all.packed").where("source = 'doc_id=3/0.json'").first().value) == {"lang": "en"}
