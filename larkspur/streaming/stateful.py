@@ -26,15 +26,24 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+BOUNDED, PARTITIONS = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "spark.sql.shuffle.partitions"
+#: Stores a core: each is opened, committed and held by an executor at every trigger.
+STORES = 4
+
+
 @contextmanager
 def rocks(spark: SparkSession):
-    """Within it, streams that start keep their state in RocksDB, which transformWithState needs."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    """Within it, streams that start keep their state in RocksDB, which transformWithState needs: in few stores, whose memory an executor bounds together."""
+    stores = min(int(spark.conf.get(PARTITIONS)), STORES * spark.sparkContext.defaultParallelism)
+    settings = {PROVIDER: ROCKS, BOUNDED: "true", PARTITIONS: str(stores)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before) if before is not None else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 class Ordered(StatefulProcessor):
@@ -119,8 +128,12 @@ def breaker(spends: DataFrame, limit: float, window_seconds: float, late: str =
     return timed.groupBy("user_id").transformWithStateInPandas(SpendWindow(limit, window_seconds), "user_id long, ord long, cumulative double, open boolean", "append", "eventTime")
 
 
+#: Lookups compared with a key's entries at once.
+LOOKUPS = 1024
+
+
 class SimilarEntries(Ordered):
-    """A cell's entries of the time to live, and the lookups that wait for their turn."""
+    """The entries that a cell's lookups of one span may find, and the lookups that wait for their turn."""
 
     waiting_schema = "at long, id long, vector array<double>"
 
@@ -146,12 +159,14 @@ class SimilarEntries(Ordered):
         held = sorted(self.entries.get(), key=lambda r: r[1]) if self.entries.exists() else []
         if rows:
             found: list[tuple] = [(None, None)] * len(rows)
-            if held:
-                age = np.array([r[0] for r in rows])[:, None] - np.array([e[0] for e in held])[None]
-                s = np.round(np.array([r[2] for r in rows]) @ np.array([e[2] for e in held]).T, 9)
+            times, vectors = np.array([e[0] for e in held]), np.array([e[2] for e in held])
+            for a in range(0, len(rows) if held else 0, LOOKUPS):
+                part = rows[a : a + LOOKUPS]
+                age = np.array([r[0] for r in part])[:, None] - times[None]
+                s = np.round(np.array([r[2] for r in part]) @ vectors.T, 9)
                 s = np.where((age > 0) & (age < self.ttl), s, -np.inf)
                 best = s.argmax(axis=1)  # the least id among equals
-                found = [(held[b][1], float(s[i, b])) if s[i, b] >= self.least else (None, None) for i, b in enumerate(best.tolist())]
+                found[a : a + LOOKUPS] = [(held[b][1], float(s[i, b])) if s[i, b] >= self.least else (None, None) for i, b in enumerate(best.tolist())]
             yield pd.DataFrame({"lookup_id": [r[1] for r in rows], "entry_id": pd.array([e for e, _ in found], dtype="Int64"), "similarity": pd.array([x for _, x in found], dtype="Float64")})
         live = [e for e in held if e[0] + self.ttl > watermark]
         if len(live) < len(held):
@@ -178,6 +193,8 @@ def cache_lookups(requests: DataFrame, size: int, least: float = 0.92, ttl_secon
     Embeddings are of unit length and `size` dimensions; a longer one is an error.  Vectors of a cosine of `least` or more differ by
     at most sqrt(2 - 2 least) along any direction.  So a request is stored in every cell that its like may be
     in, two a direction at most, and is looked up in its own only: the answer is exact, and one task gives it.
+    Time is cut into spans of the time to live as well: a request is stored for its own span and the next, and looked
+    up in its own.  So a key's state is bounded by what comes in two spans, whatever lateness the stream allows.
     """
     reach = math.sqrt(max(2 - 2 * least, 0.0)) + 1e-3
     v = F.col("embedding").cast("array<double>")
@@ -187,7 +204,9 @@ def cache_lookups(requests: DataFrame, size: int, least: float = 0.92, ttl_secon
     parts = cells(F.col("vector"), size, reach, projections, seed)
     roles = F.array(F.struct(F.lit(True).alias("is_entry"), F.array(*parts[:projections]).alias("c")), F.struct(F.lit(False).alias("is_entry"), F.array(*parts[projections:]).alias("c")))
     rows = rows.select("*", F.explode(roles).alias("role")).select("ts", "at", "id", "vector", "role.is_entry", "role.c").withColumn("cell", F.lit(""))
+    span = F.floor(F.col("at") / int(ttl_seconds * 1_000_000))
+    rows = rows.withColumn("span", F.explode(F.when(F.col("is_entry"), F.array(span, span + 1)).otherwise(F.array(span))))
     for k in range(projections):
         rows = rows.withColumn("x", F.explode(F.col("c")[k])).withColumn("cell", F.concat_ws(",", "cell", F.col("x").cast("string"))).drop("x")
-    out = rows.drop("c").groupBy("cell").transformWithStateInPandas(SimilarEntries(least, ttl_seconds), "lookup_id long, entry_id long, similarity double", "append", "eventTime")
+    out = rows.drop("c").groupBy("cell", "span").transformWithStateInPandas(SimilarEntries(least, ttl_seconds), "lookup_id long, entry_id long, similarity double", "append", "eventTime")
     return out.select("lookup_id", "entry_id", F.round("similarity", 6).alias("similarity"), F.col("entry_id").isNotNull().alias("hit"))

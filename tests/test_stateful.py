@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from larkspur.operators import telemetry
 from larkspur.streaming import stateful
@@ -90,3 +91,39 @@ def test_cells_hold_all_within_reach(spark):
     df = spark.createDataFrame(pairs, "a array<double>, b array<double>")
     near, own = stateful.cells(F.col("a"), 8, reach, 2, 1)[:2], stateful.cells(F.col("b"), 8, reach, 2, 1)[2:]
     assert df.where(F.array_contains(near[0], own[0][0]) & F.array_contains(near[1], own[1][0])).count() == 200
+
+
+def test_cache_keys_hold_two_spans(spark, tmp_path, monkeypatch):
+    """Days of requests within the lateness: what a key takes in is bounded by the time to live."""
+    r, like, n = random.Random(9), vector(random.Random(2)), 400
+    rows = [(i, START + timedelta(minutes=10 * i), vector(r, like)) for i in range(n)]
+    seen = f"{tmp_path}/seen"
+
+    class Watched(StatefulProcessor):
+        def __init__(self, *given):
+            self.given = given
+
+        def init(self, handle):
+            from larkspur.streaming.stateful import SimilarEntries
+
+            self.own = SimilarEntries(*self.given)
+            self.own.init(handle)
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            held = list(rows)
+            with open(seen, "a") as f:
+                f.write(f"{sum(len(p) for p in held)}\n")
+            return self.own.handleInputRows(key, iter(held), timerValues)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+            return self.own.handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+        def close(self):
+            pass
+
+    monkeypatch.setattr(stateful, "SimilarEntries", Watched)
+    stream = written(spark, f"{tmp_path}/s", [rows], REQUEST, (None, START + timedelta(days=90), None))
+    got = drained(stateful.cache_lookups(stream, 8, 0.9, 3600, "30 days"), "tws-spans")
+    assert got.count() == n and got.where("hit").count() > n // 2
+    taken = [int(x) for x in open(seen)]
+    assert len(taken) > 60 and max(taken) <= 18  # six requests a span: two spans of entries, one of lookups
