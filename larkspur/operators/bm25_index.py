@@ -137,8 +137,20 @@ def _inverted_ranges(corpus: DataFrame, segment: int) -> DataFrame:
         if rows:
             yield flush()
 
-    docs = tokenised(corpus).select(F.col("doc_id").cast("long").alias("doc_id"), "toks").where("doc_id IS NOT NULL")
-    return docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, ROW)
+    docs = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "content").where("doc_id IS NOT NULL")
+    docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")  # of texts: the bounds of the ranges come from a pass of their own, which needn't tokenise
+    return tokenised(docs).select("doc_id", "toks").mapInArrow(run, ROW)
+
+
+def _total_tokens(docs: DataFrame) -> int:
+    """The documents' lengths together, from the rows of kind DOCS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = [int(unpacked_docs(body, n)[1].sum(dtype=np.int64)) for n, body in zip(b.column("n").to_pylist(), b.column("body").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64())], names=["total"])
+
+    return docs.select("n", "body").mapInArrow(run, "total long").agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
 
 
 # ------------------------------------------------------------------- versions
@@ -206,9 +218,10 @@ class Bm25Index:
 
     def _with(self, corpus: DataFrame, keep: bool) -> Bm25Index:
         rows = written(_inverted_ranges(corpus, self.version + 1), "ranges")
-        name = self._write(rows.where(F.col("kind") == DOCS), rows.where(F.col("kind") == POSTINGS))
+        docs = rows.where(F.col("kind") == DOCS)
+        name = self._write(docs, rows.where(F.col("kind") == POSTINGS))
         size = corpus.where("doc_id IS NOT NULL").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()
-        total = tokenised(corpus.where("doc_id IS NOT NULL")).agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
+        total = _total_tokens(docs)
         return self._commit((*self.segments, name) if keep else (name,), self.n_docs * keep + size[0], self.total * keep + total, self.corpus_bytes * keep + size[1])
 
     def _commit(self, segments: tuple[str, ...], n_docs: int, total: int, corpus_bytes: int) -> Bm25Index:

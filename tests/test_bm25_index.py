@@ -89,3 +89,14 @@ def test_blocks_round_trip():
         places, counts = np.sort(r.choice(4096, n, replace=False)), r.integers(1, top + 1, n)
         p, c = bx.unpacked(bx.packed(places, counts), n)
         assert (p == places).all() and (c == counts).all()
+
+
+def test_a_build_tokenises_once_and_after_the_ranges(spark, tmp_path, monkeypatch):
+    from larkspur.operators import bm25_index
+
+    plans, plain = [], bm25_index.tokenised
+    monkeypatch.setattr(bm25_index, "tokenised", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or plain(df))
+    rows = [(i, "a b " * (i % 5) + "c") for i in range(100)] + [(None, "lost words"), (100, None)]
+    made = bm25_index.Bm25Index.build(spark.createDataFrame(rows, "doc_id long, content string"), f"{tmp_path}/i")
+    assert (made.n_docs, made.total) == (101, sum(2 * (i % 5) + 1 for i in range(100)))
+    assert len(plans) == 1 and "Sort" in plans[0] and "RepartitionByExpression" in plans[0]
