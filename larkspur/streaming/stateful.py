@@ -84,37 +84,75 @@ class Ordered(StatefulProcessor):
         pass
 
 
+#: A spend, and a user's open window, as they lie in the state of a group of users.
+SPEND = np.dtype([("user", "<i8"), ("at", "<i8"), ("ord", "<i8"), ("cost", "<f8")])
+WINDOW = np.dtype([("user", "<i8"), ("start", "<i8"), ("total", "<f8")])
+#: Groups of users.  A call to the state costs the same for one user as for a group.
+GROUPS = 4096
+
+
 class SpendWindow(Ordered):
-    """The running sum of a key's window, which is anchored at its first spend."""
+    """The running sums of the windows of a group of users, each anchored at its user's first spend."""
 
-    waiting_schema = "at long, ord long, cost double"
+    waiting_schema = "rows binary"
 
     def __init__(self, limit: float, window_seconds: float) -> None:
         self.limit, self.span = limit, int(window_seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.window = handle.getValueState("window", "start long, total double")
+        self.windows = handle.getValueState("windows", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.hold([(int(a), int(o), float(c)) for part in rows for a, o, c in zip(part["at"], part["ord"], part["cost"], strict=True)])
+        parts = []
+        for frame in rows:
+            part = np.empty(len(frame), SPEND)
+            for field, column in (("user", "user_id"), ("at", "at"), ("ord", "ord"), ("cost", "cost")):
+                part[field] = frame[column].astype(SPEND[field])
+            parts.append(part)
+        held = np.concatenate(parts) if parts else np.empty(0, SPEND)
+        if len(held):
+            self.waiting.appendValue((held.tobytes(),))
+            self.wake(int(held["at"].min()))
         return iter(())
 
-    def released(self, key, rows: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
-        start, total = self.window.get() if self.window.exists() else (None, 0.0)
+    def due(self, watermark: int) -> np.ndarray:
+        """The spends that the watermark has passed, by user and in order; the others stay."""
+        held = np.concatenate([np.frombuffer(r[0], SPEND) for r in self.waiting.get()]) if self.waiting.exists() else np.empty(0, SPEND)
+        go = held["at"] <= watermark
+        left = held[~go]
+        if go.any():
+            self.waiting.put([(left.tobytes(),)]) if len(left) else self.waiting.clear()
+        if len(left):
+            self.handle.registerTimer(int(left["at"].min()) // 1000 + 1)  # wake() would take the timer that has just expired for a waiting one
+        rows = held[go]
+        return rows[np.lexsort((rows["cost"], rows["ord"], rows["at"], rows["user"]))]
+
+    def released(self, key, rows: np.ndarray, watermark: int) -> Iterator[pd.DataFrame]:
+        kept = np.frombuffer(self.windows.get()[0], WINDOW) if self.windows.exists() else np.empty(0, WINDOW)
+        window = {u: (start, total) for u, start, total in kept.tolist()}
         sums = []
-        for at, _, cost in rows:
+        user, start, total = None, None, 0.0
+        for u, at, _, cost in rows.tolist():
+            if u != user:
+                if user is not None:
+                    window[user] = start, total
+                user, (start, total) = u, window.get(u, (None, 0.0))
             if start is None or at - start >= self.span:
                 start, total = at, 0.0
             total += cost
             sums.append(total)
-        if start is not None and start + self.span <= watermark and not self.waiting.exists():
-            self.window.clear()  # the next spend opens a new one anyway
-        elif rows:
-            self.window.update((start, total))
-            self.wake(start + self.span)
-        if rows:
-            yield pd.DataFrame({"user_id": key[0], "ord": [r[1] for r in rows], "cumulative": [round(s, 6) for s in sums], "open": [s >= self.limit for s in sums]})
+        if user is not None:
+            window[user] = start, total
+        # of a window that the watermark has passed nothing is needed: the user's next spend opens a new one
+        live = np.array([(u, start, total) for u, (start, total) in window.items() if start + self.span > watermark], WINDOW)
+        if len(live):
+            self.windows.update((live.tobytes(),))
+            self.handle.registerTimer((int(live["start"].min()) + self.span) // 1000 + 1)
+        elif len(kept):
+            self.windows.clear()
+        if len(rows):
+            yield pd.DataFrame({"user_id": rows["user"], "ord": rows["ord"], "cumulative": [round(s, 6) for s in sums], "open": [s >= self.limit for s in sums]})
 
 
 def _keyed(key: str) -> Column:
@@ -122,10 +160,15 @@ def _keyed(key: str) -> Column:
     return F.when(F.col("ts").isNotNull(), F.col(key).isNotNull())
 
 
-def breaker(spends: DataFrame, limit: float, window_seconds: float, late: str = "1 hour") -> DataFrame:
-    """(user_id, ord, cumulative, open) of a stream of spends (user_id, ord, ts, cost), in the order of ts and ord.  Rows without a user only move the watermark."""
-    timed = spends.withWatermark("ts", late).where(_keyed("user_id")).select("user_id", "ts", F.unix_micros("ts").alias("at"), F.col("ord").cast("long").alias("ord"), F.col("cost").cast("double").alias("cost"))
-    return timed.groupBy("user_id").transformWithStateInPandas(SpendWindow(limit, window_seconds), "user_id long, ord long, cumulative double, open boolean", "append", "eventTime")
+def breaker(spends: DataFrame, limit: float, window_seconds: float, late: str = "1 hour", groups: int = GROUPS) -> DataFrame:
+    """(user_id, ord, cumulative, open) of a stream of spends (user_id, ord, ts, cost), in the order of ts and ord.  Rows without a user only move the watermark.
+
+    Users are dealt by hash into so many groups, each one key of the state: every trigger makes a few calls to the state
+    for a group, not for a user.  A group holds its users' spends of the lateness as packed rows.
+    """
+    timed = spends.withWatermark("ts", late).where(_keyed("user_id")).select("ts", F.col("user_id").cast("long").alias("user_id"), F.unix_micros("ts").alias("at"), F.col("ord").cast("long").alias("ord"), F.col("cost").cast("double").alias("cost"))
+    grouped = timed.withColumn("users", F.pmod(F.xxhash64("user_id"), F.lit(groups)))
+    return grouped.groupBy("users").transformWithStateInPandas(SpendWindow(limit, window_seconds), "user_id long, ord long, cumulative double, open boolean", "append", "eventTime")
 
 
 #: Lookups compared with a key's entries at once.

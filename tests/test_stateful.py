@@ -127,3 +127,49 @@ def test_cache_keys_hold_two_spans(spark, tmp_path, monkeypatch):
     assert got.count() == n and got.where("hit").count() > n // 2
     taken = [int(x) for x in open(seen)]
     assert len(taken) > 60 and max(taken) <= 18  # six requests a span: two spans of entries, one of lookups
+
+
+def test_breaker_calls_the_state_once_a_group(spark, tmp_path, monkeypatch):
+    """Many users in a few groups: a trigger hands over a group at a time, and users' windows stay apart."""
+    r = random.Random(4)
+    rows = [(r.randrange(200), START + timedelta(seconds=60 * i + r.randrange(60)), i, r.random()) for i in range(1200)]
+    seen = f"{tmp_path}/seen"
+
+    class Watched(StatefulProcessor):
+        def __init__(self, *given):
+            self.given = given
+
+        def init(self, handle):
+            from larkspur.streaming.stateful import SpendWindow
+
+            self.own = SpendWindow(*self.given)
+            self.own.init(handle)
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            with open(seen, "a") as f:
+                f.write(f"{key[0]}\n")
+            return self.own.handleInputRows(key, rows, timerValues)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+            return self.own.handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+        def close(self):
+            pass
+
+    monkeypatch.setattr(stateful, "SpendWindow", Watched)
+    stream = written(spark, f"{tmp_path}/s", swapped(rows, 4), EVENT, (None, START + timedelta(days=9), None, None))
+    got = {x.ord: (x.user_id, x.cumulative, x.open) for x in drained(stateful.breaker(stream, 2.0, 20_000, "12 hours", groups=3), "tws-groups").collect()}
+    want = {x.ord: (x.user_id, x.cumulative, x.open) for x in telemetry.breaker(spark.createDataFrame(rows, EVENT), 2.0, 20_000).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert len(open(seen).read().split()) <= 3 * 4
+
+
+def test_triggers_do_not_grow_with_the_table(spark):
+    from larkspur.catalog import out_of_order
+
+    df = spark.range(0, 4000, 1, 12).select(F.col("id"), F.timestamp_seconds(F.pmod(F.col("id") * 37, F.lit(4000))).alias("ts"))
+    stream, _ = out_of_order(spark, df, "triggers")
+    seen = []
+    q = stream.writeStream.foreachBatch(lambda batch, n: seen.append(batch.count())).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert 4 <= len(seen) <= 6 and sum(seen) == 4001
