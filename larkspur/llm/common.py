@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from ..sources.shared import drop_path, fresh_path, shared_dir, written  # noqa: F401
+from ..sources.shared import give_back as trim  # noqa: F401
 
 CHUNK_BYTES = 2 << 20
 
@@ -29,17 +30,6 @@ def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0)
 
 
-def trim() -> None:
-    """Gives back what a reused Python worker has freed but still holds."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        return
-
-
 def counters(df: DataFrame, slots_of, size: int, ranges: int = 64) -> np.ndarray:
     """How often slots_of(batch), arrays of places below size, names each place over all of df.
 

@@ -126,11 +126,13 @@ def badness() -> Column:
 
 
 def error_distribution(categorised: DataFrame) -> DataFrame:
-    """Counts of all categories, zeros included, and the share of rows that aren't correct."""
+    """Counts of all categories, zeros included, and the share of rows that aren't correct: one pass, over a row a set of categories from then on."""
     spark = categorised.sparkSession
     names = F.broadcast(spark.createDataFrame([(i, n) for i, n in enumerate(CATEGORIES)], "ord int, category string"))
-    counted = categorised.select(F.explode("categories").alias("category")).groupBy("category").agg(F.count("*").alias("n"))
-    rate = categorised.agg(F.round(F.coalesce(1 - F.avg(F.array_contains("categories", "correct").cast("double")), F.lit(0.0)), 6).alias("error_rate"))
+    sets = written(categorised.groupBy("categories").agg(F.count("*").alias("n")), "category-sets")
+    counted = sets.select(F.explode("categories").alias("category"), "n").groupBy("category").agg(F.sum("n").alias("n"))
+    right = F.sum(F.when(F.array_contains("categories", "correct"), F.col("n")).otherwise(0))
+    rate = sets.agg(F.round(F.coalesce(1 - right / F.sum("n"), F.lit(0.0)), 6).alias("error_rate"))
     return names.join(counted, "category", "left").crossJoin(F.broadcast(rate)).select("category", F.coalesce("n", F.lit(0)).alias("n"), "error_rate")
 
 

@@ -57,6 +57,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def give_back() -> None:
+    """Gives back what a reused Python worker has freed but still holds."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def _clean() -> None:
     for spark, path in _WRITTEN:
         try:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .shared import drop_path, fresh_path, hadoop_path
+from .shared import drop_path, fresh_path, hadoop_path, written
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -41,9 +41,10 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_error_report(categorised: DataFrame, path: str, order: str, most: int = 5) -> None:
-    """(category, n, error_rate, examples): the distribution with the first rows of each category."""
+    """(category, n, error_rate, examples): the distribution with the first rows of each category.  Categories are costly, so they are written once."""
     from ..operators import evaluation
 
+    categorised = written(categorised.select(order, "categories"), "categorised")
     shown = evaluation.first_examples(categorised, order, most).groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", order))), lambda x: x[order]).alias("examples"))
     evaluation.error_distribution(categorised).join(shown, "category", "left").write.mode("overwrite").json(path)
 

@@ -99,3 +99,40 @@ def test_bootstrap_vectors(spark, monkeypatch):
                 means.append(s / c)
         assert got[metric, fold] == pytest.approx((np.percentile(means, 2.5), np.percentile(means, 97.5)), abs=2e-6)
     assert statistics.bootstrap(df.where("query_id < 0"), 10).count() == 0
+
+
+def test_a_report_makes_its_rows_once(spark, tmp_path):
+    """Categories come from metrics that cost much: the distribution and the report each make them once."""
+    from pyspark.sql import functions as F
+
+    from larkspur.operators import evaluation
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def kinds(i):
+        made.add(1)
+        return ["correct"] if i % 4 == 0 else ["hallucination", "wrong_answer"] if i % 4 == 1 else ["wrong_answer"]
+
+    rows = spark.range(0, 40, 1, 3).select(F.col("id").alias("pair_id"), kinds("id").alias("categories"))
+    got = {r.category: (r.n, r.error_rate) for r in evaluation.error_distribution(rows).collect()}
+    assert made.value == 40
+    assert got["correct"] == (10, 0.75) and got["hallucination"] == (10, 0.75) and got["wrong_answer"] == (30, 0.75) and got["empty_response"] == (0, 0.75)
+    sinks.write_error_report(rows, f"{tmp_path}/report", "pair_id", 2)
+    assert made.value == 80
+    shown = {r.category: (r.n, r.examples) for r in spark.read.json(f"{tmp_path}/report").collect()}
+    assert shown["wrong_answer"] == (30, [1, 2]) and shown["correct"] == (10, [0, 4])
+    assert {r.n for r in evaluation.error_distribution(rows.limit(0)).collect()} == {0}
+
+
+def test_a_batch_has_several_files(spark, tmp_path, monkeypatch):
+    """No task gets a whole batch."""
+    monkeypatch.setattr(sinks, "FILE_ROWS", 50)
+    files = []
+
+    def work(rows):
+        files.append(len(rows.inputFiles()))
+        return rows
+
+    out = sinks.resume(spark.range(1000).withColumnRenamed("id", "query_id"), f"{tmp_path}/run", work, batch_rows=500)
+    assert out.count() == out.distinct().count() == 1000 and min(files) > 3
