@@ -112,9 +112,9 @@ def rerank(hits: DataFrame, queries: DataFrame, corpus: DataFrame, top: int | No
     return out if top is None else out.where(F.col("rank") <= top)
 
 
-def batch_rerank(hits: DataFrame, queries: DataFrame, corpus: DataFrame, top: int | None = None, scorer: Scorer = lexical_scorer) -> DataFrame:
+def batch_rerank(hits: DataFrame, queries: DataFrame, corpus: DataFrame, top: int | None = None, scorer: Scorer = lexical_scorer, most_hits: int | None = None) -> DataFrame:
     """As rerank(), but a top of 0 keeps everything."""
-    return rerank(hits, queries, corpus, top or None, scorer)
+    return rerank(hits, queries, corpus, top or None, scorer, most_hits)
 
 
 def rank_migration(before: DataFrame, after: DataFrame, absent: int = 21) -> DataFrame:

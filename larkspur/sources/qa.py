@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
 
@@ -89,6 +96,52 @@ def more_queries(raw: DataFrame, documents: DataFrame, size: int, order: str = "
 
 
 SHORT_BLOCK = 10_000
+#: Passages that go to every task; of more, windows and texts are joined.
+SENT, SCANNED = 10_000, 256
+
+
+def _scanned(corpus: DataFrame, passages: DataFrame, anchor: int) -> DataFrame:
+    """(query_id, doc_id) of documents that contain a passage (query_id, query, w): one pass, nothing of the corpus is shuffled."""
+    shape = StructType([StructField("query_id", passages.schema["query_id"].dataType), StructField("doc_id", corpus.schema["doc_id"].dataType)])
+    kind = to_arrow_type(shape["query_id"].dataType)
+    rows = [(r.query_id, r.query, r.w) for r in passages.where("query_id is not null").select("query_id", "query", F.slice("w", 2, anchor).alias("w")).collect()]  # SENT at most
+    place = {t: i for i, t in enumerate(sorted({t for *_, w in rows for t in w}))}
+    asked: dict[int, list[int]] = {}
+    for n, (_, _, w) in enumerate(rows):
+        code = 0
+        for t in w:
+            code = code * len(place) + place[t]
+        asked.setdefault(code, []).append(n)
+    codes = np.array(sorted(asked), dtype=np.int64)
+    shared = corpus.sparkSession.sparkContext.broadcast((rows, list(place), codes, [asked[c] for c in codes.tolist()]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, vocabulary, codes, asked = shared.value
+        words = pa.array(vocabulary, pa.string())
+        for b in (whole.slice(a, SCANNED) for whole in batches for a in range(0, whole.num_rows if len(codes) else 0, SCANNED)):
+            text = b.column("content")
+            parts = pc.split_pattern_regex(text, r"[ \t\n\x0b\f\r]+")  # what T.words splits at
+            flat = parts.flatten()
+            solid = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(b.num_rows), parts.value_lengths().to_numpy())[solid]
+            own = pc.index_in(flat, words).fill_null(-1).to_numpy()[solid].astype(np.int64)
+            size = max(len(own) - anchor + 1, 0)
+            code, ok = np.zeros(size, dtype=np.int64), doc[:size] == doc[len(doc) - size :]
+            for i in range(anchor):
+                ok &= own[i : i + size] >= 0
+                code = code * len(vocabulary) + own[i : i + size]
+            at = np.searchsorted(codes, code)
+            ok &= codes[np.minimum(at, len(codes) - 1)] == code
+            found_q, found_d = [], []
+            for i, c in sorted(set(zip(doc[:size][ok].tolist(), at[ok].tolist(), strict=True))):
+                whole = text[i].as_py()
+                for n in asked[c]:
+                    if rows[n][1] in whole:
+                        found_q.append(rows[n][0])
+                        found_d.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array(found_q, kind), b.column("doc_id").take(pa.array(found_d, pa.int64()))], names=["query_id", "doc_id"])
+
+    return corpus.select("doc_id", "content").where("doc_id is not null and content is not null").mapInArrow(run, shape)
 
 
 def containing(corpus: DataFrame, passages: DataFrame, anchor: int = 3, broadcast_rows: int = 200_000) -> DataFrame:
@@ -102,12 +155,16 @@ def containing(corpus: DataFrame, passages: DataFrame, anchor: int = 3, broadcas
     p = passages.select("query_id", "query", T.words("query").alias("w"))
     long = p.where(F.size("w") >= anchor + 2).withColumn("anchor", F.array_join(F.slice("w", 2, anchor), " "))
     short = p.where(F.size("w") < anchor + 2).select("query_id", "query")
-    few = long.count() <= broadcast_rows
+    n_long = long.count()
+    few = n_long <= broadcast_rows
     hint = F.broadcast if few else (lambda df: df)
-    words = corpus.select("doc_id", "content", T.words("content").alias("w"))
-    windows = F.when(F.size("w") >= anchor, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - anchor + 1), lambda i: F.array_join(F.slice("w", i, F.lit(anchor)), " ")))).otherwise(F.array().cast("array<string>"))
-    hits = words.select("doc_id", F.explode(windows).alias("anchor")).join(hint(long.select("query_id", "anchor")), "anchor").select("doc_id", "query_id").distinct()
-    found = hits.join(hint(long.select("query_id", "query")), "query_id").join(corpus.select("doc_id", "content"), "doc_id").where(F.contains("content", F.col("query"))).select("query_id", "doc_id")
+    if n_long <= min(SENT, broadcast_rows) and (n_long * anchor) ** anchor < 1 << 62:
+        found = _scanned(corpus, long, anchor)
+    else:
+        words = corpus.select("doc_id", "content", T.words("content").alias("w"))
+        windows = F.when(F.size("w") >= anchor, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - anchor + 1), lambda i: F.array_join(F.slice("w", i, F.lit(anchor)), " ")))).otherwise(F.array().cast("array<string>"))
+        hits = words.select("doc_id", F.explode(windows).alias("anchor")).join(hint(long.select("query_id", "anchor")), "anchor").select("doc_id", "query_id").distinct()
+        found = hits.join(hint(long.select("query_id", "query")), "query_id").join(corpus.select("doc_id", "content"), "doc_id").where(F.contains("content", F.col("query"))).select("query_id", "doc_id")
     blocks = -(-short.count() // SHORT_BLOCK)
     for i in range(blocks):
         some = F.broadcast(short.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))
