@@ -63,6 +63,8 @@ def undone(todo: DataFrame, done: DataFrame, key: str = "query_id") -> DataFrame
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
+#: Rows of a batch that are dealt to one task.
+FILE_ROWS = 10_000
 LEDGER = "batch string, n_rows long, first string, last string"
 
 
@@ -80,15 +82,17 @@ def resume(todo: DataFrame, path: str, work, key: str = "query_id", batch_rows:
     the ledger makes them count.  A run that breaks off keeps every batch of the
     ledger; the next one deletes what isn't in it and does only the rest.  What is
     left is dealt into batches by the key's hash as one table, so each batch reads
-    its own part.  One run at a time.
+    its own part, in files of about FILE_ROWS rows.  One run at a time.
     """
     spark = todo.sparkSession
     done = committed(spark, path)
     left = (undone(todo, done, key) if done is not None else todo).withColumn("_key", F.col(key))
     _drop_broken(spark, path)
-    n = max(1, -(-left.count() // batch_rows))
+    rows = left.count()
+    n = max(1, -(-rows // batch_rows))
+    files = max(1, -(-rows // n // FILE_ROWS))
     parts = fresh_path(spark, "todo")
-    left.withColumn("_batch", F.pmod(F.xxhash64("_key"), F.lit(n)).cast("int")).repartition("_batch").write.partitionBy("_batch").parquet(parts)
+    left.withColumn("_batch", F.pmod(F.xxhash64("_key"), F.lit(n)).cast("int")).repartitionByRange(n * files, F.col("_batch"), F.hash("_key")).write.partitionBy("_batch").parquet(parts)
     rows = spark.read.schema(StructType([*left.schema.fields, StructField("_batch", IntegerType())])).parquet(parts)
     for i in range(n):
         batch, name = rows.where(F.col("_batch") == i), uuid.uuid4().hex
