@@ -2,9 +2,10 @@
 
 Queries are sent to the executors in blocks of a bounded size, one after the
 other, each block's result written before the next is taken; STEP rows of the
-corpus at a time are scored against a block by one matrix product, and of them
-the best k a query go on, so the shuffle has k rows a query and step whatever
-the corpus' size.
+corpus at a time are scored against a block by one matrix product.  A task holds
+the best k rows a query that it has seen, so that of a score there is nothing to
+do but to compare it with the least of them, and the shuffle has k rows a query
+and task whatever the corpus' size.
 """
 
 from __future__ import annotations
@@ -26,6 +27,56 @@ from .ranking import top_k
 QUERY_BLOCK, STEP = 4096, 1024
 
 
+class Best:
+    """The best k documents of each of n queries so far: greatest key first, then least id; a value goes with each."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.seen, self.pending, self.waiting = k, np.zeros(n, np.int64), [], 0
+        self.key, self.doc, self.value = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max), np.zeros((n, k))
+
+    def add(self, rows: np.ndarray, s: np.ndarray, doc: np.ndarray, keyed=None, value: float | None = None, nan: float = np.inf) -> None:
+        """Scores s (rows, which are distinct queries, by doc).  keyed: makes keys of scores, none further from its score than rounding to 9 places takes it; value: of all, else the score; nan: where NaN is sorted, which to Spark is above all numbers."""
+        if not s.size:
+            return
+        self.seen[rows] += s.shape[1]
+        raw = s
+        if not np.isfinite(s.sum()):
+            s = np.where(np.isnan(s), nan, s)
+        least = self.key[rows, -1]
+        low = least
+        if s.shape[1] > self.k and (new := np.flatnonzero(np.isneginf(least))).size:  # rows without k documents yet: the k-th best here is a bound as well
+            low = least.copy()
+            low[new] = np.partition(s[new], s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+        finite = np.where(np.isfinite(low), low, 0.0)
+        r, c = np.nonzero(s >= (low - (2e-9 + 1e-15 * np.abs(finite)))[:, None])
+        score, d = s[r, c], doc[c]
+        key = keyed(score) if keyed else score
+        at = rows[r]
+        keep = (key > least[r]) | ((key == least[r]) & (d < self.doc[at, -1]))
+        self.pending.append((at[keep], key[keep], d[keep], raw[r, c][keep] if value is None else np.full(int(keep.sum()), value)))
+        self.waiting += int(keep.sum())
+        if self.waiting > max(self.key.size, 1 << 16):
+            self._merge()
+
+    def _merge(self) -> None:
+        if not self.waiting:
+            return
+        at, key, doc, value = (np.concatenate(x) for x in zip(*self.pending, strict=True))
+        self.pending, self.waiting = [], 0
+        own, place = np.unique(at, return_inverse=True)
+        held = np.repeat(np.arange(len(own)), self.k)
+        place, key, doc, value = (np.concatenate(x) for x in ((place, held), (key, self.key[own].ravel()), (doc, self.doc[own].ravel()), (value, self.value[own].ravel())))
+        order = np.lexsort((doc, -key, place))
+        best = order[np.searchsorted(place[order], np.arange(len(own)))[:, None] + np.arange(self.k)]
+        self.key[own], self.doc[own], self.value[own] = key[best], doc[best], value[best]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Query, document, key and value of all that is held."""
+        self._merge()
+        query, at = np.nonzero(np.arange(self.k)[None] < self.seen[:, None])
+        return query, self.doc[query, at], self.key[query, at], self.value[query, at]
+
+
 def search(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
     """(query_id, rank, doc_id, score): inner product, best first, or squared distance ("euclidean"), least first.
 
@@ -57,6 +108,7 @@ def _block(corpus: DataFrame, queries: DataFrame, k: int, metric: str) -> tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
+        best, every = Best(len(ids), k), np.arange(len(ids))
         for b in (whole.slice(a, STEP) for whole in batches for a in range(0, whole.num_rows if len(ids) else 0, STEP)):
             flat = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             x = flat.reshape(b.num_rows, -1)
@@ -65,10 +117,10 @@ def _block(corpus: DataFrame, queries: DataFrame, k: int, metric: str) -> tuple[
             s = q @ x.T
             if metric == "euclidean":
                 s = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2 * s
-            doc = b.column("doc_id").to_numpy()
-            n = min(k, len(doc))
-            order = np.lexsort((np.broadcast_to(doc, s.shape), -sign * np.round(s, 9)), axis=1)[:, :n]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(doc[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "doc_id", "score"])
+            best.add(every, sign * s, b.column("doc_id").to_numpy(), lambda v: np.round(v, 9), nan=sign * np.inf)
+        query, doc, _, score = best.rows()
+        if len(query):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(doc), pa.array(sign * score)], names=["query_id", "doc_id", "score"])
 
     rows = corpus.where("embedding is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "embedding")
     return rows.mapInArrow(run, "query_id long, doc_id long, score double"), shared
@@ -133,18 +185,17 @@ def ivf_search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q, cells = shared.value
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
+            best = Best(len(ids), k)
+            for b in (whole.slice(a, STEP) for whole in batches for a in range(0, whole.num_rows if len(ids) else 0, STEP)):
                 x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
                 doc, cell = b.column("doc_id").to_numpy(), b.column("cell").to_numpy()
                 for c in np.unique(cell):
                     at, asks = np.flatnonzero(cell == c), np.flatnonzero((cells == c).any(axis=1))
                     if len(asks):
-                        s = q[asks] @ x[at].T
-                        n = min(k, len(at))
-                        order = np.lexsort((np.broadcast_to(doc[at], s.shape), -np.round(s, 9)), axis=1)[:, :n]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[asks], n)), pa.array(doc[at][order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "doc_id", "score"])
+                        best.add(asks, q[asks] @ x[at].T, doc[at], lambda v: np.round(v, 9))
+            query, doc, _, score = best.rows()
+            if len(query):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(doc), pa.array(score)], names=["query_id", "doc_id", "score"])
 
         wanted = sorted({int(c) for c in cells.ravel()})
         part = index.where(F.col("cell").isin(wanted)).select("doc_id", "embedding", "cell").mapInArrow(run, "query_id long, doc_id long, score double")

@@ -7,13 +7,18 @@ exact vector beside it in another column.  Large cells have several files.
 
 A search takes the queries in blocks of neighbours: sorted along the cells'
 order, a block is closed before its cells pass a share of all.  The scan of a
-block names its cells, so other folders aren't opened, and reads the codes only.
+block names its cells, so other folders aren't opened, and reads the codes only;
+codes are scored by a matrix product of the queries and the vectors they stand
+for, and a task sends its best ones of each query.
 Each query's best codes (`refine` times k) are then scored again by their exact
-vectors, which are read from the cells that hold any.  How many cells a query
-needs, and how many codes, is measured when the index is built, by exact search
-over all rows for rows that the training didn't see, and which don't count as
-their own neighbours.  Vectors without any structure need nearly all cells, and
-then there is nothing to gain from small blocks: all queries are one.
+vectors, which are read from the cells that hold any.  Where these would be more
+than one row in FEW, as codes tell little, the exact vectors of the cells are
+scored at once: that finds all that the codes would have, and a query's share of
+the rows is then not shuffled.  How many cells a query needs, and how many
+codes, is measured when the index is built, by exact search over all rows for
+rows that the training didn't see, and which don't count as their own
+neighbours.  Vectors without any structure need nearly all cells, and then there
+is nothing to gain from small blocks: all queries are one.
 
 The result is approximate; `dense.search` stays the exact default.  Rows with a
 null vector are left out; another number of dimensions is an error.
@@ -38,6 +43,10 @@ FILE_ROWS = 1_000_000
 QUERY_BLOCK = 4096
 #: Numbers that a task holds at once while it scores codes.
 SCORES = 1 << 22
+#: Codes that a task holds for its queries at most.
+HELD = 1 << 20
+#: To send a code on and score it again takes as long as to score some hundred vectors in a product.
+FEW = 256
 MODEL = "name string, shape array<int>, data binary"
 HITS = "query_id long, doc_id long, score double"
 
@@ -97,9 +106,9 @@ class Model:
             out[:, m] = ((book**2).sum(axis=1)[None] - 2 * left[:, m] @ book.T).argmin(axis=1)
         return out
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of queries with all codes: queries x subspaces x codes."""
-        return np.einsum("qms,mks->qmk", q.reshape(len(q), len(self.books), -1), self.books)
+    def decoded(self, codes: np.ndarray, cell: int) -> np.ndarray:
+        """The vectors that codes of a cell stand for."""
+        return self.books[np.arange(len(self.books)), codes].reshape(len(codes), -1) + self.centres[cell]
 
     def nearest_cells(self, q: np.ndarray, probes: int) -> np.ndarray:
         return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, :probes]
@@ -182,7 +191,7 @@ class VectorIndex:
         trained_on = max(1, min(sample, n // 2))
         rest = _by_hash(corpus, seed).offset(trained_on).limit(asked) if n > trained_on else corpus
         queries = written(rest.select(F.col("doc_id").alias("query_id"), "embedding"), "asked")
-        near = written(dense.search(corpus, queries, k + 1).where("query_id <> doc_id").select("query_id", "doc_id").join(self.rows().select("doc_id", "cell"), "doc_id"), "asked-near")
+        near = written(dense.search(corpus, queries, k + 1).where("query_id <> doc_id").select("query_id", "doc_id").join(self.rows().select("doc_id", "cell", "code"), "doc_id"), "asked-near")
         pairs, vectors = near.collect(), {r.query_id: r.embedding for r in queries.collect()}  # asked * k rows
         if not pairs:
             return self
@@ -191,13 +200,12 @@ class VectorIndex:
         place = {q: {int(c): j for j, c in enumerate(order[i])} for i, q in enumerate(ids)}
         needed = sorted(place[p.query_id][p.cell] for p in pairs)
         probes = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] + 1
-        refine, held = self.model.refine, {(p.query_id, p.doc_id) for p in pairs if place[p.query_id][p.cell] < probes}
-        while True:
-            index = replace(self, model=replace(self.model, probes=probes, refine=refine))
-            hits = {(r.query_id, r.doc_id) for r in search(index, queries, k + 1).collect()}
-            if len(hits & held) >= recall * len(held) or refine * k >= n:
-                return index
+        held = [p for p in pairs if place[p.query_id][p.cell] < probes]
+        ranks = code_ranks(self, vectors, held, {q: order[i][:probes] for i, q in enumerate(ids)})
+        refine = self.model.refine
+        while sum(r <= refine * (k + 1) for r in ranks.values()) < recall * len(held) and refine * k < n:
             refine *= 2
+        return replace(self, model=replace(self.model, probes=probes, refine=refine))
 
 
 def blocks(cells: np.ndarray, most_cells: int) -> list[np.ndarray]:
@@ -215,29 +223,82 @@ def blocks(cells: np.ndarray, most_cells: int) -> list[np.ndarray]:
 
 
 def _code_scores(model: Model, ids: np.ndarray, q: np.ndarray, cells: np.ndarray, keep: int):
-    """Each batch's best `keep` rows a query by their codes."""
+    """The best `keep` rows a query by their codes: a task's, or where these are too many to hold, each batch's."""
+
+    def sent(best: dense.Best) -> Iterator[pa.RecordBatch]:
+        query, doc, score, cell = best.rows()
+        if len(query):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(doc), pa.array(cell.astype(np.int32)), pa.array(score)], names=["query_id", "doc_id", "cell", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, tables = q @ model.centres.T, model.tables(q)
+        hold = len(ids) * keep <= HELD
+        best = dense.Best(len(ids), keep if hold else 0)
         for b in batches:
             doc, cell = b.column("doc_id").to_numpy(), b.column("cell").to_numpy()
             codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(doc), -1)
+            if not hold:
+                best = dense.Best(len(ids), min(keep, len(doc)))
             for c in np.unique(cell).tolist():
                 asks = np.flatnonzero((cells == c).any(axis=1))
                 every = np.flatnonzero(cell == c)
                 step = max(1, SCORES // max(len(asks), 1))
                 for a in range(0, len(every) if len(asks) else 0, step):
                     at = every[a : a + step]
-                    s = np.repeat(base[asks, c][:, None], len(at), axis=1)
-                    for m in range(codes.shape[1]):
-                        s += tables[asks, m][:, codes[at, m]]
-                    n = min(keep, len(at))
-                    best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[asks], n)), pa.array(doc[at][best].ravel()), pa.array(np.full(best.size, c, np.int32)), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", "doc_id", "cell", "score"])
+                    best.add(asks, q[asks] @ model.decoded(codes[at], c).T, doc[at], value=c)
+            if not hold:
+                yield from sent(best)
+        if hold:
+            yield from sent(best)
+
+    return run
+
+
+def _exact_scores(model: Model, ids: np.ndarray, q: np.ndarray, cells: np.ndarray, k: int):
+    """A task's best k rows a query by their vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = dense.Best(len(ids), k)
+        for b in (whole.slice(a, dense.STEP) for whole in batches for a in range(0, whole.num_rows, dense.STEP)):
+            x, doc, cell = _rows(b.column("embedding"), model.dimension), b.column("doc_id").to_numpy(), b.column("cell").to_numpy()
+            for c in np.unique(cell).tolist():
+                asks, at = np.flatnonzero((cells == c).any(axis=1)), np.flatnonzero(cell == c)
+                if len(asks):
+                    best.add(asks, q[asks] @ x[at].T, doc[at], lambda v: np.round(v, 9))
+        query, doc, _, score = best.rows()
+        if len(query):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(doc), pa.array(score)], names=["query_id", "doc_id", "score"])
 
     return run
 
 
+def code_ranks(index: VectorIndex, asked: dict[int, list[float]], near: list, cells: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
+    """The place of each row of near (query_id, doc_id, cell, code), few of a query, among the codes of the cells of its query: one scan that counts what is before it."""
+    model, ids = index.model, sorted({p.query_id for p in near})
+    q, own = np.array([asked[i] for i in ids], dtype=np.float64), np.array([cells[i] for i in ids])
+    marks = []
+    for i in ids:
+        mine = [p for p in near if p.query_id == i]
+        code = np.frombuffer(b"".join(bytes(p.code) for p in mine), np.uint8).reshape(len(mine), -1)
+        marks.append([(p.doc_id, round(float(np.round(model.decoded(code[j : j + 1], p.cell)[0] @ np.array(asked[i], dtype=np.float64), 9)), 9)) for j, p in enumerate(mine)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = [np.zeros(len(m), np.int64) for m in marks]
+        for b in (whole.slice(a, dense.STEP) for whole in batches for a in range(0, whole.num_rows, dense.STEP)):
+            doc, cell = b.column("doc_id").to_numpy(), b.column("cell").to_numpy()
+            codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(doc), -1)
+            for c in np.unique(cell).tolist():
+                asks, at = np.flatnonzero((own == c).any(axis=1)), np.flatnonzero(cell == c)
+                s = np.round(q[asks] @ model.decoded(codes[at], c).T, 9)
+                for row, i in zip(s, asks.tolist(), strict=True):
+                    for j, (d, t) in enumerate(marks[i]):
+                        before[i][j] += int((row > t).sum()) + int(((row == t) & (doc[at] < d)).sum())
+        rows = [(ids[i], d, int(before[i][j])) for i, m in enumerate(marks) for j, (d, _) in enumerate(m)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], pa.int64()) for x in range(3)], names=["query_id", "doc_id", "before"])
+
+    counted = index.rows().select("doc_id", "cell", "code").mapInArrow(run, "query_id long, doc_id long, before long")
+    return {(r.query_id, r.doc_id): r.before + 1 for r in counted.groupBy("query_id", "doc_id").agg(F.sum("before").alias("before")).collect()}
+
+
 def search(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | None = None, refine: int | None = None, share: float = 0.25, opened: list[list[int]] | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score) by inner product, approximate.  share: of all cells, those that a block of queries may open.
 
@@ -246,6 +307,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | No
     """
     spark, model, n = index.spark, index.model, max(1, -(-queries.count() // QUERY_BLOCK))
     probes, refine = min(probes or model.probes, len(model.centres)), refine or model.refine
+    direct = refine * k * FEW > index.rows().count()
     most_cells = int(share * len(model.centres))
     most_cells = max(1, most_cells) if probes <= max(1, most_cells) else len(model.centres)
     out = spark.createDataFrame([], HITS)
@@ -256,14 +318,18 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | No
         for own in blocks(cells, most_cells):
             wanted = np.unique(cells[own]).tolist()
             rows = index.rows().where(F.col("cell").isin(wanted))
+            if opened is not None:
+                opened.append(wanted)
+            if direct:
+                scored = rows.select("doc_id", "cell", "embedding").mapInArrow(_exact_scores(model, ids[own], x[own], cells[own], k), HITS)
+                out = out.unionByName(written(top_k(scored, k).select("query_id", "doc_id", "score"), "near"))
+                continue
             coded = rows.select("doc_id", "cell", "code").mapInArrow(_code_scores(model, ids[own], x[own], cells[own], refine * k), "query_id long, doc_id long, cell int, score double")
             short = written(top_k(coded, refine * k).select("query_id", "doc_id", "cell"), "shortlist")
             asked = F.broadcast(spark.createDataFrame(pa.table({"query_id": ids[own], "q": pa.array(list(x[own]), pa.list_(pa.float64()))})))  # a block of queries
             exact = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
             scored = rows.select("doc_id", "cell", "embedding").join(short, ["cell", "doc_id"]).join(asked, "query_id").select("query_id", "doc_id", exact.alias("score"))
             out = out.unionByName(written(top_k(scored, k).select("query_id", "doc_id", "score"), "near"))
-            if opened is not None:
-                opened.append(wanted)
     return top_k(out, k).select("query_id", "rank", "doc_id", "score")
 
 
