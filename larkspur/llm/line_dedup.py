@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, SpanHasher, chunks, free_name, line_spans, widened, written
+from .common import IS_SPACE, LOWER, SpanHasher, chunks, free_name, line_spans, trim, widened, written
 
 NO_ID = -(1 << 63)
 BROADCAST_BYTES = 32 << 20
@@ -62,6 +62,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                     more[i] = zlib.compress(pos[begin[i] + 1 : begin[i + 1] if i + 1 < len(begin) else len(h)].tobytes(), 1)
                 at = c.first + row[begin]
                 yield pa.RecordBatch.from_arrays([pa.array(h[begin].view(np.int64)), pa.array(doc[at]), pa.array(rk[at]), pa.array(pos[begin]), pa.array(more, pa.binary())], names=["h", "doc", "rk", "pos", "more"])
+        trim()
 
     return row_key(docs).mapInArrow(run, "h long, " + HIT)
 
@@ -145,6 +146,7 @@ def scan_runs(min_docs: int, keep_first: bool):
             yield from add([x[starts[-1] :] for x in rows])
         if h is not None:
             yield from close(True)
+        trim()
 
     return run
 
@@ -176,6 +178,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False)
                 keep[p] = 0
                 bits.append(zlib.compress(np.packbits(keep).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("rk"), pa.array(bits, pa.binary())], names=["doc", "rk", "keep"])
+        trim()
 
     return dropped_lines(docs, min_docs, keep_first).groupBy("doc", "rk").agg(F.collect_set("pos").alias("ps"), F.collect_set("more").alias("ms")).mapInArrow(pack, "doc long, rk long, keep binary")
 
@@ -217,6 +220,7 @@ def line_report(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -
                 gone.append(out)
                 sha.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+        trim()
 
     return joined.select("doc_id", "text", keep).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
@@ -238,5 +242,6 @@ def without_repeated_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool
                     lost[i] = not texts[i].strip(" \t\n\v\f\r")
             cols = [pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in fields]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(lost, pa.bool_())], names=[*fields, gone])
+        trim()
 
     return joined.select(*fields, keep).mapInArrow(run, widened(docs, **{gone: "boolean"})).where(~F.col(gone)).drop(gone)
