@@ -4,7 +4,8 @@ Each text becomes an 8-bit greyscale PNG, 64 samples a line, whose samples are
 the text's bytes and then the bytes 0 up to the next multiple of 64.  A task
 appends its images to tar shards in the shared folder; a member's name is the
 SHA-256 of the image, and equal images are stored once a shard.  Rows carry
-digest, shard, offset and length.  `headers` deals the rows by shard and offset,
+digest, shard, offset and length, and the stretch of the shard's rows, of about
+STRETCH_BYTES of media, that they are in.  `headers` deals whole stretches,
 as many as READ_BYTES of media a task, and reads only each image's first 33 bytes
 to fill the metadata columns; `read_back` goes on from there, reads whole ranges
 and decodes them for the features.
@@ -31,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import fresh_path, trim, written
 
 WIDTH = 64
 SHARD_BYTES = 128 << 20
 READ_BYTES = 32 << 20
-PLACED = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
+STRETCH_BYTES = 2 << 20
+PLACED = "doc_id long, n_bytes long, digest string, shard string, offset long, length long, stretch int"
 FEATURES = "doc_id long, n_bytes long, width int, height int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, length long"
 PNG_MARK = b"\x89PNG\r\n\x1a\n"
 
@@ -120,7 +122,7 @@ def store(docs: DataFrame, folder: str | None = None) -> DataFrame:
             shard.close()
             cols = list(zip(*rows, strict=True))
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=[x.split()[0] for x in PLACED.split(", ")])
 
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -128,14 +130,16 @@ def store(docs: DataFrame, folder: str | None = None) -> DataFrame:
                 image = png(raw + bytes((-len(raw) % WIDTH) or (0 if raw else WIDTH)))
                 if shard is None:
                     name = f"shard-{task:06d}-{n:04d}-{uuid.uuid4().hex[:8]}"
-                    shard, n = Shard(folder, name), n + 1
+                    shard, n, taken = Shard(folder, name), n + 1, 0
                 digest = hashlib.sha256(image).hexdigest()
-                rows.append((doc, len(raw), digest, f"{folder}/{name}.tar", shard.add(digest, image), len(image)))
+                rows.append((doc, len(raw), digest, f"{folder}/{name}.tar", shard.add(digest, image), len(image), taken // STRETCH_BYTES))
+                taken += len(image)  # copies too: a text in very many rows has many stretches
                 if shard.at >= SHARD_BYTES:
                     yield flush()
                     shard = None
         if shard is not None:
             yield flush()
+        trim()
 
     return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PLACED), "media-index")
 
@@ -150,9 +154,12 @@ def feature_of(samples: bytes) -> str:
 
 
 def by_place(placed: DataFrame) -> DataFrame:
-    """placed, dealt by the media's bytes (the index's own are few) and in the shards' order."""
+    """placed, dealt by the media's bytes (the index's own are few) in whole stretches, and in the shards' order.
+
+    However many partitions there are, no more than the stretches have rows, and only those write files.
+    """
     n = max(placed.sparkSession.sparkContext.defaultParallelism, -(-int(placed.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
-    return placed.repartitionByRange(n, "shard", "offset", F.xxhash64("doc_id")).sortWithinPartitions("shard", "offset")
+    return placed.repartitionByRange(n, "shard", "stretch").sortWithinPartitions("shard", "offset")
 
 
 class Ranges:
@@ -189,6 +196,7 @@ def headers(placed: DataFrame) -> DataFrame:
                 sizes.append(size)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[i] for x in sizes], pa.int32()) for i in (0, 1))], names=[*b.schema.names, "width", "height"])
         ranges.close()
+        trim()
 
     return by_place(placed).mapInArrow(run, HEADED)
 
@@ -216,6 +224,7 @@ def read_back(headed: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
         ranges.close()
+        trim()
 
     return headed.mapInArrow(run, FEATURES)
 

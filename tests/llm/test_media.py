@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 from hypothesis import given
@@ -75,3 +76,39 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a", "d", "s", 5, 6)], "doc_id long, text string, digest string, shard string, offset long, length long")
     (r,) = media.media_columns(docs).collect()
     assert r.payload_bytes == 64 and r.shard.endswith(".tar")
+
+
+def test_no_more_tasks_have_rows_than_stretches(spark, monkeypatch, tmp_path):
+    """However many partitions a cluster deals to; before, 200 small images went to as many of them, and each wrote a file."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 200, 1, 2).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 40).alias("text"))
+    placed = media.store(docs, f"file://{tmp_path}/media")
+    monkeypatch.setattr(media, "READ_BYTES", 500)
+    dealt = media.by_place(placed)
+    assert dealt.rdd.getNumPartitions() <= 3
+    used = dealt.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.countDistinct("shard", "stretch").alias("n")).collect()
+    assert len(used) == placed.select("shard", "stretch").distinct().count() == 2 and all(r.n == 1 for r in used)
+
+
+def test_stretches_count_copies_too(spark, tmp_path):
+    """Rows of one image are dealt to several tasks where they are many."""
+    from pyspark.sql import functions as F
+
+    text = "".join(random.Random(1).choices("abcdefghijklmnop", k=200_000))
+    docs = spark.range(0, 100, 1, 1).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    placed = media.store(docs, f"file://{tmp_path}/media")
+    (r,) = placed.agg(F.countDistinct("offset").alias("images"), F.sum("length").alias("bytes"), F.countDistinct("stretch").alias("stretches")).collect()
+    assert r.images == 1 and r.stretches == (r.bytes - r.bytes // 100) // media.STRETCH_BYTES + 1 > 4
+    assert {(x.doc_id, x.payload_bytes) for x in media.read_back(media.headers(placed)).collect()} == {(i, 200_000) for i in range(100)}
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """At the end of a task; before, a worker kept what it had freed."""
+    from types import SimpleNamespace
+
+    calls = []
+    monkeypatch.setattr(media, "trim", lambda: calls.append(1), raising=False)
+    monkeypatch.setattr(media, "by_place", lambda placed: placed)
+    frame = SimpleNamespace(mapInArrow=lambda run, schema: run)
+    assert [list(step(frame)(iter([]))) for step in (media.headers, media.read_back)] == [[], []] and calls == [1, 1]
