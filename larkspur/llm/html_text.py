@@ -62,6 +62,9 @@ IMPLIED = (
     (frozenset({"tr"}), frozenset({"tr"}), frozenset({"table"})),
     (frozenset({"td", "th"}), frozenset({"td", "th"}), frozenset({"tr", "table"})),
 )
+#: IMPLIED by start tag: what it closes, and the bits that it sets and that it leaves in what is below.
+CLOSES = {tag: [(bit, tags) for bit, (by, tags, _) in enumerate(IMPLIED) if tag in by] for tag in frozenset().union(*(by for by, _, _ in IMPLIED))}
+LEAVES = {tag: (sum(1 << bit for bit, (_, tags, _) in enumerate(IMPLIED) if tag in tags), sum(1 << bit for bit, (_, _, walls) in enumerate(IMPLIED) if tag not in walls)) for tag in frozenset().union(*(tags | walls for _, tags, walls in IMPLIED))}
 WALLS = ("article", "main", "body")
 NOISE_WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer sidebar widget ad ads advert adverts advertisement advertising adsense "
@@ -120,8 +123,8 @@ def raw_end(tag: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
 
 
-def path_key(parent: int, tag: str, at: dict[str, str]) -> int:
-    return short_hash(f"{parent}/{tag}.{at.get('class', '')}")
+def path_key(parent: int, tag: str, name: str) -> int:
+    return short_hash(f"{parent}/{tag}.{name}")
 
 
 def parse(source: str) -> Node:
@@ -131,6 +134,7 @@ def parse(source: str) -> Node:
     opened: list[tuple[int, dict[str, int]]] = [(0, {})]  # open elements by tag, above each wall: a stray end doesn't close a wall
 
     whole = {"body": 0, "html": 0}
+    keys: dict[tuple[int, str, str], int] = {}
 
     def close(to: int) -> None:
         end = len(stack)
@@ -165,8 +169,8 @@ def parse(source: str) -> Node:
         elif m[2]:
             tag = m[2].lower()
             found = attributes(m[3])
-            for bit, (by, tags, _) in enumerate(IMPLIED):
-                if tag in by and stack[-1].implied >> bit & 1:
+            for bit, tags in CLOSES.get(tag, ()):
+                if stack[-1].implied >> bit & 1:
                     i = len(stack) - 1
                     while stack[i].tag not in tags:
                         i -= 1
@@ -174,8 +178,13 @@ def parse(source: str) -> Node:
             top = stack[-1]
             main = tag in ("article", "main") or found.get("role", "").lower() in ("main", "article")
             named = named_as(tag, found, top.inside)
-            implied = sum(1 << bit for bit, (_, tags, walls) in enumerate(IMPLIED) if tag in tags or top.implied >> bit & 1 and tag not in walls)
-            node = Node(tag, path_key(top.key, tag, found), is_noise(tag, found, top.inside), named, main and not named, top.inside or tag in ("article", "main"), implied)
+            sets, leaves = LEAVES.get(tag, (0, -1))
+            implied = sets | top.implied & leaves
+            step = top.key, tag, found.get("class", "")
+            key = keys.get(step)
+            if key is None:
+                key = keys[step] = path_key(*step)
+            node = Node(tag, key, is_noise(tag, found, top.inside), named, main and not named, top.inside or tag in ("article", "main"), implied)
             top.kids.append(node)
             if tag in RAW:
                 end = raw_end(tag).search(source, at)

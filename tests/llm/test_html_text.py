@@ -80,6 +80,19 @@ def test_pages_of_stray_tags_are_linear(source):
     assert took(source) < 6
 
 
+def test_a_path_is_hashed_once_a_page(monkeypatch):
+    """Before, every element's was; what a start tag closes is looked up by its tag."""
+    made, plain = [], h.short_hash
+    monkeypatch.setattr(h, "short_hash", lambda text: made.append(text) or plain(text))
+    root = h.parse("<ul>" + "<li>x<b>y</b>" * 1000 + "<li class=a>z</ul>")
+    assert len(root.kids[0].kids) == 1001 and len(made) == 4
+    for tag in sorted(h.BLOCKS | h.VOID | h.NOISE_TAGS | {"span"}):
+        assert h.CLOSES.get(tag, []) == [(bit, tags) for bit, (by, tags, _) in enumerate(h.IMPLIED) if tag in by]
+        for above in range(32):
+            sets, leaves = h.LEAVES.get(tag, (0, -1))
+            assert sets | above & leaves == sum(1 << bit for bit, (_, tags, walls) in enumerate(h.IMPLIED) if tag in tags or above >> bit & 1 and tag not in walls)
+
+
 class Plain(HTMLParser):
     """A second extractor, for well-formed pages: the text of blocks outside what tags or names give away."""
 
